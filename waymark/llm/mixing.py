@@ -91,3 +91,17 @@ def in_order(taken: DataFrame) -> DataFrame:
     """Range-sorted by the first position; documents not taken come last."""
     first = taken.withColumn("__first", F.try_element_at(F.col("__passes.position"), F.lit(1)))
     return first.repartitionByRange(F.col("__first").asc_nulls_last(), F.col("doc_id")).sortWithinPartitions(F.col("__first").asc_nulls_last(), "doc_id")
+
+
+def mixed(docs: DataFrame, **options) -> DataFrame:
+    """The mix itself, in its order: a row of docs' columns for each pass that takes words of a document, the last document of a source cut to the words taken, n_chars to match."""
+    same = Window.partitionBy("__key").orderBy("__key")
+    keyed = docs.withColumn("__key", F.xxhash64("doc_id", "source", F.xxhash64("text"))).withColumn("__copy", F.row_number().over(same))
+    taken = mix(docs, **options).where("__taken > 0").select(F.xxhash64("doc_id", "source", "th").alias("__key"), "__size", "__passes").withColumn("__copy", F.row_number().over(same))
+    each = keyed.join(taken, ["__key", "__copy"]).withColumn("__pass", F.explode("__passes"))
+    words = F.col("__pass.words")
+    cut = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)), F.lit(1), words.cast("int")), " ")
+    each = each.withColumn("text", F.when(words < F.col("__size"), cut).otherwise(F.col("text"))).withColumn("__at", F.col("__pass.position"))
+    if "n_chars" in docs.columns:
+        each = each.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"]))
+    return each.repartitionByRange("__at", "doc_id").sortWithinPartitions("__at", "doc_id").select(*docs.columns)
