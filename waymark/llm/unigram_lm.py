@@ -22,6 +22,7 @@ from math import exp, log, log10
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -200,12 +201,19 @@ def score(docs: DataFrame, path: str, heavy: int = HEAVY, rounds: int = ROUNDS)
     sent = spark.sparkContext.broadcast(frequent)
     of_end = (log10(ends + 1) - base, end / log(10), int(ends > 0))
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = sent.value
-        for f in frames:
+        kinds = {"rid": pa.int64(), "doc_id": pa.int64(), "held": pa.bool_(), "word": pa.string(), "times": pa.int64(), "head": pa.list_(pa.float64())}
+
+        def rows(**columns) -> pa.RecordBatch:
+            n = len(columns["rid"])
+            return pa.RecordBatch.from_arrays([pa.array(columns[c], t) if c in columns else pa.nulls(n, t) for c, t in kinds.items()], list(kinds))
+
+        for batch in batches:
             head, rid, word, times = [], [], [], []
-            for r, t in zip(f["rid"], f["text"], strict=True):
-                own = Counter(tokens(t))
+            own_rid = batch.column("rid").to_pylist()
+            for r, t in zip(own_rid, batch.column("text"), strict=True):
+                own = Counter(tokens(t.as_py()))
                 n, k, b, s = 1, of_end[2], of_end[0], of_end[1]
                 for w, c in own.items():
                     n += c
@@ -216,11 +224,11 @@ def score(docs: DataFrame, path: str, heavy: int = HEAVY, rounds: int = ROUNDS)
                         k, b, s = k + c * (got[0] > 0), b + c * got[1], s + c * got[2]
                 head.append([n, k, b, s])
             # A document's own row has a key with a space, which no word has.
-            yield pd.DataFrame({"rid": f["rid"], "doc_id": f["doc_id"].astype("Int64"), "held": f["held"], "word": [f" {r}" for r in f["rid"]], "times": 0, "head": head})
-            yield pd.DataFrame({"rid": rid, "doc_id": pd.Series([None] * len(rid), dtype="Int64"), "held": None, "word": word, "times": times, "head": None})
+            yield rows(rid=own_rid, doc_id=batch.column("doc_id").to_pylist(), held=batch.column("held").to_pylist(), word=[f" {r}" for r in own_rid], times=[0] * len(own_rid), head=head)
+            yield rows(rid=rid, word=word, times=times)
 
     keyed = docs.select(row_key("doc_id", "text").alias("rid"), F.col("doc_id").cast("long"), held_out(MODULUS, REMAINDER).alias("held"), "text")
-    parts = keyed.mapInPandas(run, "rid long, doc_id long, held boolean, word string, times long, head array<double>")
+    parts = keyed.mapInArrow(run, "rid long, doc_id long, held boolean, word string, times long, head array<double>")
     joined = parts.join(vocab.select("word", "c", "lattice"), "word", "left")
 
     def total(own: int, rest: Column) -> Column:
