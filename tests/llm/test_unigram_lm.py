@@ -2,6 +2,7 @@ import math
 import zlib
 from collections import Counter
 
+import numpy as np
 import public_tokenizers
 import pytest
 
@@ -26,9 +27,8 @@ def test_forward_sums_all_segmentations_and_expectations_match():
     t = U.Lattice(pieces, weights)
     for word in ("a", "ab", "ababa", "bbaab"):
         every = [*segmentations("▁" + word, dict(zip(pieces, weights, strict=True)))]
-        assert math.isclose(t.log_probability(word), math.log(sum(map(math.exp, every))), rel_tol=1e-12)
-    counts = [0.0] * len(pieces)
-    t.expected("ab", 2.0, counts)
+        assert math.isclose(t.log_probabilities(["b", word, "abab"])[1], math.log(sum(map(math.exp, every))), rel_tol=1e-12)
+    counts = t.expected(["ab"], np.array([2.0]))
     # ▁|a|b, ▁|ab, ▁a|b, ▁ab
     p = [0.2 * 0.1 * 0.15, 0.2 * 0.05, 0.1 * 0.15, 0.1]
     q = [2 * x / sum(p) for x in p]
@@ -39,7 +39,14 @@ def test_forward_sums_all_segmentations_and_expectations_match():
 def test_unknown_letters_are_spelled_in_bytes_and_long_words_do_not_underflow():
     t = U.Lattice(*U.vocabulary(PATH))
     for word in ("\U0001f9ff", "\x00", "x" * 20_000):
-        assert math.isfinite(t.log_probability(word)) and t.log_probability(word) < 0
+        p = t.log_probabilities(["a", word])[1]
+        assert math.isfinite(p) and p < 0
+    some = ["the", "cat", "é", "\U0001f9ff", "x" * 300]
+    n = t.expected(some, np.ones(5))
+    weighed = [len(p) if not p.startswith("<0x") else 0 for p in U.vocabulary(PATH)[0]]
+    letters = n @ weighed
+    spelled = sum(k for p, k in zip(U.vocabulary(PATH)[0], n, strict=True) if p.startswith("<0x"))
+    assert letters < sum(map(len, some)) + 5 + 1e-6 < letters + spelled + 1e-6
 
 
 def rows():

@@ -16,9 +16,10 @@ rows each give a row and each count; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Iterator
-from math import exp, log, log10
+from math import log, log10
 
 import numpy as np
 import pandas as pd
@@ -33,6 +34,9 @@ ROUNDS, HEAVY, FLUSH = 2, 100_000, 300_000
 SMOOTH = 0.1
 _MARK = "▁"
 _NEVER = -1e300
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+#: Places times lengths that are worked on at once.
+_CELLS = 1 << 19
 
 
 def vocabulary(path: str) -> tuple[list[str], list[float]]:
@@ -48,68 +52,117 @@ def vocabulary(path: str) -> tuple[list[str], list[float]]:
 
 
 class Lattice:
-    """Sums over all segmentations of a word, given the log weight of each piece."""
+    """Sums over all segmentations of words, given the log weight of each piece; words of like length go through each step together."""
 
     def __init__(self, pieces: list[str], weights: list[float]):
-        self.bytes = [-1] * 256
+        byte = re.compile("<0x[0-9A-F]{2}>")
+        self.bytes = {int(p[3:5], 16): i for i, p in enumerate(pieces) if byte.fullmatch(p)}
+        own: dict[int, list[tuple[int, int]]] = {}
         for i, p in enumerate(pieces):
-            if len(p) == 6 and p.startswith("<0x") and p.endswith(">"):
-                self.bytes[int(p[3:5], 16)] = i
-        single = set(self.bytes)
-        self.id = {p: i for i, p in enumerate(pieces) if i not in single}
-        self.longest = max(map(len, self.id), default=1)
-        self.heads: dict[str, int] = {}
-        for p in self.id:  # the longest piece that starts with these two letters
-            self.heads[p[:2]] = max(self.heads.get(p[:2], 0), len(p))
-        self.weights = weights
-
-    def edges(self, s: str) -> list[list[tuple[int, float, tuple[int, ...]]]]:
-        """For each end: (start, log weight, pieces)."""
-        out: list[list] = [[] for _ in range(len(s) + 1)]
-        w, ids, n = self.weights, self.id, len(s)
-        for i in range(n):
-            one = ids.get(s[i])
-            if one is not None:
-                out[i + 1].append((i, w[one], (one,)))
-            spelled = tuple(self.bytes[b] for b in s[i].encode())
-            if min(spelled) >= 0:
-                out[i + 1].append((i, sum(w[b] for b in spelled), spelled))
-            for j in range(i + 2, min(n, i + self.heads.get(s[i : i + 2], 0)) + 1):
-                k = ids.get(s[i:j])
-                if k is not None:
-                    out[j].append((i, w[k], (k,)))
-        return out
-
-    def forward(self, s: str, edges=None) -> list[float]:
-        a = [0.0] + [_NEVER] * len(s)
-        for j, into in enumerate(edges or self.edges(s)):
-            if len(into) == 1:
-                a[j] = a[into[0][0]] + into[0][1]
-            elif into:
-                terms = [a[i] + x for i, x, _ in into]
-                top = max(terms)
-                a[j] = top + log(sum([exp(t - top) for t in terms]))
+            if p and not byte.fullmatch(p):
+                own.setdefault(len(p), []).append((_hash(p), i))
+        self.longest = max(own, default=1)
+        #: For each length the sorted hashes of its pieces, and the pieces.
+        self.tables = {n: (np.array([h for h, _ in sorted(x)], np.uint64), np.array([i for _, i in sorted(x)])) for n, x in own.items()}
+        self.weights = np.array(weights, np.float64)
+        self.letters: dict[int, tuple[float, tuple[int, ...]]] = {}
+
+    def _spelled(self, letter: int) -> tuple[float, tuple[int, ...]]:
+        """The log weight of a letter written in byte pieces, and those."""
+        if letter not in self.letters:
+            ids = tuple(self.bytes.get(b, -1) for b in chr(letter).encode())
+            self.letters[letter] = (float(self.weights[list(ids)].sum()), ids) if min(ids) >= 0 else (_NEVER, ())
+        return self.letters[letter]
+
+    def _chunks(self, texts: list[str]):
+        """Indexes, code points (0 beyond the end) and lengths of words of like length."""
+        size = np.array([len(t) for t in texts]) + 1
+        order = np.argsort(size, kind="stable")
+        at = 0
+        while at < order.size:
+            n = min(order.size - at, max(1, _CELLS // (self.longest * int(size[order[at]]))))
+            while n > 1 and n * int(size[order[at + n - 1]]) * self.longest > 2 * _CELLS:
+                n //= 2
+            i = order[at : at + n]
+            width = int(size[i[-1]])
+            codes = np.zeros((n, width + self.longest), np.uint32)
+            for r, k in enumerate(i):
+                codes[r, : size[k]] = np.frombuffer((_MARK + texts[k]).encode("utf-32-le"), np.uint32)
+            yield i, codes, size[i], width
+            at += n
+
+    def _edges(self, codes: np.ndarray, width: int):
+        """Log weights and pieces (-1: none) of each place and length; letters, and the log weight of each spelled in bytes."""
+        n = len(codes)
+        w, ids = np.full((n, width, self.longest), _NEVER), np.full((n, width, self.longest), -1, np.int32)
+        h = np.zeros((n, width), np.uint64)
+        for k in range(self.longest):
+            c = codes[:, k : k + width]
+            h = h * _BASE + c
+            if k + 1 in self.tables:
+                keys, own = self.tables[k + 1]
+                at = np.minimum(np.searchsorted(keys, h), keys.size - 1)
+                hit = (keys[at] == h) & (c > 0)
+                ids[..., k][hit] = own[at[hit]]
+                w[..., k][hit] = self.weights[own[at[hit]]]
+        letters, which = np.unique(codes[:, :width], return_inverse=True)
+        spelled = np.array([self._spelled(int(x))[0] if x else _NEVER for x in letters])[which.reshape(n, width)]
+        piece = w[..., 0].copy()
+        w[..., 0] = np.logaddexp(piece, spelled)
+        return w, ids, letters, which.reshape(n, width), spelled
+
+    def _forward(self, w: np.ndarray, width: int) -> np.ndarray:
+        a = np.full((len(w), width + 1), _NEVER)
+        a[:, 0] = 0
+        for j in range(1, width + 1):
+            k = min(j, self.longest)
+            a[:, j] = _log_sum(np.stack([a[:, j - x] + w[:, j - x, x - 1] for x in range(1, k + 1)], axis=1))
         return a
 
-    def log_probability(self, word: str) -> float:
-        return self.forward(_MARK + word)[-1]
-
-    def expected(self, word: str, times: float, counts: np.ndarray) -> None:
-        """Add to counts the expected number of each piece in so many of this word."""
-        s = _MARK + word
-        edges = self.edges(s)
-        a = self.forward(s, edges)
-        b = [_NEVER] * len(s) + [0.0]
-        for j in range(len(s), 0, -1):
-            for i, x, _ in edges[j]:
-                t = b[j] + x
-                low, high = (b[i], t) if b[i] < t else (t, b[i])
-                b[i] = high if low == _NEVER or high - low > 40 else high + log(1 + exp(low - high))
-        for j, into in enumerate(edges):
-            for i, x, ids in into:
-                p = exp(min(0.0, a[i] + x + b[j] - a[-1])) * times
-                for k in ids:
-                    counts[k] += p
+    def log_probabilities(self, texts: list[str]) -> np.ndarray:
+        out = np.zeros(len(texts))
+        for i, codes, size, width in self._chunks(texts):
+            a = self._forward(self._edges(codes, width)[0], width)
+            out[i] = a[np.arange(len(i)), size]
+        return out
+
+    def expected(self, texts: list[str], times: np.ndarray) -> np.ndarray:
+        """The expected number of each piece in so many of each word, by forward-backward."""
+        counts = np.zeros(self.weights.size)
+        for i, codes, size, width in self._chunks(texts):
+            w, ids, letters, which, spelled = self._edges(codes, width)
+            a = self._forward(w, width)
+            rows = np.arange(len(i))
+            whole = a[rows, size]
+            b = np.full((len(i), width + self.longest + 1), _NEVER)
+            b[rows, size] = 0
+            for j in range(width - 1, -1, -1):
+                t = _log_sum(w[:, j, :] + b[:, j + 1 : j + 1 + self.longest])
+                b[:, j] = np.where(size > j, t, b[:, j])
+            for k in range(self.longest):
+                p = np.exp(np.minimum(0, a[:, :width] + w[..., k] + b[:, k + 1 : k + 1 + width] - whole[:, None])) * times[i][:, None]
+                own = ids[..., k]
+                if k == 0:
+                    by_bytes = p * np.exp(np.minimum(0, spelled - w[..., 0]))
+                    for x, n in zip(letters, np.bincount(which.ravel(), by_bytes.ravel(), letters.size), strict=True):
+                        if x and n > 0:
+                            np.add.at(counts, list(self._spelled(int(x))[1]), n)
+                    p = p - by_bytes
+                hit = own >= 0
+                counts += np.bincount(own[hit], np.maximum(p[hit], 0), counts.size)
+        return counts
+
+
+def _hash(piece: str) -> int:
+    h = 0
+    for c in piece:
+        h = (h * int(_BASE) + ord(c)) % (1 << 64)
+    return h
+
+
+def _log_sum(terms: np.ndarray) -> np.ndarray:
+    top = terms.max(1)
+    return top + np.log(np.exp(np.maximum(terms - top[:, None], -700)).sum(1))
 
 
 def tokens(text: str | None) -> list[str]:
@@ -148,8 +201,7 @@ def fit(counts: DataFrame, ends: int, path: str, rounds: int = ROUNDS) -> tuple[
         def run(frames: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
             lattice, total = Lattice(*sent.value), np.zeros(len(sent.value[0]))
             for f in frames:
-                for w, c in zip(f["word"], f["c"], strict=True):
-                    lattice.expected(w, c, total)
+                total += lattice.expected(f["word"].tolist(), f["c"].to_numpy(np.float64))
             i = np.flatnonzero(total)
             yield pd.DataFrame({"piece": i, "n": total[i]})
 
@@ -170,7 +222,7 @@ def scored_words(counts: DataFrame, pieces: list[str], weights: list[float]) ->
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         lattice = Lattice(*sent.value)
         for f in frames:
-            yield f.assign(lattice=[lattice.log_probability(w) / log(10) for w in f["word"]])
+            yield f.assign(lattice=lattice.log_probabilities(f["word"].tolist()) / log(10))
 
     return counts.mapInPandas(run, "word string, c long, n long, lattice double")
 
