@@ -44,7 +44,7 @@ def write_csv(df: DataFrame, path: str) -> None:
 
 def ingest_headers(spark: SparkSession, pattern: str, done: DataFrame, header_lines: int = 1) -> DataFrame:
     """(path, header) of text files whose path is not in `done` yet: an incremental ingest that is appended to `done`."""
-    files = spark.read.format("binaryFile").load(pattern).select("path", F.decode(F.col("content"), F.lit("utf-8")).alias("text"))
+    files = spark.read.format("binaryFile").load(pattern).select("path", F.decode(F.col("content"), "utf-8").alias("text"))
     new = files.join(done.select("path"), "path", "left_anti")
     return new.select("path", F.array_join(F.slice(F.split("text", "\n"), 1, header_lines), "\n").alias("header"))
 
