@@ -87,7 +87,7 @@ def test_links_for_any_number_of_bits(spark):
 
 def test_partitions_and_thresholds():
     assert S.allocate([[0, 5, 9], [0, 1, 2], [0, 1, 9]], 2) == (3.0, [-1, 1, 0])
-    both = np.eye(64) * 50
+    both = np.full((64, 64), 25.0) + np.eye(64) * 25
     both[3, 60] = both[60, 3] = 50
     parts = S.partitions(100, both, 3)
     assert sorted(b for p in parts for b in p) == list(range(64)) and any({3, 60} <= set(p) for p in parts)
