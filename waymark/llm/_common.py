@@ -8,9 +8,6 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: The ASCII white space that separates words; bytes.split() splits at the same six characters.
-SPACE = "\x20\x09\x0a\x0b\x0c\x0d"
-
 _own_folder: list[str] = []
 
 
@@ -41,7 +38,7 @@ def row_key(*names: str) -> Column:
 
 
 def words(text: str | None) -> list[bytes]:
-    """The words [^\\x20\\x09-\\x0D]+ of a text as UTF-8; none for null."""
+    """The words [^\\x20\\x09-\\x0D]+ of a text as UTF-8; none for null. bytes.split() splits at just these six characters."""
     return text.encode().split() if text else []
 
 

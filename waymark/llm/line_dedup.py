@@ -21,12 +21,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import SPACE, row_key, stored
+from ._common import row_key, stored
 
 MIN_CHARS, MIN_DOCS = 20, 3
 #: Keys in one shard at most (expected), and bytes of all filters up to which they are broadcast.
 SHARD_KEYS, BROADCAST_BYTES = 1_000_000, 64 << 20
-_LOWER = {c: c + 32 for c in range(65, 91)}
 _SLOTS, _KICKS = 4, 500
 
 
@@ -82,18 +81,22 @@ class Cuckoo:
                     break
 
 
-def line_key(line: str) -> str:
-    return line.strip(SPACE).translate(_LOWER)
+def line_key(line: bytes) -> bytes:
+    """bytes.strip() and bytes.lower() know ASCII only."""
+    return line.strip().lower()
 
 
-def _hashes(key: str) -> tuple[int, int]:
-    data = key.encode()
-    return xxhash.xxh64_intdigest(data), xxhash.xxh64_intdigest(data, 1)
+def _is_long(key: bytes, min_chars: int) -> bool:
+    return len(key) >= min_chars and (key.isascii() or len(key.decode()) >= min_chars)
 
 
-def _long_keys(text: str | None, min_chars: int) -> dict[str, tuple[int, int]]:
-    keys = {line_key(x) for x in (text or "").split("\n")}
-    return {k: _hashes(k) for k in keys if len(k) >= min_chars}
+def _hashes(key: bytes) -> tuple[int, int]:
+    return xxhash.xxh64_intdigest(key), xxhash.xxh64_intdigest(key, 1)
+
+
+def _long_keys(text: str | None, min_chars: int) -> dict[bytes, tuple[int, int]]:
+    keys = set(map(line_key, (text or "").encode().split(b"\n")))
+    return {k: _hashes(k) for k in keys if _is_long(k, min_chars)}
 
 
 def _signed(values: list[int]) -> np.ndarray:
@@ -211,13 +214,13 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
         for b in batches:
             kept, n, gone = [], [], []
             for t, d in zip(b["text"], b["__drops"], strict=True):
-                lines = (t or "").split("\n")
+                lines = (t or "").encode().split(b"\n")
                 if d is not None and len(d):
                     bad = {(x["h1"] & (1 << 64) - 1, x["h2"] & (1 << 64) - 1) for x in d}
-                    stay = [x for x in lines if len(k := line_key(x)) < min_chars or _hashes(k) not in bad]
+                    stay = [x for x in lines if not _is_long(k := line_key(x), min_chars) or _hashes(k) not in bad]
                 else:
                     stay = lines
-                kept.append("\n".join(stay) if t is not None else None)
+                kept.append(t if len(stay) == len(lines) else b"\n".join(stay).decode())
                 n.append(len(lines))
                 gone.append(len(lines) - len(stay))
             yield b.drop(columns=["__rid", "__drops"]).assign(text=kept, __n_lines=n, __n_dropped=gone)
