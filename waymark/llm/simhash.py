@@ -195,7 +195,11 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, bits: int = BITS, seed
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
     """docs without near-duplicates: of each component the row of the smallest doc_id stays (of rows without ids, one)."""
-    found = stored(near_duplicates(docs, **options), "simhash-found")
-    first = found.groupBy("root").agg(F.min_by("rid", F.struct(F.col("doc_id").isNull(), "doc_id", "rid")).alias("__rid"))
+    return first_rows(docs, near_duplicates(docs, **options))
+
+
+def first_rows(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """Of each root in found (root, rid, doc_id) the row of the smallest doc_id."""
+    first = stored(found, "first-rows").groupBy("root").agg(F.min_by("rid", F.struct(F.col("doc_id").isNull(), "doc_id", "rid")).alias("__rid"))
     keyed = docs.withColumn("__rid", row_key("doc_id", "text"))
     return keyed.join(first.select("__rid").distinct(), "__rid", "left_semi").dropDuplicates(["__rid"]).drop("__rid")
