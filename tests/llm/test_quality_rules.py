@@ -61,3 +61,13 @@ def test_nulls_small_groups_and_empty_tables(docs_of):
     got = R.judge(docs_of([(None, text, None, None), (1, None), (2, ""), (3, text, "de", "x"), (3, text, "de", "x"), (4, "w" * 300_000)])).collect()
     assert len(got) == 6 and sum(r.kept for r in got) == 3
     assert R.judge(docs_of([])).count() == 0
+
+
+def test_a_small_source_is_judged_by_all_of_its_language(docs_of):
+    r = random.Random(6)
+    rows = [(i, " ".join(f"{'abcdefgh'[r.randrange(8)] * r.randint(3, 7)}{r.randrange(900)}" for _ in range(200)), "en", "large") for i in range(150)]
+    odd = " ".join(f"#*{r.randrange(10**6)}$%&" for _ in range(200))
+    rows += [(1000, odd, "en", "lone"), (1001, rows[0][1] + " end", "en", "other")]
+    got = {x.doc_id: x for x in R.judge(docs_of(rows)).collect()}
+    assert not got[1000].kept and got[1000].distance > R.CUT
+    assert got[1001].kept and sum(got[i].kept for i in range(150)) > 145

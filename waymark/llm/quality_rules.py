@@ -2,13 +2,14 @@
 
 Each text's statistics are transformed to a vector: log mean word length, arcsine square roots of the shares of
 symbols, of repeated lines, of words in repeated 3-word windows and of capitals, and log words a line. For each
-language and source a minimum-covariance-determinant estimate is fitted to all documents that pass the base rule: it
+language and source a minimum-covariance-determinant estimate is fitted to all its documents that pass the base rule: it
 starts from medians and interquartile ranges, and each concentration step keeps the SHARE of the group's documents of
 least Mahalanobis distance and takes their mean and covariance (scaled to be consistent, plus FLOORS, the spread below
 which a difference means nothing). A document is kept if its squared distance is at most CUT. Steps are joins and
 grouped sums over a small table of statistics: no group is ever in one task, and quantiles come from sketches.
 
-A group of fewer than LEAST documents is judged with its language, then with all documents; with fewer than that
+A group of fewer than LEAST documents is judged by the estimate of its language, then by that of all documents, each
+fitted to all documents of its level, not only to those that are judged by it; with fewer than LEAST documents in all
 there is no estimate and the base rule alone decides.
 
 Defined results: a null or empty text has no words and fails the base rule; a null lang or source is a value of its
@@ -88,13 +89,20 @@ def statistics(docs: DataFrame) -> DataFrame:
 
 
 def _grouped(s: DataFrame, least: int) -> DataFrame:
-    """s with g: the group that a document is judged with, null if all are too few."""
+    """s with g: the group by whose estimate a document is judged, null if all are too few; and gk2, gk1, gk0: its groups that are large enough."""
     lang, source = (F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit("-")) for c in ("lang", "source"))
     keyed = s.withColumns({"k2": F.concat_ws("\x01", lang, source), "k1": lang, "k0": F.lit("all")})
     for k in ("k2", "k1", "k0"):
         large = keyed.where("not base_failed").groupBy(k).count().where(F.col("count") >= least).select(F.col(k).alias("k"), F.concat(F.lit(f"{k}:"), F.col(k)).alias(f"g{k}"))
         keyed = keyed.join(large, keyed[k] == large["k"], "left").drop("k", k)
-    return keyed.withColumn("g", F.coalesce("gk2", "gk1", "gk0")).drop("gk2", "gk1", "gk0")
+    return keyed.withColumn("g", F.coalesce("gk2", "gk1", "gk0"))
+
+
+def _members(grouped: DataFrame) -> DataFrame:
+    """(g, base_failed, x0, x1, ...): each document that passes the base rule, once in each of its groups by which some document is judged."""
+    used = stored(grouped.where("g is not null").select("g").distinct(), "statistics-groups")
+    every = grouped.where("not base_failed").select(F.explode(F.array_compact(F.array("gk2", "gk1", "gk0"))).alias("g"), "base_failed", *[f"x{i}" for i in _P])
+    return every.join(used, "g", "left_semi")
 
 
 _MEMBER = "g string, " + ", ".join([f"m{i} double" for i in _P] + [f"p{i}_{j} double" for i in _P for j in _P if j >= i])
@@ -143,7 +151,7 @@ def estimate(grouped: DataFrame, steps: int = STEPS, share: float = SHARE) -> Da
 def judge(docs: DataFrame, steps: int = STEPS, share: float = SHARE, cut: float = CUT, least: int = LEAST) -> DataFrame:
     """The statistics of each document, base_failed, distance (squared; null without an estimate) and kept."""
     grouped = stored(_grouped(stored(statistics(docs), "statistics"), least), "statistics-grouped")
-    params = estimate(grouped, steps, share)
+    params = estimate(stored(_members(grouped), "statistics-members"), steps, share)
     out = grouped.join(params, "g", "left").withColumn("distance", _distance())
     kept = ~F.col("base_failed") & (F.col("distance").isNull() | (F.col("distance") <= cut))
     return out.withColumn("kept", kept).select("doc_id", *_STATS, "base_failed", "distance", "kept")
