@@ -2,6 +2,7 @@ import hashlib
 from collections import defaultdict
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from waymark.llm import line_dedup as L
 from waymark.llm.queries import op8_line_dedup
@@ -33,19 +34,33 @@ def test_query_equals_brute_force(spark, folder):
     assert got == brute(rows())
 
 
-def test_without_broadcast_it_is_the_same(docs_of):
-    a, b = (sorted((r.doc_id, r.text) for r in L.dedup_lines(docs_of(rows()[:40]), broadcast_bytes=n).collect()) for n in (0, 1 << 20))
-    assert a == b
+def test_shards_and_tasks_change_nothing(docs_of):
+    a, b, c = (sorted((r.doc_id, r.text) for r in L.dedup_lines(docs_of(rows()[:40]), shard_keys=k, task_rows=n).collect()) for k, n in ((1 << 20, 1 << 20), (1, 7), (2, 1)))
+    assert a == b == c
 
 
 def test_null_ids_repeats_and_empty_tables(docs_of):
     line = "a line of more than twenty characters"
-    out = L.dedup_lines(docs_of([(None, line), (1, line), (1, line), (7, line)])).collect()
-    assert sorted((r.doc_id or 0, r.text) for r in out) == [(0, ""), (1, ""), (1, ""), (7, line)]
+    of = lambda *given: sorted((r.doc_id or 0, r.text) for r in L.dedup_lines(docs_of(given)).collect())
+    assert of((None, line), (1, line), (1, line), (7, line)) == [(0, ""), (1, ""), (1, ""), (7, line)]
+    assert of((None, line), (None, line), (None, line)) == [(0, line)] * 3  # one document
+    assert of((7, line), (7, line), (7, line + "\nx")) == [(7, line), (7, line), (7, line + "\nx")]
+    assert of((7, line), (7, line), (1, line)) == [(1, line), (7, line), (7, line)]
     assert L.dedup_lines(docs_of([])).count() == 0
     assert "score" in L.dedup_lines(docs_of([(1, "a")])).columns
 
 
+def test_columns_of_clashing_names_pass_through(docs_of):
+    names = ("n_lines", "n_dropped", "kept_sha256", "rid", "h1", "h2", "n", "shard", "salt", "kind", "last_doc")
+    line = "a line of more than twenty characters"
+    d = docs_of([(i, line) for i in range(4)])
+    for i, c in enumerate(names):
+        d = d.withColumn(c, F.lit(i))
+    got = L.dedup_lines(d).collect()
+    assert sorted((r.doc_id, r.text, r["__n_dropped"]) for r in got) == [(0, "", 1), (1, "", 1), (2, "", 1), (3, line, 0)]
+    assert all(r[c] == i for r in got for i, c in enumerate(names))
+
+
 def test_insertions_and_deletions_are_reversible(spark, docs_of):
     old, new = docs_of(rows()[:20]), docs_of(rows()[20:40])
     before = L.line_references(old)
@@ -53,6 +68,7 @@ def test_insertions_and_deletions_are_reversible(spark, docs_of):
     assert sorted(map(tuple, before.collect())) == sorted(map(tuple, after.collect()))
     counts = L.reference_counts(before).where("n_docs >= 3")
     filters = L.build_filters(counts, 2)
+    assert L.delete(L.insert(before, docs_of([(None, "the line of a document without an id")])), docs_of([(None, "")])).count() == before.count()
     more = spark.createDataFrame([(11, 12), (-5, 1 << 40)], "h1 long, h2 long")
     grown = L.update_filters(filters, more, more.limit(0), 2)
     back = L.update_filters(grown, more.limit(0), more, 2)

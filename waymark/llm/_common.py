@@ -8,14 +8,18 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Keys that hold more than a HEAVY-th of all rows: fewer than HEAVY, whatever the data, so a broadcast of them is bounded.
+HEAVY = 20_000
 _own_folder: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
+    """The folder that driver and executors share, named in spark.checkpoint.dir. Where it is unset, one process (a local master) gets a folder of its own; a cluster gets an error."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if not _own_folder:
         _own_folder.append(tempfile.mkdtemp(prefix="waymark-"))
     return f"file://{_own_folder[0]}"
@@ -25,7 +29,17 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """Write df as a table in the shared folder and read it back: the lineage ends there, and a lost executor costs nothing."""
     path = f"{shared_folder(df.sparkSession)}/waymark/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def released(*tables: DataFrame) -> None:
+    """Delete stored tables that nothing reads any more."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df._stored_at)
+        path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,8 +47,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def row_key(*names: str) -> Column:
-    """A key of a row's own values: rows that repeat share it and get the same result; null ids are values like any other."""
-    return F.xxhash64(*[F.col(n) for n in names])
+    """A key of a row's own values, two independent 64-bit hashes: rows that repeat share it and get the same result; null ids are values like any other."""
+    cols = [F.col(n) for n in names]
+    return F.unhex(F.concat(*[F.lpad(F.hex(h), 16, "0") for h in (F.xxhash64(*cols), F.xxhash64(F.lit("second"), *cols))]))
+
+
+def joined_by(rows: DataFrame, small: DataFrame, keys: list[str], counts: DataFrame, total: int | None = None, how: str = "inner") -> DataFrame:
+    """rows joined with small on keys, where some keys may hold a large part of all rows.
+
+    counts has the keys and n, how many of rows each holds; total is the number of rows, or more. Keys of more than a
+    HEAVY-th of total, fewer than HEAVY keys by count, are broadcast with their rows of small; the rest meets by a
+    shuffle in which no key is large. small has few rows a key.
+    """
+    if total is None:
+        total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    hot = counts.where(F.col("n") > total / HEAVY).select(*keys).withColumn("__hot", F.lit(True))
+    split = rows.join(F.broadcast(hot), keys, "left")
+    cold = split.where("__hot is null").drop("__hot").join(small, keys, how)
+    warm = split.where("__hot").drop("__hot").join(F.broadcast(small.join(F.broadcast(hot), keys, "left_semi")), keys, how)
+    return cold.unionByName(warm)
 
 
 def words(text: str | None) -> list[bytes]:

@@ -1,14 +1,17 @@
 """Operator 8: line dedup by sharded cuckoo filters over exact reference counts.
 
-The exact state is the reference table (h1, h2, doc_id): one row per document and distinct long line key, the key
+The exact state is the reference table (rid, doc_id, h1, h2): one row per document and distinct long line key, the key
 being two independent 64-bit hashes. insert() appends rows to it and delete() takes a document's rows out, so every
-step can be undone. reference_counts() sums it to (h1, h2, n_docs, last_doc). build_filters() turns the keys that
-are to be dropped into one cuckoo filter per shard; update_filters() inserts and deletes single keys in them. A filter
-has no false negatives, so lines that it does not know are kept without a look at the exact table, and only the few
-that it knows are shuffled to that table, which decides.
-
-Defined results: a null or empty text is one empty line; a null doc_id is smaller than every id; each row is a
-document of its own, so repeated rows count as often as they occur; an empty table gives an empty result.
+step can be undone. reference_counts() sums it to (h1, h2, n, n_docs, last_doc). build_filters() turns the keys that
+are to be dropped into one cuckoo filter per shard; update_filters() inserts and deletes single keys in them. probe()
+routes the references of documents by shard past that shard's filter. A filter has no false negatives, so lines that
+it does not know are kept without a look at the exact table; only those that it knows meet that table, which decides.
+Any number of shards works alike: no filter is broadcast, and none is held beside another.
+
+Defined results: a null or empty text is one empty line; rows of one doc_id, repeated or not, are one document, and so
+are all rows with a null doc_id, which is smaller than every id: of a line's holders one document always keeps it. A
+very long text is one row like any other. Columns of docs pass through; names that begin with __ are this operator's
+(__rid, __drops, __n_lines, __n_dropped). An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -17,15 +20,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import row_key, stored
+from ._common import joined_by, row_key, stored
 
 MIN_CHARS, MIN_DOCS = 20, 3
-#: Keys in one shard at most (expected), and bytes of all filters up to which they are broadcast.
-SHARD_KEYS, BROADCAST_BYTES = 1_000_000, 64 << 20
+#: Keys in one shard and references in one task (expected).
+SHARD_KEYS, TASK_ROWS = 1_000_000, 200_000
 _SLOTS, _KICKS = 4, 500
 
 
@@ -94,9 +98,9 @@ def _hashes(key: bytes) -> tuple[int, int]:
     return xxhash.xxh64_intdigest(key), xxhash.xxh64_intdigest(key, 1)
 
 
-def _long_keys(text: str | None, min_chars: int) -> dict[bytes, tuple[int, int]]:
+def _long_keys(text: str | None, min_chars: int) -> list[tuple[int, int]]:
     keys = set(map(line_key, (text or "").encode().split(b"\n")))
-    return {k: _hashes(k) for k in keys if _is_long(k, min_chars)}
+    return [_hashes(k) for k in keys if _is_long(k, min_chars)]
 
 
 def _signed(values: list[int]) -> np.ndarray:
@@ -104,15 +108,15 @@ def _signed(values: list[int]) -> np.ndarray:
 
 
 def line_references(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """(h1, h2, doc_id): a row per document and distinct key of at least min_chars code points."""
+    """(rid, doc_id, h1, h2): a row per row of docs and distinct key of at least min_chars code points. rid is row_key(doc_id, text)."""
 
-    def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [(h, i) for i, t in enumerate(b["text"]) for h in _long_keys(t, min_chars).values()]
-            at = [i for _, i in found]
-            yield pd.DataFrame({"h1": _signed([h[0] for h, _ in found]), "h2": _signed([h[1] for h, _ in found]), "doc_id": b["doc_id"].astype("Int64").iloc[at].array})
+            found = [(h, i) for i, t in enumerate(b.column("text").to_pylist()) for h in _long_keys(t, min_chars)]
+            at = pa.array([i for _, i in found], pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column("rid").take(at), b.column("doc_id").take(at), pa.array(_signed([h[0] for h, _ in found])), pa.array(_signed([h[1] for h, _ in found]))], ["rid", "doc_id", "h1", "h2"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(emit, "h1 long, h2 long, doc_id long")
+    return docs.select(row_key("doc_id", "text").alias("rid"), F.col("doc_id").cast("long"), "text").mapInArrow(emit, "rid binary, doc_id long, h1 long, h2 long")
 
 
 def insert(references: DataFrame, docs: DataFrame) -> DataFrame:
@@ -121,12 +125,15 @@ def insert(references: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def delete(references: DataFrame, doc_ids: DataFrame) -> DataFrame:
-    """The references after the documents of these ids went out: what insert() added is gone again."""
-    return references.join(doc_ids.select("doc_id").distinct(), "doc_id", "left_anti").select("h1", "h2", "doc_id")
+    """The references after the documents of these ids (null is one) went out: what insert() added is gone again."""
+    gone = doc_ids.select(F.col("doc_id").alias("__id")).distinct()
+    return references.join(gone, F.col("doc_id").eqNullSafe(F.col("__id")), "left_anti")
 
 
 def reference_counts(references: DataFrame) -> DataFrame:
-    return references.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc_id").alias("last_doc"))
+    """(h1, h2, n, n_docs, last_doc) of each key: its rows, its documents (the null doc_id is one) and the largest id. Rows of one key are merged within tasks and then by document, so a key in most documents is no large group."""
+    by_doc = references.groupBy("h1", "h2", "doc_id").agg(F.count(F.lit(1)).alias("n"))
+    return by_doc.groupBy("h1", "h2").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("n_docs"), F.max("doc_id").alias("last_doc"))
 
 
 def _filter_of(h1: np.ndarray, h2: np.ndarray) -> Cuckoo:
@@ -171,44 +178,57 @@ def update_filters(filters: DataFrame, added: DataFrame, removed: DataFrame, n_s
     return filters.groupBy("shard").cogroup(changes.groupBy("shard")).applyInPandas(update, _FILTER)
 
 
-def _candidates(docs: DataFrame, filters: DataFrame | None, n_shards: int, min_chars: int) -> DataFrame:
-    """(rid, doc_id, h1, h2): the long keys of each document that the filters know; all of them where there are no filters."""
-    known = None
-    if filters is not None:
-        rows = {r["shard"]: (r["n_buckets"], bytes(r["slots"])) for r in filters.collect()}
-        known = docs.sparkSession.sparkContext.broadcast(rows)
+def probe(references: DataFrame, filters: DataFrame, n_shards: int, n_rows: int, task_rows: int = TASK_ROWS) -> DataFrame:
+    """The references whose keys the filters know.
 
-    def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        shards = {k: Cuckoo(n, np.frombuffer(t, np.uint16).reshape(-1, _SLOTS)) for k, (n, t) in known.value.items()} if known else {}
-        for b in batches:
-            found = [(h, i) for i, t in enumerate(b["text"]) for h in _long_keys(t, min_chars).values()]
-            h1, h2 = np.array([h[0] for h, _ in found], np.uint64), np.array([h[1] for h, _ in found], np.uint64)
-            at = np.array([i for _, i in found], np.int64)
-            if known:
-                shard, hit = (h1 >> np.uint64(32)).astype(np.int64) % n_shards, np.zeros(h1.size, bool)
-                for k, c in shards.items():
-                    own = np.flatnonzero(shard == k)
-                    hit[own] = c.contains(h1[own], h2[own])
-                h1, h2, at = h1[hit], h2[hit], at[hit]
-            yield pd.DataFrame({"rid": b["rid"].to_numpy()[at], "doc_id": b["doc_id"].astype("Int64").iloc[at].array, "h1": h1.view(np.int64), "h2": h2.view(np.int64)})
+    References are routed by shard to tasks of some task_rows rows: a shard with more is dealt over several by rid, each
+    with a copy of the shard's filter, so neither a large shard nor a very common line makes a large task. In a task the
+    rows are sorted so that a filter comes before its references, which then stream past it.
+    """
+    salts = max(1, -(-n_rows // (n_shards * task_rows)))
+    salt = F.pmod(F.xxhash64("rid"), F.lit(salts)).cast("long")
+    kinds = [("shard", "long"), ("salt", "long"), ("kind", "int"), ("n_buckets", "long"), ("slots", "binary"), ("rid", "binary"), ("doc_id", "long"), ("h1", "long"), ("h2", "long")]
 
-    return docs.select("rid", F.col("doc_id").cast("long"), "text").mapInPandas(emit, "rid long, doc_id long, h1 long, h2 long")
+    def shaped(df: DataFrame, **have) -> DataFrame:
+        return df.select(*[have.get(c, F.col(c) if c in df.columns else F.lit(None)).cast(t).alias(c) for c, t in kinds])
 
+    copies = shaped(filters.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))), kind=F.lit(0), h1=F.lit(0), h2=F.lit(0))
+    every = copies.unionByName(shaped(references, shard=_shard(n_shards), salt=salt, kind=F.lit(1)))
 
-def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, known = None, None
+        for b in batches:
+            shard, dealt_to, kind = (b.column(c).to_numpy(zero_copy_only=False) for c in ("shard", "salt", "kind"))
+            heads = np.flatnonzero(np.r_[True, (np.diff(shard) != 0) | (np.diff(dealt_to) != 0)]) if len(shard) else []
+            for at, stop in zip(heads, [*heads[1:], len(shard)], strict=True):
+                if (key := (shard[at], dealt_to[at])) != own:
+                    own, known = key, None
+                if kind[at] == 0:
+                    known = Cuckoo(b.column("n_buckets")[at].as_py(), np.frombuffer(b.column("slots")[at].as_py(), np.uint16).reshape(-1, _SLOTS))
+                    at += 1
+                if known is not None and at < stop:  # a shard without keys has no filter
+                    part = b.slice(at, stop - at)
+                    hit = known.contains(*(part.column(c).to_numpy(zero_copy_only=False).view(np.uint64) for c in ("h1", "h2")))
+                    yield part.filter(pa.array(hit)).select(["rid", "doc_id", "h1", "h2"])
+
+    dealt = every.repartition(max(1, n_shards * salts), "shard", "salt").sortWithinPartitions("shard", "salt", "kind")
+    return dealt.mapInArrow(run, "rid binary, doc_id long, h1 long, h2 long")
+
+
+def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, shard_keys: int = SHARD_KEYS, task_rows: int = TASK_ROWS) -> DataFrame:
     """docs with the text that stays, and n_lines and n_dropped as __n_lines and __n_dropped.
 
     A key of at least min_chars code points found in at least min_docs documents loses all its lines except in the
     largest doc_id that holds it.
     """
-    docs = docs.withColumn("__rid", row_key("doc_id", "text"))
-    own = docs.select(F.col("__rid").alias("rid"), "doc_id", "text")
-    often = stored(reference_counts(line_references(docs, min_chars)).where(F.col("n_docs") >= min_docs).drop("n_docs"), "lines")
-    n_shards = max(1, -(-often.count() // SHARD_KEYS))
-    filters = stored(build_filters(often, n_shards), "line-filters")
-    size = filters.agg(F.coalesce(F.sum(F.length("slots")), F.lit(0))).first()[0]
-    found = _candidates(own, filters if size <= broadcast_bytes else None, n_shards, min_chars).join(often, ["h1", "h2"]).where(F.col("doc_id").isNull() | (F.col("doc_id") < F.col("last_doc")))
-    drops = found.groupBy("rid").agg(F.collect_set(F.struct("h1", "h2")).alias("__drops")).withColumnRenamed("rid", "__rid")
+    references = stored(line_references(docs, min_chars), "line-references")
+    counts = stored(reference_counts(references), "line-counts").where(F.col("n_docs") >= min_docs)
+    n_rows, n_keys = references.count(), counts.count()
+    n_shards = max(1, -(-n_keys // shard_keys))
+    filters = stored(build_filters(counts, n_shards), "line-filters")
+    known = probe(references, filters, n_shards, n_rows, task_rows)
+    found = joined_by(known, counts.select("h1", "h2", "last_doc"), ["h1", "h2"], counts.select("h1", "h2", "n"), n_rows).where(~F.col("doc_id").eqNullSafe(F.col("last_doc")))
+    drops = found.groupBy(F.col("rid").alias("__rid")).agg(F.collect_set(F.struct("h1", "h2")).alias("__drops"))
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -225,5 +245,5 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
                 gone.append(len(lines) - len(stay))
             yield b.drop(columns=["__rid", "__drops"]).assign(text=kept, __n_lines=n, __n_dropped=gone)
 
-    out = docs.drop("__rid").withColumns({"__n_lines": F.lit(0).cast("long"), "__n_dropped": F.lit(0).cast("long")}).schema
-    return docs.join(drops, "__rid", "left").mapInPandas(cut, out)
+    out = docs.withColumns({"__n_lines": F.lit(0).cast("long"), "__n_dropped": F.lit(0).cast("long")}).schema
+    return docs.withColumn("__rid", row_key("doc_id", "text")).join(drops, "__rid", "left").mapInPandas(cut, out)
