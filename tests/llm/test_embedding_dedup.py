@@ -48,20 +48,46 @@ def frame(spark, rows):
 
 def test_equals_brute_force_also_where_a_crowd_is_wider_than_a_block(spark):
     rows = vectors()
-    got = sorted(tuple(r) for r in E.near_duplicates(frame(spark, rows), block=64, window=16).collect())
+    got = sorted(tuple(r) for r in E.near_duplicates(frame(spark, rows), window=32, block=64, miss=0.0005, task_rows=300).collect())
     assert got == brute(rows)
 
 
-def test_recall_on_the_given_table(spark):
-    d = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
-    rows = [(r.vec_id, r.label, list(r.embedding)) for r in d.collect()]
-    twins = [(10_000 + i, lab, [float(np.float32(x + (0.03 if k % 2 else -0.03))) for k, x in enumerate(v)]) for i, (_, lab, v) in enumerate(rows[:400])]
-    got = {r.vec_id: r.n_links for r in E.near_duplicates(frame(spark, rows + twins)).collect()}
-    u = np.array([v for _, _, v in rows + twins])
-    u /= np.sqrt((u * u).sum(1))[:, None]
-    lab = np.array([x for _, x, _ in rows + twins])
-    want = ((u @ u.T >= 0.93) & (lab[:, None] == lab[None, :])).sum() - len(u)
-    assert 0.97 * want <= sum(got.values()) <= want and want >= 500
+def paired(n, dim, common, seed):
+    """n unit vectors of one label with a mean cosine of `common`, and a partner at cosine 0.931 for each of the first tenth."""
+    r = np.random.default_rng(seed)
+    unit = lambda x: x / np.sqrt((x * x).sum(-1, keepdims=True))
+    x = unit(np.sqrt(common) * unit(r.standard_normal(dim)) + np.sqrt(1 - common) * unit(r.standard_normal((n, dim))))
+    side = r.standard_normal((n // 10, dim))
+    own = x[: n // 10]
+    side = unit(side - (side * own).sum(1, keepdims=True) * own)
+    return np.vstack([x, 0.931 * own + np.sqrt(1 - 0.931**2) * side]), n
+
+
+def test_recall_at_the_threshold_also_where_all_vectors_share_a_direction(spark):
+    for common in (0.0, 0.5, 0.8):
+        x, n = paired(6000, 64, common, 3)
+        df = frame(spark, [(i, 1, v) for i, v in enumerate(x.tolist())])
+        got = {r.vec_id: r.n_links for r in E.near_duplicates(df, window=32).collect()}
+        want = (x @ x.T >= 0.93).sum(1) - 1
+        assert all(got[i] <= want[i] for i in got)
+        assert sum(got.values()) >= 0.97 * want.sum() and want[:600].sum() >= 600, common
+
+
+def test_passes_grow_with_the_table_and_have_no_cap():
+    few, many, most = (E.passes_for(n, 0.93) for n in (10**4, 10**8, 10**10))
+    assert few < many < most and most > 100
+    for n in (10**4, 10**8, 10**10):
+        hit = E.agreement(1.0, 0.93) ** max(1.0, np.log2(n / E.WINDOW) + 1)
+        assert (1 - hit) ** E.passes_for(n, 0.93) <= E.MISS
+
+
+def test_rows_that_share_an_id_have_the_links_of_their_own_label(spark):
+    v = [1.0, 2.0, 0.0]
+    got = sorted((r.vec_id, r.n_links, r.component_id) for r in E.near_duplicates(frame(spark, [(5, 1, v), (5, 2, v), (6, 2, v), (7, 1, v)])).collect())
+    assert got == [(5, 1, 5), (5, 1, 5), (6, 1, 5), (7, 1, 5)]
+    other = [0.0, 0.0, 1.0]
+    got = sorted((r.vec_id, r.n_links, r.component_id) for r in E.near_duplicates(frame(spark, [(5, 1, v), (5, 1, other), (6, 1, other), (4, 1, v)])).collect())
+    assert got == [(4, 1, 4), (5, 1, 4), (5, 1, 5), (6, 1, 5)]
 
 
 def test_unusable_vectors_and_empty_tables(spark):
