@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 from ._common import joined_by, row_key, stored
 
 MIN_CHARS, MIN_DOCS = 20, 3
-#: Keys in one shard and references in one task (expected).
-SHARD_KEYS, TASK_ROWS = 1_000_000, 200_000
+#: Keys in one shard, references that one copy of a filter meets, and such copies in one task (expected): several, so that tasks come out alike.
+SHARD_KEYS, TASK_ROWS, TASK_COPIES = 250_000, 50_000, 4
 _SLOTS, _KICKS = 4, 500
 
 
@@ -181,8 +181,8 @@ def update_filters(filters: DataFrame, added: DataFrame, removed: DataFrame, n_s
 def probe(references: DataFrame, filters: DataFrame, n_shards: int, n_rows: int, task_rows: int = TASK_ROWS) -> DataFrame:
     """The references whose keys the filters know.
 
-    References are routed by shard to tasks of some task_rows rows: a shard with more is dealt over several by rid, each
-    with a copy of the shard's filter, so neither a large shard nor a very common line makes a large task. In a task the
+    References are routed by shard and dealt by rid to parts of some task_rows rows, each with a copy of the shard's
+    filter, so neither a large shard nor a very common line makes a large task. In a task the
     rows are sorted so that a filter comes before its references, which then stream past it.
     """
     salts = max(1, -(-n_rows // (n_shards * task_rows)))
@@ -211,7 +211,7 @@ def probe(references: DataFrame, filters: DataFrame, n_shards: int, n_rows: int,
                     hit = known.contains(*(part.column(c).to_numpy(zero_copy_only=False).view(np.uint64) for c in ("h1", "h2")))
                     yield part.filter(pa.array(hit)).select(["rid", "doc_id", "h1", "h2"])
 
-    dealt = every.repartition(max(1, n_shards * salts), "shard", "salt").sortWithinPartitions("shard", "salt", "kind")
+    dealt = every.repartition(max(1, n_shards * salts // TASK_COPIES), "shard", "salt").sortWithinPartitions("shard", "salt", "kind")
     return dealt.mapInArrow(run, "rid binary, doc_id long, h1 long, h2 long")
 
 
