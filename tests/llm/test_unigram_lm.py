@@ -21,32 +21,52 @@ def segmentations(s, pieces):
                 yield w + rest
 
 
-def test_forward_sums_all_segmentations_and_expectations_match():
+def test_forward_sums_all_segmentations():
     pieces = ["▁", "a", "b", "ab", "ba", "aba", "▁a", "▁ab"]
     weights = [math.log(x) for x in (0.2, 0.1, 0.15, 0.05, 0.2, 0.1, 0.1, 0.1)]
     t = U.Lattice(pieces, weights)
     for word in ("a", "ab", "ababa", "bbaab"):
         every = [*segmentations("▁" + word, dict(zip(pieces, weights, strict=True)))]
         assert math.isclose(t.log_probabilities(["b", word, "abab"])[1], math.log(sum(map(math.exp, every))), rel_tol=1e-12)
-    counts = t.expected(["ab"], np.array([2.0]))
-    # ▁|a|b, ▁|ab, ▁a|b, ▁ab
-    p = [0.2 * 0.1 * 0.15, 0.2 * 0.05, 0.1 * 0.15, 0.1]
-    q = [2 * x / sum(p) for x in p]
-    want = {"▁": q[0] + q[1], "a": q[0], "b": q[0] + q[2], "ab": q[1], "▁a": q[2], "▁ab": q[3]}
-    assert all(math.isclose(counts[i], want.get(x, 0.0), abs_tol=1e-9) for i, x in enumerate(pieces))
 
 
-def test_unknown_letters_are_spelled_in_bytes_and_long_words_do_not_underflow():
+def plain_weights():
+    """The stated rule, written anew: 1 / (10 - score) for pieces, the least of them for bytes."""
+    import sentencepiece
+
+    m = sentencepiece.SentencePieceProcessor(model_file=PATH)
+    own = {m.id_to_piece(i): m.get_score(i) for i in range(m.get_piece_size()) if not (m.is_control(i) or m.is_unknown(i))}
+    least = min(own.values())
+    raw = {p: 1 / (10 - (least if p.startswith("<0x") and p.endswith(">") and len(p) == 6 else x)) for p, x in own.items()}
+    return {p: x / sum(raw.values()) for p, x in raw.items()}
+
+
+def plain(word, weights):
+    """log10 of the sum over all segmentations of a word, by a recursion over its letters in plain probabilities."""
+    s, whole = "▁" + word, [1.0]
+    for j in range(1, len(s) + 1):
+        total = sum(whole[i] * weights.get(s[i:j], 0.0) for i in range(max(0, j - 20), j))
+        total += whole[j - 1] * math.prod(weights[f"<0x{b:02X}>"] for b in s[j - 1].encode())
+        whole.append(total)
+    return math.log10(whole[-1])
+
+
+def test_weights_are_those_of_the_file():
+    pieces, logs = U.vocabulary(PATH)
+    want = plain_weights()
+    assert all(math.isclose(math.exp(x), want[p], rel_tol=1e-9) for p, x in zip(pieces, logs, strict=True)) and len(want) == len(pieces)
+
+
+def test_unknown_letters_and_long_words():
     t = U.Lattice(*U.vocabulary(PATH))
     for word in ("\U0001f9ff", "\x00", "x" * 20_000):
         p = t.log_probabilities(["a", word])[1]
         assert math.isfinite(p) and p < 0
-    some = ["the", "cat", "é", "\U0001f9ff", "x" * 300]
-    n = t.expected(some, np.ones(5))
-    weighed = [len(p) if not p.startswith("<0x") else 0 for p in U.vocabulary(PATH)[0]]
-    letters = n @ weighed
-    spelled = sum(k for p, k in zip(U.vocabulary(PATH)[0], n, strict=True) if p.startswith("<0x"))
-    assert letters < sum(map(len, some)) + 5 + 1e-6 < letters + spelled + 1e-6
+    text = "".join("the cat é\U0001f9ffsatonx"[i * i % 15] for i in range(3 * U._LONG + 5)).replace(" ", "_")
+    for n in (1, 30, U._LONG - 1, U._LONG, U._LONG + 1, 2 * U._LONG - 1, 2 * U._LONG, len(text)):
+        codes = np.zeros((1, n + 1 + t.longest), np.uint32)
+        codes[0, : n + 1] = np.frombuffer(("▁" + text[:n]).encode("utf-32-le"), np.uint32)
+        assert math.isclose(t._long(text[:n]), t._forward(t._edges(codes, n + 1), n + 1)[0, n + 1], rel_tol=1e-9)
 
 
 def rows():
@@ -70,14 +90,28 @@ def test_base_score_equals_brute_force(spark, folder):
         assert all(r.score < 0 and math.isfinite(r.score) for r in got)
 
 
+def test_score_equals_a_plain_version(spark, folder):
+    d = folder(rows())
+    train = Counter()
+    for i, t in rows():
+        if zlib.crc32(("" if i is None else str(i)).encode()) % 7 != 2:
+            train.update([*((t or "").lower().split()), None])
+    share = (train[None] + 1) / (sum(train.values()) + 2)
+    weights = {p: x * (1 - share) for p, x in plain_weights().items()}
+    want = sorted(round(math.log10(share) + sum(plain(w, weights) for w in (t or "").lower().split()), 6) for _, t in rows())
+    assert sorted(round(r.score, 6) for r in op10_unigram_lm(spark, d).collect()) == want
+
+
 def test_score_is_a_product_over_words(spark, docs_of):
     got = {r.doc_id: r.score for r in U.score(docs_of([(1, "cat"), (2, "cat dog"), (3, "dog"), (4, None)]), PATH).collect()}
     assert got[2] - got[4] == pytest.approx((got[1] - got[4]) + (got[3] - got[4]))
     assert U.score(docs_of([]), PATH).count() == 0
 
 
-def test_held_out_texts_are_likelier_than_under_the_base_and_fitting_helps(spark):
-    d = "/root/testdata/sf0.001"
-    got = op10_unigram_lm(spark, d).where("held_out").agg({"score": "sum", "base_score": "sum"}).first()
-    raw = U.score(spark.read.parquet(f"{d}/documents.parquet"), PATH, rounds=1).where("held_out").agg({"score": "sum"}).first()
-    assert got["sum(score)"] > raw["sum(score)"]
+def test_words_too_long_to_broadcast_and_clashing_names(docs_of):
+    long = "ab" * 5000
+    d = docs_of([(i, f"{long} cat") for i in range(3)] + [(9, "x" * 100_000)])
+    for c in ("rid", "word", "held", "head", "c", "lattice", "n_tokens", "copies"):
+        d = d.withColumn(c, d.doc_id)
+    got = U.score(d, PATH).collect()
+    assert sorted((r.doc_id, r.n_tokens) for r in got) == [(0, 3), (1, 3), (2, 3), (9, 2)] and all(math.isfinite(r.score) for r in got)

@@ -1,17 +1,21 @@
 """Operator 10: language-model scores as the likelihood of a subword lattice.
 
-The pieces come from an existing vocabulary file; its scores order them, which gives the first weights (a piece's
-weight falls with its rank). A word, with the word-start mark before it, is a lattice of all its segmentations into
-pieces and bytes; a forward recursion in log space sums them to the word's marginal probability. The weights are then
-fitted to the training documents by expectation-maximisation: forward-backward gives each piece's expected count over
-the training words, each distinct word once, weighted by its count. Pieces and the end of a text share one
-distribution, so a document's probability is the product over its words and one end.
+The pieces and their weights come from an existing vocabulary file. A word, with the word-start mark before it, is a
+lattice of all its segmentations into pieces and bytes; a forward recursion in log space sums them to the word's
+marginal probability under those weights, and a document's probability is the product over its words and one end.
 
-Words and their counts form a table that grows with the corpus. Its most frequent words, at most HEAVY, are broadcast;
-a document's other words are joined to the table, counted per document first.
+The file's scores weight the pieces by one rule (vocabulary()): scores that are probabilities are taken as they are;
+scores that are ranks (0, -1, -2, ...; the public file has these) stand for Zipf's law, so that a piece weighs
+1 / (ZIPF - score); byte pieces have no score of their own and weigh as much as the last piece. What the model learns
+from the training documents are the counts of words for the base score and the share of ends, which is the weight of
+an end beside the pieces.
+
+Words and their counts form a table that grows with the corpus. Its most frequent words, at most HEAVY of at most
+HEAVY_BYTES bytes each, are broadcast; a document's other words are joined to the table, counted per document first.
 
 Defined results: a null text is the empty text, which is one end; a null doc_id has crc32 of the empty text; repeated
-rows each give a row and each count; an empty table gives an empty result.
+rows each give a row and each count; a very long word goes through the recursion in a sliding window, with memory that
+does not depend on its length and time in proportion; extra columns are not read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -19,7 +23,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
-from math import log, log10
+from math import exp, log, log1p, log10
 
 import numpy as np
 import pandas as pd
@@ -30,54 +34,58 @@ from pyspark.sql import functions as F
 from ._common import held_out, row_key, stored, words
 
 MODULUS, REMAINDER = 7, 2
-ROUNDS, HEAVY, FLUSH = 2, 100_000, 300_000
-SMOOTH = 0.1
+HEAVY, HEAVY_BYTES, FLUSH = 100_000, 64, 300_000
+ZIPF = 10
 _MARK = "▁"
 _NEVER = -1e300
 _BASE = np.uint64(0x9E3779B97F4A7C15)
-#: Places times lengths that are worked on at once.
-_CELLS = 1 << 19
+#: Places times lengths that are worked on at once; places from which a word is long, and of one window of it.
+_CELLS, _LONG = 1 << 19, 4096
+_BYTE = re.compile("<0x[0-9A-F]{2}>")
 
 
 def vocabulary(path: str) -> tuple[list[str], list[float]]:
-    """The pieces of a sentencepiece file, without control pieces, each byte piece as <0x..>; and their first log weights."""
+    """The pieces of a sentencepiece file, without control pieces, each byte piece as <0x..>; and their log weights, which sum to 1 as weights."""
     import sentencepiece
 
     m = sentencepiece.SentencePieceProcessor(model_file=path)
     ids = [i for i in range(m.get_piece_size()) if not (m.is_control(i) or m.is_unknown(i))]
-    order = sorted(ids, key=lambda i: (-m.get_score(i), i))
-    rank = {i: k for k, i in enumerate(order)}
-    total = sum(1 / (k + 10) for k in range(len(ids)))
-    return [m.id_to_piece(i) for i in ids], [log(1 / (rank[i] + 10) / total) for i in ids]
+    pieces = [m.id_to_piece(i) for i in ids]
+    scores = [m.get_score(i) for i, p in zip(ids, pieces, strict=True) if not _BYTE.fullmatch(p)]
+    least = min(scores, default=0.0)
+    ranked = least <= -max(100, len(scores) / 2) and all(x == int(x) for x in scores)
+    weigh = (lambda x: -log(ZIPF - x)) if ranked else (lambda x: x)
+    logs = [weigh(least if _BYTE.fullmatch(p) else m.get_score(i)) for i, p in zip(ids, pieces, strict=True)]
+    whole = log(sum(map(exp, logs)))
+    return pieces, [x - whole for x in logs]
 
 
 class Lattice:
     """Sums over all segmentations of words, given the log weight of each piece; words of like length go through each step together."""
 
     def __init__(self, pieces: list[str], weights: list[float]):
-        byte = re.compile("<0x[0-9A-F]{2}>")
-        self.bytes = {int(p[3:5], 16): i for i, p in enumerate(pieces) if byte.fullmatch(p)}
-        own: dict[int, list[tuple[int, int]]] = {}
-        for i, p in enumerate(pieces):
-            if p and not byte.fullmatch(p):
-                own.setdefault(len(p), []).append((_hash(p), i))
+        self.bytes = {int(p[3:5], 16): w for p, w in zip(pieces, weights, strict=True) if _BYTE.fullmatch(p)}
+        own: dict[int, list[tuple[int, float]]] = {}
+        for p, w in zip(pieces, weights, strict=True):
+            if p and not _BYTE.fullmatch(p):
+                own.setdefault(len(p), []).append((_hash(p), w))
         self.longest = max(own, default=1)
-        #: For each length the sorted hashes of its pieces, and the pieces.
-        self.tables = {n: (np.array([h for h, _ in sorted(x)], np.uint64), np.array([i for _, i in sorted(x)])) for n, x in own.items()}
-        self.weights = np.array(weights, np.float64)
-        self.letters: dict[int, tuple[float, tuple[int, ...]]] = {}
+        #: For each length the sorted hashes of its pieces, and their log weights.
+        self.tables = {n: (np.array([h for h, _ in sorted(x)], np.uint64), np.array([w for _, w in sorted(x)])) for n, x in own.items()}
+        self.letters: dict[int, float] = {}
 
-    def _spelled(self, letter: int) -> tuple[float, tuple[int, ...]]:
-        """The log weight of a letter written in byte pieces, and those."""
+    def _spelled(self, letter: int) -> float:
+        """The log weight of a letter written in byte pieces."""
         if letter not in self.letters:
-            ids = tuple(self.bytes.get(b, -1) for b in chr(letter).encode())
-            self.letters[letter] = (float(self.weights[list(ids)].sum()), ids) if min(ids) >= 0 else (_NEVER, ())
+            own = [self.bytes.get(b) for b in chr(letter).encode()]
+            self.letters[letter] = _NEVER if None in own else sum(own)
         return self.letters[letter]
 
     def _chunks(self, texts: list[str]):
         """Indexes, code points (0 beyond the end) and lengths of words of like length."""
-        size = np.array([len(t) for t in texts]) + 1
+        size = np.array([len(t) for t in texts], np.int64) + 1
         order = np.argsort(size, kind="stable")
+        order = order[: np.searchsorted(size[order], _LONG)]
         at = 0
         while at < order.size:
             n = min(order.size - at, max(1, _CELLS // (self.longest * int(size[order[at]]))))
@@ -91,10 +99,10 @@ class Lattice:
             yield i, codes, size[i], width
             at += n
 
-    def _edges(self, codes: np.ndarray, width: int):
-        """Log weights and pieces (-1: none) of each place and length; letters, and the log weight of each spelled in bytes."""
+    def _edges(self, codes: np.ndarray, width: int) -> np.ndarray:
+        """The log weight of each place and length."""
         n = len(codes)
-        w, ids = np.full((n, width, self.longest), _NEVER), np.full((n, width, self.longest), -1, np.int32)
+        w = np.full((n, width, self.longest), _NEVER)
         h = np.zeros((n, width), np.uint64)
         for k in range(self.longest):
             c = codes[:, k : k + width]
@@ -103,13 +111,11 @@ class Lattice:
                 keys, own = self.tables[k + 1]
                 at = np.minimum(np.searchsorted(keys, h), keys.size - 1)
                 hit = (keys[at] == h) & (c > 0)
-                ids[..., k][hit] = own[at[hit]]
-                w[..., k][hit] = self.weights[own[at[hit]]]
+                w[..., k][hit] = own[at[hit]]
         letters, which = np.unique(codes[:, :width], return_inverse=True)
-        spelled = np.array([self._spelled(int(x))[0] if x else _NEVER for x in letters])[which.reshape(n, width)]
-        piece = w[..., 0].copy()
-        w[..., 0] = np.logaddexp(piece, spelled)
-        return w, ids, letters, which.reshape(n, width), spelled
+        spelled = np.array([self._spelled(int(x)) if x else _NEVER for x in letters])[which.reshape(n, width)]
+        w[..., 0] = np.logaddexp(w[..., 0], spelled)
+        return w
 
     def _forward(self, w: np.ndarray, width: int) -> np.ndarray:
         a = np.full((len(w), width + 1), _NEVER)
@@ -119,39 +125,35 @@ class Lattice:
             a[:, j] = _log_sum(np.stack([a[:, j - x] + w[:, j - x, x - 1] for x in range(1, k + 1)], axis=1))
         return a
 
+    def _long(self, text: str) -> float:
+        """One long word, in windows of _LONG places; only the last `longest` sums go on to the next."""
+        reach, total = self.longest, len(text) + 1
+        ahead = [0.0] + [_NEVER] * (reach - 1)
+        for at in range(0, total, _LONG):
+            width = min(_LONG, total - at)
+            part = (_MARK + text[: at + width + reach - 1])[at:] if at == 0 else text[at - 1 : at - 1 + width + reach]
+            codes = np.zeros((1, width + reach), np.uint32)
+            points = np.frombuffer(part.encode("utf-32-le"), np.uint32)[: width + reach]
+            codes[0, : points.size] = points
+            w = self._edges(codes, width)[0]
+            a = ahead + [_NEVER] * width
+            place, k = np.nonzero(w > _NEVER / 2)
+            for i, n, x in zip(place.tolist(), (k + 1).tolist(), w[place, k].tolist(), strict=True):
+                t, old = a[i] + x, a[i + n]
+                a[i + n] = t if old <= _NEVER / 2 else max(t, old) + log1p(exp(-abs(t - old)))
+            ahead = a[width : width + reach]
+        return ahead[0]
+
     def log_probabilities(self, texts: list[str]) -> np.ndarray:
         out = np.zeros(len(texts))
         for i, codes, size, width in self._chunks(texts):
-            a = self._forward(self._edges(codes, width)[0], width)
+            a = self._forward(self._edges(codes, width), width)
             out[i] = a[np.arange(len(i)), size]
+        for i, t in enumerate(texts):
+            if len(t) + 1 >= _LONG:
+                out[i] = self._long(t)
         return out
 
-    def expected(self, texts: list[str], times: np.ndarray) -> np.ndarray:
-        """The expected number of each piece in so many of each word, by forward-backward."""
-        counts = np.zeros(self.weights.size)
-        for i, codes, size, width in self._chunks(texts):
-            w, ids, letters, which, spelled = self._edges(codes, width)
-            a = self._forward(w, width)
-            rows = np.arange(len(i))
-            whole = a[rows, size]
-            b = np.full((len(i), width + self.longest + 1), _NEVER)
-            b[rows, size] = 0
-            for j in range(width - 1, -1, -1):
-                t = _log_sum(w[:, j, :] + b[:, j + 1 : j + 1 + self.longest])
-                b[:, j] = np.where(size > j, t, b[:, j])
-            for k in range(self.longest):
-                p = np.exp(np.minimum(0, a[:, :width] + w[..., k] + b[:, k + 1 : k + 1 + width] - whole[:, None])) * times[i][:, None]
-                own = ids[..., k]
-                if k == 0:
-                    by_bytes = p * np.exp(np.minimum(0, spelled - w[..., 0]))
-                    for x, n in zip(letters, np.bincount(which.ravel(), by_bytes.ravel(), letters.size), strict=True):
-                        if x and n > 0:
-                            np.add.at(counts, list(self._spelled(int(x))[1]), n)
-                    p = p - by_bytes
-                hit = own >= 0
-                counts += np.bincount(own[hit], np.maximum(p[hit], 0), counts.size)
-        return counts
-
 
 def _hash(piece: str) -> int:
     h = 0
@@ -191,30 +193,6 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.select("text", held_out(MODULUS, REMAINDER).alias("held")).mapInPandas(run, "word string, c long, n long").groupBy("word").agg(F.sum("c").alias("c"), F.sum("n").alias("n"))
 
 
-def fit(counts: DataFrame, ends: int, path: str, rounds: int = ROUNDS) -> tuple[list[str], list[float], float]:
-    """(pieces, log weights, log weight of the end) after these rounds of expectation-maximisation over the training words."""
-    pieces, weights = vocabulary(path)
-    end = log(0.01)
-    for _ in range(rounds):
-        sent = counts.sparkSession.sparkContext.broadcast((pieces, weights))
-
-        def run(frames: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
-            lattice, total = Lattice(*sent.value), np.zeros(len(sent.value[0]))
-            for f in frames:
-                total += lattice.expected(f["word"].tolist(), f["c"].to_numpy(np.float64))
-            i = np.flatnonzero(total)
-            yield pd.DataFrame({"piece": i, "n": total[i]})
-
-        got = counts.where("c > 0").select("word", "c").mapInPandas(run, "piece long, n double").groupBy("piece").agg(F.sum("n").alias("n")).collect()
-        n = np.full(len(pieces), SMOOTH)
-        for r in got:
-            n[r["piece"]] += r["n"]
-        whole = log(n.sum() + ends + SMOOTH)
-        weights, end = (np.log(n) - whole).tolist(), log(ends + SMOOTH) - whole
-        sent.unpersist()
-    return pieces, weights, end
-
-
 def scored_words(counts: DataFrame, pieces: list[str], weights: list[float]) -> DataFrame:
     """counts plus lattice: each word's log10 marginal probability."""
     sent = counts.sparkSession.sparkContext.broadcast((pieces, weights))
@@ -236,17 +214,19 @@ def _frequent(vocab: DataFrame, most: int) -> DataFrame:
         if total > most:
             break
         least = r["step"]
-    return vocab.where(F.col("n") >= (1 << int(least)) if least is not None else F.lit(False))
+    return vocab.where(F.col("n") >= (1 << int(least)) if least is not None else F.lit(False)).where(F.octet_length("word") <= HEAVY_BYTES)
 
 
-def score(docs: DataFrame, path: str, heavy: int = HEAVY, rounds: int = ROUNDS) -> DataFrame:
+def score(docs: DataFrame, path: str, heavy: int = HEAVY) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of each document."""
     spark = docs.sparkSession
     counts = stored(word_counts(docs), "words")
     ends = docs.where(~held_out(MODULUS, REMAINDER)).count()
     sums = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.when(F.col("c") > 0, 1))).first()
     n_train, n_distinct = sums[0] + ends, sums[1] + (ends > 0)
-    pieces, weights, end = fit(counts, ends, path, rounds)
+    pieces, weights = vocabulary(path)
+    share = (ends + 1) / (n_train + 2)  # of ends among training tokens
+    weights, end = [x + log1p(-share) for x in weights], log(share)
     vocab = stored(scored_words(counts, pieces, weights), "words-scored")
     base = log10(n_train + n_distinct + 1)
     frequent = {r["word"]: (r["c"], log10(r["c"] + 1) - base, r["lattice"]) for r in _frequent(vocab, heavy).select("word", "c", "lattice").collect()}
@@ -255,7 +235,7 @@ def score(docs: DataFrame, path: str, heavy: int = HEAVY, rounds: int = ROUNDS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = sent.value
-        kinds = {"rid": pa.int64(), "doc_id": pa.int64(), "held": pa.bool_(), "word": pa.string(), "times": pa.int64(), "head": pa.list_(pa.float64())}
+        kinds = {"rid": pa.binary(), "doc_id": pa.int64(), "held": pa.bool_(), "word": pa.string(), "times": pa.int64(), "head": pa.list_(pa.float64())}
 
         def rows(**columns) -> pa.RecordBatch:
             n = len(columns["rid"])
@@ -276,11 +256,11 @@ def score(docs: DataFrame, path: str, heavy: int = HEAVY, rounds: int = ROUNDS)
                         k, b, s = k + c * (got[0] > 0), b + c * got[1], s + c * got[2]
                 head.append([n, k, b, s])
             # A document's own row has a key with a space, which no word has.
-            yield rows(rid=own_rid, doc_id=batch.column("doc_id").to_pylist(), held=batch.column("held").to_pylist(), word=[f" {r}" for r in own_rid], times=[0] * len(own_rid), head=head)
+            yield rows(rid=own_rid, doc_id=batch.column("doc_id").to_pylist(), held=batch.column("held").to_pylist(), word=[f" {r.hex()}" for r in own_rid], times=[0] * len(own_rid), head=head)
             yield rows(rid=rid, word=word, times=times)
 
     keyed = docs.select(row_key("doc_id", "text").alias("rid"), F.col("doc_id").cast("long"), held_out(MODULUS, REMAINDER).alias("held"), "text")
-    parts = keyed.mapInArrow(run, "rid long, doc_id long, held boolean, word string, times long, head array<double>")
+    parts = keyed.mapInArrow(run, "rid binary, doc_id long, held boolean, word string, times long, head array<double>")
     joined = parts.join(vocab.select("word", "c", "lattice"), "word", "left")
 
     def total(own: int, rest: Column) -> Column:
