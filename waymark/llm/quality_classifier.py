@@ -1,16 +1,18 @@
 """Operator 3: a quality classifier by nearest-neighbour voting in a latent-semantic space.
 
 A text becomes two blocks of hashed terms: its lower-cased words, and its style (shapes of words such as Aa, A! or
-a*, shares of words that repeat in place, in 3-word windows or as lines, classes of text and line length). Terms are
-weighted by inverse document frequency, counted over all documents. From at most SAMPLE labelled rows (those of least
-hash, so that the choice follows from the rows alone) a singular value decomposition gives RANK latent directions.
-The labelled latent vectors, bounded by SAMPLE * RANK numbers, are broadcast; every document's exact cosine products
+a*, shares of words that repeat in place, in 3-word windows or as lines, classes of text and line length). The model is
+fitted on at most SAMPLE labelled rows, those of least hash, so that the choice follows from the rows alone: their
+inverse document frequencies weigh the terms, and a singular value decomposition gives RANK latent directions. The
+labelled latent vectors, bounded by SAMPLE * RANK numbers, are broadcast; every document's exact cosine products
 with all of them are computed block by block, and its NEIGHBOURS nearest labels vote with weights cosine ** POWER.
 
 Defined results: null and empty texts share one vector without words and get a score like any other; rows without a
 usable label (null, or not 0 or 1) teach nothing; if no label can be learnt every score is 0.5; a null doc_id
 counts as the empty text in the hash; rows are scored one by one, so repeated rows get equal scores; labels that
-repeat or contradict each other all vote; an empty table gives an empty result.
+repeat or contradict each other all vote, and so do all labelled vectors that tie at the last place among the nearest;
+a very long text is counted once in memory in proportion to its length; columns of docs pass through, names that begin
+with __ are this operator's (__held_out, __score); an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import held_out, words
+from ._common import held_out, stored, words
 
 MODULUS, REMAINDER = 3, 1
 SAMPLE, RANK, NEIGHBOURS, POWER = 6000, 48, 31, 8
@@ -101,46 +103,34 @@ def _unit(z: np.ndarray) -> np.ndarray:
     return z / np.maximum(np.sqrt((z * z).sum(1, keepdims=True)), 1e-9)
 
 
-def inverse_frequencies(docs: DataFrame) -> np.ndarray:
-    """The idf of each hashed term, over all documents."""
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        terms, n, df = Terms(), 0, np.zeros(STYLE + WORDS)
-        for f in frames:
-            for i in range(0, len(f), ROWS):
-                x = terms.rows(f["text"].iloc[i : i + ROWS])
-                n, df = n + len(x), df + (x > 0).sum(0)
-        yield pd.DataFrame({"term": np.r_[-1, np.arange(df.size)], "n": np.r_[n, df]})
-
-    got = {r["term"]: r["n"] for r in docs.select("text").mapInPandas(run, "term long, n double").groupBy("term").agg(F.sum("n").alias("n")).collect()}
-    df = np.array([got.get(i, 0.0) for i in range(STYLE + WORDS)])
-    idf = np.log((1 + got.get(-1, 0.0)) / (1 + df)) + 1
-    return np.minimum(idf, 4.0).astype(np.float32)
-
-
-def fit(docs: DataFrame, labels: DataFrame, idf: np.ndarray, sample: int = SAMPLE, rank: int = RANK) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(directions, unit latent vectors, labels) of at most `sample` labelled rows that are not held out."""
-    own = labels.where(F.col("quality").isin(0, 1)).select(F.col("doc_id").alias("__id"), F.col("quality").cast("int").alias("__y"))
-    rows = docs.where(~held_out(MODULUS, REMAINDER)).join(own, F.col("doc_id") == F.col("__id")).select("doc_id", "__y", "text", F.xxhash64("doc_id", F.lit("quality")).alias("__h"))
-    # Ranked without the texts: the hash that `sample` rows stay below.
-    ids = own.where(~held_out_of("__id")).select(F.xxhash64("__id", F.lit("quality")).alias("__h"))
-    n = ids.count()
-    most = ids.agg(F.percentile_approx("__h", min(1.0, sample / n), 10_000)).first()[0] if n > sample else None
-    rows = rows.where(F.col("__h") <= most) if most is not None else rows
+def sampled(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """(h, y, x): the terms and labels of the `sample` rows of least hash that have a label and are not held out. Cut on the executors: a label or a document that repeats a million times adds nothing to what the driver gets."""
+    own = labels.where(F.col("quality").isin(0, 1) & ~held_out_of("doc_id")).select(F.col("doc_id").alias("__id"), F.col("quality").cast("int").alias("__y"), F.xxhash64("doc_id", F.lit("quality")).alias("__h"))
+    # The rows of the `sample` labels of least hash include all that can be among the least; the texts of no others are read.
+    least = own.orderBy("__h", "__y").limit(sample)
+    top = least.agg(F.max("__h")).first()[0]
+    rows = docs.where(~held_out(MODULUS, REMAINDER)).join(own.where(F.col("__h") <= (top if top is not None else 0)), F.col("doc_id") == F.col("__id")).select("__h", "__y", "text")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         terms = Terms()
         for f in frames:
-            x = terms.rows(f["text"])
-            yield pd.DataFrame({"y": f["__y"], "h": f["__h"], "x": [r.astype(np.float16).tobytes() for r in x]})
+            yield pd.DataFrame({"h": f["__h"], "y": f["__y"], "x": [r.astype(np.float16).tobytes() for r in terms.rows(f["text"])]})
+
+    # Written, so that the cut ends in an executor: a collected limit would send every task's rows to the driver.
+    return stored(rows.mapInPandas(run, "h long, y int, x binary").orderBy("h", "y", "x").limit(sample), "labelled")
+
 
-    got = sorted(rows.mapInPandas(run, "y int, h long, x binary").collect(), key=lambda r: (r["h"], r["y"], r["x"]))[:sample]
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, rank: int = RANK) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(idf, directions, unit latent vectors, labels) of at most `sample` labelled rows that are not held out."""
+    got = sorted(sampled(docs, labels, sample).collect(), key=lambda r: (r["h"], r["y"], r["x"]))
     if not got:
-        return np.zeros((STYLE + WORDS, rank), np.float32), np.zeros((0, rank), np.float32), np.zeros(0)
-    x = _weighted(np.array([np.frombuffer(r["x"], np.float16) for r in got], np.float32), idf)
+        return np.ones(STYLE + WORDS, np.float32), np.zeros((STYLE + WORDS, rank), np.float32), np.zeros((0, rank), np.float32), np.zeros(0)
+    x = np.array([np.frombuffer(r["x"], np.float16) for r in got], np.float32)
+    idf = np.minimum(np.log((1 + len(x)) / (1 + (x > 0).sum(0))) + 1, 4.0).astype(np.float32)
+    x = _weighted(x, idf)
     _, vectors = np.linalg.eigh((x.T @ x).astype(np.float64))
     directions = np.ascontiguousarray(vectors[:, ::-1][:, :rank].astype(np.float32))
-    return directions, _unit(x @ directions), np.array([r["y"] for r in got], np.float64)
+    return idf, directions, _unit(x @ directions), np.array([r["y"] for r in got], np.float64)
 
 
 def held_out_of(name: str):
@@ -148,20 +138,20 @@ def held_out_of(name: str):
 
 
 def vote(z: np.ndarray, known: np.ndarray, y: np.ndarray, neighbours: int = NEIGHBOURS, power: int = POWER) -> np.ndarray:
-    """For unit rows z: the mean label of the nearest known vectors, weighted by similarity."""
+    """For unit rows z: the mean label of the nearest known vectors, weighted by similarity. All that tie at the last place vote."""
     if not y.size:
         return np.full(len(z), 0.5)
     s = z @ known.T
     k = min(neighbours, y.size)
-    at = np.argpartition(-s, k - 1, axis=1)[:, :k]
-    w = np.maximum(np.take_along_axis(s, at, 1), 1e-6).astype(np.float64) ** power
-    return np.clip((w * y[at]).sum(1) / w.sum(1), 0.0, 1.0)
+    last = np.partition(s, y.size - k, axis=1)[:, y.size - k]
+    row, at = np.nonzero(s >= last[:, None])
+    w = np.maximum(s[row, at], 1e-6).astype(np.float64) ** power
+    return np.clip(np.bincount(row, w * y[at], len(z)) / np.bincount(row, w, len(z)), 0.0, 1.0)
 
 
 def score(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, rank: int = RANK) -> DataFrame:
     """docs plus __held_out and __score."""
-    idf = inverse_frequencies(docs)
-    sent = docs.sparkSession.sparkContext.broadcast((idf, *fit(docs, labels, idf, sample, rank)))
+    sent = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, sample, rank))
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         terms = Terms()
