@@ -1,4 +1,5 @@
 import hashlib
+import itertools
 import random
 from collections import Counter
 
@@ -47,7 +48,7 @@ def local(rows, group):
     hits["x"] = hits["place"] * 2 + hits["hot"]
     docs = docs.merge(hits.groupby("rid")["x"].agg(lambda s: sorted(set(s))).rename("__hits"), left_on="__rid", right_index=True)
     s = pd.concat(S._emit_stretches(35, 12)(batches(docs))).sort_values(["h", "kind", "data"])
-    return pd.concat(S._find_repeats(35)(batches(s, 53)))
+    return pd.concat(S._find_repeats(35, 12)(batches(s, 53)))
 
 
 def test_steps_equal_brute_force_with_and_without_lengthened_prefixes():
@@ -61,6 +62,30 @@ def test_steps_equal_brute_force_with_and_without_lengthened_prefixes():
             assert {d: len(x) for d, x in got.items()} == want, (seed, group)
 
 
+def test_parent_depths_equal_brute_force():
+    r = random.Random(2)
+    for deep in (1, 3, 5):
+        paths = list({bytes(8 * r.randint(deep, 12)) for _ in range(3)} | {b"".join(r.randrange(3).to_bytes(8, "little") for _ in range(r.randint(deep, 14))) for _ in range(12)})
+        words = [[p[i : i + 8] for i in range(0, len(p), 8)] for p in paths]
+        own = [(i, j) for i, w in enumerate(words) for j in range(len(w) - deep + 1)]
+        for i, j, depth in zip(*S.parent_depths(paths, deep), strict=True):
+            a = words[i][j:]
+            shared = max((sum(1 for _ in itertools.takewhile(lambda x: x[0] == x[1], zip(a, words[x][y:], strict=False))) for x, y in own if (x, y) != (i, j)), default=0)
+            assert depth == (shared if shared >= deep else 0)
+
+
+def test_columns_of_clashing_names_and_long_texts(docs_of):
+    from pyspark.sql import functions as F
+
+    text = " ".join(f"w{i}" for i in range(40))
+    d = docs_of([(1, text), (2, text + " x"), (3, "own words"), (4, " ".join(f"v{i}" for i in range(300_000)))])
+    for c in ("rid", "h", "hot", "n", "place", "first", "kind", "data", "start", "stop", "n_words", "kept_sha256"):
+        d = d.withColumn(c, F.col("doc_id"))
+    got = {x["doc_id"]: x for x in S.remove_repeats(d).collect()}
+    assert [got[i]["__n_removed"] for i in (1, 2, 3, 4)] == [40, 40, 0, 0] and got[2]["__kept"] == "x" and got[4]["__n_words"] == 300_000
+    assert all(x["hot"] == i and x["kept_sha256"] == i for i, x in got.items())
+
+
 def test_query_equals_brute_force(spark, folder):
     rows = corpus(7) + [(None, "n " * 40), (5000, "r s " * 30), (5000, "r s " * 30)]
     got = sorted((tuple(r) for r in op1_substring_dedup(spark, folder(rows)).collect()), key=str)

@@ -8,8 +8,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Keys that hold more than a HEAVY-th of all rows: fewer than HEAVY, whatever the data, so a broadcast of them is bounded.
-HEAVY = 20_000
+#: Keys that hold more than a HEAVY-th of all rows: fewer than HEAVY, whatever the data, so a broadcast of them is bounded. FEW rows are no burden.
+HEAVY, FEW = 20_000, 200
 _own_folder: list[str] = []
 
 
@@ -52,16 +52,17 @@ def row_key(*names: str) -> Column:
     return F.unhex(F.concat(*[F.lpad(F.hex(h), 16, "0") for h in (F.xxhash64(*cols), F.xxhash64(F.lit("second"), *cols))]))
 
 
-def joined_by(rows: DataFrame, small: DataFrame, keys: list[str], counts: DataFrame, total: int | None = None, how: str = "inner") -> DataFrame:
-    """rows joined with small on keys, where some keys may hold a large part of all rows.
+def heavy(counts: DataFrame, *keys: str) -> DataFrame | None:
+    """The keys that hold more than a HEAVY-th of all rows and more than FEW rows; None if there are none. counts, a stored table or little else, has the keys and n, how many rows each holds. Fewer than HEAVY keys come out, so they may be broadcast."""
+    r = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
+    most = max(r[0] / HEAVY, FEW)
+    return counts.where(F.col("n") > most).select(*keys).withColumn("__hot", F.lit(True)) if r[1] > most else None
 
-    counts has the keys and n, how many of rows each holds; total is the number of rows, or more. Keys of more than a
-    HEAVY-th of total, fewer than HEAVY keys by count, are broadcast with their rows of small; the rest meets by a
-    shuffle in which no key is large. small has few rows a key.
-    """
-    if total is None:
-        total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    hot = counts.where(F.col("n") > total / HEAVY).select(*keys).withColumn("__hot", F.lit(True))
+
+def joined(rows: DataFrame, small: DataFrame, keys: list[str], hot: DataFrame | None, how: str = "inner") -> DataFrame:
+    """rows joined with small, which has few rows a key. The keys in hot, from heavy(), are broadcast with their rows of small; the rest meets by a shuffle in which no key is large."""
+    if hot is None:
+        return rows.join(small, keys, how)
     split = rows.join(F.broadcast(hot), keys, "left")
     cold = split.where("__hot is null").drop("__hot").join(small, keys, how)
     warm = split.where("__hot").drop("__hot").join(F.broadcast(small.join(F.broadcast(hot), keys, "left_semi")), keys, how)

@@ -33,7 +33,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import joined_by, row_key, stored
+from ._common import heavy, joined, row_key, stored
 from ._components import components
 
 THRESHOLD = 0.93
@@ -116,7 +116,8 @@ def candidates(found: DataFrame, threshold: float = THRESHOLD, window: int = WIN
     out = None
     for dim, total, passes in dims:
         own = found.where(F.size("v") == dim)
-        centred = joined_by(own.select("label", "cid", "v"), known.where(F.col("dim") == dim).select("label", "mean"), ["label"], known.where(F.col("dim") == dim).select("label", "n"))
+        of_dim = known.where(F.col("dim") == dim)
+        centred = joined(own.select("label", "cid", "v"), of_dim.select("label", "mean"), ["label"], heavy(of_dim, "label"))
         part = _compared(centred, dim, passes, threshold, window, seed, max(1, total * passes // task_rows))
         out = part if out is None else out.unionByName(part)
     return out if out is not None else found.select(F.col("cid").alias("a"), F.col("cid").alias("b"), F.lit(True).alias("sure")).limit(0)
@@ -201,11 +202,10 @@ def links(found: DataFrame, threshold: float = THRESHOLD, window: int = WINDOW,
     return sure.unionByName(verified(found, doubtful, threshold))
 
 
-def count_links(members: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
-    """From (root, cid, size, v): (cid, n), the vectors in other classes of the component that a class links with. Blocks of a large component meet in pairs."""
-    counts = members.groupBy("root").agg(F.count(F.lit(1)).alias("n"))
-    total = members.count()
-    sized = joined_by(members, counts.select("root", F.col("n").alias("count")), ["root"], counts, total).withColumn("k", F.ceil(F.col("count") / block))
+def count_links(members: DataFrame, counts: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
+    """From (root, cid, size, v), and counts, its rows of each root: (cid, n), the vectors in other classes of the component that a class links with. Blocks of a large component meet in pairs."""
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    sized = joined(members, counts.select("root", F.col("n").alias("count")), ["root"], heavy(counts, "root")).withColumn("k", F.ceil(F.col("count") / block))
     chunk = F.pmod(F.xxhash64("cid"), F.col("k"))
     small = sized.where("k = 1").select(F.lit(0).alias("x"), F.pmod(F.xxhash64("root"), F.lit(max(1, total // 4000))).alias("y"), F.lit(0).alias("chunk"), "root", "cid", "size", "v")
     large = sized.where("k > 1").withColumn("chunk", chunk).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).select((F.least("chunk", "other") + 1).alias("x"), F.greatest("chunk", "other").alias("y"), "chunk", "root", "cid", "size", "v")
@@ -238,13 +238,14 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, window: in
     """(vec_id, n_links, component_id, kept) of each vector."""
     rows, found = classes(vectors)
     found = stored(found, "vector-classes")
-    joined = stored(components(links(found, threshold, window, miss, task_rows=task_rows)), "vector-components")
-    members = found.join(joined.select(F.col("node").alias("cid"), "root"), "cid")
-    counts = count_links(members.select("root", "cid", "size", "v"), threshold, block)
-    of_class = found.select("cid", "low", "size").join(joined.select(F.col("node").alias("cid"), "root"), "cid", "left").join(counts, "cid", "left").select("cid", "low", "size", F.coalesce("root", "cid").alias("root"), (F.col("size") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"))
+    roots = stored(components(links(found, threshold, window, miss, task_rows=task_rows)).withColumnRenamed("node", "cid"), "vector-components")
+    members = found.join(roots, "cid")
+    counts = count_links(members.select("root", "cid", "size", "v"), stored(roots.groupBy("root").agg(F.count(F.lit(1)).alias("n")), "vector-roots"), threshold, block)
+    of_class = found.select("cid", "low", "size").join(roots, "cid", "left").join(counts, "cid", "left").select("cid", "low", "size", F.coalesce("root", "cid").alias("root"), (F.col("size") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"))
     of_class = stored(of_class, "vector-links")
-    lows = of_class.groupBy("root").agg(F.min("low").alias("component_id"), F.count(F.lit(1)).alias("n"))
-    known = joined_by(of_class, lows.select("root", "component_id"), ["root"], lows.select("root", "n"))
-    out = joined_by(rows.where("cid is not null"), known.select("cid", "n_links", "component_id"), ["cid"], known.select("cid", F.col("size").alias("n"))).unionByName(rows.where("cid is null"), allowMissingColumns=True)
+    lows = stored(of_class.groupBy("root").agg(F.min("low").alias("component_id"), F.count(F.lit(1)).alias("n")), "vector-lows")
+    known = joined(of_class, lows.select("root", "component_id"), ["root"], heavy(lows, "root"))
+    copies = heavy(of_class.select("cid", F.col("size").alias("n")), "cid")
+    out = joined(rows.where("cid is not null"), known.select("cid", "n_links", "component_id"), ["cid"], copies).unionByName(rows.where("cid is null"), allowMissingColumns=True)
     component = F.coalesce("component_id", F.col("vec_id"))
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.cast("long").alias("component_id"), component.eqNullSafe(F.col("vec_id")).alias("kept"))

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import joined_by, row_key, stored
+from ._common import heavy, joined, row_key, stored
 
 MIN_CHARS, MIN_DOCS = 20, 3
 #: Keys in one shard, references that one copy of a filter meets, and such copies in one task (expected): several, so that tasks come out alike.
@@ -227,7 +227,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
     n_shards = max(1, -(-n_keys // shard_keys))
     filters = stored(build_filters(counts, n_shards), "line-filters")
     known = probe(references, filters, n_shards, n_rows, task_rows)
-    found = joined_by(known, counts.select("h1", "h2", "last_doc"), ["h1", "h2"], counts.select("h1", "h2", "n"), n_rows).where(~F.col("doc_id").eqNullSafe(F.col("last_doc")))
+    found = joined(known, counts.select("h1", "h2", "last_doc"), ["h1", "h2"], heavy(counts, "h1", "h2")).where(~F.col("doc_id").eqNullSafe(F.col("last_doc")))
     drops = found.groupBy(F.col("rid").alias("__rid")).agg(F.collect_set(F.struct("h1", "h2")).alias("__drops"))
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -1,23 +1,30 @@
 """Operator 1: substring dedup by prefix-partitioned suffix trees.
 
-Only the first `window` words of a suffix matter: two suffixes share a repeat if their paths in a suffix tree part at
+Only the first `window` words of a suffix matter: two suffixes share a repeat if their paths in the suffix tree part at
 that depth or deeper. The suffixes are split by prefixes of variable length: a suffix's prefix ends with the word
-K-gram of least hash among those in its first `window` words, so equal suffixes have equal prefixes, and neighbouring
-suffixes, whose prefixes end with the same K-gram (the anchor), share one group and one stretch of text.
+K-gram of least hash among those in its first `window` words (the anchor), so it is K to `window` words long, and equal
+suffixes have equal prefixes. Neighbouring suffixes, whose prefixes end with the same anchor, share one group and one
+stretch of text.
 
 1. Every document emits its anchors (hash and place, about one for twelve words). An anchor hash that occurs once
-   holds no repeat; it goes.
-2. For the others a document emits the stretch of text around the anchor as word codes. All stretches of one hash
-   make a group of bounded size, whose subtree is built from the top down: children are the distinct (node, next
-   EDGE words), a node with one leaf is dropped, and what still has two leaves at full depth is a deep internal node.
+   is a prefix of one suffix each, and holds no repeat; it goes.
+2. For the others a document emits the stretch of text around the anchor. All stretches of one hash are a group of
+   bounded size. Equal stretches are one path of the group's tree. Where there are several, their suffixes are sorted
+   to a suffix array by doubling ranks, and the common prefixes of neighbours in it are the tree's branching nodes: the
+   greater of a suffix's two is the string depth of its leaf's parent. A parent of `window` words or more is a deep
+   internal node, and its string is a repeat; united along a document these are the maximal repeats.
 3. A hash with more than GROUP occurrences would be too large for memory, so the prefix of its suffixes is lengthened
-   to the full depth: the suffix is its own group, counted after duplicates within a task are merged.
+   to the full depth: there the suffix's node is known by its prefix, and has two leaves or more if that occurs twice.
+   Equal suffixes of a task are merged first. (Lengths between bring no more: with every word of the window in the
+   prefix, a group is a count.)
 
-Word codes in stretches are 32 bits of a 64-bit hash, so two different windows are taken for equal with a chance of
-2^-32 or less. Runs of repeated windows are maximal repeats; each document drops the words that they cover.
+Words are 64-bit hashes and anchors count as one word, full-depth prefixes are 128-bit hashes. Each document drops the
+words that its repeats cover.
 
 Defined results: null, empty and short texts have no repeats; repeated rows are documents of their own, so they repeat
-one another; a null doc_id is an id like any other; an empty table gives an empty result.
+one another; a null doc_id is an id like any other; a very long text is read in one piece, its words held as numbers;
+columns of docs pass through, names that begin with __ are this operator's (__rid, __hits, __spans, __n_words,
+__n_removed, __kept); an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -30,9 +37,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import row_key, stored, words
+from ._common import heavy, joined, row_key, stored, words
 
-WINDOW, K, EDGE, GROUP = 35, 12, 7, 2000
+WINDOW, K, GROUP = 35, 12, 2000
 #: Words that are handled at once in a task, and suffixes in one build of subtrees.
 CHUNK, BUILD = 200_000, 100_000
 _STRETCH, _SUFFIX, _DONE = 0, 1, 2
@@ -108,9 +115,9 @@ def _emit_stretches(window: int, k: int):
             wanted = np.concatenate([x + (i << 40) for i, x in enumerate(hits)]) if hits else np.zeros(0, np.int64)
             label = (place << 1) + (d.astype(np.int64) << 40)
             plain, often = np.isin(label, wanted), np.isin(label + 1, wanted)
-            rid, small = rows["__rid"].to_numpy(), codes.astype(np.uint32)
+            rid = rows["__rid"].to_numpy()
             i = np.flatnonzero(plain)
-            data = [small[a : b + window].tobytes() for a, b in zip(first[i], last[i], strict=True)]
+            data = [codes[a:c].tobytes() + x.tobytes() + codes[c + k : b + window].tobytes() for a, b, c, x in zip(first[i], last[i], m[i], h[i], strict=True)]
             yield pd.DataFrame({"h": h[i].view(np.int64), "kind": _STRETCH, "rid": rid[d[i]], "first": (first[i] - start[d[i]]).astype(np.int32), "data": data})
             if not often.any():
                 continue
@@ -141,40 +148,84 @@ def _runs(owner: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return head, np.r_[head[1:] - 1, p.size - 1]
 
 
-def deep_leaves(group: np.ndarray, stretches: list[bytes], window: int = WINDOW, edge: int = EDGE) -> tuple[np.ndarray, np.ndarray]:
-    """Build the subtrees of these groups from the top down; (stretch, offset) of each suffix below a node of full depth with two leaves or more."""
-    flat = np.frombuffer(b"".join(stretches), np.uint32).astype(np.uint64)
-    size = np.array([len(x) // 4 for x in stretches])
-    start, n = np.cumsum(size) - size, size - window + 1
-    row = np.repeat(np.arange(size.size), n)
+def parent_depths(paths: list[bytes], deep: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """From the suffix array of distinct paths (words of 8 bytes): (path, offset, depth) of each suffix of `deep` words or more; depth is how much of it another suffix begins with, the string depth of its leaf's parent, or 0 below `deep`."""
+    size = np.array([len(x) // 8 for x in paths])
+    start = np.cumsum(size + 1) - (size + 1)
+    flat = np.empty(int((size + 1).sum()), np.int64)
+    ends = start + size
+    text = np.ones(flat.size, bool)
+    text[ends] = False
+    known, flat[text] = np.unique(np.frombuffer(b"".join(paths), np.uint64), return_inverse=True)
+    flat[ends] = known.size + np.arange(size.size)  # each path has an end of its own
+    ranks, reach = [flat], 1
+    while reach < size.max() + 1:
+        r = ranks[-1]
+        after = np.zeros(r.size, np.int64)
+        after[: r.size - reach] = r[reach:] + 1
+        ranks.append(np.unique(r * (after.max() + 1) + after, return_inverse=True)[1])
+        reach *= 2
+    n = size - deep + 1
+    path = np.repeat(np.arange(size.size), n)
     offset = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    at = start[row] + offset
-    node = group[row].astype(np.uint64)
-    for depth in range(0, window, edge):
-        step = flat[at + depth].copy()
-        for j in range(1, min(edge, window - depth)):
-            step = step * _P + flat[at + depth + j]
-        node = _mix(node * _Q + _mix(step))
-        order = np.argsort(node, kind="stable")
-        same = node[order][1:] == node[order][:-1]
-        live = order[np.r_[False, same] | np.r_[same, False]]
-        live.sort()
-        row, offset, at, node = row[live], offset[live], at[live], node[live]
-        if not live.size:
-            break
-    return row, offset
-
-
-def _find_repeats(window: int):
-    """From rows sorted by h: (rid, start, stop) of runs of repeated windows. The group that may go on in the next batch is held back; groups of stretches are bounded, and of lone suffixes only the last is held."""
+    at = start[path] + offset
+    order = np.argsort(ranks[-1][at], kind="stable")
+    x, y = at[order][:-1], at[order][1:]
+    same = np.zeros(x.size, np.int64)
+    for level in range(len(ranks) - 1, -1, -1):
+        a, b = x + same, y + same
+        inside = (a < flat.size) & (b < flat.size)
+        r = ranks[level]
+        same += (1 << level) * (inside & (r[np.where(inside, a, 0)] == r[np.where(inside, b, 0)]))
+    depth = np.zeros(at.size, np.int64)
+    depth[order] = np.maximum(np.r_[0, same], np.r_[same, 0])
+    return path, offset, np.where(depth >= deep, depth, 0)
+
+
+def repeated_spans(h: np.ndarray, stretches: np.ndarray, window: int = WINDOW, k: int = K) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(stretch, start, stop) in words of what repeats, for whole groups h of stretches, sorted by h and content. A stretch has its anchor as one word."""
+    deep = window - k + 1
+    new = np.r_[True, (h[1:] != h[:-1]) | (stretches[1:] != stretches[:-1])]
+    content = np.cumsum(new) - 1
+    heads = np.flatnonzero(new)
+    times = np.diff(np.r_[heads, h.size])
+    size = np.array([len(stretches[i]) // 8 for i in heads]) + k - 1
+    own = h[heads]
+    several = np.r_[False, own[1:] == own[:-1]] | np.r_[own[1:] == own[:-1], False]
+    again = np.flatnonzero(times > 1)
+    c, a, b = [again], [np.zeros(again.size, np.int64)], [size[again]]
+    mixed = np.flatnonzero(several)
+    if mixed.size or (times == 1).any():
+        lone = np.flatnonzero(several | (times == 1))  # a single path can repeat itself
+        path, offset, depth = parent_depths([stretches[heads[i]] for i in lone], deep)
+        hit = depth > 0
+        c.append(lone[path[hit]])
+        a.append(offset[hit])
+        b.append(offset[hit] + depth[hit] + k - 1)
+    c, a, b = map(np.concatenate, (c, a, b))
+    order = np.lexsort((a, c))
+    c, a, b = c[order], a[order], b[order]
+    # Spans of one content are united: they overlap or follow one another.
+    far = np.maximum.accumulate(b + c * (1 << 32)) - c * (1 << 32) if c.size else b
+    head = np.flatnonzero(np.r_[True, (c[1:] != c[:-1]) | (a[1:] > far[:-1])]) if c.size else np.zeros(0, np.int64)
+    c, a, b = c[head], a[head], far[np.r_[head[1:] - 1, c.size - 1]] if c.size else far
+    # Each stretch has the spans of its content.
+    n_spans = np.bincount(c, minlength=heads.size)
+    first = np.cumsum(n_spans) - n_spans
+    row = np.repeat(np.arange(h.size), n_spans[content])
+    which = first[content[row]] + np.arange(row.size) - np.repeat(np.cumsum(n_spans[content]) - n_spans[content], n_spans[content])
+    return row, a[which], b[which]
+
+
+def _find_repeats(window: int, k: int):
+    """From rows sorted by h, kind and data: (rid, start, stop) of what repeats. The group that may go on in the next batch is held back; groups of stretches are bounded, and of lone suffixes only the last is held."""
 
     def solve(b: pd.DataFrame) -> Iterator[pd.DataFrame]:
         s = b[b["kind"] == _STRETCH]
         if len(s):
-            row, offset = deep_leaves(s["h"].to_numpy().view(np.uint64), list(s["data"]), window)
-            p = s["first"].to_numpy()[row].astype(np.int64) + offset
-            a, z = _runs(row, p)
-            yield pd.DataFrame({"rid": s["rid"].to_numpy()[row[a]], "start": p[a].astype(np.int32), "stop": (p[z] + window).astype(np.int32)})
+            row, start, stop = repeated_spans(s["h"].to_numpy(), s["data"].to_numpy(), window, k)
+            first = s["first"].to_numpy().astype(np.int64)[row]
+            yield pd.DataFrame({"rid": s["rid"].to_numpy()[row], "start": (first + start).astype(np.int32), "stop": (first + stop).astype(np.int32)})
         done = b[b["kind"] == _DONE]
         if len(done):
             yield pd.DataFrame({"rid": done["rid"].to_numpy(), "start": done["first"].to_numpy(np.int32), "stop": np.array([int.from_bytes(x, "little") + window for x in done["data"]], np.int32)})
@@ -222,11 +273,11 @@ def _find_repeats(window: int):
 def repeats(docs: DataFrame, window: int = WINDOW, k: int = K, group: int = GROUP) -> tuple[DataFrame, DataFrame]:
     """docs with __rid, and (__rid, __spans): the word intervals [start, stop) that repeated windows cover. docs must have text and the columns that make its key; all its columns travel, so select few."""
     docs = docs.withColumn("__rid", row_key(*docs.columns))
-    anchors = stored(docs.select("__rid", "text").mapInPandas(_emit_anchors(window, k), "h long, rid long, place int"), "anchors")
-    often = anchors.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h", (F.col("n") > group).cast("int").alias("hot"))
-    hits = anchors.join(often, "h").groupBy(F.col("rid").alias("__rid")).agg(F.collect_set(F.col("place") * 2 + F.col("hot")).alias("__hits"))
-    stretches = docs.join(hits, "__rid").mapInPandas(_emit_stretches(window, k), "h long, kind int, rid long, first int, data binary")
-    found = stretches.repartition("h").sortWithinPartitions("h", "kind", "data").mapInPandas(_find_repeats(window), "rid long, start int, stop int")
+    anchors = stored(docs.select("__rid", "text").mapInPandas(_emit_anchors(window, k), "h long, rid binary, place int"), "anchors")
+    often = stored(anchors.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "prefixes")
+    hits = joined(anchors, often.select("h", (F.col("n") > group).cast("int").alias("hot")), ["h"], heavy(often, "h")).groupBy(F.col("rid").alias("__rid")).agg(F.collect_set(F.col("place") * 2 + F.col("hot")).alias("__hits"))
+    stretches = docs.join(hits, "__rid").mapInPandas(_emit_stretches(window, k), "h long, kind int, rid binary, first int, data binary")
+    found = stretches.repartition("h").sortWithinPartitions("h", "kind", "data").mapInPandas(_find_repeats(window, k), "rid binary, start int, stop int")
     return docs, found.groupBy(F.col("rid").alias("__rid")).agg(F.collect_set(F.struct("start", "stop")).alias("__spans"))
 
 
