@@ -81,10 +81,8 @@ def plain_row(text):
     return np.r_[np.sqrt(style), word]
 
 
-def test_query_equals_a_plain_version(spark):
+def plain_scores(docs, labels):
     """Terms, weights, decomposition and vote over again, in double precision and with a decomposition of another kind."""
-    sf = "/root/testdata/sf0.001"
-    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet").toPandas() for t in ("documents", "labels"))
     x = np.array([plain_row(t) for t in docs.text])
     y = docs.merge(labels, on="doc_id", how="left").quality.to_numpy()
     learn = np.array([zlib.crc32(str(i).encode()) % 3 != 1 for i in docs.doc_id]) & np.isin(y, (0, 1))
@@ -94,11 +92,18 @@ def test_query_equals_a_plain_version(spark):
     z = np.hstack([unit(x[:, : Q.STYLE] * idf[: Q.STYLE]), Q.WORD_SHARE * unit(x[:, Q.STYLE :] * idf[Q.STYLE :])])
     axes = np.linalg.svd(z[learn], full_matrices=False)[2][: Q.RANK]
     s = unit(z @ axes.T) @ unit(z[learn] @ axes.T).T
-    want = []
+    out = []
     for row in s:
         near = np.argsort(-row)[: Q.NEIGHBOURS]
         w = np.maximum(row[near], 1e-6) ** Q.POWER
-        want.append((w * y[learn][near]).sum() / w.sum())
+        out.append((w * y[learn][near]).sum() / w.sum())
+    return np.array(out)
+
+
+def test_query_equals_a_plain_version(spark):
+    sf = "/root/testdata/sf0.001"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet").toPandas() for t in ("documents", "labels"))
+    want = plain_scores(docs, labels)
     got = op3_quality_classifier(spark, sf).toPandas().set_index("doc_id").loc[docs.doc_id].score.to_numpy()
     assert np.abs(got - want).max() < 0.05 and np.median(np.abs(got - want)) < 1e-3
 

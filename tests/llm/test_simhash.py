@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 
 import numpy as np
 import xxhash
@@ -89,7 +90,7 @@ def test_partitions_and_thresholds():
     assert S.allocate([[0, 5, 9], [0, 1, 2], [0, 1, 9]], 2) == (3.0, [-1, 1, 0])
     both = np.full((64, 64), 25.0) + np.eye(64) * 25
     both[3, 60] = both[60, 3] = 50
-    parts = S.partitions(100, both, 3)
+    parts = S.partitions(100, both, [21, 21, 22])
     assert sorted(b for p in parts for b in p) == list(range(64)) and any({3, 60} <= set(p) for p in parts)
 
 
@@ -98,3 +99,22 @@ def test_keep_one(docs_of):
     assert sorted((r.doc_id or 0, r.text or "") for r in out.collect()) == [(0, ""), (0, "q r s"), (1, "A b c d"), (2, "other words are here")]
     assert S.near_duplicates(docs_of([])).count() == 0 and S.keep_one(docs_of([])).count() == 0
     assert S.fingerprints(docs_of([(1, "x " * 100_000)])).agg(F.count("code")).first()[0] == 1
+
+
+def test_crowded_partitions_give_way_to_wider_ones(spark):
+    """Where narrow partitions are crowded, the plan takes wider ones with larger thresholds, not the flips."""
+    r = np.random.default_rng(1)
+    few = [int(x) for x in r.integers(0, 1 << 62, 3)]
+    low = (1 << 43) - 1  # 43 bits take three values, 21 are free
+    codes = {(f & low) | int(x) << 43 for f in few for x in r.integers(0, 1 << 20, 1500)}
+    df = spark.createDataFrame([(c,) for c in codes], "code long")
+    chosen = S.plan(df, 2)
+    sizes = [Counter(c & sum(1 << b for b in part) for c in codes).most_common(1)[0][1] for part, _ in chosen]
+    assert max(sizes) <= S.LIMIT and any(t > 0 for _, t in chosen)
+
+
+def test_clashing_names(docs_of):
+    d = docs_of([(i, "a b c d e f" if i % 2 else f"own words of {i} are here") for i in range(6)])
+    for c in ("rid", "code", "root", "component", "low", "n", "component_id", "fingerprint"):
+        d = d.withColumn(c, F.col("doc_id"))
+    assert sorted((r.doc_id, r.root, r.fingerprint) for r in S.keep_one(d).collect()) == [(0, 0, 0), (1, 1, 1), (2, 2, 2), (4, 4, 4)]

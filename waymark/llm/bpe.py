@@ -6,7 +6,9 @@ rank, that boundary is deleted, and the ranks of the two neighbouring pairs are
 Scanning is cheap for short words; a word over LONG bytes takes the same merges from a heap, so that its time does not
 grow with the square of its length. Words repeat, so each task keeps a bounded memo of them.
 
-Defined results: a null text is the empty text, which has no ids and decodes to itself.
+Defined results: a null text is the empty text, which has no ids and decodes to itself; a row for each row, so repeated
+rows repeat and a null doc_id stays null; a very long text is encoded whole, its ids held in one list; encode and
+decode add __ids and __decoded and let all other columns through; an empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -7,8 +7,12 @@ queue is used up it starts again (a second pass), and the last document taken is
 is range-sorted by position. Queues are numbered by prefix sums in two levels (a sum for each source and hash bucket,
 then within a bucket), so that a hot source is not one task.
 
+Targets are set on a table of one row per source, so that part's work grows with the number of sources alone.
+
 Defined results: a null or empty text has no words and takes none; a null source is a source of its own, after all
-others; a null doc_id queues first; repeated rows are taken one after the other; an empty table gives an empty mix.
+others; a null doc_id queues first; repeated rows are taken one after the other; a very long text is a long document,
+cut like any other where its source's target ends; columns of docs pass through mixed(), names that begin with __ are
+this operator's; an empty table gives an empty mix.
 """
 
 from __future__ import annotations
@@ -16,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import stored
+from ._common import row_key, stored
 
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE, MAX_PASSES = 1.5, 2
@@ -65,7 +69,7 @@ def position_of(share: Column, rank: Column, schedules=SCHEDULES, times=TIMES) -
 def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, max_passes: int = MAX_PASSES) -> DataFrame:
     """docs plus __size, __source_size, __target, __taken and __passes (pass, position, words), range-sorted by the first position; documents not taken come last."""
     keyed = docs.withColumn("__size", word_count(F.col("text"))).withColumn("__turn", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")))
-    queue = stored(keyed.select("doc_id", "source", F.col("__size").alias("size"), F.col("__turn").alias("turn"), F.xxhash64("text").alias("th")), "mix-queue")
+    queue = stored(keyed.select("doc_id", "source", F.col("__size").alias("size"), F.col("__turn").alias("turn"), row_key("text").alias("th")), "mix-queue")
     sizes = queue.groupBy("source").agg(F.sum("size").alias("source_size"))
     bucket = F.substring("turn", 1, 3)
     parts = queue.groupBy("source", bucket.alias("bucket")).agg(F.sum("size").alias("part"))
@@ -96,8 +100,8 @@ def in_order(taken: DataFrame) -> DataFrame:
 def mixed(docs: DataFrame, **options) -> DataFrame:
     """The mix itself, in its order: a row of docs' columns for each pass that takes words of a document, the last document of a source cut to the words taken, n_chars to match."""
     same = Window.partitionBy("__key").orderBy("__key")
-    keyed = docs.withColumn("__key", F.xxhash64("doc_id", "source", F.xxhash64("text"))).withColumn("__copy", F.row_number().over(same))
-    taken = mix(docs, **options).where("__taken > 0").select(F.xxhash64("doc_id", "source", "th").alias("__key"), "__size", "__passes").withColumn("__copy", F.row_number().over(same))
+    keyed = docs.withColumn("__th", row_key("text")).withColumn("__key", row_key("doc_id", "source", "__th")).drop("__th").withColumn("__copy", F.row_number().over(same))
+    taken = mix(docs, **options).where("__taken > 0").select(row_key("doc_id", "source", "th").alias("__key"), "__size", "__passes").withColumn("__copy", F.row_number().over(same))
     each = keyed.join(taken, ["__key", "__copy"]).withColumn("__pass", F.explode("__passes"))
     words = F.col("__pass.words")
     cut = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)), F.lit(1), words.cast("int")), " ")

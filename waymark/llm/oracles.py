@@ -1,5 +1,16 @@
 """DuckDB SQL for the queries that SQL can express."""
 
+
+def _position(need: str) -> str:
+    """The time at which a source's schedule (falling, level or rising, in turn) has integrated to this share."""
+    return f"""CASE WHEN {need} IS NULL THEN NULL
+    WHEN rank % 3 = 0 THEN CASE WHEN {need} <= 0.625 THEN (sqrt(greatest(2.25::DOUBLE - 2.0::DOUBLE * {need}, 0)) - 1.5::DOUBLE) / -1.0::DOUBLE
+      WHEN {need} <= 1.0 THEN 0.5::DOUBLE + (sqrt(greatest(1.0::DOUBLE - 2.0::DOUBLE * ({need} - 0.625::DOUBLE), 0)) - 1.0::DOUBLE) / -1.0::DOUBLE ELSE 1.0::DOUBLE END
+    WHEN rank % 3 = 1 THEN CASE WHEN {need} <= 0.5 THEN {need} WHEN {need} <= 1.0 THEN 0.5::DOUBLE + ({need} - 0.5::DOUBLE) ELSE 1.0::DOUBLE END
+    ELSE CASE WHEN {need} <= 0.375 THEN sqrt(greatest(0.25::DOUBLE + 2.0::DOUBLE * {need}, 0)) - 0.5::DOUBLE
+      WHEN {need} <= 1.0 THEN 0.5::DOUBLE + (sqrt(greatest(1.0::DOUBLE + 2.0::DOUBLE * ({need} - 0.375::DOUBLE), 0)) - 1.0::DOUBLE) ELSE 1.0::DOUBLE END END"""
+
+
 OP2 = r"""
 WITH q AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS turn FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM q GROUP BY source),
@@ -9,14 +20,15 @@ f AS (SELECT *, cap / weight AS ratio,
         (1.5::DOUBLE * (sum(source_size) OVER ())::DOUBLE - coalesce(sum(cap) OVER (ORDER BY cap / weight, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
         / sum(weight) OVER (ORDER BY cap / weight, rank ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w),
 l AS (SELECT arg_min(level, (ratio, rank)) AS fit FROM f WHERE level <= ratio),
-t AS (SELECT source, source_size, least(cap, coalesce(weight * fit, cap)) AS target FROM f LEFT JOIN l ON true),
-p AS (SELECT q.doc_id, q.size, t.source_size, t.target,
+t AS (SELECT source, source_size, rank, least(cap, coalesce(weight * fit, cap)) AS target FROM f LEFT JOIN l ON true),
+p AS (SELECT q.doc_id, q.size, t.source_size, t.target, t.rank,
         coalesce(sum(q.size) OVER (PARTITION BY q.source ORDER BY turn, q.doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
       FROM q JOIN t ON q.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, size, source_size, target,
-       CAST(greatest(0, least(size, floor(target) - start)) + greatest(0, least(size, floor(target) - source_size - start)) AS BIGINT) AS taken
-FROM p
-"""
+s1 AS (SELECT *, CAST(greatest(0, least(size, floor(target) - start)) AS BIGINT) AS w1, CAST(greatest(0, least(size, floor(target) - source_size - start)) AS BIGINT) AS w2 FROM p),
+s2 AS (SELECT *, CASE WHEN w1 > 0 THEN (CAST(start AS DOUBLE) + w1 / 2.0::DOUBLE) / target END AS n1, CASE WHEN w2 > 0 THEN (CAST(source_size + start AS DOUBLE) + w2 / 2.0::DOUBLE) / target END AS n2 FROM s1)
+SELECT doc_id, size, source_size, target, w1 + w2 AS taken, {0} AS position_1, {1} AS position_2
+FROM s2
+""".format(_position("n1"), _position("n2"))
 
 OP8 = r"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),

@@ -17,7 +17,7 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = mixing.in_order(mixing.mix(table(spark, sf_dir, "documents")))
-    return m.select("doc_id", F.col("__size").alias("size"), F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), F.col("__taken").alias("taken"))
+    return m.select("doc_id", F.col("__size").alias("size"), F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), F.col("__taken").alias("taken"), *[F.try_element_at(F.col("__passes.position"), F.lit(k)).alias(f"position_{k}") for k in (1, 2)])
 
 
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,19 +2,23 @@
 
 A fingerprint has 64 bits. Two of them that differ in at most `bits` bits, their bits being split into m partitions,
 differ in at most t_i bits within some partition i, whenever the thresholds t_i (-1 leaves a partition out) sum to
-bits - m + 1. Correlated bits go into one partition, so partitions differ in how selective they are. For each m a
-dynamic programme allocates the thresholds of least cost: estimated candidates plus probes, from the counted matches
-of each partition and the counted balance of each bit. Distinct fingerprints (copies are one row) are indexed by the
-value of each partition in use, probed with all values within its threshold, and verified bit by bit.
+bits - m + 1. Correlated bits go into one partition, so partitions differ in how selective they are. For each of some
+splits into m partitions, of equal and unequal widths, a dynamic programme allocates the thresholds of least cost:
+estimated candidates plus probes, from the counted matches of each partition and the counted balance of each bit; the
+cheapest split is used. As fingerprints grow in number, the values of narrow partitions become crowded and their
+counted cost rises, so wider partitions with larger thresholds take over. Distinct fingerprints (copies are one row)
+are indexed by the value of each partition in use, probed with all values within its threshold, and verified bit by bit.
 
 A partition's value that more than LIMIT distinct fingerprints share would make too many candidates. The fingerprints
 that probe it meet in the middle instead: each emits the 65 codes within one flipped bit; two fingerprints that
 differ in at most two bits have such a code in common, and a code's fingerprints are linked to the least of them
-(for more than two bits, the flips of a code number more). Links become components by stars; nothing is collected.
+(for more than two bits, the flips of a code number more). The programme prices these flips as what they are, so they
+are left for the few values that are hot under every split. Links become components by stars; nothing is collected.
 
 Defined results: a null, empty or blank text has fingerprint zero, linked like any other; a null doc_id joins its
-component but is never its id, unless the component has no other; repeated rows share a component; an empty table
-gives an empty result.
+component but is never its id, unless the component has no other; repeated rows share a component; a very long text is
+hashed in blocks; columns of docs pass through keep_one, names that begin with __ are this operator's (__rid); an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -30,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import row_key, stored, words
+from ._common import heavy, joined, row_key, stored, words
 from ._components import components
 
 SHINGLE, BITS, SEED = 3, 2, 42
@@ -67,7 +71,7 @@ def fingerprints(docs: DataFrame, size: int = SHINGLE, seed: int = SEED) -> Data
             code = np.array([fingerprint(t, size, seed) for t in f["text"]], np.uint64).view(np.int64)
             yield pd.DataFrame({"rid": f["rid"], "doc_id": f["doc_id"].astype("Int64"), "code": code})
 
-    return docs.select(row_key("doc_id", "text").alias("rid"), F.col("doc_id").cast("long"), "text").mapInPandas(run, "rid long, doc_id long, code long")
+    return docs.select(row_key("doc_id", "text").alias("rid"), F.col("doc_id").cast("long"), "text").mapInPandas(run, "rid binary, doc_id long, code long")
 
 
 def _signed(mask: int) -> int:
@@ -88,15 +92,24 @@ def _bit_sums(codes: DataFrame) -> tuple[int, np.ndarray]:
     return (int(got[0]["n"]), np.array([r[2:] for r in got])) if got else (0, np.zeros((64, 64)))
 
 
-def partitions(n: int, both: np.ndarray, m: int) -> list[list[int]]:
-    """64 bits in m partitions of nearly equal width, the most correlated bits together."""
+def splits(bits: int) -> list[list[int]]:
+    """Widths of partitions that are tried: for each number of them equal ones, and a first one that is narrower than the rest."""
+    out = [[64]]
+    for m in range(2, bits + 2):
+        out.append([64 * (k + 1) // m - 64 * k // m for k in range(m)])
+        first = 64 * 3 // (4 * m)
+        out.append([first, *[(64 - first) * (k + 1) // (m - 1) - (64 - first) * k // (m - 1) for k in range(m - 1)]])
+    return out
+
+
+def partitions(n: int, both: np.ndarray, widths: list[int]) -> list[list[int]]:
+    """64 bits in partitions of these widths, the most correlated bits together."""
     p = np.diag(both) / max(n, 1)
     sd = np.sqrt(np.maximum(p * (1 - p), 1e-12))
     r = np.abs((both / max(n, 1) - np.outer(p, p)) / np.outer(sd, sd))
     np.fill_diagonal(r, 0)
     left, out = set(range(64)), []
-    for k in range(m):
-        width = 64 * (k + 1) // m - 64 * k // m
+    for width in widths:
         rest = sorted(left)
         pair = max(combinations(rest, 2), key=lambda x: r[x]) if width > 1 else (rest[0],)
         part = list(pair)
@@ -121,30 +134,39 @@ def allocate(cost: list[list[float]], bits: int) -> tuple[float, list[int]]:
     return best[bits + 1]
 
 
-def plan(codes: DataFrame, bits: int) -> list[tuple[list[int], int]]:
+def _mask(part: list[int]) -> int:
+    return _signed(reduce(lambda a, b: a | 1 << b, part, 0))
+
+
+def plan(codes: DataFrame, bits: int, limit: int = LIMIT) -> list[tuple[list[int], int]]:
     """The partitions in use, each with its threshold."""
     n, both = _bit_sums(codes)
     p = np.diag(both) / max(n, 1)
     agree = np.maximum(p * p + (1 - p) ** 2, 1e-6)
-    best: tuple[float, list] | None = None
-    for m in range(1, bits + 2):
-        parts = partitions(n, both, m)
-        masks = [reduce(lambda a, b: a | 1 << b, x, 0) for x in parts]
-        rows = codes.select("code", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col("code").bitwiseAND(_signed(x)).alias("v")) for i, x in enumerate(masks)])).alias("x")).groupBy("x.i", "x.v").agg(F.count(F.lit(1)).cast("double").alias("c")).groupBy("i").agg(F.sum(F.col("c") * F.least("c", F.lit(float(LIMIT)))).alias("pairs")).collect()
-        same = {r["i"]: r["pairs"] for r in rows}
+    tried = [partitions(n, both, widths) for widths in splits(bits)]
+    parts = [x for t in tried for x in t]
+    # Of each partition: the candidates in values that pair, and the fingerprints in crowded ones, which emit all flips of a middle.
+    each = codes.select(F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col("code").bitwiseAND(_mask(x)).alias("v")) for i, x in enumerate(parts)])).alias("x")).groupBy("x.i", "x.v").agg(F.count(F.lit(1)).cast("double").alias("c"))
+    few = F.col("c") <= limit
+    counted = {r["i"]: (r["pairs"] or 0.0, r["crowd"] or 0.0) for r in each.groupBy("i").agg(F.sum(F.when(few, F.col("c") * F.col("c"))).alias("pairs"), F.sum(F.when(~few, F.col("c"))).alias("crowd")).collect()}
+    middles = sum(comb(64, k) for k in range(bits - bits // 2 + 1))
+    best, at = None, 0
+    for t_parts in tried:
         cost = []
-        for i, x in enumerate(parts):
-            c, found, odds = [0.0], same.get(i, 0.0), (1 - agree[x]) / agree[x]
+        for i, x in enumerate(t_parts, at):
+            (pairs, crowd), c, odds = counted.get(i, (0.0, 0.0)), [0.0], (1 - agree[x]) / agree[x]
             sums = [1.0, *[0.0] * (bits + 1)]  # of products of the odds of 1, 2, ... bits that differ
             for o in odds:
                 for t in range(bits + 1, 0, -1):
                     sums[t] += sums[t - 1] * o
             for t in range(min(bits, len(x)) + 1):
-                c.append(found * sum(sums[: t + 1]) + PROBE * n * sum(comb(len(x), k) for k in range(t + 1)))
+                reached = min(float(n), crowd * sum(sums[: t + 1]))
+                c.append(pairs * sum(sums[: t + 1]) + PROBE * n * sum(comb(len(x), k) for k in range(t + 1)) + PROBE * middles * reached)
             cost.append(c)
+        at += len(t_parts)
         total, chosen = allocate(cost, bits)
         if best is None or total < best[0]:
-            best = (total, [(x, t) for x, t in zip(parts, chosen, strict=True) if t >= 0])
+            best = (total, [(x, t) for x, t in zip(t_parts, chosen, strict=True) if t >= 0])
     return best[1]
 
 
@@ -156,15 +178,18 @@ def _within(code: Column, masks: list[int]) -> Column:
     return F.transform(F.array(*[F.lit(m) for m in masks]), lambda m: code.bitwiseXOR(m))
 
 
+def _probes(own: Column, i: int, masks: list[int]) -> Column:
+    return F.transform(_within(own, masks), lambda v: F.struct(F.lit(i).alias("i"), v.alias("v")))
+
+
 def links(codes: DataFrame, bits: int = BITS, limit: int = LIMIT) -> DataFrame:
     """(a, b): links of at most `bits` bits between distinct codes, enough of them to join all that are linked."""
-    chosen = plan(codes, bits)
+    chosen = plan(codes, bits, limit)
     index, probes = [], []
     for i, (part, t) in enumerate(chosen):
-        mask = _signed(reduce(lambda a, b: a | 1 << b, part, 0))
-        own = F.col("code").bitwiseAND(mask)
+        own = F.col("code").bitwiseAND(_mask(part))
         index.append(F.array(F.struct(F.lit(i).alias("i"), own.alias("v"))))
-        probes.append(F.transform(_within(own, _flips(part, t)), lambda v, i=i: F.struct(F.lit(i).alias("i"), v.alias("v"))))
+        probes.append(_probes(own, i, _flips(part, t)))
     indexed = codes.select("code", F.explode(F.concat(*index)).alias("x")).select("code", "x.i", "x.v")
     probing = codes.select(F.col("code").alias("from"), F.explode(F.concat(*probes)).alias("x")).select("from", "x.i", "x.v") if any(t for _, t in chosen) else indexed.withColumnRenamed("code", "from")
     shared = stored(indexed.groupBy("i", "v").agg(F.count(F.lit(1)).alias("n")).where("n > 1" if not any(t for _, t in chosen) else "n > 0"), "simhash-values")
@@ -186,11 +211,12 @@ def links(codes: DataFrame, bits: int = BITS, limit: int = LIMIT) -> DataFrame:
 def near_duplicates(docs: DataFrame, size: int = SHINGLE, bits: int = BITS, seed: int = SEED, limit: int = LIMIT) -> DataFrame:
     """(code, rid, doc_id, root, component): root names the component; component is the smallest doc_id in it, null if it has none."""
     prints = stored(fingerprints(docs, size, seed), "simhash")
-    codes = stored(prints.groupBy("code").agg(F.min("doc_id").alias("low")), "simhash-codes")
-    joined = components(links(codes, bits, limit))
-    of_code = codes.join(joined.withColumnRenamed("node", "code"), "code", "left").select("code", "low", F.coalesce("root", "code").alias("root"))
-    lows = of_code.groupBy("root").agg(F.min("low").alias("component"))
-    return prints.join(of_code.join(lows, "root").select("code", "root", "component"), "code")
+    codes = stored(prints.groupBy("code").agg(F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("n")), "simhash-codes")
+    roots = components(links(codes, bits, limit))
+    of_code = stored(codes.join(roots.withColumnRenamed("node", "code"), "code", "left").select("code", "low", F.coalesce("root", "code").alias("root")), "simhash-roots")
+    lows = stored(of_code.groupBy("root").agg(F.min("low").alias("component"), F.count(F.lit(1)).alias("n")), "simhash-lows")
+    named = joined(of_code, lows.select("root", "component"), ["root"], heavy(lows, "root"))
+    return joined(prints, named.select("code", "root", "component"), ["code"], heavy(codes.select("code", "n"), "code"))
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
@@ -199,7 +225,7 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
 
 
 def first_rows(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """Of each root in found (root, rid, doc_id) the row of the smallest doc_id."""
+    """Of each root in found (root, rid, doc_id) the row of the smallest doc_id. Rows are chosen as they come, so of rows that repeat one stays."""
     first = stored(found, "first-rows").groupBy("root").agg(F.min_by("rid", F.struct(F.col("doc_id").isNull(), "doc_id", "rid")).alias("__rid"))
     keyed = docs.withColumn("__rid", row_key("doc_id", "text"))
     return keyed.join(first.select("__rid").distinct(), "__rid", "left_semi").dropDuplicates(["__rid"]).drop("__rid")
