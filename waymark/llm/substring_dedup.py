@@ -108,10 +108,10 @@ def _emit_stretches(window: int, k: int):
     """Rows (h, kind, rid, first, data) for the anchors named in __hits as place * 2 + (1 if too frequent)."""
 
     def emit(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows, codes, doc, start in _chunks(frames):
+        for rows, codes, doc, start in _chunks(f.assign(text=f["text"].where(f["__hits"].notna(), None)) for f in frames):
             m, h, first, last = _anchors(codes, doc, window, k)
             d, place = doc[m], m - start[doc[m]]
-            hits = [np.asarray(x, np.int64) for x in rows["__hits"]]
+            hits = [np.asarray(x if x is not None else (), np.int64) for x in rows["__hits"]]
             wanted = np.concatenate([x + (i << 40) for i, x in enumerate(hits)]) if hits else np.zeros(0, np.int64)
             label = (place << 1) + (d.astype(np.int64) << 40)
             plain, often = np.isin(label, wanted), np.isin(label + 1, wanted)
@@ -276,7 +276,8 @@ def repeats(docs: DataFrame, window: int = WINDOW, k: int = K, group: int = GROU
     anchors = stored(docs.select("__rid", "text").mapInPandas(_emit_anchors(window, k), "h long, rid binary, place int"), "anchors")
     often = stored(anchors.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "prefixes")
     hits = joined(anchors, often.select("h", (F.col("n") > group).cast("int").alias("hot")), ["h"], heavy(often, "h")).groupBy(F.col("rid").alias("__rid")).agg(F.collect_set(F.col("place") * 2 + F.col("hot")).alias("__hits"))
-    stretches = docs.join(hits, "__rid").mapInPandas(_emit_stretches(window, k), "h long, kind int, rid binary, first int, data binary")
+    # Both joins of the texts, this and that with the spans, are outer joins over all columns, so that Spark shuffles the texts once for both.
+    stretches = docs.join(hits, "__rid", "left").mapInPandas(_emit_stretches(window, k), "h long, kind int, rid binary, first int, data binary")
     found = stretches.repartition("h").sortWithinPartitions("h", "kind", "data").mapInPandas(_find_repeats(window, k), "rid binary, start int, stop int")
     return docs, found.groupBy(F.col("rid").alias("__rid")).agg(F.collect_set(F.struct("start", "stop")).alias("__spans"))
 
