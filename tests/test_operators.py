@@ -15,26 +15,31 @@ H = fn.HOUR
 
 LABELS = [
     ({"death": 0, "died": 1}, "invalid_input", None, None),
-    ({"death": 24, "died": 1}, "event", 1, None),
+    ({"death": 24, "died": 1}, "event", 1, False),
     ({"death": 30, "died": 0}, "status_conflict", None, None),
-    ({"alive_discharge": 24, "discharge": 24}, "non_event_alive_discharge", 0, True),
-    ({"alive_discharge": 12, "discharge": 12, "last_seen": 12}, "non_event_alive_discharge", 0, True),
-    ({"transfer": 12, "discharge": 12}, "acute_transfer", None, None),
+    ({"alive_discharge": 24, "last_seen": 24}, "non_event_alive_discharge", 0, True),
+    ({"alive_discharge": 12, "last_seen": 12}, "non_event_alive_discharge", 0, False),
+    ({"transfer": 12}, "acute_transfer", None, False),
     ({"died": 1}, "death_time_missing", None, None),
     ({"death": 30, "died": 0, "last_seen": 12}, "status_conflict", None, None),
     ({}, "non_event_observed", 0, True),
     ({"last_seen": 12}, "missing_status_left_observation", None, None),
     ({"alive_discharge": 30}, "non_event_observed", 0, True),
+    ({"death": 30, "died": 1, "last_seen": 12}, "missing_status_left_observation", None, False),
+    ({"alive_discharge": 12, "seen_after": True}, "non_event_alive_discharge", 0, False),
+    ({"last_seen": 12, "seen_after": True}, "missing_status_left_observation", None, False),
+    ({"last_seen": None}, "missing_status_left_observation", None, False),
 ]
+REASONS = {0: "invalid_input", 2: "status_conflict", 5: "acute_transfer", 6: "death_time_missing", 9: "missing_status_left_observation", 13: "time_anomaly"}
 
 
 def label_rows(spark):
-    base = {"died": 0, "death": None, "discharge": 48, "transfer": None, "alive_discharge": None, "last_seen": 48}
+    base = {"died": 0, "death": None, "transfer": None, "alive_discharge": None, "last_seen": 48, "seen_after": False}
     out = []
     for i, (over, *_) in enumerate(LABELS):
         r = base | over
-        out.append((i, 0, 24 * H, r["died"], *[None if r[c] is None else r[c] * H for c in ("death", "discharge", "transfer", "alive_discharge", "last_seen")], False))
-    return spark.createDataFrame(out, "i int, t long, w_end long, died int, death long, discharge long, transfer long, alive_discharge long, last_seen long, seen_after boolean")
+        out.append((i, 0, 24 * H, r["died"], *[None if r[c] is None else r[c] * H for c in ("death", "transfer", "alive_discharge", "last_seen")], r["seen_after"]))
+    return spark.createDataFrame(out, "i int, t long, w_end long, died int, death long, transfer long, alive_discharge long, last_seen long, seen_after boolean")
 
 
 def test_label_states(spark):
@@ -43,12 +48,16 @@ def test_label_states(spark):
         assert (got[i].state, got[i].y) == (state, y), i
         assert full is None or got[i].full_followup is full
         assert got[i].ascertainable == (y is not None) and (got[i].unknown_reason is None) == (y is not None)
+        assert got[i].status == {1: "event", 0: "non_event", None: "unknown"}[y] and REASONS.get(i, got[i].unknown_reason) == got[i].unknown_reason
+    queue = outcomes.adjudication_queue(outcomes.label_states(label_rows(spark))).collect()
+    assert sorted(r.i for r in queue) == [0, 2, 6, 7] and {r.adjudication for r in queue} == {"pending"}
 
 
 def test_competing_risk_order_and_censoring(spark):
-    rows = spark.createDataFrame([(1, 0, 5, 5, 5, 9), (2, 0, None, 8, 5, 9), (3, 0, None, None, None, 200), (4, 0, None, None, None, 3), (5, 0, None, None, None, None), (6, 0, 0, None, 169, 300)], "i int, t long, death long, transfer long, alive_discharge long, last_seen long")
+    given = [(1, 0, 5, 5, 5, 9), (2, 0, None, 8, 5, 9), (3, 0, None, None, None, 200), (4, 0, None, None, None, 3), (5, 0, None, None, None, None), (6, 0, 0, None, 169, 300), (7, 0, 5, 2, None, 9), (8, 0, 168, 2, 1, 9)]
+    rows = spark.createDataFrame(given, "i int, t long, death long, transfer long, alive_discharge long, last_seen long")
     got = {r.i: (r.cause, r.at, r.censor_type) for r in outcomes.competing_risk(rows, 168).collect()}
-    assert got == {1: (1, 5, "none"), 2: (3, 5, "none"), 3: (0, 168, "administrative"), 4: (0, 3, "lost"), 5: (0, 0, "lost"), 6: (0, 168, "administrative")}
+    assert got == {1: (1, 5, "window_end"), 2: (3, 8, "window_end"), 3: (0, 168, "window_end"), 4: (0, 3, "left_observation"), 5: (0, 168, "window_end"), 6: (0, 168, "window_end"), 7: (1, 5, "window_end"), 8: (1, 168, "window_end")}
     bins = rows.select(outcomes.event_bin(F.lit(13), F.lit(0), F.lit(1), 12, 14).alias("a"), outcomes.event_bin(F.lit(0), F.lit(0), F.lit(1), 12, 14).alias("b"), outcomes.event_bin(F.lit(3), F.lit(0), F.lit(0), 12, 14).alias("c")).first()
     assert tuple(bins) == (2, 1, 14)
 
@@ -109,24 +118,75 @@ def test_grid(spark):
     assert got == {1: [(0, True), (1, True), (2, False)], 2: [(2, False), (3, False)], 4: [(0, True), (1, True)]}
 
 
-def test_episodes(spark):
+#: (gap in minutes, units and (from, to) minutes around the start of each move, units before and after): status, evidence, path class, decisions at thresholds 0 and 60
+ICU, ED, WARD = "Medical Intensive Care Unit", "Emergency Department", "Medicine"
+EDGES = [
+    (None, [], ICU, ICU, "not_applicable", "no_transfer_evidence", "first_stay", "split", "split"),
+    (-5, [(ICU, -9, 9)], ICU, ICU, "anomaly", "overlap", "overlapping_transfer_records", "pending_review", "pending_review"),
+    (0, [], ICU, ICU, "missing_boundary", "no_transfer_evidence", "missing_left_boundary", "pending_review", "pending_review"),
+    (0, [(ICU, -9, 9), (ICU, -8, 5)], ICU, ICU, "anomaly", "direct_icu", "multiple_conflicting_boundary_events", "pending_review", "pending_review"),
+    (0, [(ICU, -9, 9), (WARD, -8, 5)], ICU, ICU, "anomaly", "via_ward", "multiple_conflicting_boundary_events", "split", "split"),
+    (0, [(None, -9, 9)], ICU, ICU, "anomaly", "direct_icu", "unknown_careunit", "pending_review", "pending_review"),
+    (0, [(ED, -9, 9)], ICU, ICU, "anomaly", "via_ed", "icu_to_ed_to_icu", "split", "split"),
+    (0, [(WARD, -10, 20)], ICU, "CCU", "clean", "via_internal_placeholder", "icu_to_internal_placeholder_to_icu", "merged", "merged"),
+    (0, [(WARD, -10, 21)], ICU, ICU, "anomaly", "via_ward", "icu_to_ward_to_icu", "split", "split"),
+    (0, [(WARD, -10, None)], ICU, ICU, "missing_boundary", "no_transfer_evidence", "missing_left_boundary", "pending_review", "pending_review"),
+    (60, [(WARD, -10, None)], ICU, ICU, "not_applicable", "via_ward", "icu_to_ward_to_icu", "split", "split"),
+    (0, [(WARD, -10, 20)], WARD, ICU, "anomaly", "via_ward", "icu_to_ward_to_icu", "split", "split"),
+    (0, [(ICU, -9, 9)], ICU, "CCU", "clean", "direct_icu", "icu_to_icu", "merged", "merged"),
+    (60, [(ICU, -70, -20), (ED, -30, 5)], ICU, ICU, "not_applicable", "via_ed", "icu_to_ed_to_icu", "split", "split"),
+    (60, [(WARD, -50, -20)], ICU, ICU, "not_applicable", "via_internal_placeholder", "icu_to_internal_placeholder_to_icu", "split", "merged"),
+    (60, [(WARD, -50, -10)], ICU, ICU, "not_applicable", "via_ward", "icu_to_ward_to_icu", "split", "split"),
+    (60, [(ICU, -50, -10), (ICU, -40, -5)], ICU, ICU, "not_applicable", "direct_icu", "icu_to_icu", "split", "merged"),
+    (60, [], ICU, ICU, "not_applicable", "no_transfer_evidence", "no_transfer_rows", "split", "merged"),
+    (61, [], ICU, ICU, "not_applicable", "no_transfer_evidence", "no_transfer_rows", "split", "split"),
+]
+
+
+def test_path_evidence_and_decisions_branch_by_branch(spark):
+    m = fn.MINUTE
+    stays, moves = [], []
+    for i, (gap, path, before, after, *_) in enumerate(EDGES):
+        start = 1000 * m
+        stays += [(i, 2 * i, 0, None if gap is None else start - gap * m, before), (i, 2 * i + 1, start, start + 50 * m, after)]
+        moves += [(i, 10 * i + j, start + a * m, None if b is None else start + b * m, u) for j, (u, a, b) in enumerate(path)]
+    s = spark.createDataFrame(stays, "key long, stay_id long, start long, stop long, unit string")
+    x = spark.createDataFrame(moves, "key long, move_id long, at long, stop long, unit string")
+    got = {(r.key, r.tau): r for r in episodes.decided_edges(s, x, m, [0, 60]).collect()}
+    for i, (_, _, _, _, status, evidence, path_class, at_0, at_60) in enumerate(EDGES):
+        r = got[i, 0]
+        assert (r.status, r.evidence, r.path_class, r.decision, got[i, 60].decision) == (status, evidence, path_class, at_0, at_60), i
+    assert got[4, 0].between == WARD and got[4, 0].conflict and not got[16, 0].conflict and got[5, 0].exclusion == "unknown_careunit_in_path"
+    judged = spark.createDataFrame([(2 * 2 + 1, "adjudicated", "merged"), (2 * 3 + 1, "pending", "merged"), (2 * 7 + 1, "adjudicated", "split")], "stay_id long, adjudication string, final string")
+    early = {r.stay_id: r for r in episodes.merge_episodes(s, x, m, [60]).collect()}
+    late = {r.stay_id: r for r in episodes.merge_episodes(s, x, m, [60], judged).collect()}
+    assert early[5].episode_id == "EP_2_2" and early[5].unresolved and late[5].episode_id == "EP_2_1" and (late[5].mapping_status, late[5].stay_seq) == ("adjudicated", 2)
+    assert late[7].episode_seq == 2 and late[7].unresolved and late[15].episode_seq == 1 and late[15].mapping_status == "clean" and late[15].gap_max == 0.0
+    assert episodes.merge_episodes(s.limit(0), x, m, [0, 60]).count() == 0
+
+
+def test_units_and_edges(spark):
     m = fn.MINUTE
-    s = spark.createDataFrame([(1, 10, 0, 100 * m, "MICU"), (1, 11, 100 * m, 200 * m, "MICU"), (1, 12, 260 * m, None, "Ward"), (1, 13, 900 * m, 990 * m, None), (2, 20, 0, 5, "ED")], "key long, stay_id long, start long, stop long, unit string")
+    s = spark.createDataFrame([(1, 10, 0, 100 * m, ICU), (1, 11, 100 * m, 200 * m, ICU), (1, 12, 260 * m, None, WARD), (1, 13, 900 * m, 990 * m, None), (2, 20, 0, 5, ED)], "key long, stay_id long, start long, stop long, unit string")
     e = episodes.stay_edges(s, m)
     assert {r.stay_id: r.gap_min for r in e.collect()} == {11: 0.0, 12: 60.0, 13: None}
-    moves = spark.createDataFrame([(1, 1, 210 * m, 250 * m, "Step ICU"), (1, 2, 205 * m, 215 * m, "MICU")], "key long, move_id long, at long, stop long, unit string")
-    g = episodes.gap_events(e, moves)
-    assert {r.stay_id: [x["move_id"] for x in r.path] for r in g.collect()} == {11: [], 12: [2, 1], 13: []}
-    c = g.withColumn("c", episodes.path_class(F.col("path"), episodes.unit_kind(F.col("prev_unit")), episodes.unit_kind(F.col("unit")), F.col("prev_stop"), F.col("start"), m))
-    assert {r.stay_id: r.c for r in c.collect()} == {11: "adjacent", 12: "overlapping_moves", 13: "open_end"}
-    d = c.withColumn("decision", episodes.decide(F.col("gap_min"), F.lit(60), F.col("c")))
-    assert {r.stay_id: r.decision for r in d.collect()} == {11: "merged", 12: "pending_review", 13: "split"}
-    judged = spark.createDataFrame([(12, "merged")], "stay_id long, decision string")
-    ids = lambda x: {r.stay_id: (r.episode_id, r.stay_seq, r.open) for r in episodes.episode_map(s, x).collect()}
-    assert ids(episodes.adjudicated(d, judged)) == {10: ("EP_1_1", 1, True), 11: ("EP_1_1", 2, True), 12: ("EP_1_1", 3, True), 13: ("EP_1_2", 1, False), 20: ("EP_2_1", 1, False)}
-    assert ids(episodes.adjudicated(d, judged.limit(0)))[12][0] == "EP_1_2"
-    kinds = spark.createDataFrame([("Surgical ICU",), (" Emergency ",), ("Ward 3",), ("Lab",), ("",), (None,)], "u string").select(episodes.unit_kind(F.col("u"))).collect()
-    assert [r[0] for r in kinds] == ["icu", "ed", "ward", "unknown", "unknown", "unknown"]
+    moves = spark.createDataFrame([(1, 1, 210 * m, 250 * m, "Step ICU"), (1, 2, 205 * m, 215 * m, ICU)], "key long, move_id long, at long, stop long, unit string")
+    assert {r.stay_id: [x["move_id"] for x in r.path] for r in episodes.gap_events(e, moves).collect()} == {11: [], 12: [2, 1], 13: []}
+    kinds = spark.createDataFrame([("Surgical Intensive Care Unit",), (" Emergency Department ",), ("Ward 3",), ("CCU",), ("",), (None,), ("UNKNOWN",)], "u string").select(episodes.unit_kind(F.col("u"))).collect()
+    assert [r[0] for r in kinds] == ["icu", "ed", "ward", "icu", "unknown", "unknown", "unknown"]
+
+
+def test_observation_end_and_next_after(spark):
+    e = spark.createDataFrame([("a", 5), ("a", 9), ("b", 3), ("d", 7)], "key string, e long")
+    limits = spark.createDataFrame([("a", 8), ("b", None), ("c", 4), ("d", 9), ("e", None)], "key string, limit long")
+    got = {r.key: (r.observed_until, r.end_source, r.after_limit) for r in outcomes.observation_end({"x": e, "y": e}, limits, ["x"]).collect()}
+    assert got == {"a": (8, "discharge", True), "b": (3, "clinical_event", False), "c": (4, "discharge", False), "d": (7, "clinical_event", False), "e": (None, "unknown", False)}
+    r = random.Random(3)
+    ev = [("ab"[r.randrange(2)], r.randrange(40), r.randrange(3)) for _ in range(60)] + [("z", 1, 0)]
+    grid = [(k, i, i * 5) for k in "abc" for i in range(9)]
+    df = outcomes.next_after(spark.createDataFrame(grid, "key string, k int, t long"), spark.createDataFrame(ev, "key string, e long, v int"), {"zero": F.col("v") == 0, "any": F.lit(True)})
+    later = lambda k, t, f: min((e for q, e, v in ev if q == k and e > t and f(v)), default=None)
+    assert sorted((x.key, x.k, x.zero, x.any) for x in df.collect()) == sorted((k, i, later(k, t, lambda v: v == 0), later(k, t, lambda v: True)) for k, i, t in grid)
 
 
 def test_chain_dedup(spark):

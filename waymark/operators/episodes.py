@@ -5,21 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Kinds of care unit by substring, in order.
-UNIT_KINDS = {"icu": ("icu", "intensive", "ccu"), "ed": ("emergency", "urgent"), "ward": ("ward", "medium", "low")}
+#: Kinds of care unit by substring, in order; any other name is a ward, and no name is unknown.
+UNIT_KINDS = {"icu": ("intensive care unit", "ccu"), "ed": ("emergency department",)}
 PLACEHOLDER_MINUTES = 30
 
 
-def unit_kind(name: Column, kinds: dict[str, tuple[str, ...]] = UNIT_KINDS) -> Column:
-    """The first kind with a substring in the trimmed, lower-cased name; else unknown."""
+def unit_kind(name: Column, kinds: dict[str, tuple[str, ...]] = UNIT_KINDS, other: str = "ward") -> Column:
+    """The first kind with a substring in the trimmed, lower-cased name; unknown for null, blank and the name unknown; else `other`."""
     text = F.lower(F.trim(name))
-    out = F.lit("unknown")
+    out = F.lit(other)
     for kind, parts in reversed(kinds.items()):
         hit = F.lit(False)
         for p in parts:
             hit |= text.contains(p)
         out = F.when(hit, kind).otherwise(out)
-    return F.when(name.isNull() | (F.trim(name) == ""), "unknown").otherwise(out)
+    return F.when(name.isNull() | text.isin("", "unknown"), "unknown").otherwise(out)
 
 
 def stay_edges(stays: DataFrame, minute: int) -> DataFrame:
@@ -32,29 +32,62 @@ def stay_edges(stays: DataFrame, minute: int) -> DataFrame:
 def gap_events(edges: DataFrame, moves: DataFrame) -> DataFrame:
     """edges with `path`: the moves (key, at, stop, unit) that overlap the gap (prev_stop, start), in order."""
     j = edges.join(moves.select("key", "at", F.col("stop").alias("m_stop"), F.col("unit").alias("m_unit"), F.col("move_id")), "key")
-    hit = j.where((F.col("at") < F.col("start")) & (F.coalesce(F.col("m_stop"), F.col("at") + 1) > F.col("prev_stop")))
+    hit = j.where((F.col("at") < F.col("start")) & (F.coalesce(F.col("m_stop"), F.col("start")) > F.col("prev_stop")))
     path = hit.groupBy("key", "stay_id").agg(F.array_sort(F.collect_list(F.struct("at", "move_id", F.col("m_stop").alias("stop"), F.col("m_unit").alias("unit")))).alias("path"))
     return edges.join(path, ["key", "stay_id"], "left").withColumn("path", F.coalesce("path", F.array().cast("array<struct<at:bigint,move_id:bigint,stop:bigint,unit:string>>")))
 
 
-def path_class(path: Column, prev_kind: Column, kind: Column, prev_stop: Column, start: Column, minute: int) -> Column:
-    """What the moves between two stays say: adjacent, direct, through a ward, an emergency visit, out and back, or evidence that conflicts."""
-    kinds = F.transform(path, lambda m: unit_kind(m["unit"]))
-    short = F.filter(path, lambda m: (m["stop"] - m["at"]) <= PLACEHOLDER_MINUTES * minute)
-    real = F.filter(path, lambda m: m["stop"].isNull() | ((m["stop"] - m["at"]) > PLACEHOLDER_MINUTES * minute))
-    overlap = F.exists(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(path) - 1)), lambda i: F.when(i < F.size(path), F.get(path, i)["at"] < F.get(path, i - 1)["stop"]).otherwise(False)), lambda x: F.coalesce(x, F.lit(False)))
+def path_evidence(gap_min: Column, path: Column, prev_unit: Column, unit: Column, minute: int, kinds: dict[str, tuple[str, ...]] = UNIT_KINDS) -> Column:
+    """What the moves between two stays say: a struct of status, evidence, between (the units that are no ICU), path_class, exclusion and conflict.
+
+    A stay without a known end before it has no path. A negative gap is an overlap. At a gap of zero the path must be
+    clean to merge: ICU to ICU directly, or through wards of PLACEHOLDER_MINUTES at most; no moves at all, moves that
+    overlap, unknown units, an emergency visit or a ward are each a finding of their own. At a positive gap only the
+    kind of path counts.
+    """
+    kind = lambda u: unit_kind(u, kinds)
+    named = F.transform(path, lambda m: F.struct(m["unit"].alias("unit"), kind(m["unit"]).alias("kind"), m["at"].alias("at"), m["stop"].alias("stop")))
+    left, right = kind(prev_unit), kind(unit)
+    has = lambda k: F.exists(named, lambda m: m["kind"] == k)
+    ed, unknown = has("ed"), has("unknown")
+    ward = has("ward") | (left == "ward") | (right == "ward")
+    inner = F.filter(named, lambda m: m["kind"] == "ward")
+    brief = F.forall(inner, lambda m: F.coalesce(m["stop"] - m["at"] <= PLACEHOLDER_MINUTES * minute, F.lit(False)))
+    placeholder = (left == "icu") & (right == "icu") & (F.size(inner) > 0) & brief & ~ed & ~unknown
+    walk = F.struct(F.lit(None).cast("long").alias("stop"), F.lit(False).alias("bad"))
+    conflict = F.aggregate(named, walk, lambda s, m: F.struct(F.coalesce(m["stop"], s["stop"]).alias("stop"), (s["bad"] | F.coalesce(m["at"] < s["stop"], F.lit(False))).alias("bad")), lambda s: s["bad"])
+    out = F.filter(named, lambda m: m["kind"] != "icu")
+    some = F.size(out) > 0
+    between = F.when(some, F.array_join(F.transform(out, lambda m: F.coalesce(m["unit"], F.lit("unknown"))), "|"))
+    none, size = F.lit(None).cast("string"), F.size(path)
+
+    def found(status, evidence, units, path_class, exclusion, bad=False) -> Column:
+        cols = [x if isinstance(x, Column) else F.lit(x).cast("string") for x in (status, evidence, units, path_class, exclusion)]
+        return F.struct(*[c.alias(n) for c, n in zip(cols, ("status", "evidence", "between", "path_class", "exclusion"), strict=True)], F.lit(bad).alias("conflict"))
+
+    zero = gap_min == 0
+    via_ed = found(F.when(zero, "anomaly").otherwise("not_applicable"), "via_ed", between, "icu_to_ed_to_icu", "via_ed")
+    via_ward = found(F.when(zero, "anomaly").otherwise("not_applicable"), "via_ward", between, "icu_to_ward_to_icu", "via_ward")
+    brief_stop = found(F.when(zero, "clean").otherwise("not_applicable"), "via_internal_placeholder", between, "icu_to_internal_placeholder_to_icu", none)
     return (
-        F.when(prev_stop.isNull(), "open_end").when(start < prev_stop, "overlapping_stays").when((F.size(path) == 0) & (start == prev_stop), "adjacent").when(F.size(path) == 0, "no_evidence")
-        .when(overlap, "overlapping_moves").when(F.size(short) == F.size(path), "placeholder").when(F.exists(kinds, lambda k: k == "unknown") & (F.size(real) > 1), "unknown_units")
-        .when(F.exists(kinds, lambda k: k == "ed"), "through_ed").when(F.forall(kinds, lambda k: k == "icu"), "direct").when(F.forall(kinds, lambda k: k == "ward") & (prev_kind == kind), "through_ward").when(F.exists(kinds, lambda k: k == "ward"), "mixed_path").otherwise("other")
+        F.when(gap_min.isNull(), found("not_applicable", "no_transfer_evidence", none, "first_stay", none))
+        .when(gap_min < 0, found("anomaly", "overlap", none, "overlapping_transfer_records", "overlap_records"))
+        .when(zero & (size == 0), found("missing_boundary", "no_transfer_evidence", none, "missing_left_boundary", "missing_boundary_evidence"))
+        .when(zero & conflict, found("anomaly", F.when(some, "via_ward").otherwise("direct_icu"), between, "multiple_conflicting_boundary_events", "conflicting_boundary_events", True))
+        .when(zero & unknown, found("anomaly", "direct_icu", between, "unknown_careunit", "unknown_careunit_in_path"))
+        .when(ed, via_ed).when(placeholder, brief_stop).when(ward, via_ward)
+        .when(zero, found("clean", "direct_icu", none, "icu_to_icu", none))
+        .when(size > 0, found("not_applicable", "direct_icu", none, "icu_to_icu", none))
+        .otherwise(found("not_applicable", "no_transfer_evidence", none, "no_transfer_rows", none))
     )
 
 
-def decide(gap_min: Column, tau: Column, path: Column) -> Column:
-    """merged within tau minutes, split beyond it, pending_review where the evidence conflicts."""
+def decide(gap_min: Column, tau: Column, status: Column, evidence: Column) -> Column:
+    """split without a gap; pending_review at an overlap; split through a ward or an emergency visit; at a gap of zero merged if clean, else pending_review; merged within tau minutes by direct, brief or no evidence; else split."""
     return (
-        F.when(path.isin("overlapping_stays", "overlapping_moves", "unknown_units"), "pending_review").when(path == "open_end", "split").when(path == "adjacent", "merged")
-        .when(path.isin("direct", "placeholder", "no_evidence") & (gap_min <= tau), "merged").when((path == "through_ward") & (gap_min <= tau) & (tau > 0), "pending_review").otherwise("split")
+        F.when(gap_min.isNull(), "split").when(gap_min < 0, "pending_review").when(evidence.isin("via_ward", "via_ed"), "split")
+        .when((gap_min == 0) & (status == "clean"), "merged").when(gap_min == 0, "pending_review")
+        .when((gap_min <= tau) & evidence.isin("direct_icu", "no_transfer_evidence", "via_internal_placeholder"), "merged").otherwise("split")
     )
 
 
@@ -63,25 +96,54 @@ def by_tau(edges: DataFrame, taus: list[int]) -> DataFrame:
     return edges.withColumn("tau", F.explode(F.array(*[F.lit(t).cast("int") for t in taus])))
 
 
-def adjudicated(edges: DataFrame, adjudications: DataFrame) -> DataFrame:
-    """Pending edges with their adjudicated decision; without one they stay apart as unresolved_conservative_split."""
-    j = edges.join(adjudications.select("stay_id", F.col("decision").alias("__d")), "stay_id", "left")
-    return j.withColumn("decision", F.when(F.col("decision") == "pending_review", F.coalesce("__d", F.lit("unresolved_conservative_split"))).otherwise(F.col("decision"))).drop("__d")
+def decided_edges(stays: DataFrame, moves: DataFrame, minute: int, taus: list[int], kinds: dict[str, tuple[str, ...]] = UNIT_KINDS) -> DataFrame:
+    """The edges between stays, once for each threshold, with their path's evidence and the preliminary decision."""
+    e = gap_events(stay_edges(stays, minute), moves).withColumn("__p", path_evidence(F.col("gap_min"), F.col("path"), F.col("prev_unit"), F.col("unit"), minute, kinds))
+    e = by_tau(e.select("*", "__p.*").drop("__p"), taus)
+    return e.withColumn("decision", decide(F.col("gap_min"), F.col("tau"), F.col("status"), F.col("evidence")))
+
+
+def adjudicated(edges: DataFrame, adjudications: DataFrame | None = None) -> DataFrame:
+    """edges with their final decision, merged or split, mapping_status and unresolved.
+
+    A pending edge takes its adjudication (stay_id, adjudication, final: merged or split where adjudicated); without one
+    it is split, as unresolved_conservative_split. Without any adjudications the map is preliminary.
+    """
+    pending = F.col("decision") == "pending_review"
+    if adjudications is None:
+        out = {"decision": F.when(F.col("decision") == "merged", "merged").otherwise("split"), "mapping_status": F.lit("preliminary"), "unresolved": pending}
+        return edges.withColumns(out)
+    j = edges.join(adjudications.select("stay_id", F.when((F.col("adjudication") == "adjudicated") & F.col("final").isin("merged", "split"), F.col("final")).alias("__d")), "stay_id", "left")
+    out = {
+        "decision": F.when(pending, F.coalesce("__d", F.lit("split"))).otherwise(F.col("decision")),
+        "mapping_status": F.when(pending & F.col("__d").isNull(), "unresolved_conservative_split").when(pending, "adjudicated").otherwise("clean"),
+        "unresolved": pending & F.col("__d").isNull(),
+    }
+    return j.withColumns(out).drop("__d")
 
 
 def episode_map(stays: DataFrame, edges: DataFrame, prefix: str = "EP") -> DataFrame:
-    """stays with episode_seq, episode_id, stay_seq, the episode's start and stop and whether it is open. A decision other than merged starts a new episode."""
-    w = Window.partitionBy("key").orderBy("start", "stay_id")
-    j = stays.join(edges.select("stay_id", "decision"), "stay_id", "left")
+    """stays once for each threshold tau of the final edges, with episode_seq, episode_id, stay_seq, the episode's start, stop and greatest gap, and whether it is open. A decision other than merged starts a new episode."""
+    taus = edges.select("tau").distinct()
+    j = stays.join(taus, how="cross").join(edges.select("stay_id", "tau", "decision", "gap_min", "path_class", "mapping_status", "unresolved"), ["stay_id", "tau"], "left")
+    w = Window.partitionBy("key", "tau").orderBy("start", "stay_id")
     new = F.when(F.col("decision") == "merged", 0).otherwise(1)
     j = j.withColumn("episode_seq", F.sum(new).over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("long"))
-    e = Window.partitionBy("key", "episode_seq")
+    e = Window.partitionBy("key", "tau", "episode_seq")
+    j = j.withColumn("stay_seq", F.row_number().over(e.orderBy("start", "stay_id")))
+    first = F.col("stay_seq") == 1
     return j.select(
-        "key", "stay_id", "episode_seq", F.concat_ws("_", F.lit(prefix), F.col("key").cast("string"), F.col("episode_seq").cast("string")).alias("episode_id"),
-        F.row_number().over(e.orderBy("start", "stay_id")).alias("stay_seq"), F.min("start").over(e).alias("episode_start"), F.max("stop").over(e).alias("episode_stop"), F.max(F.col("stop").isNull()).over(e).alias("open"),
+        "key", "stay_id", "tau", "episode_seq", F.concat_ws("_", F.lit(prefix), F.col("key").cast("string"), F.col("episode_seq").cast("string")).alias("episode_id"),
+        "stay_seq", F.min("start").over(e).alias("episode_start"), F.max("stop").over(e).alias("episode_stop"), F.max("gap_min").over(e).alias("gap_max"), F.max(F.col("stop").isNull()).over(e).alias("open"),
+        F.when(first, "episode_start").otherwise(F.col("mapping_status")).alias("mapping_status"), F.when(first, "episode_start").otherwise(F.col("decision")).alias("merge_decision"), F.coalesce("unresolved", F.lit(False)).alias("unresolved"),
     )
 
 
+def merge_episodes(stays: DataFrame, moves: DataFrame, minute: int, taus: list[int], adjudications: DataFrame | None = None, kinds: dict[str, tuple[str, ...]] = UNIT_KINDS, prefix: str = "EP") -> DataFrame:
+    """The episode map of stays (key, stay_id, start, stop, unit) from the moves between them, once for each threshold in minutes."""
+    return episode_map(stays, adjudicated(decided_edges(stays, moves, minute, taus, kinds), adjudications), prefix)
+
+
 def chain_dedup(events: DataFrame, within: int, priority: Column) -> DataFrame:
     """Islands of events of one (key, var), each within `within` of the one before; of each island the best by priority, then time, stays, with how many were merged."""
     w = Window.partitionBy("key", "var").orderBy("e", "event_id")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import HOUR, contains_any
@@ -13,50 +13,67 @@ SEVERE, MODERATE = (0, 1, 2, 3, 4), (0, 1)
 
 
 def observation_end(sources: dict[str, DataFrame], limits: DataFrame, whitelist: list[str]) -> DataFrame:
-    """Per key the last event of the whitelisted sources (frames of key, e), capped at its limit, the source it came from, and whether events lie beyond the limit."""
+    """Per key the end of observation: the last event of the whitelisted sources (frames of key, e), capped at the key's limit, or the limit where there is no event; which of the two it is, the source of the last event, and whether events lie beyond the limit."""
     parts = [df.select("key", "e", F.lit(n).alias("source")) for n, df in sources.items() if n in whitelist]
     last = reduce(DataFrame.unionByName, parts).groupBy("key").agg(F.max(F.struct("e", "source")).alias("m"))
     j = limits.join(last, "key", "left")
-    return j.select("key", F.least("m.e", "limit").alias("observed_until"), F.col("m.source").alias("source"), (F.col("m.e") > F.col("limit")).alias("after_limit"))
+    e, limit = F.col("m.e"), F.col("limit")
+    end = F.when(limit.isNotNull() & (e.isNull() | (limit <= e)), "discharge").when(e.isNotNull(), "clinical_event").otherwise("unknown")
+    return j.select("key", F.least(e, limit).alias("observed_until"), end.alias("end_source"), F.col("m.source").alias("last_source"), F.coalesce(e > limit, F.lit(False)).alias("after_limit"))
+
+
+def next_after(grid: DataFrame, events: DataFrame, kinds: dict[str, Column]) -> DataFrame:
+    """grid rows (key, k, t) with, for each kind, the time of the next event (key, e) after t for which its condition holds. Grid and events are united and the times carried backwards in one sort, so no event meets every landmark of its key."""
+    names = list(kinds)
+    points = events.select("key", F.col("e").alias("__at"), F.lit(1).alias("__g"), *[F.when(c, F.col("e")).alias(n) for n, c in kinds.items()])
+    marks = grid.select("key", "k", "t", F.col("t").alias("__at"), F.lit(0).alias("__g"))
+    w = Window.partitionBy("key").orderBy(F.desc("__at"), "__g").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    both = marks.unionByName(points.where(F.col("__at").isNotNull()), allowMissingColumns=True)
+    return both.select("key", "k", "t", "__g", *[F.last(n, ignorenulls=True).over(w).alias(n) for n in names]).where("__g = 0").drop("__g")
+
+
+#: The reasons for which an outcome is known, and those that go to adjudication.
+KNOWN, CONFLICTS = ("event", "non_event_observed", "non_event_alive_discharge"), ("status_conflict", "death_time_missing", "invalid_input")
 
 
 def label_states(rows: DataFrame) -> DataFrame:
-    """rows with state, y, ascertainable, full_followup and unknown_reason.
+    """rows with state, y, status, ascertainable, full_followup and unknown_reason.
 
-    Columns: t, w_end, died (0 or 1), death, discharge, transfer, alive_discharge and last_seen (times, null where there
-    is none) and seen_after (events after discharge). The order of the states is part of their meaning.
+    Columns: t, w_end, died (0 or 1), death, transfer, alive_discharge and last_seen (times, null where there is none)
+    and seen_after (whether events lie beyond the discharge). The order of the states is part of their meaning.
+    Follow-up is full where the whole window was observed: by the last sighting, or by a discharge at its end or later;
+    an event or an earlier discharge ends it. Left observation with events beyond the discharge is an anomaly of times.
     """
     c = F.col
-    within = lambda x: c(x).isNotNull() & (c(x) > c("t")) & (c(x) <= c("w_end"))
+    within = lambda x: (c(x) > c("t")) & (c(x) <= c("w_end"))
     state = (
         F.when(c("death") <= c("t"), "invalid_input")
-        .when((c("died") == 1) & c("death").isNull(), "death_time_missing")
         .when(c("death").isNotNull() & (c("died") == 0), "status_conflict")
+        .when(c("death").isNull() & (c("died") == 1), "death_time_missing")
         .when(within("death"), "event")
         .when(within("transfer"), "acute_transfer")
-        .when(within("alive_discharge") & ~F.coalesce(c("seen_after"), F.lit(False)), "non_event_alive_discharge")
-        .when(within("alive_discharge"), "status_conflict")
+        .when(within("alive_discharge"), "non_event_alive_discharge")
         .when(c("last_seen") >= c("w_end"), "non_event_observed")
-        .when(c("death") > c("w_end"), "non_event_observed")
         .otherwise("missing_status_left_observation")
     )
     out = rows.withColumn("state", state)
-    y = F.when(c("state") == "event", 1).when(c("state").startswith("non_event"), 0)
-    reason = F.when(c("state").isin("event", "non_event_observed", "non_event_alive_discharge"), F.lit(None).cast("string")).otherwise(c("state"))
-    return out.withColumns({"y": y.cast("int"), "ascertainable": y.isNotNull(), "full_followup": y.isNotNull(), "unknown_reason": reason})
+    y = F.when(c("state") == "event", 1).when(c("state").isin(*KNOWN), 0)
+    full = (c("state") == "non_event_observed") | ((c("state") == "non_event_alive_discharge") & (c("alive_discharge") >= c("w_end")))
+    left = c("state") == "missing_status_left_observation"
+    reason = F.when(left & F.coalesce(c("seen_after"), F.lit(False)), "time_anomaly").when(~c("state").isin(*KNOWN), c("state"))
+    status = F.when(y == 1, "event").when(y == 0, "non_event").otherwise("unknown")
+    return out.withColumns({"y": y.cast("int"), "status": status, "ascertainable": y.isNotNull(), "full_followup": full, "unknown_reason": reason})
 
 
 def competing_risk(rows: DataFrame, horizon: int) -> DataFrame:
-    """(cause, at, censor_type) within the horizon after t: death before transfer before discharge where times are equal, else censored at the horizon or when last seen."""
+    """rows with cause, at and censor_type within the horizon after t: 1 a death in it, else 3 a transfer, else 2 a discharge, whichever comes first; else 0, censored at the horizon, or when last seen if that is known and earlier."""
     c = F.col
     end = c("t") + horizon
-    risks = [(1, "death"), (2, "transfer"), (3, "alive_discharge")]
-    first = F.array_min(F.array_compact(F.array(*[F.when((c(n) > c("t")) & (c(n) <= end), F.struct(c(n).alias("at"), F.lit(k).alias("cause"))) for k, n in risks])))
-    seen = F.least(F.coalesce("last_seen", "t"), end)
-    return rows.withColumn("__f", first).select(
-        *rows.columns, F.coalesce("__f.cause", F.lit(0)).alias("cause"), F.coalesce("__f.at", F.greatest(seen, c("t"))).alias("at"),
-        F.when(c("__f").isNotNull(), "none").when(c("last_seen") >= end, "administrative").otherwise("lost").alias("censor_type"),
-    )
+    within = lambda x: (c(x) > c("t")) & (c(x) <= end)
+    seen = F.least(end, F.coalesce("last_seen", end))
+    out = rows.withColumn("cause", F.when(within("death"), 1).when(within("transfer"), 3).when(within("alive_discharge"), 2).otherwise(0))
+    at = F.when(c("cause") == 1, c("death")).when(c("cause") == 3, c("transfer")).when(c("cause") == 2, c("alive_discharge")).otherwise(seen)
+    return out.withColumns({"at": at, "censor_type": F.when((c("cause") == 0) & (c("last_seen") < end), "left_observation").otherwise("window_end")})
 
 
 def event_bin(at: Column, t: Column, cause: Column, width: int, n_bins: int) -> Column:
@@ -66,14 +83,15 @@ def event_bin(at: Column, t: Column, cause: Column, width: int, n_bins: int) ->
 
 
 def adjudication_queue(labelled: DataFrame) -> DataFrame:
-    return labelled.where(F.col("state").isin("status_conflict", "death_time_missing", "invalid_input"))
+    """Labelled rows whose state only a reader of the record can settle, each pending."""
+    return labelled.where(F.col("state").isin(*CONFLICTS)).withColumn("adjudication", F.lit("pending"))
 
 
-def ladder(x: Column, steps: list[tuple[float, int]], below: bool = True) -> Column:
-    """Points by thresholds, the worst first: x < edge (or x >= edge) gives the points; 0 beyond all; null for null."""
+def ladder(x: Column, steps: list[tuple[float, int]], below: bool = True, strict: bool = False) -> Column:
+    """Points by thresholds, the worst first: x < edge (or x >= edge; x > edge if strict) gives the points; 0 beyond all; null for null."""
     out = F.when(x.isNotNull(), 0)
     for edge, points in reversed(steps):
-        out = F.when((x < edge) if below else (x >= edge), points).otherwise(out)
+        out = F.when((x < edge) if below else (x > edge) if strict else (x >= edge), points).otherwise(out)
     return F.when(x.isNotNull(), out)
 
 
@@ -85,7 +103,7 @@ def organ_scores(rows: DataFrame) -> DataFrame:
     """
     c = F.col
     resp = F.when(c("ratio").isNull(), None).when((c("ratio") < 100) & c("supported"), 4).when((c("ratio") < 200) & c("supported"), 3).when(c("ratio") < 300, 2).when(c("ratio") < 400, 1).otherwise(0)
-    drugs = [F.when(c(d) > 0, ladder(c(d), steps, below=False)) for d, steps in (("drug_a", [(15.0, 4), (5.0, 3), (0.0, 2)]), ("drug_b", [(0.0, 2)]), ("drug_c", [(0.1, 4), (0.0, 3)]), ("drug_d", [(0.1, 4), (0.0, 3)]))]
+    drugs = [F.when(c(d) > 0, ladder(c(d), steps, below=False, strict=True)) for d, steps in (("drug_a", [(15.0, 4), (5.0, 3), (0.0, 2)]), ("drug_b", [(0.0, 2)]), ("drug_c", [(0.1, 4), (0.0, 3)]), ("drug_d", [(0.1, 4), (0.0, 3)]))]
     parts = {
         "resp": resp, "coag": ladder(c("platelets"), [(20, 4), (50, 3), (100, 2), (150, 1)]), "liver": ladder(c("bilirubin"), [(12.0, 4), (6.0, 3), (2.0, 2), (1.2, 1)], below=False),
         "cardio": F.greatest(F.when(c("pressure").isNotNull(), F.when(c("pressure") < 70, 1).otherwise(0)), *drugs), "neuro": ladder(c("alertness"), [(6, 4), (10, 3), (13, 2), (15, 1)]),

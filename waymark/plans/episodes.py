@@ -2,31 +2,48 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import DAY, MINUTE, micros
 from ..operators import episodes as E
 from .fixtures import point_events, sql, stays, table
 
-TAUS = [0, 30, 60]
+#: Thresholds in minutes: none, 30 days, 60 days.
+TAUS = [0, 43200, 86400]
+UNITS = {"1-URGENT": "Medical Intensive Care Unit", "2-HIGH": "CCU", "3-MEDIUM": "Surgical Intensive Care Unit", "4-NOT SPECIFIED": "Medical Intensive Care Unit", "5-LOW": "Medicine"}
 R6 = lambda c: F.round(c, 6).alias(c)
 
 
+def _stays(spark, d):
+    """Stays in units named by the order's priority; every third order of a user is shortened to end where the next begins."""
+    unit = F.element_at(F.create_map(*[F.lit(x) for p in UNITS.items() for x in p]), F.col("unit"))
+    after = F.lead("start").over(Window.partitionBy("key").orderBy("start", "stay_id"))
+    stop = F.when(F.col("stop").isNotNull() & (F.col("stay_id") % 3 == 0), F.coalesce(after, F.col("stop"))).otherwise(F.col("stop"))
+    return stays(spark, d).withColumn("stop", stop).withColumn("unit", unit)
+
+
 def _edges(spark, d):
-    return E.stay_edges(stays(spark, d), MINUTE)
+    return E.stay_edges(_stays(spark, d), MINUTE)
 
 
 def _moves(spark, d):
-    """Moves between stays: a line ships to a unit named by its return flag, for as many hours as its number."""
-    li = table(spark, d, "lineitem").join(table(spark, d, "orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
-    unit = F.when(F.col("l_returnflag") == "A", "Medical ward").when(F.col("l_returnflag") == "N", "MICU").otherwise("Emergency room")
+    """Moves between stays: a line ships to a unit named by its return flag, for some tens of minutes; and at the start of each order a move or two of some minutes around it."""
+    o = table(spark, d, "orders")
+    li = table(spark, d, "lineitem").join(o.select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
+    unit = F.when(F.col("l_returnflag") == "A", "Medicine").when(F.col("l_returnflag") == "N", "Medical Intensive Care Unit").otherwise("Emergency Department")
     at = micros("l_shipdate")
-    return li.select(F.col("o_custkey").alias("key"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("move_id"), at.alias("at"), (at + F.col("l_linenumber").cast("long") * 10 * MINUTE).alias("stop"), unit.alias("unit"))
+    a = li.select(F.col("o_custkey").alias("key"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("move_id"), at.alias("at"), (at + F.col("l_linenumber").cast("long") * 10 * MINUTE).alias("stop"), unit.alias("unit"))
+    start = micros("o_orderdate")
+    n = F.col("o_orderkey") % 7
+    kind = F.when(n < 3, "Medical Intensive Care Unit").when(n == 3, "Medicine").when(n == 4, "Emergency Department").when(n == 5, "Surgery")
+    b = o.where("o_orderkey % 5 <> 0").select(F.col("o_custkey").alias("key"), (F.col("o_orderkey") * 10 + 8).alias("move_id"), (start - 5 * MINUTE).alias("at"), F.when(n != 1, start + F.when(n == 5, F.lit(15 * MINUTE)).otherwise(F.lit(60 * MINUTE))).alias("stop"), kind.alias("unit"))
+    c = o.where("o_orderkey % 11 = 1").select(F.col("o_custkey").alias("key"), (F.col("o_orderkey") * 10 + 9).alias("move_id"), (start - 4 * MINUTE).alias("at"), (start + 9 * MINUTE).alias("stop"), F.lit("Medical Intensive Care Unit").alias("unit"))
+    return a.unionByName(b).unionByName(c)
 
 
-def _classed(spark, d):
-    e = E.gap_events(_edges(spark, d), _moves(spark, d))
-    return e.withColumn("path_class", E.path_class(F.col("path"), E.unit_kind(F.col("prev_unit")), E.unit_kind(F.col("unit")), F.col("prev_stop"), F.col("start"), MINUTE))
+def _decided(spark, d):
+    return E.decided_edges(_stays(spark, d), _moves(spark, d), MINUTE, TAUS)
 
 
 def stay_edges(spark, d):
@@ -39,28 +56,21 @@ def gap_event_list(spark, d):
 
 
 def edge_decision_by_tau(spark, d):
-    taus = [t * 1440 for t in TAUS]
-    e = E.by_tau(_classed(spark, d), taus)
-    return e.select("key", "stay_id", "tau", "path_class", E.decide(F.col("gap_min"), F.col("tau"), F.col("path_class")).alias("decision"))
+    return _decided(spark, d).select("key", "stay_id", "tau", "status", "evidence", "between", "path_class", "exclusion", "conflict", "decision")
 
 
-def _decided(spark, d, tau):
-    return _edges(spark, d).withColumn("decision", F.when(F.col("gap_min").isNull(), "split").when(F.col("gap_min") < 0, "pending_review").when(F.col("gap_min") <= tau, "merged").otherwise("split"))
-
-
-def _map(spark, d, edges):
-    m = E.episode_map(stays(spark, d), edges)
-    return m.select("key", "stay_id", "episode_seq", "episode_id", "stay_seq", F.floor(F.col("episode_start") / DAY).alias("start_day"), F.floor(F.col("episode_stop") / DAY).alias("stop_day"), "open")
+def _map(m):
+    return m.select("key", "stay_id", "tau", "episode_seq", "episode_id", "stay_seq", F.floor(F.col("episode_start") / DAY).alias("start_day"), F.floor(F.col("episode_stop") / DAY).alias("stop_day"), R6("gap_max"), "open", "mapping_status", "merge_decision", "unresolved")
 
 
 def episode_map(spark, d):
-    return _map(spark, d, _decided(spark, d, 60 * 1440))
+    return _map(E.merge_episodes(_stays(spark, d), _moves(spark, d), MINUTE, TAUS))
 
 
 def episode_map_adjudicated(spark, d):
-    e = _decided(spark, d, 60 * 1440)
-    judged = e.where("decision = 'pending_review' and stay_id % 3 <> 0").select("stay_id", F.when(F.col("stay_id") % 3 == 1, "merged").otherwise("split").alias("decision"))
-    return _map(spark, d, E.adjudicated(e, judged))
+    s = _stays(spark, d)
+    judged = s.where("stay_id % 4 <> 0").select("stay_id", F.when(F.col("stay_id") % 4 == 1, "pending").otherwise("adjudicated").alias("adjudication"), F.when(F.col("stay_id") % 4 == 2, "merged").otherwise("split").alias("final"))
+    return _map(E.merge_episodes(s, _moves(spark, d), MINUTE, TAUS, judged))
 
 
 def chain_dedup(spark, d):
@@ -70,30 +80,43 @@ def chain_dedup(spark, d):
 
 QUERIES = {f.__name__: f for f in (stay_edges, gap_event_list, edge_decision_by_tau, episode_map, episode_map_adjudicated, chain_dedup)}
 
-_EDGES = """edges AS (SELECT * FROM (SELECT key, stay_id, start, unit, lag(stay_id) OVER w AS prev_id, lag(stop) OVER w AS prev_stop, lag(unit) OVER w AS prev_unit FROM stays WINDOW w AS (PARTITION BY key ORDER BY start, stay_id)) WHERE prev_id IS NOT NULL)"""
-_KIND = "CASE WHEN {0} IS NULL OR trim({0}) = '' THEN 'unknown' WHEN regexp_matches(lower({0}), 'icu|intensive|ccu') THEN 'icu' WHEN regexp_matches(lower({0}), 'emergency|urgent') THEN 'ed' WHEN regexp_matches(lower({0}), 'ward|medium|low') THEN 'ward' ELSE 'unknown' END"
+_STAYS = """st AS (SELECT key, stay_id, start, CASE WHEN stop IS NOT NULL AND stay_id % 3 = 0 THEN coalesce(lead(start) OVER (PARTITION BY key ORDER BY start, stay_id), stop) ELSE stop END AS stop,
+ CASE unit WHEN '1-URGENT' THEN 'Medical Intensive Care Unit' WHEN '2-HIGH' THEN 'CCU' WHEN '3-MEDIUM' THEN 'Surgical Intensive Care Unit' WHEN '4-NOT SPECIFIED' THEN 'Medical Intensive Care Unit' WHEN '5-LOW' THEN 'Medicine' END AS unit FROM stays)"""
+_EDGES = f"""{_STAYS}, edges AS (SELECT *, (start - prev_stop) / 60000000.0 AS gap_min FROM (SELECT key, stay_id, start, unit, lag(stay_id) OVER w AS prev_id, lag(stop) OVER w AS prev_stop, lag(unit) OVER w AS prev_unit FROM st WINDOW w AS (PARTITION BY key ORDER BY start, stay_id)) WHERE prev_id IS NOT NULL)"""
+_KIND = "CASE WHEN {0} IS NULL OR lower(trim({0})) IN ('', 'unknown') THEN 'unknown' WHEN lower({0}) LIKE '%intensive care unit%' OR lower({0}) LIKE '%ccu%' THEN 'icu' WHEN lower({0}) LIKE '%emergency department%' THEN 'ed' ELSE 'ward' END"
 _MOVES = """moves AS (SELECT o_custkey AS key, l_orderkey * 10 + l_linenumber AS move_id, epoch_us(l_shipdate) AS at_, epoch_us(l_shipdate) + l_linenumber::BIGINT * 600000000 AS stop,
- CASE l_returnflag WHEN 'A' THEN 'Medical ward' WHEN 'N' THEN 'MICU' ELSE 'Emergency room' END AS unit FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"""
-_PATHS = f"""paths AS (SELECT e.key, e.stay_id, count(m.move_id) AS n, string_agg(m.unit || '@' || m.move_id, '|' ORDER BY m.at_, m.move_id, m.stop, m.unit) AS moves, bool_and(m.stop - m.at_ <= 1800000000) AS all_short,
- bool_or({_KIND.format('m.unit')} = 'ed') AS any_ed, bool_and({_KIND.format('m.unit')} = 'icu') AS all_icu, bool_and({_KIND.format('m.unit')} = 'ward') AS all_ward, bool_or({_KIND.format('m.unit')} = 'ward') AS any_ward, bool_or(m.at_ < m.prev) AS crossing
- FROM edges e LEFT JOIN (SELECT e.key, e.stay_id, m.move_id, m.at_, m.stop, m.unit, lag(m.stop) OVER (PARTITION BY e.key, e.stay_id ORDER BY m.at_, m.move_id, m.stop, m.unit) AS prev FROM edges e JOIN moves m ON e.key = m.key AND m.at_ < e.start AND m.stop > e.prev_stop) m ON e.key = m.key AND e.stay_id = m.stay_id GROUP BY e.key, e.stay_id)"""
-_CLASS = f"""classed AS (SELECT e.*, (e.start - e.prev_stop) / 60000000.0 AS gap_min, CASE WHEN prev_stop IS NULL THEN 'open_end' WHEN start < prev_stop THEN 'overlapping_stays' WHEN n = 0 AND start = prev_stop THEN 'adjacent' WHEN n = 0 THEN 'no_evidence'
- WHEN crossing THEN 'overlapping_moves' WHEN all_short THEN 'placeholder' WHEN any_ed THEN 'through_ed' WHEN all_icu THEN 'direct' WHEN all_ward AND {_KIND.format('prev_unit')} = {_KIND.format('unit')} THEN 'through_ward' WHEN any_ward THEN 'mixed_path' ELSE 'other' END AS path_class
- FROM edges e JOIN paths p ON e.key = p.key AND e.stay_id = p.stay_id)"""
-_DECIDED = "decided AS (SELECT *, CASE WHEN prev_stop IS NULL THEN 'split' WHEN start < prev_stop THEN 'pending_review' WHEN start - prev_stop <= 5184000000000 THEN 'merged' ELSE 'split' END AS decision FROM edges)"
-_MAP = """SELECT key, stay_id, episode_seq, 'EP_' || key || '_' || episode_seq AS episode_id, row_number() OVER (PARTITION BY key, episode_seq ORDER BY start, stay_id) AS stay_seq,
- CAST(floor(min(start) OVER (PARTITION BY key, episode_seq) / 86400000000.0) AS BIGINT) AS start_day, CAST(floor(max(stop) OVER (PARTITION BY key, episode_seq) / 86400000000.0) AS BIGINT) AS stop_day, bool_or(stop IS NULL) OVER (PARTITION BY key, episode_seq) AS open
- FROM (SELECT s.*, CAST(sum(CASE WHEN decision = 'merged' THEN 0 ELSE 1 END) OVER (PARTITION BY s.key ORDER BY s.start, s.stay_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS episode_seq FROM stays s LEFT JOIN {d} d ON s.stay_id = d.stay_id)"""
+ CASE l_returnflag WHEN 'A' THEN 'Medicine' WHEN 'N' THEN 'Medical Intensive Care Unit' ELSE 'Emergency Department' END AS unit FROM lineitem JOIN orders ON l_orderkey = o_orderkey
+ UNION ALL SELECT o_custkey, o_orderkey * 10 + 8, epoch_us(o_orderdate) - 300000000, CASE WHEN o_orderkey % 7 <> 1 THEN epoch_us(o_orderdate) + CASE WHEN o_orderkey % 7 = 5 THEN 900000000 ELSE 3600000000 END END,
+ CASE WHEN o_orderkey % 7 < 3 THEN 'Medical Intensive Care Unit' WHEN o_orderkey % 7 = 3 THEN 'Medicine' WHEN o_orderkey % 7 = 4 THEN 'Emergency Department' WHEN o_orderkey % 7 = 5 THEN 'Surgery' END FROM orders WHERE o_orderkey % 5 <> 0
+ UNION ALL SELECT o_custkey, o_orderkey * 10 + 9, epoch_us(o_orderdate) - 240000000, epoch_us(o_orderdate) + 540000000, 'Medical Intensive Care Unit' FROM orders WHERE o_orderkey % 11 = 1)"""
+_PATHS = f"""hits AS (SELECT e.key, e.stay_id, m.move_id, m.at_, m.stop, m.unit, {_KIND.format('m.unit')} AS kind, row_number() OVER w AS i, last_value(m.stop IGNORE NULLS) OVER (PARTITION BY e.key, e.stay_id ORDER BY m.at_, m.move_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before
+  FROM edges e JOIN moves m ON e.key = m.key AND m.at_ < e.start AND coalesce(m.stop, e.start) > e.prev_stop WINDOW w AS (PARTITION BY e.key, e.stay_id ORDER BY m.at_, m.move_id)),
+paths AS (SELECT key, stay_id, count(*) AS n, string_agg(concat_ws('@', unit, move_id), '|' ORDER BY i) AS moves, string_agg(coalesce(unit, 'unknown'), '|' ORDER BY i) FILTER (kind <> 'icu') AS between_, bool_or(kind = 'ed') AS ed, bool_or(kind = 'unknown') AS unk, bool_or(kind = 'ward') AS ward,
+  coalesce(bool_and(coalesce(stop - at_ <= 1800000000, false)) FILTER (kind = 'ward'), false) AS brief, bool_or(coalesce(at_ < before, false)) AS bad FROM hits GROUP BY key, stay_id)"""
+_CLASS = f"""c0 AS (SELECT e.*, coalesce(n, 0) AS n, between_, coalesce(ed, false) AS ed, coalesce(unk, false) AS unk, coalesce(ward, false) OR {_KIND.format('prev_unit')} = 'ward' OR {_KIND.format('unit')} = 'ward' AS ward, coalesce(bad, false) AS bad,
+  coalesce(brief, false) AND {_KIND.format('prev_unit')} = 'icu' AND {_KIND.format('unit')} = 'icu' AND NOT ed AND NOT unk AS holder FROM edges e LEFT JOIN paths p ON e.key = p.key AND e.stay_id = p.stay_id),
+c1 AS (SELECT *, CASE WHEN gap_min IS NULL THEN 'first_stay' WHEN gap_min < 0 THEN 'overlapping_transfer_records' WHEN gap_min = 0 AND n = 0 THEN 'missing_left_boundary' WHEN gap_min = 0 AND bad THEN 'multiple_conflicting_boundary_events' WHEN gap_min = 0 AND unk THEN 'unknown_careunit'
+  WHEN ed THEN 'icu_to_ed_to_icu' WHEN holder THEN 'icu_to_internal_placeholder_to_icu' WHEN ward THEN 'icu_to_ward_to_icu' WHEN gap_min = 0 OR n > 0 THEN 'icu_to_icu' ELSE 'no_transfer_rows' END AS path_class FROM c0),
+c2 AS (SELECT *, CASE path_class WHEN 'overlapping_transfer_records' THEN 'overlap' WHEN 'multiple_conflicting_boundary_events' THEN CASE WHEN between_ IS NULL THEN 'direct_icu' ELSE 'via_ward' END WHEN 'unknown_careunit' THEN 'direct_icu' WHEN 'icu_to_icu' THEN 'direct_icu' WHEN 'icu_to_ed_to_icu' THEN 'via_ed'
+  WHEN 'icu_to_ward_to_icu' THEN 'via_ward' WHEN 'icu_to_internal_placeholder_to_icu' THEN 'via_internal_placeholder' ELSE 'no_transfer_evidence' END AS evidence,
+  CASE WHEN gap_min IS NULL OR gap_min > 0 THEN 'not_applicable' WHEN path_class = 'missing_left_boundary' THEN 'missing_boundary' WHEN path_class IN ('icu_to_icu', 'icu_to_internal_placeholder_to_icu') THEN 'clean' ELSE 'anomaly' END AS status,
+  CASE path_class WHEN 'overlapping_transfer_records' THEN 'overlap_records' WHEN 'missing_left_boundary' THEN 'missing_boundary_evidence' WHEN 'multiple_conflicting_boundary_events' THEN 'conflicting_boundary_events' WHEN 'unknown_careunit' THEN 'unknown_careunit_in_path' WHEN 'icu_to_ed_to_icu' THEN 'via_ed' WHEN 'icu_to_ward_to_icu' THEN 'via_ward' END AS exclusion FROM c1),
+decided AS (SELECT *, CASE WHEN gap_min IS NULL THEN 'split' WHEN gap_min < 0 THEN 'pending_review' WHEN evidence IN ('via_ward', 'via_ed') THEN 'split' WHEN gap_min = 0 AND status = 'clean' THEN 'merged' WHEN gap_min = 0 THEN 'pending_review'
+  WHEN gap_min <= tau AND evidence IN ('direct_icu', 'no_transfer_evidence', 'via_internal_placeholder') THEN 'merged' ELSE 'split' END AS decision FROM c2, (SELECT unnest([0, 43200, 86400])::INT AS tau))"""
+_ALL = f"{_EDGES}, {_MOVES}, {_PATHS}, {_CLASS}"
+_EARLY = "final AS (SELECT stay_id, tau, gap_min, CASE decision WHEN 'merged' THEN 'merged' ELSE 'split' END AS decision, 'preliminary' AS mapping_status, decision = 'pending_review' AS unresolved FROM decided)"
+_LATE = """final AS (SELECT stay_id, tau, gap_min, CASE WHEN decision = 'pending_review' THEN CASE WHEN stay_id % 4 = 2 THEN 'merged' ELSE 'split' END ELSE decision END AS decision,
+ CASE WHEN decision <> 'pending_review' THEN 'clean' WHEN stay_id % 4 >= 2 THEN 'adjudicated' ELSE 'unresolved_conservative_split' END AS mapping_status, decision = 'pending_review' AND stay_id % 4 < 2 AS unresolved FROM decided)"""
+_MAP = """, seqs AS (SELECT s.*, t.tau, gap_min, decision, mapping_status, unresolved, CAST(sum(CASE WHEN decision = 'merged' THEN 0 ELSE 1 END) OVER (PARTITION BY s.key, t.tau ORDER BY s.start, s.stay_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS episode_seq
+ FROM st s CROSS JOIN (SELECT unnest([0, 43200, 86400])::INT AS tau) t LEFT JOIN final f ON s.stay_id = f.stay_id AND t.tau = f.tau), numbered AS (SELECT *, row_number() OVER (PARTITION BY key, tau, episode_seq ORDER BY start, stay_id) AS stay_seq FROM seqs)"""
+_MAPPED = """SELECT key, stay_id, tau, episode_seq, 'EP_' || key || '_' || episode_seq AS episode_id, stay_seq, CAST(floor(min(start) OVER e / 86400000000.0) AS BIGINT) AS start_day, CAST(floor(max(stop) OVER e / 86400000000.0) AS BIGINT) AS stop_day, round(max(gap_min) OVER e, 6) AS gap_max, bool_or(stop IS NULL) OVER e AS open,
+ CASE WHEN stay_seq = 1 THEN 'episode_start' ELSE mapping_status END AS mapping_status, CASE WHEN stay_seq = 1 THEN 'episode_start' ELSE decision END AS merge_decision, coalesce(unresolved, false) AS unresolved FROM numbered WINDOW e AS (PARTITION BY key, tau, episode_seq)"""
 ORACLES = {
-    "stay_edges": sql("stays", more=_EDGES, body=f"SELECT key, stay_id, prev_id, round((start - prev_stop) / 60000000.0, 6) AS gap_min, {_KIND.format('prev_unit')} AS prev_kind, {_KIND.format('unit')} AS kind FROM edges"),
-    "gap_event_list": sql("stays", more=f"{_EDGES}, {_MOVES}, {_PATHS}", body="SELECT key, stay_id, n AS n_moves, coalesce(moves, '') AS moves FROM paths"),
-    "edge_decision_by_tau": sql(
-        "stays", more=f"{_EDGES}, {_MOVES}, {_PATHS}, {_CLASS}",
-        body="""SELECT key, stay_id, tau, path_class, CASE WHEN path_class IN ('overlapping_stays', 'overlapping_moves') THEN 'pending_review' WHEN path_class = 'open_end' THEN 'split' WHEN path_class = 'adjacent' THEN 'merged'
- WHEN path_class IN ('direct', 'placeholder', 'no_evidence') AND gap_min <= tau THEN 'merged' WHEN path_class = 'through_ward' AND gap_min <= tau AND tau > 0 THEN 'pending_review' ELSE 'split' END AS decision FROM classed, (SELECT unnest([0, 43200, 86400])::INT AS tau)""",
-    ),
-    "episode_map": sql("stays", more=f"{_EDGES}, {_DECIDED}", body=_MAP.format(d="decided")),
-    "episode_map_adjudicated": sql("stays", more=f"{_EDGES}, {_DECIDED}, judged AS (SELECT * REPLACE (CASE WHEN decision = 'pending_review' THEN CASE stay_id % 3 WHEN 1 THEN 'merged' WHEN 2 THEN 'split' ELSE 'unresolved_conservative_split' END ELSE decision END AS decision) FROM decided)", body=_MAP.format(d="judged")),
+    "stay_edges": sql("stays", more=_EDGES, body=f"SELECT key, stay_id, prev_id, round(gap_min, 6) AS gap_min, {_KIND.format('prev_unit')} AS prev_kind, {_KIND.format('unit')} AS kind FROM edges"),
+    "gap_event_list": sql("stays", more=f"{_EDGES}, {_MOVES}, {_PATHS}", body="SELECT e.key, e.stay_id, coalesce(n, 0) AS n_moves, coalesce(moves, '') AS moves FROM edges e LEFT JOIN paths p ON e.key = p.key AND e.stay_id = p.stay_id"),
+    "edge_decision_by_tau": sql("stays", more=_ALL, body="SELECT key, stay_id, tau, status, evidence, CASE WHEN path_class IN ('multiple_conflicting_boundary_events', 'unknown_careunit', 'icu_to_ed_to_icu', 'icu_to_internal_placeholder_to_icu', 'icu_to_ward_to_icu') THEN between_ END AS between, path_class, exclusion, path_class = 'multiple_conflicting_boundary_events' AS conflict, decision FROM decided"),
+    "episode_map": sql("stays", more=f"{_ALL}, {_EARLY}{_MAP}", body=_MAPPED),
+    "episode_map_adjudicated": sql("stays", more=f"{_ALL}, {_LATE}{_MAP}", body=_MAPPED),
     "chain_dedup": sql(
         "ev", more="c AS (SELECT *, CAST(sum(nw) OVER (PARTITION BY key, var ORDER BY e, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS chain FROM (SELECT *, CASE WHEN e - lag(e) OVER (PARTITION BY key, var ORDER BY e, event_id) <= 14400000000 THEN 0 ELSE 1 END AS nw FROM ev))",
         body="SELECT key, var, chain, arg_min(event_id, (CASE kind WHEN 'stored' THEN 1 ELSE 2 END, e, event_id)) AS event_id, count(*) AS n_merged, min(e) AS first_e FROM c GROUP BY key, var, chain",

@@ -13,24 +13,25 @@ R6 = lambda c: F.round(c, 6).alias(c)
 
 
 def _next(spark, d):
-    """At each landmark the next purchase, error, login and click, and the key's last event."""
+    """At each landmark the next purchase, error and login of certain events, and the key's last event."""
     e, g = point_events(spark, d), grid(spark, d)
-    kinds = {"death": "purchase", "transfer": "error", "alive_discharge": "login"}
-    j = g.join(e.select("key", "e", "var", "event_id"), "key")
-    later = lambda v, skip: F.min(F.when((F.col("var") == v) & (F.col("e") > F.col("t")) & (F.col("event_id") % 5 == skip), F.col("e")))
-    n = j.groupBy("key", "k", "t").agg(*[later(v, i).alias(n) for i, (n, v) in enumerate(kinds.items())], F.max("e").alias("last_seen"), F.max(F.when(F.col("var") == "click", F.col("e"))).alias("last_click"))
-    return n.select("key", "k", "t", (F.col("t") + WIDTH).alias("w_end"), F.when(F.col("key") % 7 == 0, 1 - F.col("death").isNotNull().cast("int")).otherwise(F.col("death").isNotNull().cast("int")).alias("died"), "death", "transfer", "alive_discharge", F.when(F.col("key") % 4 == 0, F.col("last_click")).otherwise(F.col("last_seen")).alias("last_seen"), (F.col("key") % 9 == 0).alias("seen_after"))
+    kinds = {n: (F.col("var") == v) & (F.col("event_id") % 5 == i) for i, (n, v) in enumerate({"death": "purchase", "transfer": "error", "alive_discharge": "login"}.items())}
+    last = e.groupBy("key").agg(F.max("e").alias("last_seen"), F.max(F.when(F.col("var") == "click", F.col("e"))).alias("last_click"))
+    n = O.next_after(g, e, kinds).join(last, "key")
+    died = F.col("death").isNotNull().cast("int")
+    seen = F.when(F.col("key") % 5 == 3, None).when(F.col("key") % 4 == 0, F.col("last_click")).otherwise(F.col("last_seen"))
+    return n.select("key", "k", "t", (F.col("t") + WIDTH).alias("w_end"), F.when(F.col("key") % 7 == 0, 1 - died).otherwise(died).alias("died"), F.when(F.col("key") % 17 == 0, F.col("t")).otherwise(F.col("death")).alias("death"), "transfer", "alive_discharge", seen.alias("last_seen"), (F.col("key") % 9 == 0).alias("seen_after"))
 
 
 def observation_endpoint(spark, d):
     e = point_events(spark, d)
-    limits = e.groupBy("key").agg((F.min("e") + 40 * DAY).alias("limit"))
-    o = O.observation_end({v: e.where(F.col("var") == v) for v in VARIABLES}, limits, ["click", "view"])
-    return o.select("key", F.floor(F.col("observed_until") / 1_000_000).alias("until_s"), "source", "after_limit")
+    limits = e.groupBy("key").agg(F.when(F.col("key") % 5 != 0, F.min("e") + 40 * DAY).alias("limit"))
+    o = O.observation_end({v: e.where((F.col("var") == v) & (F.col("key") % 7 != 0)) for v in VARIABLES}, limits, ["click", "view"])
+    return o.select("key", F.floor(F.col("observed_until") / 1_000_000).alias("until_s"), "end_source", "last_source", "after_limit")
 
 
 def label_24h(spark, d):
-    return O.label_states(_next(spark, d)).select("key", "k", "state", "y", "ascertainable", "full_followup", "unknown_reason")
+    return O.label_states(_next(spark, d)).select("key", "k", "state", "y", "status", "ascertainable", "full_followup", "unknown_reason")
 
 
 def label_reason_dist(spark, d):
@@ -48,7 +49,7 @@ def event_time_bins(spark, d):
 
 
 def adjudication_queue(spark, d):
-    return O.adjudication_queue(O.label_states(_next(spark, d))).select("key", "k", "state")
+    return O.adjudication_queue(O.label_states(_next(spark, d))).select("key", "k", "state", "adjudication")
 
 
 def _inputs(spark, d):
@@ -56,7 +57,7 @@ def _inputs(spark, d):
     low = lambda f, v: f(F.when(F.col("var") == v, F.col("value")))
     return w.groupBy("key", "k").agg(
         (low(F.min, "view") * 5).alias("ratio"), F.max(F.col("var") == "login").alias("supported"), (low(F.min, "click") * 3).alias("platelets"), (low(F.max, "login") / 8).alias("bilirubin"), low(F.min, "view").alias("pressure"),
-        (low(F.max, "purchase") / 5).alias("drug_a"), low(F.max, "error").alias("drug_b"), (low(F.max, "purchase") / 400).alias("drug_c"), F.lit(None).cast("double").alias("drug_d"),
+        F.floor(low(F.max, "purchase") / 5).alias("drug_a"), low(F.max, "error").alias("drug_b"), (F.floor(low(F.max, "purchase") / 10) / 100).alias("drug_c"), F.lit(None).cast("double").alias("drug_d"),
         F.floor(low(F.min, "login") / 6).alias("alertness"), (low(F.max, "click") / 20).alias("creatinine"), (low(F.sum, "error") * 10).alias("urine"),
     )
 
@@ -103,17 +104,17 @@ def source_coverage_rollup(spark, d):
 QUERIES = {f.__name__: f for f in (observation_endpoint, label_24h, label_reason_dist, competing_7d, event_time_bins, adjudication_queue, organ_ladders, organ_total_mask, score_delta, canonical_id, dedup_conservation, unified_sources, source_coverage_rollup)}
 
 _NEXT = """n0 AS (SELECT g.key, g.k, g.t, min(e) FILTER (var = 'purchase' AND e > t AND event_id % 5 = 0) AS death, min(e) FILTER (var = 'error' AND e > t AND event_id % 5 = 1) AS transfer, min(e) FILTER (var = 'login' AND e > t AND event_id % 5 = 2) AS alive_discharge, max(e) AS last_e, max(e) FILTER (var = 'click') AS last_click FROM grid g JOIN ev ON g.key = ev.key GROUP BY ALL),
-n AS (SELECT key, k, t, t + 86400000000 AS w_end, CASE WHEN key % 7 = 0 THEN 1 - (death IS NOT NULL)::INT ELSE (death IS NOT NULL)::INT END AS died, death, transfer, alive_discharge, CASE WHEN key % 4 = 0 THEN last_click ELSE last_e END AS last_seen, key % 9 = 0 AS seen_after FROM n0)"""
-_STATE = """lab AS (SELECT *, CASE WHEN death <= t THEN 'invalid_input' WHEN died = 1 AND death IS NULL THEN 'death_time_missing' WHEN death IS NOT NULL AND died = 0 THEN 'status_conflict' WHEN death > t AND death <= w_end THEN 'event'
- WHEN transfer > t AND transfer <= w_end THEN 'acute_transfer' WHEN alive_discharge > t AND alive_discharge <= w_end AND NOT seen_after THEN 'non_event_alive_discharge' WHEN alive_discharge > t AND alive_discharge <= w_end THEN 'status_conflict'
- WHEN last_seen >= w_end THEN 'non_event_observed' WHEN death > w_end THEN 'non_event_observed' ELSE 'missing_status_left_observation' END AS state FROM n)"""
-_RISK = """risk AS (SELECT *, t + 604800000000 AS fin, least(CASE WHEN death > t AND death <= t + 604800000000 THEN death END, CASE WHEN transfer > t AND transfer <= t + 604800000000 THEN transfer END, CASE WHEN alive_discharge > t AND alive_discharge <= t + 604800000000 THEN alive_discharge END) AS hit FROM n),
-cr AS (SELECT *, CASE WHEN hit IS NULL THEN 0 WHEN hit = death THEN 1 WHEN hit = transfer THEN 2 ELSE 3 END AS cause, coalesce(hit, greatest(t, least(coalesce(last_seen, t), fin))) AS moment, CASE WHEN hit IS NOT NULL THEN 'none' WHEN last_seen >= fin THEN 'administrative' ELSE 'lost' END AS censor_type FROM risk)"""
-_IN = """i AS (SELECT ev.key, g.k, min(value) FILTER (var = 'view') * 5 AS ratio, bool_or(var = 'login') AS supported, min(value) FILTER (var = 'click') * 3 AS platelets, max(value) FILTER (var = 'login') / 8 AS bilirubin, min(value) FILTER (var = 'view') AS pressure, max(value) FILTER (var = 'purchase') / 5 AS da, max(value) FILTER (var = 'error') AS db,
- max(value) FILTER (var = 'purchase') / 400 AS dc, floor(min(value) FILTER (var = 'login') / 6) AS alertness, max(value) FILTER (var = 'click') / 20 AS creatinine, sum(value) FILTER (var = 'error') * 10 AS urine FROM ev JOIN grid g ON ev.key = g.key AND e <= t AND e > t - 86400000000 GROUP BY ev.key, g.k),
+n AS (SELECT key, k, t, t + 86400000000 AS w_end, CASE WHEN key % 7 = 0 THEN 1 - (death IS NOT NULL)::INT ELSE (death IS NOT NULL)::INT END AS died, CASE WHEN key % 17 = 0 THEN t ELSE death END AS death, transfer, alive_discharge, CASE WHEN key % 5 = 3 THEN NULL WHEN key % 4 = 0 THEN last_click ELSE last_e END AS last_seen, key % 9 = 0 AS seen_after FROM n0)"""
+_STATE = """lab AS (SELECT *, CASE WHEN death IS NOT NULL AND death <= t THEN 'invalid_input' WHEN death IS NOT NULL AND died = 0 THEN 'status_conflict' WHEN died = 1 AND death IS NULL THEN 'death_time_missing' WHEN death > t AND death <= w_end THEN 'event'
+ WHEN transfer > t AND transfer <= w_end THEN 'acute_transfer' WHEN alive_discharge > t AND alive_discharge <= w_end THEN 'non_event_alive_discharge' WHEN last_seen >= w_end THEN 'non_event_observed' ELSE 'missing_status_left_observation' END AS state FROM n),
+s2 AS (SELECT *, CASE WHEN state = 'event' THEN 1 WHEN state IN ('non_event_observed', 'non_event_alive_discharge') THEN 0 END AS y FROM lab)"""
+_RISK = """r0 AS (SELECT *, t + 604800000000 AS fin FROM n), risk AS (SELECT *, CASE WHEN death > t AND death <= fin THEN 1 WHEN transfer > t AND transfer <= fin THEN 3 WHEN alive_discharge > t AND alive_discharge <= fin THEN 2 ELSE 0 END AS cause FROM r0),
+cr AS (SELECT *, CASE cause WHEN 1 THEN death WHEN 3 THEN transfer WHEN 2 THEN alive_discharge ELSE least(fin, coalesce(last_seen, fin)) END AS moment, CASE WHEN cause = 0 AND last_seen < fin THEN 'left_observation' ELSE 'window_end' END AS censor_type FROM risk)"""
+_IN = """i AS (SELECT ev.key, g.k, min(value) FILTER (var = 'view') * 5 AS ratio, bool_or(var = 'login') AS supported, min(value) FILTER (var = 'click') * 3 AS platelets, max(value) FILTER (var = 'login') / 8 AS bilirubin, min(value) FILTER (var = 'view') AS pressure, floor(max(value) FILTER (var = 'purchase') / 5) AS da, max(value) FILTER (var = 'error') AS db,
+ floor(max(value) FILTER (var = 'purchase') / 10) / 100 AS dc, floor(min(value) FILTER (var = 'login') / 6) AS alertness, max(value) FILTER (var = 'click') / 20 AS creatinine, sum(value) FILTER (var = 'error') * 10 AS urine FROM ev JOIN grid g ON ev.key = g.key AND e <= t AND e > t - 86400000000 GROUP BY ev.key, g.k),
 o AS (SELECT key, k, CASE WHEN ratio IS NULL THEN NULL WHEN ratio < 100 AND supported THEN 4 WHEN ratio < 200 AND supported THEN 3 WHEN ratio < 300 THEN 2 WHEN ratio < 400 THEN 1 ELSE 0 END AS resp, CASE WHEN platelets < 20 THEN 4 WHEN platelets < 50 THEN 3 WHEN platelets < 100 THEN 2 WHEN platelets < 150 THEN 1 WHEN platelets IS NOT NULL THEN 0 END AS coag,
  CASE WHEN bilirubin >= 12 THEN 4 WHEN bilirubin >= 6 THEN 3 WHEN bilirubin >= 2 THEN 2 WHEN bilirubin >= 1.2 THEN 1 WHEN bilirubin IS NOT NULL THEN 0 END AS liver,
- greatest(CASE WHEN pressure < 70 THEN 1 WHEN pressure IS NOT NULL THEN 0 END, CASE WHEN da >= 15 THEN 4 WHEN da >= 5 THEN 3 WHEN da > 0 THEN 2 END, CASE WHEN db > 0 THEN 2 END, CASE WHEN dc >= 0.1 THEN 4 WHEN dc > 0 THEN 3 END) AS cardio,
+ greatest(CASE WHEN pressure < 70 THEN 1 WHEN pressure IS NOT NULL THEN 0 END, CASE WHEN da > 15 THEN 4 WHEN da > 5 THEN 3 WHEN da > 0 THEN 2 END, CASE WHEN db > 0 THEN 2 END, CASE WHEN dc > 0.1::DOUBLE THEN 4 WHEN dc > 0 THEN 3 END) AS cardio,
  CASE WHEN alertness < 6 THEN 4 WHEN alertness < 10 THEN 3 WHEN alertness < 13 THEN 2 WHEN alertness < 15 THEN 1 WHEN alertness IS NOT NULL THEN 0 END AS neuro,
  greatest(CASE WHEN creatinine >= 5 THEN 4 WHEN creatinine >= 3.5 THEN 3 WHEN creatinine >= 2 THEN 2 WHEN creatinine >= 1.2 THEN 1 WHEN creatinine IS NOT NULL THEN 0 END, CASE WHEN urine < 200 THEN 4 WHEN urine < 500 THEN 3 WHEN urine IS NOT NULL THEN 0 END) AS renal FROM i)"""
 _MASK = " || ".join(f"({c} IS NULL)::INT" for c in ("resp", "coag", "liver", "cardio", "neuro", "renal"))
@@ -121,12 +122,19 @@ _FP = """f AS (SELECT sha256(concat_ws(chr(31), user_id, kind, coalesce(props, c
  FROM (SELECT user_id, CASE WHEN event_id % 2 = 0 THEN upper(event_type) ELSE ' ' || event_type END AS kind, CASE WHEN event_id % 11 <> 0 THEN props END AS props FROM events)),
 c AS (SELECT canonical_id, count(*) AS n_rows, count(DISTINCT raw_id) AS n_variants FROM f GROUP BY canonical_id)"""
 ORACLES = {
-    "observation_endpoint": sql("ev", body="SELECT key, CAST(floor(least(max(e) FILTER (var IN ('click', 'view')), min(e) + 3456000000000) / 1000000.0) AS BIGINT) AS until_s, arg_max(var, (e, var)) FILTER (var IN ('click', 'view')) AS source, max(e) FILTER (var IN ('click', 'view')) > min(e) + 3456000000000 AS after_limit FROM ev GROUP BY key"),
-    "label_24h": sql("ev", "grid", more=f"{_NEXT}, {_STATE}", body="SELECT key, k, state, CASE WHEN state = 'event' THEN 1 WHEN state LIKE 'non_event%' THEN 0 END AS y, state = 'event' OR state LIKE 'non_event%' AS ascertainable, state = 'event' OR state LIKE 'non_event%' AS full_followup, CASE WHEN state = 'event' OR state LIKE 'non_event%' THEN NULL ELSE state END AS unknown_reason FROM lab"),
-    "label_reason_dist": sql("ev", "grid", more=f"{_NEXT}, {_STATE}", body="SELECT k, state, count(*) AS n, count(*) FILTER (state = 'event' OR state LIKE 'non_event%') AS n_known FROM lab GROUP BY k, state"),
+    "observation_endpoint": sql(
+        "ev", more="""o AS (SELECT key, CASE WHEN key % 5 <> 0 THEN min(e) + 3456000000000 END AS lim, max(e) FILTER (var IN ('click', 'view') AND key % 7 <> 0) AS last_e, arg_max(var, (e, var)) FILTER (var IN ('click', 'view') AND key % 7 <> 0) AS last_source FROM ev GROUP BY key)""",
+        body="SELECT key, CAST(floor(least(last_e, lim) / 1000000.0) AS BIGINT) AS until_s, CASE WHEN lim IS NOT NULL AND (last_e IS NULL OR lim <= last_e) THEN 'discharge' WHEN last_e IS NOT NULL THEN 'clinical_event' ELSE 'unknown' END AS end_source, last_source, coalesce(last_e > lim, false) AS after_limit FROM o",
+    ),
+    "label_24h": sql(
+        "ev", "grid", more=f"{_NEXT}, {_STATE}",
+        body="""SELECT key, k, state, y, CASE y WHEN 1 THEN 'event' WHEN 0 THEN 'non_event' ELSE 'unknown' END AS status, y IS NOT NULL AS ascertainable, state = 'non_event_observed' OR (state = 'non_event_alive_discharge' AND alive_discharge >= w_end) AS full_followup,
+ CASE WHEN state = 'missing_status_left_observation' AND seen_after THEN 'time_anomaly' WHEN y IS NULL THEN state END AS unknown_reason FROM s2""",
+    ),
+    "label_reason_dist": sql("ev", "grid", more=f"{_NEXT}, {_STATE}", body="SELECT k, state, count(*) AS n, count(y) AS n_known FROM s2 GROUP BY k, state"),
     "competing_7d": sql("ev", "grid", more=f"{_NEXT}, {_RISK}", body="SELECT key, k, cause, round((moment - t) / 3600000000.0, 6) AS hours, censor_type FROM cr"),
     "event_time_bins": sql("ev", "grid", more=f"{_NEXT}, {_RISK}", body="SELECT key, k, cause, CASE WHEN cause = 0 THEN 14 ELSE CAST(least(greatest(ceil((moment - t) / 43200000000.0), 1), 14) AS INT) END AS bin FROM cr"),
-    "adjudication_queue": sql("ev", "grid", more=f"{_NEXT}, {_STATE}", body="SELECT key, k, state FROM lab WHERE state IN ('status_conflict', 'death_time_missing', 'invalid_input')"),
+    "adjudication_queue": sql("ev", "grid", more=f"{_NEXT}, {_STATE}", body="SELECT key, k, state, 'pending' AS adjudication FROM lab WHERE state IN ('status_conflict', 'death_time_missing', 'invalid_input')"),
     "organ_ladders": sql("ev", "grid", more=_IN, body="SELECT * FROM o"),
     "organ_total_mask": sql("ev", "grid", more=_IN, body=f"SELECT {_MASK} AS missing, 6 - (length({_MASK}) - length(replace({_MASK}, '1', ''))) AS n_known, count(*) AS n, round(avg(resp + coag + liver + cardio + neuro + renal), 6) AS mean_total, max(resp + coag + liver + cardio + neuro + renal) AS max_total FROM o GROUP BY 1, 2"),
     "score_delta": sql(
