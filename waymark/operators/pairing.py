@@ -43,25 +43,48 @@ def reconcile(mine: DataFrame, theirs: DataFrame, keys: list[str], value: str) -
     )
 
 
-def attribute(tests: DataFrame, stays: DataFrame, lead: int) -> DataFrame:
-    """Each test (key, event_id, e) to the stay that contains it, else to the next one that starts within `lead`."""
-    inside = (F.col("start") <= F.col("e")) & (F.col("stop").isNull() | (F.col("stop") > F.col("e")))
-    j = tests.join(stays, "key", "left").groupBy("key", "event_id", "e").agg(
-        F.min(F.when(inside, F.col("stay_id"))).alias("inside"), F.min(F.when(F.col("start") > F.col("e"), F.struct("start", "stay_id"))).alias("next"), F.count("stay_id").alias("n")
-    )
-    soon = F.coalesce(F.col("next.start") - F.col("e") <= lead, F.lit(False))
-    kind = F.when(F.col("n") == 0, "no_encounter").when(F.col("inside").isNotNull(), "same").when(soon, "before").otherwise("out_of_window")
-    return j.select("key", "event_id", kind.alias("attribution"), F.when(F.col("inside").isNotNull(), F.col("inside")).when(soon, F.col("next.stay_id")).alias("stay_id"))
-
-
-def latest_available(grid: DataFrame, artifacts: DataFrame, fresh: dict[str, int]) -> DataFrame:
-    """The latest artifact at each landmark, freshness flags, and its availability level."""
-    x = as_of(grid, artifacts, ["event_id", "a"])
+def inside_any(points: DataFrame, spans: DataFrame) -> DataFrame:
+    """points (key, e, ...) with `inside`: whether any span (key, start, stop) of the key holds e, both ends included; a null stop is open. The furthest stop so far is carried forward in one sort."""
+    far = F.coalesce("stop", F.lit((1 << 63) - 1))
+    starts = spans.where(F.col("start").isNotNull()).select("key", F.col("start").alias("__at"), F.lit(0).alias("__kind"), far.alias("__far"))
+    both = points.withColumns({"__at": F.col("e"), "__kind": F.lit(1)}).unionByName(starts, allowMissingColumns=True)
+    w = Window.partitionBy("key").orderBy("__at", "__kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    out = both.withColumn("__far", F.max("__far").over(w)).where("__kind = 1")
+    return out.select(*points.columns, F.coalesce(F.col("__far") >= F.col("e"), F.lit(False)).alias("inside"))
+
+
+def attribute(tests: DataFrame, index: DataFrame, encounters: DataFrame, lead: int, most_gap: int) -> DataFrame:
+    """How each test (key, event_id, e) belongs to the index encounter of its key.
+
+    index: (key, stay_id, start, stop, visit_start, visit_stop), one row a key, with the visit that led to it; encounters:
+    (key, stay_id, start, stop) of all. same_hospitalization: within it. auditable_pre_admission_encounter: before it,
+    and within the visit (not before it began, not after it or the encounter's start, whichever is later), the visit's
+    end and the start at most most_gap apart, at most `lead` before the start, and inside no other encounter. Else
+    other_encounter inside another one, else out_of_window.
+    """
+    others = encounters.join(index.select("key", "stay_id"), ["key", "stay_id"], "left_anti")
+    j = inside_any(tests.select("key", "event_id", "e"), others).join(index.select("key", "stay_id", "start", "stop", "visit_start", "visit_stop"), "key")
+    c = F.col
+    same = (c("e") >= c("start")) & (c("e") <= F.coalesce("stop", "e"))
+    visit = c("visit_start").isNotNull() & (c("e") >= c("visit_start")) & (c("e") <= F.greatest("start", "visit_stop"))
+    before = (c("e") < c("start")) & visit & (F.abs(c("start") - c("visit_stop")) <= most_gap) & (c("start") - c("e") <= lead) & ~c("inside")
+    kind = F.when(same, "same_hospitalization").when(before, "auditable_pre_admission_encounter").when(c("inside"), "other_encounter").otherwise("out_of_window")
+    return j.select("key", "event_id", "stay_id", kind.alias("attribution"))
+
+
+def latest_available(grid: DataFrame, artifacts: DataFrame, fresh: dict[str, int], fresh_main: int, unit: int) -> DataFrame:
+    """At each landmark the latest artifact (key, event_id, a, valid) by the time a at which it was known, freshness flags and its availability.
+
+    Only artifacts known at the landmark compete: one that is known later neither counts nor hides an earlier one. The
+    longest freshness bounds the look-back. An artifact that is not valid is found but fresh for nothing. Levels: none,
+    found (not valid), stale (valid, known longer ago than fresh_main) and available.
+    """
+    known = artifacts.select("key", "event_id", F.col("a").alias("e"), "valid")
+    x = as_of(grid, known, ["event_id", "valid"], max(fresh.values()))
     age = F.col("t") - F.col("e")
-    level = F.when(F.col("e").isNull(), "never").when(F.col("a") > F.col("t"), "not_yet_known")
-    for name, most in zip(("fresh", "recent", "old"), fresh.values(), strict=True):
-        level = level.when(age < most, name)
-    return x.select("key", "k", "event_id", *[F.coalesce(age < most, F.lit(False)).alias(n) for n, most in fresh.items()], level.otherwise("stale").alias("availability"))
+    ok = F.coalesce("valid", F.lit(False))
+    level = F.when(F.col("e").isNull(), "none").when(~ok, "found").when(age <= fresh_main, "available").otherwise("stale")
+    return x.select("key", "k", "event_id", *[F.coalesce(ok & (age <= most), F.lit(False)).alias(n) for n, most in fresh.items()], (age / F.lit(float(unit))).alias("hours_before"), level.alias("availability"))
 
 
 def restrict(df: DataFrame, keys_of: DataFrame, keys: list[str]) -> DataFrame:

@@ -25,11 +25,13 @@ def doubles(a: Column) -> Column:
 
 
 def reorder(df: DataFrame, leads: list[str], length: int, lead: str = "lead", signal: str = "signal") -> DataFrame:
-    """Per record: an array per named lead, cut or padded with zeros to a length, and a mask of the leads that are there."""
+    """Per record: an array per named lead, cut to a length, and a mask of the leads that are there. A lead that is absent or too short is zeros and not in the mask; null and NaN values are zero."""
     cells = df.groupBy("record").agg(F.map_from_entries(F.collect_list(F.struct(lead, signal))).alias("__c"))
-    fixed = lambda a: F.slice(F.concat(a, F.array_repeat(F.lit(0.0), length)), 1, length)
-    rows = F.array(*[fixed(F.coalesce(F.try_element_at("__c", F.lit(n)), F.array().cast("array<double>"))) for n in leads])
-    return cells.select("record", rows.alias("signals"), F.array(*[F.try_element_at("__c", F.lit(n)).isNotNull() for n in leads]).alias("lead_mask"))
+    own = lambda n: F.try_element_at("__c", F.lit(n))
+    there = lambda n: F.coalesce(F.size(own(n)) >= length, F.lit(False))
+    clean = lambda a: F.transform(F.slice(a, 1, length), lambda v: F.coalesce(F.nanvl(v, F.lit(0.0)), F.lit(0.0)))
+    rows = F.array(*[F.when(there(n), clean(own(n))).otherwise(F.array_repeat(F.lit(0.0), length)) for n in leads])
+    return cells.select("record", rows.alias("signals"), F.array(*[there(n) for n in leads]).alias("lead_mask"))
 
 
 def structural(df: DataFrame, least_leads: int, least_length: int, signal: str = "signal") -> DataFrame:
@@ -54,21 +56,42 @@ def global_norm(train: DataFrame, by: str = "lead", signal: str = "signal") -> D
     return g.select(by, mean.alias("mean"), F.sqrt(F.greatest(F.col("q") / F.col("n") - mean * mean, F.lit(0.0))).alias("sd"), "n")
 
 
-def snr_saturation(df: DataFrame, limit: float, extreme: float, signal: str = "signal") -> DataFrame:
-    """Signal-to-noise in dB, noise from first differences, and the shares of values at the limit and beyond an extreme."""
-    n = F.size(signal)
-    diff = F.zip_with(F.slice(signal, F.lit(2), n - 1), F.slice(signal, F.lit(1), n - 1), lambda a, b: a - b)
-    power = lambda a: mean_of(F.transform(a, lambda v: v * v))
-    share = lambda c: mean_of(F.transform(signal, lambda v: c(v).cast("double")))
-    snr = 10 * F.log10(F.try_divide(power(F.col(signal)), power(diff) / 2))
-    return df.select("record", "lead", snr.alias("snr_db"), share(lambda v: F.abs(v) >= limit).alias("saturated"), share(lambda v: F.abs(v) > extreme).alias("extreme"))
-
-
-def measurements(df: DataFrame, positive: list[str]) -> DataFrame:
-    """Non-positive measurements become null; rate, intervals and the corrected interval follow."""
-    c = {n: F.when(F.col(n) > 0, F.col(n)) for n in positive}
-    d = df.withColumns(c)
-    return d.withColumns({"rate": F.try_divide(F.lit(60000.0), "rr"), "qrs": F.col("qrs_end") - F.col("qrs_start"), "qt": F.col("t_end") - F.col("qrs_start")}).withColumn("qtc", F.try_divide("qt", F.sqrt(F.col("rr") / 1000.0)))
+def variance_of(a: Column) -> Column:
+    """Population variance of an array; null for an empty one."""
+    return F.aggregate(
+        a, F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("m"), F.lit(0.0).alias("q")),
+        lambda t, v: F.struct((t["n"] + 1).alias("n"), (t["m"] + (v - t["m"]) / (t["n"] + 1)).alias("m"), (t["q"] + (v - t["m"]) * (v - t["m"]) * t["n"] / (t["n"] + 1)).alias("q")),
+        lambda t: F.try_divide(t["q"], t["n"]),
+    )
+
+
+def snr_saturation(df: DataFrame, reference: str, extreme: float = 5.0, least: int = 100, signal: str = "signal") -> DataFrame:
+    """Per record: signal-to-noise in dB, and two shares of the reference lead's values.
+
+    Signal is the mean over leads of a lead's variance, noise that of half the variance of its first differences; leads
+    of fewer than `least` finite values do not count. saturated: values equal to the lead's own largest or smallest;
+    extreme: values beyond an absolute bound.
+    """
+    good = F.filter(signal, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
+    n = F.size("__x")
+    diff = F.when(n > 1, F.zip_with(F.slice("__x", F.lit(2), n - 1), F.slice("__x", F.lit(1), n - 1), lambda a, b: a - b))
+    share = lambda c: mean_of(F.transform(signal, lambda v: F.coalesce(c(v), F.lit(False)).cast("double")))
+    ref = F.col("lead") == reference
+    rows = df.withColumn("__x", good).select(
+        "record", F.when(n >= least, variance_of(F.col("__x"))).alias("v"), F.when(n >= least, variance_of(diff) / 2).alias("w"),
+        F.when(ref, share(lambda v: (v == F.array_max("__x")) | (v == F.array_min("__x")))).alias("s"), F.when(ref, share(lambda v: F.abs(v) > extreme)).alias("x"),
+    )
+    snr = 10 * F.log10(F.greatest(F.avg("v"), F.lit(1e-12)) / F.greatest(F.avg("w"), F.lit(1e-12)))
+    return rows.groupBy("record").agg(F.when(F.count("v") > 0, snr).alias("snr_db"), F.max("s").alias("saturated"), F.max("x").alias("extreme"))
+
+
+def measurements(df: DataFrame) -> DataFrame:
+    """df (rr, p_start, qrs_start, qrs_end, t_end, ...) with rate, qrs, pr, qt and qtc; a rate needs a positive rr, and a derived duration that is not positive is null."""
+    c = F.col
+    positive = lambda x: F.when(x > 0, x)
+    rr = positive(c("rr"))
+    spans = {"rate": 60000.0 / rr, "qrs": positive(c("qrs_end") - c("qrs_start")), "pr": positive(c("qrs_start") - c("p_start")), "qt": positive(c("t_end") - c("qrs_start"))}
+    return df.withColumns(spans).withColumn("qtc", c("qt") / F.sqrt(rr / 1000.0))
 
 
 def _each(df: DataFrame, names: dict[str, str], f, signal: str) -> DataFrame:
@@ -97,41 +120,41 @@ def band_power(df: DataFrame, rate: float, band: tuple[float, float], whole: tup
 
 
 def spikes(df: DataFrame, k: float = 8.0, floor: float = 0.5, least: int = 3, signal: str = "signal") -> DataFrame:
-    """Second differences beyond median + k MAD, and whether there are enough to count."""
+    """Per record: second differences beyond median + k MAD of their lead (and beyond a floor), over all leads, and whether there are enough to count."""
 
     def f(x):
         d = np.abs(np.diff(x, 2))
         if not d.size:
-            return 0, 0
+            return (0,)
         m = np.median(d)
-        n = int((d > max(m + k * np.median(np.abs(d - m)), floor)).sum())
-        return n, int(n >= least)
+        return (int((d > max(m + k * np.median(np.abs(d - m)), floor)).sum()),)
 
-    return _each(df, {"n_spikes": "long", "spiky": "long"}, f, signal)
+    return _each(df, {"hits": "long"}, f, signal).groupBy("record").agg(F.sum("hits").alias("n_spikes"), (F.sum("hits") >= least).alias("spiky"))
 
 
 def median_drift(df: DataFrame, width: int, signal: str = "signal") -> DataFrame:
-    """Peak to peak of the moving median, the baseline's drift."""
+    """Peak to peak of the moving median, the baseline's drift; beyond its ends a signal goes on as its first and last value. An even width is widened by one."""
+    half = width // 2
 
     def f(x):
-        if x.size < width:
+        if not x.size:
             return (0.0,)
-        m = np.median(np.lib.stride_tricks.sliding_window_view(x, width), axis=1)
+        m = np.median(np.lib.stride_tricks.sliding_window_view(np.pad(x, half, mode="edge"), 2 * half + 1), axis=1)
         return (float(m.max() - m.min()),)
 
     return _each(df, {"drift": "double"}, f, signal)
 
 
-def lead_correlation(df: DataFrame, signal: str = "signal") -> DataFrame:
-    """(record, median_r): the median of the absolute correlations between a record's leads."""
+def lead_correlation(df: DataFrame, every: int = 10, signal: str = "signal") -> DataFrame:
+    """(record, median_r): the median of the absolute correlations between a record's leads, of every tenth value; 0 for a single lead. A record is one group of a few leads."""
 
     def f(p: pd.DataFrame) -> pd.DataFrame:
         n = min(map(len, p[signal]))
-        x = np.array([np.asarray(v[:n], np.float64) for v in p[signal]])
-        if len(x) < 2 or n < 2:
-            return pd.DataFrame({"record": p["record"].iloc[:1], "median_r": [None]})
-        with np.errstate(invalid="ignore"):
-            r = np.corrcoef(x)
-        return pd.DataFrame({"record": p["record"].iloc[:1], "median_r": [float(np.nan_to_num(np.median(np.abs(r[np.triu_indices(len(x), 1)]))))]})
+        x = np.array([np.asarray(v[:n], np.float64)[::every] for v in p[signal]])
+        r = 0.0
+        if len(x) > 1 and x.shape[1] > 1:
+            with np.errstate(invalid="ignore", divide="ignore"):
+                r = float(np.nan_to_num(np.median(np.abs(np.corrcoef(x)[np.triu_indices(len(x), 1)]))))
+        return pd.DataFrame({"record": p["record"].iloc[:1], "median_r": [r]})
 
     return df.select("record", signal).groupBy("record").applyInPandas(f, "record long, median_r double")

@@ -160,9 +160,11 @@ def earliest_pair(pairs: DataFrame) -> DataFrame:
 
 
 def exists_flags(grid: DataFrame, events: DataFrame, flags: dict[str, Column], within: int | None = None) -> DataFrame:
-    """Per row (key, t): whether an event of each kind lies before t (and less than `within` before it)."""
-    near = F.col("e") < F.col("t")
-    if within is not None:
-        near &= F.col("e") >= F.col("t") - within
-    hit = grid.join(events, "key").where(near).groupBy("key", "t").agg(*[F.max(c).alias(n) for n, c in flags.items()])
-    return grid.join(hit, ["key", "t"], "left").select(*grid.columns, *[F.coalesce(n, F.lit(False)).alias(n) for n in flags])
+    """grid rows (key, t, ...) with, for each kind, whether an event (key, e) of it lies before t, and at most `within` before it. The last event of each kind is carried forward in one sort, so no event meets every row of its key."""
+    names = [f"__f{i}" for i in range(len(flags))]
+    points = events.where(F.col("e").isNotNull()).select("key", F.col("e").alias("__at"), F.lit(1).alias("__kind"), *[F.when(c, F.col("e")).alias(n) for n, c in zip(names, flags.values(), strict=True)])
+    both = grid.withColumns({"__at": F.col("t"), "__kind": F.lit(0)}).unionByName(points, allowMissingColumns=True)
+    w = Window.partitionBy("key").orderBy("__at", "__kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    seen = both.select(*grid.columns, "__kind", *[F.last(n, ignorenulls=True).over(w).alias(n) for n in names]).where("__kind = 0")
+    near = lambda n: F.col(n) >= F.col("t") - within if within is not None else F.col(n).isNotNull()
+    return seen.select(*grid.columns, *[F.coalesce(near(n), F.lit(False)).alias(f) for n, f in zip(names, flags, strict=True)])
