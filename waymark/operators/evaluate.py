@@ -8,16 +8,39 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Ranges of a score whose sums are numbered first, so that a running sum over scores needs no group in one task.
+RANGES = 1024
+
+
+def _same(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
+    """a with b's other columns, by equality of the keys, nulls included; of one row if there are no keys."""
+    right = b.select(*[F.col(c).alias(f"__r_{c}") for c in keys], *[c for c in b.columns if c not in keys])
+    on = reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"__r_{c}")) for c in keys]) if keys else F.lit(True)
+    return a.join(right, on).drop(*[f"__r_{c}" for c in keys])
+
+
+def running_below(cells: DataFrame, by: list[str], score: str, value: str, name: str) -> DataFrame:
+    """cells with `name`: the sum of value over the cells of lower score (one row a score), in two levels: over RANGES ranges of a group's scores, then within a range."""
+    bounds = cells.groupBy(*by).agg(F.min(score).alias("__lo"), F.max(score).alias("__hi"))
+    place = F.coalesce(F.floor(RANGES * F.try_divide(F.col(score) - F.col("__lo"), F.col("__hi") - F.col("__lo"))), F.lit(0)).cast("int")
+    ranged = _same(cells, bounds, by).withColumn("__range", place).drop("__lo", "__hi")
+    sums = ranged.groupBy(*by, "__range").agg(F.sum(value).alias("__part"))
+    before = lambda w: F.coalesce(F.sum("__part").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = sums.select(*by, "__range", before(Window.partitionBy(*by).orderBy("__range")).alias("__start"))
+    within = Window.partitionBy(*by, "__range").orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
+    return _same(ranged, starts, [*by, "__range"]).withColumn(name, F.col("__start") + F.coalesce(F.sum(value).over(within), F.lit(0))).drop("__start", "__range")
+
+
 def auroc(rows: DataFrame, by: list[str], score: str = "score", y: str = "y", weight: str | None = None) -> DataFrame:
     """(by, n, n_pos, auroc): the Mann-Whitney statistic with mid-ranks for ties; null with one class only.
 
-    Rows are first summed per (by, score); the running sum goes over distinct scores, never over all rows.
+    Rows are first summed per (by, score); the running sum goes over distinct scores, in two levels.
     """
     w = F.col(weight) if weight else F.lit(1)
     cells = rows.groupBy(*by, score).agg(F.sum(w * F.col(y)).alias("__p"), F.sum(w * (1 - F.col(y))).alias("__n"))
-    below = Window.partitionBy(*by).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
-    u = F.col("__p") * (F.coalesce(F.sum("__n").over(below), F.lit(0)) + F.col("__n") / 2)
-    sums = cells.withColumn("__u", u).groupBy(*by).agg(F.sum("__u").alias("u"), F.sum("__p").alias("n_pos"), F.sum("__n").alias("n_neg"))
+    ranked = running_below(cells, by, score, "__n", "__below")
+    u = F.col("__p") * (F.col("__below") + F.col("__n") / 2)
+    sums = ranked.withColumn("__u", u).groupBy(*by).agg(F.sum("__u").alias("u"), F.sum("__p").alias("n_pos"), F.sum("__n").alias("n_neg"))
     return sums.select(*by, (F.col("n_pos") + F.col("n_neg")).alias("n"), "n_pos", F.try_divide("u", F.col("n_pos") * F.col("n_neg")).alias("auroc"))
 
 
@@ -66,8 +89,13 @@ def one_per_subject(rows: DataFrame, how: str, score: str = "score", tie: str =
     return rows.groupBy("subject").agg(row.alias("r")).select("subject", "r.*")
 
 
-def segments(k: Column) -> Column:
-    return F.when(k <= 3, "0-3").when(k <= 8, "4-8").otherwise("9+")
+def segments(k: Column, edges: tuple[int, ...] = (3, 11)) -> Column:
+    """The segment of a landmark: up to each edge, and beyond the last."""
+    first = [0, *[e + 1 for e in edges]]
+    out = F.lit(f"{first[-1]}+")
+    for low, high in reversed([*zip(first, edges, strict=False)]):
+        out = F.when(k <= high, f"{low}-{high}").otherwise(out)
+    return out
 
 
 def routed(available: Column, a: Column, b: Column) -> Column:
@@ -97,9 +125,12 @@ def draws(subjects: DataFrame, replicates: int, subject: str = "subject", mode:
     Draw i of replicate b is the subject of rank floor(u * n), u from md5(i:b), so draws do not depend on partitions.
     mode membership keeps only whether a subject was drawn.
     """
-    n = subjects.select(subject).distinct()
-    ranked = n.withColumn("__r", F.row_number().over(Window.orderBy(subject)) - 1)
-    size = ranked.agg(F.count(F.lit(1)).alias("__size"))
+    n = subjects.select(subject).distinct().withColumn("__m", F.md5(F.col(subject).cast("string").cast("binary")))
+    # Ranks follow the order of md5(subject), numbered by its first digits and then within them.
+    n = n.withColumn("__c", F.substring("__m", 1, 3))
+    starts = n.groupBy("__c").agg(F.count(F.lit(1)).alias("__n")).select("__c", F.coalesce(F.sum("__n").over(Window.orderBy("__c").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__start"))
+    ranked = n.withColumn("__i", F.row_number().over(Window.partitionBy("__c").orderBy("__m", subject)) - 1).join(starts, "__c").select(subject, (F.col("__start") + F.col("__i")).alias("__r"))
+    size = n.agg(F.count(F.lit(1)).alias("__size"))
     each = ranked.crossJoin(F.broadcast(size)).select("__r", "__size", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("b"))
     u = F.conv(F.substring(F.md5(F.concat_ws(":", F.col("__r").cast("string"), F.col("b").cast("string")).cast("binary")), 1, 8), 16, 10).cast("long")
     picked = each.select("b", F.shiftright(u * F.col("__size"), 32).alias("__r"))
@@ -150,26 +181,59 @@ def slope(curve: DataFrame) -> DataFrame:
     return curve.agg(F.regr_slope("observed", "predicted").alias("slope"), F.regr_intercept("observed", "predicted").alias("intercept"))
 
 
-def concordance(rows: DataFrame, cause: int, time: str = "bin", score: str = "score", event: str = "cause", same_bin: bool = False) -> DataFrame:
-    """Time-dependent concordance: over events of the cause and rows that outlast them, how often the event has the higher score (ties half).
+def concordance(rows: DataFrame, cause: int, time: str = "bin", score: str = "score", event: str = "cause", same_bin: bool = False, tie: float = 0.0) -> DataFrame:
+    """Time-dependent concordance: over events of the cause and rows that outlast them, how often the event has the higher score; an equal one counts `tie`.
 
     Counts per (time, score) meet in a range join over distinct cells, not over rows. same_bin also compares with rows
     censored in the event's own bin.
     """
     cells = rows.groupBy(time, score).agg(F.count(F.lit(1)).alias("n"), F.sum((F.col(event) == cause).cast("long")).alias("d"), F.sum((F.col(event) == 0).cast("long")).alias("c"))
-    # Running sums over scores of each later time: one window per event time, over the cells that outlast it.
     times = cells.where("d > 0").select(F.col(time).alias("__t")).distinct()
     later = F.col(time) > F.col("__t")
     alive = F.when(later, F.col("n")).when((F.col(time) == F.col("__t")) & F.lit(same_bin), F.col("c")).otherwise(0)
     dead = F.when(F.col(time) == F.col("__t"), F.col("d")).otherwise(0)
-    j = cells.join(F.broadcast(times), F.col(time) >= F.col("__t")).groupBy("__t", score).agg(F.sum(alive).alias("a"), F.sum(dead).alias("e"))
-    below = Window.partitionBy("__t").orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy("__t")
-    s = j.withColumns({"b": F.coalesce(F.sum("a").over(below), F.lit(0)), "all": F.sum("a").over(whole)})
-    t = s.agg(F.sum(F.col("e") * (F.col("b") + F.col("a") / 2)).alias("agree"), F.sum(F.col("e") * F.col("all")).alias("pairs"))
+    # Event times are bins of the study's length, so this table of them is as short as that.
+    j = cells.join(times, F.col(time) >= F.col("__t")).groupBy("__t", score).agg(F.sum(alive).alias("a"), F.sum(dead).alias("e"))
+    s = _same(running_below(j, ["__t"], score, "a", "b"), j.groupBy("__t").agg(F.sum("a").alias("all")), ["__t"])
+    t = s.agg(F.sum(F.col("e") * (F.col("b") + F.col("a") * tie)).alias("agree"), F.sum(F.col("e") * F.col("all")).alias("pairs"))
     return t.select(F.try_divide("agree", "pairs").alias("concordance"), "pairs")
 
 
+def calibration_line(rows: DataFrame, by: list[str], rounds: int = 8, score: str = "score", y: str = "y") -> DataFrame:
+    """(by, slope, intercept) of the logistic recalibration of a score, for each group, by Newton steps over grouped sums; null where a group has one class."""
+    from ..functions import logit
+
+    base = rows.select(*by, F.col(y).alias("__y"), logit(F.col(score)).alias("__x"))
+    at = base.groupBy(*by).agg(F.avg("__y").alias("__rate")).select(*by, F.when((F.col("__rate") > 0) & (F.col("__rate") < 1), 0.0).alias("intercept"), F.lit(1.0).alias("slope"))
+    for _ in range(rounds):
+        x = F.col("__x")
+        p = 1 / (1 + F.exp(-(F.col("intercept") + F.col("slope") * x)))
+        r, w = F.col("__y") - p, p * (1 - p)
+        j = _same(base, at, by)
+        g = j.groupBy(*by).agg(F.first("intercept").alias("a"), F.first("slope").alias("b"), F.sum(r).alias("r0"), F.sum(r * x).alias("r1"), F.sum(w).alias("w0"), F.sum(w * x).alias("w1"), F.sum(w * x * x).alias("w2"))
+        det = F.col("w0") * F.col("w2") - F.col("w1") * F.col("w1")
+        at = g.select(*by, (F.col("a") + F.try_divide(F.col("w2") * F.col("r0") - F.col("w1") * F.col("r1"), det)).alias("intercept"), (F.col("b") + F.try_divide(F.col("w0") * F.col("r1") - F.col("w1") * F.col("r0"), det)).alias("slope"))
+    return at.select(*by, "slope", "intercept")
+
+
+def bootstrap_iauroc(rows: DataFrame, scores: list[str], drawn: DataFrame, n_landmarks: int, subject: str = "subject") -> DataFrame:
+    """(b, one column per score): the mean over landmarks of each replicate's AUROC; null unless all landmarks can be estimated."""
+    parts = []
+    for s in scores:
+        cells = rows.groupBy(subject, "k", s, "y").agg(F.count(F.lit(1)).alias("n"))
+        j = cells.join(drawn, subject).select("b", "k", F.col(s).alias("score"), "y", (F.col("n") * F.col("weight")).alias("w"))
+        parts.append(integrated(auroc(j, ["b", "k"], weight="w"), ["b"], n_landmarks).select("b", F.col("iauroc").alias(s)))
+    return reduce(lambda x, y: x.join(y, "b"), parts)
+
+
+def bootstrap_net_benefit(rows: DataFrame, scores: list[str], thresholds: list[float], drawn: DataFrame, subject: str = "subject") -> DataFrame:
+    """(b, pt, one column per score): the net benefit of each replicate; rows are summed per subject and threshold before they meet the draws."""
+    t = rows.withColumn("pt", F.explode(F.array(*map(F.lit, thresholds))))
+    sums = [F.sum(F.when(F.col(s) >= F.col("pt"), F.when(F.col("y") == 1, 1.0).otherwise(-F.col("pt") / (1 - F.col("pt")))).otherwise(0.0)).alias(s) for s in scores]
+    per = t.groupBy(subject, "pt").agg(F.count(F.lit(1)).alias("n"), *sums)
+    return per.join(drawn, subject).groupBy("b", "pt").agg(*[(F.sum(F.col(s) * F.col("weight")) / F.sum(F.col("n") * F.col("weight"))).alias(s) for s in scores])
+
+
 def standardised_differences(rows: DataFrame, group: Column, columns: list[str]) -> DataFrame:
     """(column, mean_1, mean_0, smd): differences of means over the pooled deviation between the two groups."""
     g = rows.withColumn("__g", group)

@@ -49,8 +49,8 @@ def impute(df: DataFrame, params: DataFrame, columns: list[str]) -> DataFrame:
 def fit_levels(df: DataFrame, column: str, rare: float = 0.01, fitted_on: str = "train") -> DataFrame:
     """(level, share, kept): levels of at least `rare` of the rows are kept, the others and null are Unknown."""
     n = df.groupBy(F.coalesce(column, F.lit("Unknown")).alias("level")).agg(F.count(F.lit(1)).alias("n"))
-    share = F.col("n") / F.sum("n").over(Window.partitionBy())
-    return n.select("level", share.alias("share"), ((share >= rare) & (F.col("level") != "Unknown")).alias("kept"), F.lit(fitted_on).alias("fitted_on"))
+    share = F.col("n") / F.col("__all")
+    return n.crossJoin(n.agg(F.sum("n").alias("__all"))).select("level", share.alias("share"), ((share >= rare) & (F.col("level") != "Unknown")).alias("kept"), F.lit(fitted_on).alias("fitted_on"))
 
 
 def encode_levels(df: DataFrame, levels: DataFrame, column: str) -> DataFrame:
@@ -59,13 +59,27 @@ def encode_levels(df: DataFrame, levels: DataFrame, column: str) -> DataFrame:
     return df.join(kept, F.col(column) == F.col("__level"), "left").withColumn("level", F.coalesce("__level", F.lit("Unknown"))).drop("__level")
 
 
-def fit_thresholds(long: DataFrame, k: float = 3.0, zero_inflated: float = 0.5, by: str = "var", value: str = "value") -> DataFrame:
-    """Per variable the limits median -+ k MAD; for one that is mostly zero the 99th percentile above."""
-    mid = long.groupBy(by).agg(F.median(value).alias("median"), F.percentile(value, 0.99).alias("p99"), F.avg((F.col(value) == 0).cast("int")).alias("zeros"))
+def one_hot(df: DataFrame, levels: DataFrame, column: str) -> DataFrame:
+    """df with a column 0 or 1 for each kept level, named column=level, and column=Unknown for all others and null. At most 1 / rare levels are kept, so their names may go through the driver."""
+    names = sorted(r["level"] for r in levels.where("kept").select("level").collect())
+    value = F.coalesce(F.when(F.col(column).isin(*names), F.col(column)), F.lit("Unknown")) if names else F.lit("Unknown")
+    return df.withColumns({f"{column}={n}": (value == n).cast("int") for n in [*names, "Unknown"]})
+
+
+def static_matrix(df: DataFrame, params: DataFrame, levels: dict[str, DataFrame], key: str, scaled: list[str], imputed: list[str]) -> DataFrame:
+    """One row a key: columns imputed, scaled, encoded one-hot, with the indicators of missing values."""
+    z = scale_columns(impute(df, params, imputed), params, scaled)
+    for column, found in levels.items():
+        z = one_hot(z, found, column)
+    return z.select(key, *[f"{c}_z" for c in scaled], *[f"{c}_missing" for c in imputed], *[c for c in z.columns if any(c.startswith(f"{x}=") for x in levels)])
+
+
+def fit_thresholds(long: DataFrame, k: float = 3.0, zero_inflated: tuple[str, ...] = (), by: str = "var", value: str = "value") -> DataFrame:
+    """Per variable the limits median -+ k MAD; for the variables named as zero-inflated the 99th percentile above, and no limit below."""
+    mid = long.groupBy(by).agg(F.median(value).alias("median"), F.percentile(value, 0.99).alias("p99"))
     mad = long.join(mid.select(by, "median"), by).groupBy(by).agg(F.median(F.abs(F.col(value) - F.col("median"))).alias("mad"))
-    j = mid.join(mad, by)
-    inflated = F.col("zeros") > zero_inflated
-    return j.select(by, "median", "mad", F.when(~inflated, F.col("median") - k * F.col("mad")).alias("low"), F.when(inflated, F.col("p99")).otherwise(F.col("median") + k * F.col("mad")).alias("high"))
+    inflated = F.col(by).isin(*zero_inflated) if zero_inflated else F.lit(False)
+    return mid.join(mad, by).select(by, "median", "mad", F.when(~inflated, F.col("median") - k * F.col("mad")).alias("low"), F.when(inflated, F.col("p99")).otherwise(F.col("median") + k * F.col("mad")).alias("high"))
 
 
 def passes(long: DataFrame, limits: DataFrame, by: str = "var", value: str = "value") -> DataFrame:
@@ -81,10 +95,11 @@ def subject_weights(df: DataFrame, subject: str = "subject") -> DataFrame:
 
 
 def registry(params: dict[str, DataFrame]) -> DataFrame:
-    """(name, fitted_on, n_params, content): an order-free hash of each artifact's rows."""
+    """(name, fitted_on, n_params, content): an order-free hash of each artifact's rows, doubles to six places."""
     parts = []
     for name, p in params.items():
-        row = F.xxhash64(*[F.round(c, 9) if t == "double" else F.col(c) for c, t in p.dtypes]).cast("decimal(38,0)")
+        text = F.concat_ws("|", *[F.coalesce((F.round(F.col(c) * 1_000_000).cast("long") if t == "double" else F.col(c)).cast("string"), F.lit("null")) for c, t in p.dtypes])
+        row = F.conv(F.substring(F.md5(text.cast("binary")), 1, 15), 16, 10).cast("decimal(38,0)")
         parts.append(p.groupBy("fitted_on").agg(F.count(F.lit(1)).alias("n_params"), F.sum(row).cast("string").alias("content")).withColumn("name", F.lit(name)))
     return reduce(DataFrame.unionByName, parts)
 
@@ -110,10 +125,14 @@ def tensors(long: DataFrame, keys: list[str], channels: list[str], n_bins: int,
     row = lambda c: F.transform(index, lambda b: F.try_element_at("cells", F.concat_ws(":", F.lit(c), b.cast("string"))))
     raw = F.array(*[row(c) for c in channels])
     out = cells.withColumn("__raw", raw)
-    gaps = lambda r: F.transform(
-        F.sequence(F.lit(0), F.lit(n_bins - 1)),
-        lambda i: F.least(F.coalesce(i - F.array_max(F.filter(F.sequence(F.lit(0), i), lambda j: F.get(r, j).isNotNull())), F.lit(cap)), F.lit(cap)),
-    )
+    # One pass a row: the gap since the last observed bin is carried along.
+    start = F.struct(F.array().cast("array<int>").alias("d"), F.lit(cap).alias("gap"))
+
+    def step(s: Column, v: Column) -> Column:
+        gap = F.when(v.isNotNull(), 0).otherwise(F.least(s["gap"] + 1, F.lit(cap)))
+        return F.struct(F.concat(s["d"], F.array(gap)).alias("d"), gap.alias("gap"))
+
+    gaps = lambda r: F.aggregate(r, start, step, lambda s: s["d"])
     return out.select(
         *keys, F.transform("__raw", lambda r: F.transform(r, lambda v: F.coalesce(v, F.lit(0.0)))).alias("x"), F.transform("__raw", lambda r: F.transform(r, lambda v: v.isNotNull())).alias("m"), F.transform("__raw", gaps).alias("d")
     )
@@ -121,17 +140,18 @@ def tensors(long: DataFrame, keys: list[str], channels: list[str], n_bins: int,
 
 def balanced(df: DataFrame, label: str, weight: str) -> DataFrame:
     """df with class_weight: the weight, scaled so that both labels have half of all."""
-    w = Window.partitionBy(label)
-    return df.withColumn("class_weight", F.col(weight) * F.sum(weight).over(Window.partitionBy()) / (2 * F.sum(weight).over(w)))
+    own = df.groupBy(label).agg(F.sum(weight).alias("__own"))  # a row a label
+    return df.join(own.crossJoin(own.agg(F.sum("__own").alias("__all"))), label).withColumn("class_weight", F.col(weight) * F.col("__all") / (2 * F.col("__own"))).drop("__own", "__all")
 
 
-def logistic(df: DataFrame, features: list[str], label: str, weight: str, reg: float = 0.1):
-    """A weighted logistic regression."""
+def logistic(df: DataFrame, features: list[str], label: str, weight: str, c: float = 0.1):
+    """A weighted logistic regression whose penalty is half the squared norm of the coefficients against c times the summed loss; features are taken as they are."""
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import VectorAssembler
 
     data = VectorAssembler(inputCols=features, outputCol="__x").transform(df)
-    return LogisticRegression(featuresCol="__x", labelCol=label, weightCol=weight, regParam=reg, maxIter=50).fit(data)
+    total = df.agg(F.sum(weight)).first()[0]
+    return LogisticRegression(featuresCol="__x", labelCol=label, weightCol=weight, regParam=1 / (c * total), standardization=False, maxIter=200, tol=1e-10).fit(data)
 
 
 def boosted(df: DataFrame, features: list[str], label: str, weight: str, validation: str, rounds: int = 10, seed: int = 1):

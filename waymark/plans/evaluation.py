@@ -39,7 +39,7 @@ def net_benefit_curve(spark, d):
 
 
 def segment_net_benefit(spark, d):
-    s = scored(spark, d).withColumn("segment", E.segments(F.col("k")))
+    s = scored(spark, d).withColumn("segment", E.segments(F.col("k") * 2))
     return E.net_benefit(s, [0.2, 0.5, 0.8], ["segment"]).select("segment", "pt", "n", "tp", "fp", R("nb"))
 
 
@@ -60,7 +60,7 @@ def subgroup_auroc(spark, d):
     s = scored(spark, d).withColumn("level", F.when(F.col("subject") % 10 < 3, "young").when(F.col("subject") % 10 < 9, "old").otherwise("unknown"))
     a, b = E.auroc(s, ["level"]), E.auroc(s, ["level"], "score_b").select("level", F.col("auroc").alias("auroc_b"))
     j = a.join(b, "level")
-    return j.select("level", "n", "n_pos", *[F.when(F.col("n") >= 1000, F.round(c, 6)).alias(c) for c in ("auroc", "auroc_b")])
+    return j.select("level", "n", "n_pos", *[F.when(F.col("n") >= 100, F.round(c, 6)).alias(c) for c in ("auroc", "auroc_b")])
 
 
 def routed_score(spark, d):
@@ -97,7 +97,9 @@ def km_calibration(spark, d):
 
 
 def td_cindex(spark, d):
-    return E.concordance(_times(spark, d), 1).select(R("concordance"), "pairs")
+    t = _times(spark, d)
+    x, h = E.concordance(t, 1), E.concordance(t, 1, same_bin=True, tie=0.5)
+    return x.select(R("concordance"), "pairs").crossJoin(h.select(F.round("concordance", 6).alias("with_ties_and_censored"), F.col("pairs").alias("pairs_2")))
 
 
 def smd_table(spark, d):
@@ -146,11 +148,37 @@ def calibrated_brier(spark, d):
     return t.agg(F.round(F.avg((F.col("score") - F.col("y")) ** 2), 6).alias("before"), F.round(F.avg((F.col("p") - F.col("y")) ** 2), 6).alias("after"))
 
 
+def calibration_slope(spark, d):
+    return E.calibration_line(scored(spark, d), ["avail"]).select("avail", R("slope"), R("intercept"))
+
+
+def km_slope(spark, d):
+    """The line through the calibration curve by incidence, at two horizons."""
+    t = _times(spark, d).withColumnRenamed("bin", "time_bin")
+    at = lambda h: E.slope(E.km_calibration(t, 1, h, "score", 5)).select(F.lit(h).alias("horizon"), R("slope", 4), R("intercept", 4))
+    return at(4).unionByName(at(7))
+
+
+def boot_iauroc(spark, d):
+    s = scored(spark, d)
+    b = E.bootstrap_iauroc(s, ["score", "score_b"], E.draws(s, REPLICATES), 12)
+    i = E.interval(b, {"a": F.col("score"), "difference": F.col("score_b") - F.col("score")})
+    return i.select("stat", "n_valid", R("low"), R("middle"), R("high"))
+
+
+def boot_net_benefit(spark, d):
+    """Intervals of the difference in net benefit, over each subject's row of highest score."""
+    s = E.one_per_subject(scored(spark, d), "highest")
+    b = E.bootstrap_net_benefit(s, ["score", "score_b"], [0.2, 0.5], E.draws(s, REPLICATES))
+    i = E.interval(b.groupBy("b").pivot("pt", [0.2, 0.5]).agg(F.first(F.col("score_b") - F.col("score"))), {"at_20": F.col("`0.2`"), "at_50": F.col("`0.5`")})
+    return i.select("stat", "n_valid", R("low"), R("middle"), R("high"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         auroc_by_k, iauroc, brier, cal_in_large, decile_curve, net_benefit_curve, segment_net_benefit, fixed_dca, patient_first_dca, patient_max_dca, subgroup_auroc, routed_score, group_gate, group_spread,
-        density_tertiles, km_incidence, km_calibration, td_cindex, smd_table, boot_ci, boot_membership_ci, interaction, control_contrast, calibrated_brier,
+        density_tertiles, km_incidence, km_calibration, td_cindex, smd_table, boot_ci, boot_membership_ci, interaction, control_contrast, calibrated_brier, calibration_slope, km_slope, boot_iauroc, boot_net_benefit,
     )
 }
 
@@ -169,7 +197,7 @@ def _nb(source: str, grid: str, by: str = "", score: str = "score") -> str:
  (SELECT {c}pt, count(*) AS n, CAST(sum(y) AS BIGINT) AS n_pos, count(*) FILTER ({score} >= pt AND y = 1) AS tp, count(*) FILTER ({score} >= pt AND y = 0) AS fp FROM {source}, (SELECT unnest({grid})::DOUBLE AS pt) GROUP BY {c}pt)"""
 
 
-_DRAW = f"""r AS (SELECT subject, row_number() OVER (ORDER BY subject) - 1 AS rk, count(*) OVER () AS sz FROM (SELECT DISTINCT subject FROM scored)),
+_DRAW = f"""r AS (SELECT subject, row_number() OVER (ORDER BY md5(CAST(subject AS VARCHAR)), subject) - 1 AS rk, count(*) OVER () AS sz FROM (SELECT DISTINCT subject FROM scored)),
 dr AS (SELECT b, (('0x' || substr(md5(rk || ':' || b), 1, 8))::BIGINT * sz) >> 32 AS rk, count(*) AS wt FROM r, (SELECT unnest(generate_series(0, {REPLICATES - 1})) AS b) GROUP BY 1, 2), dw AS (SELECT subject, b, wt FROM dr JOIN r ON dr.rk = r.rk)"""
 _JOINED = "j AS (SELECT s.*, b, wt, CASE WHEN avail THEN score_b ELSE score END AS control FROM scored s JOIN dw ON s.subject = dw.subject)"
 _Q = "SELECT stat, count(*) AS n_valid, round(quantile_cont(v, 0.025), 6) AS low, round(quantile_cont(v, 0.5), 6) AS middle, round(quantile_cont(v, 0.975), 6) AS high FROM ({}) WHERE v IS NOT NULL GROUP BY stat"
@@ -191,18 +219,43 @@ def _smd(c: str) -> str:
     return f"SELECT '{c}' AS \"column\", round(avg({c}) FILTER (avail), 6) AS mean_1, round(avg({c}) FILTER (NOT avail), 6) AS mean_0, round((avg({c}) FILTER (avail) - avg({c}) FILTER (NOT avail)) / sqrt((var_samp({c}) FILTER (avail) + var_samp({c}) FILTER (NOT avail)) / 2), 6) AS smd FROM scored"
 
 
+def newton(source: str, group: str, rounds: int = 8) -> str:
+    """Expressions n0, n1, ... of the Newton steps of a logistic line through (x, y) of source, per group: a the intercept, b the slope."""
+    steps = [f"n0 AS (SELECT {group}, 0.0::DOUBLE AS a, 1.0::DOUBLE AS b FROM {source} GROUP BY {group})"]
+    for i in range(rounds):
+        sums = f"SELECT {group}, any_value(a) AS a, any_value(b) AS b, sum(y - p) AS r0, sum((y - p) * x) AS r1, sum(p * (1 - p)) AS w0, sum(p * (1 - p) * x) AS w1, sum(p * (1 - p) * x * x) AS w2 FROM (SELECT s.{group}, x, y, a, b, 1 / (1 + exp(-(a + b * x))) AS p FROM {source} s JOIN n{i} ON s.{group} = n{i}.{group}) GROUP BY {group}"
+        steps.append(f"n{i + 1} AS (SELECT {group}, a + (w2 * r0 - w1 * r1) / (w0 * w2 - w1 * w1) AS a, b + (w0 * r1 - w1 * r0) / (w0 * w2 - w1 * w1) AS b FROM ({sums}))")
+    return ", ".join(steps)
+
+
+LOGIT = "ln(least(greatest({0}, 1e-6), 1 - 1e-6) / (1 - least(greatest({0}, 1e-6), 1 - 1e-6)))"
+_KMC = "k{h} AS (SELECT y.grp, avg(score) AS predicted, coalesce(any_value(c.observed), 0) AS observed FROM y JOIN (SELECT grp, max(incidence) FILTER (bin <= {h}) AS observed FROM ({km}) GROUP BY grp) c ON y.grp = c.grp GROUP BY y.grp)"
 ORACLES = {
+    "calibration_slope": sql("scored", more=f"z AS (SELECT avail, {LOGIT.format('score')} AS x, y FROM scored), {newton('z', 'avail')}", body="SELECT avail, round(b, 6) AS slope, round(a, 6) AS intercept FROM n8"),
+    "calibrated_brier": sql("scored", more=f"z AS (SELECT 1 AS one, {LOGIT.format('score')} AS x, y FROM scored WHERE subject % 3 = 0), {newton('z', 'one')}", body=f"SELECT round(avg((score - y) * (score - y)), 6) AS before, round(avg(pow(1 / (1 + exp(-(a + b * {LOGIT.format('score')}))) - y, 2)), 6) AS after FROM scored, n8 WHERE subject % 3 <> 0"),
+    "km_slope": sql(
+        "scored", more=f"{_X}, {_EDGES.format(q='[0.2, 0.4, 0.6, 0.8]')}, y AS (SELECT x.*, CAST(len(list_filter(q, lambda e: e <= score)) + 1 AS INT) AS grp FROM x, ed), {_KMC.format(h=4, km=_km('grp', 'y'))}, {_KMC.format(h=7, km=_km('grp', 'y'))}",
+        body="SELECT 4 AS horizon, round(regr_slope(observed, predicted), 4) AS slope, round(regr_intercept(observed, predicted), 4) AS intercept FROM k4 UNION ALL SELECT 7, round(regr_slope(observed, predicted), 4), round(regr_intercept(observed, predicted), 4) FROM k7",
+    ),
+    "boot_iauroc": sql(
+        "scored", more=f"{_DRAW}, {_JOINED}, j2 AS (SELECT *, b * 100 + k AS bk FROM j), a0 AS ({_auc('bk', 'j2', 'score', 'wt')}), z0 AS ({_auc('bk', 'j2', 'score_b', 'wt')}), a AS (SELECT bk // 100 AS b, CASE WHEN count(auroc) = 12 THEN avg(auroc) END AS v FROM a0 GROUP BY 1), z AS (SELECT bk // 100 AS b, CASE WHEN count(auroc) = 12 THEN avg(auroc) END AS v FROM z0 GROUP BY 1)",
+        body=_Q.format("SELECT 'a' AS stat, v FROM a UNION ALL SELECT 'difference', z.v - a.v FROM a JOIN z ON a.b = z.b"),
+    ),
+    "boot_net_benefit": sql(
+        "scored", more=f"""o AS ({_one('score DESC, id')}), {_DRAW}, g AS (SELECT b, pt, sum(wt * ((score_b >= pt)::INT - (score >= pt)::INT) * CASE WHEN y = 1 THEN 1 ELSE -pt / (1 - pt) END) / sum(wt) AS v FROM o JOIN dw ON o.subject = dw.subject, (SELECT unnest([0.2, 0.5])::DOUBLE AS pt) GROUP BY b, pt)""",
+        body=_Q.format("SELECT CASE WHEN pt < 0.3 THEN 'at_20' ELSE 'at_50' END AS stat, v FROM g"),
+    ),
     "auroc_by_k": sql("scored", body=f"SELECT k, n, n_pos, round(auroc, 6) AS auroc FROM ({_auc('k', 'scored')})"),
     "iauroc": sql("scored", body=f"SELECT round(CASE WHEN count(auroc) = 12 THEN avg(auroc) END, 6) AS iauroc, round(avg(auroc), 6) AS partial, count(auroc) AS n_estimable FROM ({_auc('k', 'scored')})"),
     "brier": sql("scored", body="SELECT k, round(avg((score - y) * (score - y)), 6) AS brier FROM scored GROUP BY k"),
     "cal_in_large": sql("scored", body="SELECT avail, round(avg(score), 6) AS mean_score, round(avg(y), 6) AS rate, round(avg(score) - avg(y), 6) AS in_the_large FROM scored GROUP BY avail"),
     "decile_curve": sql("scored", more=_EDGES.format(q="[0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]"), body="SELECT CAST(len(list_filter(q, lambda e: e <= score)) + 1 AS INT) AS bin, count(*) AS n, round(avg(score), 6) AS predicted, round(avg(y), 6) AS observed FROM scored, ed GROUP BY 1"),
     "net_benefit_curve": sql("scored", body=f"SELECT pt, n, tp, fp, round(nb, 6) AS nb, round(nb_all, 6) AS nb_all FROM ({_nb('scored', GRID)})"),
-    "segment_net_benefit": sql("scored", more="s AS (SELECT *, CASE WHEN k <= 3 THEN '0-3' WHEN k <= 8 THEN '4-8' ELSE '9+' END AS segment FROM scored)", body=f"SELECT segment, pt, n, tp, fp, round(nb, 6) AS nb FROM ({_nb('s', [0.2, 0.5, 0.8], 'segment')})"),
+    "segment_net_benefit": sql("scored", more="s AS (SELECT *, CASE WHEN k * 2 <= 3 THEN '0-3' WHEN k * 2 <= 11 THEN '4-11' ELSE '12+' END AS segment FROM scored)", body=f"SELECT segment, pt, n, tp, fp, round(nb, 6) AS nb FROM ({_nb('s', [0.2, 0.5, 0.8], 'segment')})"),
     "fixed_dca": sql("scored", more=f"a AS ({_nb('scored', [0.1, 0.3, 0.5, 0.7])}), z AS ({_nb('scored', [0.1, 0.3, 0.5, 0.7], '', 'score_b')})", body="SELECT a.pt, round(1000 * a.tp / a.n, 6) AS tp_a, round(1000 * a.fp / a.n, 6) AS fp_a, round(1000 * z.tp / z.n, 6) AS tp_b, round(1000 * z.fp / z.n, 6) AS fp_b, round((z.nb - a.nb) * 1000, 6) AS delta_nb FROM a JOIN z ON a.pt = z.pt"),
     "patient_first_dca": sql("scored", more=f"o AS ({_one('k, id')})", body=f"SELECT pt, n, tp, fp, round(nb, 6) AS nb FROM ({_nb('o', [0.2, 0.5])})"),
     "patient_max_dca": sql("scored", more=f"o AS ({_one('score DESC, id')})", body=f"SELECT pt, n, tp, fp, round(nb, 6) AS nb FROM ({_nb('o', [0.5, 0.8, 0.9])})"),
-    "subgroup_auroc": sql("scored", more="s AS (SELECT *, CASE WHEN subject % 10 < 3 THEN 'young' WHEN subject % 10 < 9 THEN 'old' ELSE 'unknown' END AS level FROM scored)", body=f"SELECT a.level, a.n, a.n_pos, CASE WHEN a.n >= 1000 THEN round(a.auroc, 6) END AS auroc, CASE WHEN a.n >= 1000 THEN round(b.auroc, 6) END AS auroc_b FROM ({_auc('level', 's')}) a JOIN ({_auc('level', 's', 'score_b')}) b ON a.level = b.level"),
+    "subgroup_auroc": sql("scored", more="s AS (SELECT *, CASE WHEN subject % 10 < 3 THEN 'young' WHEN subject % 10 < 9 THEN 'old' ELSE 'unknown' END AS level FROM scored)", body=f"SELECT a.level, a.n, a.n_pos, CASE WHEN a.n >= 100 THEN round(a.auroc, 6) END AS auroc, CASE WHEN a.n >= 100 THEN round(b.auroc, 6) END AS auroc_b FROM ({_auc('level', 's')}) a JOIN ({_auc('level', 's', 'score_b')}) b ON a.level = b.level"),
     "routed_score": sql("scored", more="s AS (SELECT *, CASE WHEN avail THEN score_b ELSE score END AS routed FROM scored)", body=f"SELECT k, round(auroc, 6) AS auroc FROM ({_auc('k', 's', 'routed')})"),
     "group_gate": sql("scored", body=f"SELECT subject, n, n_pos, round(auroc, 6) AS auroc FROM ({_auc('subject', 'scored')}) WHERE n >= 60 AND n_pos >= 20 AND auroc IS NOT NULL"),
     "group_spread": sql("scored", body=f"SELECT count(*) AS n_groups, round(quantile_cont(auroc, 0.25), 6) AS q1, round(median(auroc), 6) AS median, round(quantile_cont(auroc, 0.75), 6) AS q3, round(avg((auroc < 0.9)::INT), 6) AS share_below, round(max(n) / sum(n), 6) AS largest_share FROM ({_auc('subject', 'scored')}) WHERE n >= 20 AND n_pos >= 5 AND auroc IS NOT NULL"),
@@ -212,7 +265,11 @@ ORACLES = {
         "scored", more=f"{_X}, {_EDGES.format(q='[0.2, 0.4, 0.6, 0.8]')}, y AS (SELECT x.*, CAST(len(list_filter(q, lambda e: e <= score)) + 1 AS INT) AS grp FROM x, ed), c AS (SELECT grp, max(incidence) FILTER (bin <= 7) AS observed FROM ({_km('grp', 'y')}) GROUP BY grp)",
         body="SELECT y.grp AS \"group\", count(*) AS n, round(avg(score), 6) AS predicted, round(coalesce(any_value(c.observed), 0), 6) AS observed FROM y JOIN c ON y.grp = c.grp GROUP BY y.grp",
     ),
-    "td_cindex": sql("scored", more=_X + ", c AS (SELECT bin, score, count(*) AS n, count(*) FILTER (cause = 1) AS d FROM x GROUP BY bin, score)", body="SELECT round(sum(a.d * b.n * CASE WHEN a.score > b.score THEN 1 WHEN a.score = b.score THEN 0.5 ELSE 0 END) / sum(a.d * b.n), 6) AS concordance, CAST(sum(a.d * b.n) AS BIGINT) AS pairs FROM c a JOIN c b ON b.bin > a.bin AND a.d > 0"),
+    "td_cindex": sql(
+        "scored", more=_X + ", c AS (SELECT bin, score, count(*) AS n, count(*) FILTER (cause = 1) AS d, count(*) FILTER (cause = 0) AS c0 FROM x GROUP BY bin, score)",
+        body="""SELECT round(sum(a.d * b.n * (a.score > b.score)::INT) FILTER (b.bin > a.bin) / sum(a.d * b.n) FILTER (b.bin > a.bin), 6) AS concordance, CAST(sum(a.d * b.n) FILTER (b.bin > a.bin) AS BIGINT) AS pairs,
+ round(sum(a.d * CASE WHEN b.bin > a.bin THEN b.n ELSE b.c0 END * CASE WHEN a.score > b.score THEN 1 WHEN a.score = b.score THEN 0.5 ELSE 0 END) / sum(a.d * CASE WHEN b.bin > a.bin THEN b.n ELSE b.c0 END), 6) AS with_ties_and_censored, CAST(sum(a.d * CASE WHEN b.bin > a.bin THEN b.n ELSE b.c0 END) AS BIGINT) AS pairs_2 FROM c a JOIN c b ON b.bin >= a.bin AND a.d > 0""",
+    ),
     "smd_table": sql("scored", body=" UNION ALL ".join(map(_smd, ("score", "score_b", "y", "k")))),
     "boot_ci": sql("scored", more=f"{_DRAW}, {_JOINED}, a AS ({_auc('b', 'j', 'score', 'wt')}), z AS ({_auc('b', 'j', 'score_b', 'wt')})", body=_Q.format("SELECT 'a' AS stat, auroc AS v FROM a UNION ALL SELECT 'b', auroc FROM z UNION ALL SELECT 'difference', z.auroc - a.auroc FROM a JOIN z ON a.b = z.b")),
     "boot_membership_ci": sql("scored", more=f"{_DRAW}, {_JOINED}", body=_Q.format(f"SELECT 'a' AS stat, auroc AS v FROM ({_auc('b', 'j', 'score', '1')})")),

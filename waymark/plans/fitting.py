@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import HOUR, hash_fraction, logit
 from ..operators import fitting as M
 from ..operators import windows as W
+from .evaluation import LOGIT, newton
 from .fixtures import STEP, STRICT, WIDTH, grid, point_events, scored, sql, table
 
 R6 = lambda c: F.round(c, 6).alias(c)
@@ -48,18 +49,41 @@ def rare_onehot(spark, d):
     return M.encode_levels(every, levels, "p_brand").groupBy("level").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _customers(spark, d):
+    """Customers with a segment that is missing for some and rare for a few."""
+    k = F.col("c_custkey")
+    c = table(spark, d, "customer").select("c_custkey", F.when(k % 150 == 1, "RARE").when(k % 20 != 0, F.col("c_mktsegment")).alias("segment"), F.when(k % 8 != 0, F.col("c_acctbal").cast("double")).alias("balance"), (k % 90 + 10).cast("double").alias("age"))
+    return c, c.where("c_custkey % 4 <> 0")
+
+
+def onehot_columns(spark, d):
+    every, train = _customers(spark, d)
+    x = M.one_hot(every, M.fit_levels(train, "segment", 0.02), "segment")
+    return x.select("c_custkey", *x.columns[4:])
+
+
 def static_matrix(spark, d):
-    """Imputed, scaled and encoded, one row per part."""
-    every, train = _parts(spark, d)
-    params = M.fit_columns(train, ["p_size", "p_retailprice"])
-    imputed = M.impute(every, params, ["p_size"])
-    z = M.scale_columns(imputed, params, ["p_size", "p_retailprice"])
-    e = M.encode_levels(z, M.fit_levels(train, "p_brand", 0.04), "p_brand")
-    return e.select("p_partkey", R6("p_size_z"), R6("p_retailprice_z"), "p_size_missing", "level")
+    """Imputed, scaled and encoded, one row per customer."""
+    every, train = _customers(spark, d)
+    x = M.static_matrix(every, M.fit_columns(train, ["balance", "age"]), {"segment": M.fit_levels(train, "segment", 0.02)}, "c_custkey", ["balance", "age"], ["balance"])
+    return x.select("c_custkey", R6("balance_z"), R6("age_z"), *x.columns[3:])
+
+
+def frozen_external(spark, d):
+    """Parameters fitted on customers, applied without a refit to suppliers, whose columns have other names."""
+    _, train = _customers(spark, d)
+    s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("c_custkey"), F.when(F.col("s_suppkey") % 3 == 0, "BUILDING").when(F.col("s_suppkey") % 3 == 1, "OTHER").alias("segment"), F.when(F.col("s_suppkey") % 5 != 0, F.col("s_acctbal").cast("double")).alias("balance"), F.lit(None).cast("double").alias("age"))
+    x = M.static_matrix(s, M.fit_columns(train, ["balance", "age"]), {"segment": M.fit_levels(train, "segment", 0.02)}, "c_custkey", ["balance", "age"], ["balance", "age"])
+    return x.select(F.col("c_custkey").alias("s_suppkey"), R6("balance_z"), R6("age_z"), *x.columns[3:])
+
+
+def artifact_registry(spark, d):
+    _, train = _customers(spark, d)
+    return M.registry({"columns": M.fit_columns(train, ["balance", "age"]).select("column", F.round("mean", 3).alias("mean"), F.round("median", 3).alias("median"), "fitted_on"), "levels": M.fit_levels(train, "segment", 0.02).select("level", F.round("share", 6).alias("share"), "kept", "fitted_on")})
 
 
 def mad_thresholds(spark, d):
-    t = M.fit_thresholds(_events(spark, d)[1].where("value is not null"))
+    t = M.fit_thresholds(_events(spark, d)[1].where("value is not null"), zero_inflated=("error",))
     return t.select("var", *[R6(c) for c in ("median", "mad", "low", "high")])
 
 
@@ -118,7 +142,9 @@ def _model_rows(spark, d):
 
 def logit_fit(spark, d):
     s = _model_rows(spark, d)
-    return M.score_with(M.logistic(s.where("not valid"), ["z", "zb"], "label", "class_weight", 0.01), s, ["z", "zb"]).select("id", "y", "valid", R6("p"))
+    x = M.score_with(M.logistic(s.where("not valid"), ["z", "zb"], "label", "class_weight", 0.1), s, ["z", "zb"])
+    loss = -F.ln(F.when(F.col("y") == 1, F.col("p")).otherwise(1 - F.col("p")))
+    return x.groupBy("valid", "y").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("p"), 4).alias("mean_p"), F.round(F.avg(loss), 3).alias("loss"))
 
 
 def gbt_fit(spark, d):
@@ -135,7 +161,7 @@ def platt_fit(spark, d):
 
 QUERIES = {
     f.__name__: f
-    for f in (channel_scaler_fit, channel_scaled, static_scaler, median_impute, rare_onehot, static_matrix, mad_thresholds, qc_apply, patient_weights, sample_sets, delta_since_last, tensor_rows, seed_ensemble, packages, logit_fit, gbt_fit, platt_fit)
+    for f in (channel_scaler_fit, channel_scaled, static_scaler, median_impute, rare_onehot, onehot_columns, static_matrix, frozen_external, artifact_registry, mad_thresholds, qc_apply, patient_weights, sample_sets, delta_since_last, tensor_rows, seed_ensemble, packages, logit_fit, gbt_fit, platt_fit)
 }
 
 _E = "e AS (SELECT event_id, user_id AS key, event_type AS var, CASE WHEN event_id % 6 <> 0 THEN value END AS value FROM events), tr AS (SELECT * FROM e WHERE key % 3 <> 0)"
@@ -143,14 +169,41 @@ _F = "f AS (SELECT var, avg(value) AS mean, stddev_pop(value) + 1e-8 AS sd, coun
 _P = "p AS (SELECT p_partkey, p_brand, CASE WHEN p_partkey % 8 <> 0 THEN p_size::DOUBLE END AS p_size, p_retailprice FROM part), tr AS (SELECT * FROM p WHERE p_partkey % 4 <> 0), s AS (SELECT avg(p_size) AS m1, stddev_pop(p_size) + 1e-8 AS s1, avg(p_retailprice) AS m2, stddev_pop(p_retailprice) + 1e-8 AS s2, median(p_size) AS md FROM tr)"
 _T = "m AS (SELECT var, median(value) AS md, quantile_cont(value, 0.99) AS p99 FROM tr WHERE value IS NOT NULL GROUP BY var), a AS (SELECT tr.var, median(abs(value - md)) AS mad FROM tr JOIN m ON tr.var = m.var WHERE value IS NOT NULL GROUP BY tr.var)"
 _B = "b AS (SELECT key, k, var, CAST(least(floor((t - e) / 3600000000.0), 23) AS INT) AS bin, median(value) AS v FROM w WHERE var IN ('click', 'view', 'purchase') GROUP BY ALL)"
+_C = """c AS (SELECT c_custkey, CASE WHEN c_custkey % 150 = 1 THEN 'RARE' WHEN c_custkey % 20 <> 0 THEN c_mktsegment END AS segment, CASE WHEN c_custkey % 8 <> 0 THEN c_acctbal::DOUBLE END AS balance, (c_custkey % 90 + 10)::DOUBLE AS age FROM customer), tr AS (SELECT * FROM c WHERE c_custkey % 4 <> 0),
+s AS (SELECT avg(balance) AS m1, stddev_pop(balance) + 1e-8 AS s1, median(balance) AS md, avg(age) AS m2, stddev_pop(age) + 1e-8 AS s2, median(age) AS md2 FROM tr)"""
+_LEVELS = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")
+_HOT = ", ".join(f"coalesce(segment = '{x}', false)::INT AS \"segment={x}\"" for x in _LEVELS) + f", (segment IS NULL OR segment NOT IN {_LEVELS})::INT AS \"segment=Unknown\""
+_MROWS = f"""w AS (SELECT *, 1.0 / count(*) OVER (PARTITION BY subject) AS wt, {LOGIT.format('score')} AS z, {LOGIT.format('score_b')} AS zb, ('0x' || substr(md5(subject || ':v'), 1, 8))::BIGINT / 4294967296.0 < 0.3 AS valid FROM scored),
+m AS (SELECT *, wt * sum(wt) OVER () / (2 * sum(wt) OVER (PARTITION BY y)) AS cw FROM w)"""
+
+
+def _ridge(rounds: int, c: float) -> str:
+    """Newton steps of a weighted logistic regression on z and zb: coefficients b0 (free), b1 and b2 (penalised), by Cramer's rule."""
+    steps = ["q0 AS (SELECT 0.0::DOUBLE AS b0, 0.0::DOUBLE AS b1, 0.0::DOUBLE AS b2)"]
+    for i in range(rounds):
+        sums = f"SELECT b0, b1, b2, sum(r) AS g0, sum(r * z) - b1 / {c} AS g1, sum(r * zb) - b2 / {c} AS g2, sum(h) AS a, sum(h * z) AS b, sum(h * zb) AS c, sum(h * z * z) + 1 / {c} AS d, sum(h * z * zb) AS e, sum(h * zb * zb) + 1 / {c} AS f FROM (SELECT *, cw * (y - p) AS r, cw * p * (1 - p) AS h FROM (SELECT m.*, b0, b1, b2, 1 / (1 + exp(-(b0 + b1 * z + b2 * zb))) AS p FROM m, q{i} WHERE NOT valid)) GROUP BY b0, b1, b2"
+        det = "(a * (d * f - e * e) - b * (b * f - e * c) + c * (b * e - d * c))"
+        solved = f"b0 + (g0 * (d * f - e * e) - b * (g1 * f - e * g2) + c * (g1 * e - d * g2)) / {det} AS b0, b1 + (a * (g1 * f - e * g2) - g0 * (b * f - e * c) + c * (b * g2 - g1 * c)) / {det} AS b1, b2 + (a * (d * g2 - g1 * e) - b * (b * g2 - g1 * c) + g0 * (b * e - d * c)) / {det} AS b2"
+        steps.append(f"q{i + 1} AS (SELECT {solved} FROM ({sums}))")
+    return ", ".join(steps)
+
+
+_MODEL = f"{_MROWS}, {_ridge(12, 0.1)}"
 ORACLES = {
     "channel_scaler_fit": f"WITH {_E}, {_F} SELECT var, round(mean, 6) AS mean, round(sd, 6) AS sd, n, 'train' AS fitted_on FROM f",
     "channel_scaled": f"WITH {_E}, {_F} SELECT event_id, round(CASE WHEN value IS NOT NULL THEN (value - mean) / sd ELSE 0 END, 6) AS scaled FROM e LEFT JOIN f ON e.var = f.var",
     "static_scaler": f"WITH {_P} SELECT p_partkey, round((p_size - m1) / s1, 6) AS p_size_z, round((p_retailprice - m2) / s2, 6) AS p_retailprice_z FROM p, s",
     "median_impute": f"WITH {_P} SELECT p_partkey, round(coalesce(p_size, md), 6) AS p_size, (p_size IS NULL)::INT AS p_size_missing FROM p, s",
     "rare_onehot": f"WITH {_P}, l AS (SELECT lv FROM (SELECT CASE WHEN p_partkey % 50 = 0 OR p_brand IS NULL THEN 'Unknown' ELSE p_brand END AS lv FROM tr) GROUP BY lv HAVING count(*) >= 0.04 * (SELECT count(*) FROM tr) AND lv <> 'Unknown') SELECT coalesce(lv, 'Unknown') AS level, count(*) AS n FROM p LEFT JOIN l ON p_brand = lv GROUP BY 1",
-    "static_matrix": f"WITH {_P}, l AS (SELECT p_brand AS lv FROM tr GROUP BY p_brand HAVING count(*) >= 0.04 * (SELECT count(*) FROM tr)) SELECT p_partkey, round((coalesce(p_size, md) - m1) / s1, 6) AS p_size_z, round((p_retailprice - m2) / s2, 6) AS p_retailprice_z, (p_size IS NULL)::INT AS p_size_missing, coalesce(lv, 'Unknown') AS level FROM s, p LEFT JOIN l ON p_brand = lv",
-    "mad_thresholds": f"WITH {_E}, {_T} SELECT m.var, round(md, 6) AS median, round(mad, 6) AS mad, round(md - 3 * mad, 6) AS low, round(md + 3 * mad, 6) AS high FROM m JOIN a ON m.var = a.var",
+    "onehot_columns": f"WITH {_C} SELECT c_custkey, {_HOT} FROM c",
+    "static_matrix": f"WITH {_C} SELECT c_custkey, round((coalesce(balance, md) - m1) / s1, 6) AS balance_z, round((age - m2) / s2, 6) AS age_z, (balance IS NULL)::INT AS balance_missing, {_HOT} FROM c, s",
+    "frozen_external": f"WITH {_C}, x AS (SELECT s_suppkey, CASE WHEN s_suppkey % 3 = 0 THEN 'BUILDING' WHEN s_suppkey % 3 = 1 THEN 'OTHER' END AS segment, CASE WHEN s_suppkey % 5 <> 0 THEN s_acctbal::DOUBLE END AS balance FROM supplier) SELECT s_suppkey, round((coalesce(balance, md) - m1) / s1, 6) AS balance_z, round((md2 - m2) / s2, 6) AS age_z, (balance IS NULL)::INT AS balance_missing, 1 AS age_missing, {_HOT} FROM x, s",
+    "artifact_registry": f"""WITH {_C}, a AS (SELECT 'columns' AS name, unnest([concat_ws('|', 'balance', CAST(round(round(m1, 3) * 1000000) AS BIGINT), CAST(round(round(md, 3) * 1000000) AS BIGINT), 'train'), concat_ws('|', 'age', CAST(round(round(m2, 3) * 1000000) AS BIGINT), CAST(round(round(md2, 3) * 1000000) AS BIGINT), 'train')]) AS txt FROM s
+ UNION ALL SELECT 'levels', concat_ws('|', lv, CAST(round(round(n / sum(n) OVER (), 6) * 1000000) AS BIGINT), CASE WHEN n / sum(n) OVER () >= 0.02 AND lv <> 'Unknown' THEN 'true' ELSE 'false' END, 'train') FROM (SELECT coalesce(segment, 'Unknown') AS lv, count(*) AS n FROM tr GROUP BY 1))
+ SELECT name, 'train' AS fitted_on, count(*) AS n_params, CAST(sum(('0x' || substr(md5(txt), 1, 15))::BIGINT) AS VARCHAR) AS content FROM a GROUP BY name""",
+    "logit_fit": sql("scored", more=_MODEL, body="SELECT valid, y, count(*) AS n, round(avg(p), 4) AS mean_p, round(avg(-ln(CASE WHEN y = 1 THEN p ELSE 1 - p END)), 3) AS loss FROM (SELECT m.*, 1 / (1 + exp(-(b0 + b1 * z + b2 * zb))) AS p FROM m, q12) GROUP BY valid, y"),
+    "platt_fit": sql("scored", more=f"{_MROWS}, v AS (SELECT 1 AS one, z AS x, y FROM m WHERE valid), {newton('v', 'one')}", body="SELECT id, y, round(1 / (1 + exp(-(a + b * z))), 6) AS p FROM m, n8 WHERE NOT valid"),
+    "mad_thresholds": f"WITH {_E}, {_T} SELECT m.var, round(md, 6) AS median, round(mad, 6) AS mad, CASE WHEN m.var <> 'error' THEN round(md - 3 * mad, 6) END AS low, round(CASE WHEN m.var = 'error' THEN p99 ELSE md + 3 * mad END, 6) AS high FROM m JOIN a ON m.var = a.var",
     "qc_apply": f"WITH {_E}, {_T} SELECT e.var, coalesce(value BETWEEN md - 1.5 * mad AND md + 1.5 * mad, false) AS passed, count(*) AS n FROM e JOIN m ON e.var = m.var JOIN a ON e.var = a.var GROUP BY 1, 2",
     "patient_weights": "SELECT user_id AS subject, 1.0::DOUBLE AS total, round(1.0 / count(*), 6)::DOUBLE AS weight FROM events GROUP BY user_id",
     "sample_sets": sql("ev", "grid", more=STRICT + ", u AS (SELECT DISTINCT key, k FROM w WHERE var = 'login')", body="SELECT g.k, count(*) AS n, count(u.key) AS paired, count(*) FILTER (g.k <= 11) AS main, count(*) FILTER (g.k <= 3) AS early FROM grid g LEFT JOIN u ON g.key = u.key AND g.k = u.k GROUP BY g.k"),
