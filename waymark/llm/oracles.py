@@ -23,7 +23,7 @@ l AS (SELECT arg_min(level, (ratio, rank)) AS fit FROM f WHERE level <= ratio),
 t AS (SELECT source, source_size, rank, least(cap, coalesce(weight * fit, cap)) AS target FROM f LEFT JOIN l ON true),
 p AS (SELECT q.doc_id, q.size, t.source_size, t.target, t.rank,
         coalesce(sum(q.size) OVER (PARTITION BY q.source ORDER BY turn, q.doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
-      FROM q JOIN t ON q.source IS NOT DISTINCT FROM t.source)
+      FROM q JOIN t ON q.source IS NOT DISTINCT FROM t.source),
 s1 AS (SELECT *, CAST(greatest(0, least(size, floor(target) - start)) AS BIGINT) AS w1, CAST(greatest(0, least(size, floor(target) - source_size - start)) AS BIGINT) AS w2 FROM p),
 s2 AS (SELECT *, CASE WHEN w1 > 0 THEN (CAST(start AS DOUBLE) + w1 / 2.0::DOUBLE) / target END AS n1, CASE WHEN w2 > 0 THEN (CAST(source_size + start AS DOUBLE) + w2 / 2.0::DOUBLE) / target END AS n2 FROM s1)
 SELECT doc_id, size, source_size, target, w1 + w2 AS taken, {0} AS position_1, {1} AS position_2
