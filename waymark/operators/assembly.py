@@ -14,13 +14,14 @@ from pyspark.sql import functions as F
 def has_prefix(df: DataFrame, code: str, version: str, prefixes: DataFrame) -> DataFrame:
     """df with `concepts`: those of any prefix (version, prefix, concept) that the code of that version starts with.
 
-    The prefixes are joined by version and length, so that a long list of them costs no chain of conditions.
+    Each version's prefixes are one map, and a code is looked up once for each length that they have; rows stay as they
+    are, repeated ones too. Prefixes are a code list, small beside the rows.
     """
-    p = prefixes.select(F.col("version").alias("__v"), F.col("prefix").alias("__p"), "concept")
-    lengths = p.groupBy("__v").agg(F.collect_set(F.length("__p")).alias("__n"))
-    each = df.join(lengths, df[version] == F.col("__v"), "left").drop("__v").withColumn("__len", F.explode_outer("__n"))
-    hit = each.join(p, (F.col(version) == F.col("__v")) & (F.expr(f"left({code}, __len)") == F.col("__p")), "left")
-    return hit.groupBy(*df.columns).agg(F.array_sort(F.collect_set("concept")).alias("concepts"))
+    p = prefixes.groupBy(F.col("version").alias("__v"), "prefix").agg(F.collect_set("concept").alias("c"))
+    maps = p.groupBy("__v").agg(F.map_from_entries(F.collect_list(F.struct("prefix", "c"))).alias("__m"), F.collect_set(F.length("prefix")).alias("__n"))
+    j = df.join(maps, df[version] == F.col("__v"), "left")
+    hits = F.flatten(F.transform(F.coalesce("__n", F.array().cast("array<int>")), lambda n: F.coalesce(F.try_element_at("__m", F.left(F.col(code), n)), F.array().cast("array<string>"))))
+    return j.select(*df.columns, F.array_sort(F.array_distinct(hits)).alias("concepts"))
 
 
 def time_if(member: Column, t: Column) -> Column:
@@ -65,6 +66,19 @@ def master_index(grid: DataFrame, cohort: DataFrame, split: DataFrame, subject:
     return grid.join(cohort.where("included").select(subject, "stay_id"), subject).join(split.select(subject, "set_name"), subject, "left").withColumn("set_name", F.coalesce("set_name", F.lit("excluded")))
 
 
+def static_frame(master: DataFrame, context: DataFrame, baseline: DataFrame, keys: tuple[str, ...] = ("key", "k"), subject: tuple[str, ...] = ("key",)) -> DataFrame:
+    """One row for each row of master: what holds at its landmark (context, by keys) and what held before its stay (baseline, by subject); what is not known is null."""
+    return master.join(context, list(keys), "left").join(baseline, list(subject), "left")
+
+
+def renamed(df: DataFrame, names: dict[str, str]) -> DataFrame:
+    """df with other column names; a name that is not there, or that would come twice, is an error."""
+    lost, new = set(names) - set(df.columns), [names.get(c, c) for c in df.columns]
+    if lost or len(set(new)) < len(new):
+        raise ValueError(f"cannot rename: missing {sorted(lost)}, or repeated names in {new}")
+    return df.withColumnsRenamed(names)
+
+
 def modality_index(index: DataFrame, selected: DataFrame, passed: DataFrame, artifact: str) -> DataFrame:
     """index with `usable`: an artifact is selected at the landmark and passes quality control."""
     j = index.join(selected.select("key", "k", artifact), ["key", "k"], "left").join(passed.select(artifact, "passed"), artifact, "left")

@@ -18,10 +18,33 @@ def together(checks: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, checks)
 
 
-def schema_contract(df: DataFrame, expected: list[str]) -> DataFrame:
-    """Columns that are missing and columns that nobody asked for."""
+def schema_contract(df: DataFrame, expected: list[str], required: list[str] = ()) -> DataFrame:
+    """Columns that are missing, columns that nobody asked for, and rows in which a required column is null."""
     missing, extra = sorted(set(expected) - set(df.columns)), sorted(set(df.columns) - set(expected))
-    return df.sparkSession.createDataFrame([("no_missing_columns", not missing, ",".join(missing)), ("no_extra_columns", not extra, ",".join(extra))], "assertion string, pass boolean, detail string")
+    said = [F.lit(x) for x in ("no_missing_columns", not missing, ",".join(missing), "no_extra_columns", not extra, ",".join(extra))]
+    names = df.agg(F.count(F.lit(1)).alias("__n")).select(F.explode(F.array(*[F.struct(a.alias("assertion"), b.alias("pass"), c.alias("detail")) for a, b, c in (said[:3], said[3:])])).alias("x")).select("x.*")
+    there = [F.col(c).isNull() for c in required if c in df.columns]
+    return names.unionByName(check("required_not_null", df, reduce(lambda x, y: x | y, there, F.lit(False))))
+
+
+def ordered(name: str, df: DataFrame, low: str, high: str) -> DataFrame:
+    """Intervals end where they start or later; an open one does."""
+    return check(name, df, F.col(high) < F.col(low))
+
+
+def after_landmark(name: str, df: DataFrame, time: str, t: str = "t") -> DataFrame:
+    """Outcomes lie after their landmark."""
+    return check(name, df, F.col(time) <= F.col(t))
+
+
+def until_landmark(name: str, df: DataFrame, time: str, t: str = "t") -> DataFrame:
+    """Artifacts and values lie at their landmark or before it."""
+    return check(name, df, F.col(time) > F.col(t))
+
+
+def within_one(name: str, df: DataFrame, part: str, whole: str) -> DataFrame:
+    """A part belongs to one whole only: no episode spans two admissions, no stay two episodes."""
+    return check(name, df.groupBy(part).agg(F.countDistinct(whole).alias("__n")), F.col("__n") > 1)
 
 
 def unique(name: str, df: DataFrame, keys: list[str]) -> DataFrame:

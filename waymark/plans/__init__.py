@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-CATALOGUES = ("windows", "pairing", "episodes", "cohort", "outcomes", "fitting", "evaluation", "checks", "signals", "assembly")
+CATALOGUES = ("windows", "pairing", "episodes", "cohort", "outcomes", "fitting", "evaluation", "checks", "signals", "assembly", "tables")
 
 
 def queries() -> dict:

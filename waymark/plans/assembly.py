@@ -42,7 +42,7 @@ def per_order(spark, d):
 
 def aligned_scores(spark, d):
     s = scored(spark, d)
-    a, b = s.select("id", "y", "score"), s.where("id % 50 <> 0").select("id", "y", F.col("score_b").alias("score"))
+    a, b = s.select("id", "y", "score"), s.where("id % 50 <> 0").select("id", F.when(F.col("id") % 40 == 7, 1 - F.col("y")).otherwise(F.col("y")).alias("y"), F.col("score_b").alias("score"))
     return A.aligned(a, b, ["id"], "y", "score")[1]
 
 
@@ -55,7 +55,7 @@ def first_discordant(spark, d):
 
 def regular_steps(spark, d):
     g = grid(spark, d)
-    gaps = g.where("not (key % 10 = 0 and k = 3)")
+    gaps = g.where("not (key % 10 = 0 and k = 3)").withColumn("t", F.col("t") + F.when((F.col("key") % 10 == 1) & (F.col("k") % 9 == 5), 1).otherwise(0))
     return A.steps_of(gaps, STEP).select("key", "k")
 
 
@@ -100,8 +100,11 @@ def open_evidence_removed(spark, d):
 
 
 def normalised_kinds(spark, d):
-    e = table(spark, d, "events").select(A.normalised(F.concat("event_type", F.lit("é"))).alias("kind"))
-    return e.groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+    """The first words of each text, their accents taken apart and put together again."""
+    t = F.substring("text", 1, 80)
+    for letter, apart in (("\u00e9", "e\u0301"), ("\u00fc", "u\u0308"), ("\u00f1", "n\u0303")):
+        t = F.regexp_replace(t, letter, apart)
+    return table(spark, d, "documents").select("doc_id", A.normalised(t).alias("kind"))
 
 
 def paired_subset(spark, d):
@@ -121,9 +124,10 @@ ORACLES = {
     "text_semi_join": "SELECT s_suppkey, n_name FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE upper(n_name) IN (SELECT upper(trim(n_name)) FROM nation WHERE n_regionkey < 3)",
     "rebased_minutes": sql("iv", body="SELECT event_id AS stay_id, CAST(floor(start / 60000000.0) + floor((stop - start) / 60000000.0) - min(floor(start / 60000000.0)) OVER (PARTITION BY key) AS BIGINT) AS minute FROM iv"),
     "per_order": "SELECT l_orderkey, max(l_quantity) AS l_quantity, max(l_returnflag) AS l_returnflag, bool_or(l_returnflag = 'R') AS any_positive, count(*) AS n_rows FROM lineitem GROUP BY l_orderkey",
-    "aligned_scores": "SELECT count(*) AS n_a, count(*) FILTER (event_id % 50 <> 0) AS n_b, count(*) FILTER (event_id % 50 <> 0) AS n_both, 0::BIGINT AS n_other_label, false AS aligned FROM events",
+    "aligned_scores": """WITH a AS (SELECT event_id AS id, (value > 60)::INT AS y FROM events), b AS (SELECT event_id AS id, CASE WHEN event_id % 40 = 7 THEN 1 - (value > 60)::INT ELSE (value > 60)::INT END AS y FROM events WHERE event_id % 50 <> 0),
+ c AS (SELECT (SELECT count(*) FROM a) AS n_a, (SELECT count(*) FROM b) AS n_b, count(*) AS n_both, count(*) FILTER (a.y <> b.y) AS n_other_label FROM a JOIN b ON a.id = b.id) SELECT *, n_a = n_b AND n_a = n_both AND n_other_label = 0 AS aligned FROM c""",
     "first_discordant": sql("ev", more=f"a AS ({_PAIR.format(b=72 * HOUR)}), b AS ({_PAIR.format(b=36 * HOUR)})", body="SELECT coalesce(a.id_a, b.id_a) AS id_a, a.v AS a, b.v AS b FROM a FULL JOIN b ON a.id_a = b.id_a WHERE a.v IS DISTINCT FROM b.v ORDER BY 1 LIMIT 40"),
-    "regular_steps": sql("ev", "grid", body="SELECT key, k FROM grid WHERE key % 10 = 0 AND k = 4"),
+    "regular_steps": sql("ev", "grid", more="g AS (SELECT key, k, t + CASE WHEN key % 10 = 1 AND k % 9 = 5 THEN 1 ELSE 0 END AS t FROM grid WHERE NOT (key % 10 = 0 AND k = 3)), s AS (SELECT *, lag(k) OVER w AS pk, lag(t) OVER w AS pt FROM g WINDOW w AS (PARTITION BY key ORDER BY k))", body="SELECT key, k FROM s WHERE k - pk <> 1 OR t - pt <> 21600000000"),
     "master_index": sql(
         "ev", "grid", "stays", more="c AS (SELECT s.key, s.stay_id, stop, row_number() OVER (PARTITION BY s.key ORDER BY start NULLS LAST, stay_id) AS rn FROM stays s JOIN customer ON s.key = c_custkey WHERE c_custkey % 90 + 10 >= 18)",
         body="SELECT g.key, g.k, stay_id, CASE WHEN g.key % 5 = 4 THEN 'excluded' WHEN g.key % 5 = 0 THEN 'test' ELSE 'train' END AS set_name FROM grid g JOIN c ON g.key = c.key AND rn = 1 AND stop IS NOT NULL",
@@ -133,6 +137,6 @@ ORACLES = {
     "exclusive_columns": "SELECT (o_orderkey % 3 = 0)::INT + (o_orderkey % 5 = 0)::INT + (o_orderkey % 3 = 1)::INT <= 1 AS exclusive, count(*) AS n FROM orders GROUP BY 1",
     "contract_events": sql("ev", more="w AS (SELECT CASE WHEN var = 'login' THEN 'other' ELSE 'chart' END AS source, var, CASE WHEN var = 'click' THEN 'event' ELSE 'known' END AS clock, CASE WHEN var = 'click' THEN e ELSE a END AS moment FROM ev WHERE var IN ('view', 'click', 'login'))", body="SELECT source, var, clock, count(*) AS n, min(moment) AS first_at, max(moment) AS last_at FROM w GROUP BY ALL"),
     "open_evidence_removed": sql("ev", "stays", body="SELECT event_id, key FROM ev WHERE var = 'login' AND NOT EXISTS (SELECT 1 FROM stays s WHERE s.key = ev.key AND start <= e AND stop > e)"),
-    "normalised_kinds": "SELECT event_type || chr(233) AS kind, count(*) AS n FROM events GROUP BY 1",
+    "normalised_kinds": "SELECT doc_id, nfc_normalize(substr(text, 1, 80)) AS kind FROM documents",
     "paired_subset": sql("ev", body="SELECT key, count(*) AS n FROM ev WHERE var = 'view' AND key IN (SELECT key FROM ev WHERE var = 'error' AND value > 95) GROUP BY key"),
 }

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import DAY, as_fraction, fahrenheit_to_celsius, hash_fraction, parse_capped
+from ..operators import assembly as A
 from ..operators import cohort as C
 from ..operators import windows as W
 from ..operators.grid import landmark_grid
@@ -47,7 +48,7 @@ def temporal_split(spark, d):
 
 def baseline_static(spark, d):
     s = stays(spark, d)
-    index = s.where("stay_id % 7 = 0").select("key", "stay_id", "start")
+    index = s.select("key", "stay_id", "start")
     h = table(spark, d, "orders").select(F.col("o_custkey").alias("key"), F.col("o_orderkey").alias("stay_id"), "o_totalprice").join(s.select("stay_id", "start"), "stay_id")
     return C.baseline(index, h, "o_totalprice").select("key", "stay_id", "n_prior", R6("last_value"), "has_prior")
 
@@ -106,7 +107,20 @@ def surrogate_ids(spark, d):
     return C.numbered(point_events(spark, d).select("key", "e", "var", "event_id"), "key", ["e", "var", "event_id"])
 
 
-QUERIES = {f.__name__: f for f in (grid, first_landmark, episode_origin, index_cohort, temporal_split, baseline_static, landmark_context, capped_parse, code_map, unit_convert, ilike_evidence, track_membership, random_group, hash_sample, surrogate_ids)}
+def static_frame(spark, d):
+    """At each landmark of a user: the context there, and the baseline of the user's first order."""
+    s = stays(spark, d)
+    first = s.groupBy("key").agg(F.max_by("stay_id", F.struct("start", "stay_id")).alias("stay_id"), F.max("start").alias("start"))
+    h = table(spark, d, "orders").select(F.col("o_custkey").alias("key"), F.col("o_orderkey").alias("stay_id"), "o_totalprice").join(s.select("stay_id", "start"), "stay_id")
+    base = C.baseline(first, h, "o_totalprice").select("key", "n_prior", R6("last_value"))
+    return A.static_frame(grid_of(spark, d).select("key", "k"), landmark_context(spark, d).select("key", "k", "weight", "drug_on"), base)
+
+
+def renamed_keys(spark, d):
+    return A.renamed(grid_of(spark, d).select("key", "k"), {"key": "episode_key"})
+
+
+QUERIES = {f.__name__: f for f in (grid, first_landmark, episode_origin, index_cohort, temporal_split, baseline_static, landmark_context, static_frame, renamed_keys, capped_parse, code_map, unit_convert, ilike_evidence, track_membership, random_group, hash_sample, surrogate_ids)}
 
 _DOCS = "d AS (SELECT doc_id % 100 AS key, doc_id AS e, text, 'documents' AS source FROM documents UNION ALL SELECT p_partkey % 100, p_partkey, p_name, 'parts' FROM part)"
 _LAST = "{n} AS (SELECT g.key, g.k, round(arg_max(value, (e, event_id)), 6) AS {n} FROM grid g JOIN ev ON ev.key = g.key AND var = '{v}' AND e <= t {w} GROUP BY g.key, g.k)"
@@ -123,9 +137,16 @@ ORACLES = {
     ),
     "temporal_split": "SELECT CASE WHEN year(o_orderdate) BETWEEN 1995 AND 1997 THEN 'train' WHEN year(o_orderdate) BETWEEN 1998 AND 1999 THEN 'valid' WHEN year(o_orderdate) = 2000 THEN 'test' ELSE 'excluded' END AS set_name, year(o_orderdate) AS year, count(*) AS n, count(DISTINCT o_custkey) AS n_subjects FROM orders GROUP BY 1, 2",
     "baseline_static": sql(
-        "stays", more="h AS (SELECT s.key, s.stay_id, s.start, o_totalprice FROM stays s JOIN orders ON o_orderkey = stay_id), a AS (SELECT i.key, i.stay_id, count(h.stay_id) AS n, arg_max(o_totalprice, (h.start, h.stay_id)) AS v FROM stays i LEFT JOIN h ON i.key = h.key AND h.start < i.start WHERE i.stay_id % 7 = 0 GROUP BY 1, 2)",
+        "stays", more="h AS (SELECT s.key, s.stay_id, s.start, o_totalprice FROM stays s JOIN orders ON o_orderkey = stay_id), a AS (SELECT i.key, i.stay_id, count(h.stay_id) AS n, arg_max(o_totalprice, (h.start, h.stay_id)) AS v FROM stays i LEFT JOIN h ON i.key = h.key AND h.start < i.start GROUP BY 1, 2)",
         body="SELECT key, stay_id, CASE WHEN n > 0 THEN n END AS n_prior, round(v, 6) AS last_value, n > 0 AS has_prior FROM a",
     ),
+    "static_frame": sql(
+        "ev", "grid", "iv", "stays", more=_LAST.format(n="weight", v="view", w="") + """, o AS (SELECT g.key, g.k, bool_or(var = 'purchase') AS drug_on FROM grid g JOIN iv ON iv.key = g.key AND start <= t AND stop > t GROUP BY g.key, g.k),
+h AS (SELECT s.key, s.stay_id, s.start, o_totalprice, max(s.start) OVER (PARTITION BY s.key) AS last_start FROM stays s JOIN orders ON o_orderkey = stay_id),
+b AS (SELECT key, nullif(count(*) FILTER (start < last_start), 0) AS n_prior, round(arg_max(o_totalprice, (start, stay_id)) FILTER (start < last_start), 6) AS last_value FROM h GROUP BY key)""",
+        body="SELECT g.key, g.k, weight, coalesce(drug_on, false) AS drug_on, n_prior, last_value FROM grid g LEFT JOIN weight w ON g.key = w.key AND g.k = w.k LEFT JOIN o ON g.key = o.key AND g.k = o.k LEFT JOIN b ON g.key = b.key",
+    ),
+    "renamed_keys": sql("ev", "grid", body="SELECT key AS episode_key, k FROM grid"),
     "landmark_context": sql(
         "ev", "grid", "iv", more=_LAST.format(n="weight", v="view", w="") + ", " + _LAST.format(n="height", v="login", w="AND e > t - 345600000000") + ", o AS (SELECT g.key, g.k, bool_or(var = 'purchase') AS drug_on, bool_or(var = 'click') AS vent_on FROM grid g JOIN iv ON iv.key = g.key AND start <= t AND stop > t GROUP BY g.key, g.k)",
         body="SELECT g.key, g.k, weight, height, coalesce(drug_on, false) AS drug_on, coalesce(vent_on, false) AS vent_on, coalesce(weight < 5 OR weight > 95, false) AS extreme, height IS NULL AS height_missing FROM grid g LEFT JOIN weight w ON g.key = w.key AND g.k = w.k LEFT JOIN height h ON g.key = h.key AND g.k = h.k LEFT JOIN o ON g.key = o.key AND g.k = o.k",

@@ -51,7 +51,7 @@ _SUMMARY = """SELECT key, k, t, var, min(value) AS v_min, median(value) AS v_med
 
 
 def summary_wide(spark, d):
-    wide = W.summary_wide(W.summary(_strict(spark, d)), list(VARIABLES), ["v_median", "v_max", "n_obs", "last_value"])
+    wide = W.summary_wide(W.summary(_strict(spark, d)), list(VARIABLES), ["v_min", "v_median", "v_max", "v_sd", "n_obs", "last_value", "last_age_h"])
     return wide.select("key", "k", *[R6(c) for c in wide.columns[2:]])
 
 
@@ -113,7 +113,7 @@ def assembled(spark, d):
 QUERIES = {f.__name__: f for f in (strict_bins, retro_bins, bins_wide, window_summary, summary_wide, dual_horizon_extremes, asof_latest, ratio_pairing, active_now, overlap_exposure, flow_window, exposure_rebin, exposure_rebin_overlap, assembled)}
 
 _MAXCASE = ", ".join(f"max(CASE WHEN var = '{v}' THEN value_median END) AS {v}" for v in VARIABLES)
-_WIDE = ", ".join(f"round(max(CASE WHEN var = '{v}' THEN {c} END), 6) AS {v}_{c}" for v in VARIABLES for c in ("v_median", "v_max", "n_obs", "last_value"))
+_WIDE = ", ".join(f"round(max(CASE WHEN var = '{v}' THEN {c} END), 6) AS {v}_{c}" for v in VARIABLES for c in ("v_min", "v_median", "v_max", "v_sd", "n_obs", "last_value", "last_age_h"))
 _OV = "ov AS (SELECT iv.*, g.k, g.t FROM iv JOIN grid g ON iv.key = g.key AND iv.start <= g.t AND iv.stop > g.t - 86400000000)"
 _OU = "greatest(0, least(stop, t) - greatest(start, t - 86400000000))"
 _O = f"{_OU} / 3600000000.0"

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, Observation, SparkSession
@@ -43,10 +45,21 @@ def write_csv(df: DataFrame, path: str) -> None:
 
 
 def ingest_headers(spark: SparkSession, pattern: str, done: DataFrame, header_lines: int = 1) -> DataFrame:
-    """(path, header) of text files whose path is not in `done` yet: an incremental ingest that is appended to `done`."""
-    files = spark.read.format("binaryFile").load(pattern).select("path", F.decode(F.col("content"), "utf-8").alias("text"))
-    new = files.join(done.select("path"), "path", "left_anti")
-    return new.select("path", F.array_join(F.slice(F.split("text", "\n"), 1, header_lines), "\n").alias("header"))
+    """(path, header) of text files whose path is not in `done` yet: an incremental ingest that is appended to `done`. Files are read as lines, so none is held whole."""
+    at = F.monotonically_increasing_id()
+    lines = spark.read.text(pattern).select(F.col("_metadata.file_path").alias("path"), at.alias("at"), "value").join(done.select("path"), "path", "left_anti")
+    # A file's first lines are in one split, numbered in a row.
+    first = lines.groupBy("path").agg(F.min("at").alias("first"))
+    head = lines.join(first, "path").where(F.col("at") < F.col("first") + header_lines)
+    return head.groupBy("path").agg(F.array_join(F.array_sort(F.collect_list(F.struct("at", "value")))["value"], "\n").alias("header"))
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new folder for tables that are written and read again: in the one that spark.checkpoint.dir names, or, where that is unset and all is one process, a temporary one."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and spark.sparkContext.master.split("[")[0] != "local":
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return f"{named.rstrip('/') if named else 'file://' + tempfile.mkdtemp(prefix='waymark-')}/waymark-tables/{uuid.uuid4().hex}"
 
 
 def write_checks(checks: DataFrame, path: str) -> int:
