@@ -266,14 +266,14 @@ def test_incidence_and_concordance(spark):
         s *= 1 - d / n
         want[t] = 1 - s
     assert all(math.isclose(got[t], want[t]) for t in want)
-    for same in (False, True):
+    for same, tie in ((False, 0.0), (True, 0.5)):
         agree = pairs = 0
         for t, c, x in rows:
             for u, e, y in rows:
                 if c == 1 and (u > t or same and u == t and e == 0):
                     pairs += 1
-                    agree += (x > y) + (x == y) / 2
-        got = evaluate.concordance(df, 1, same_bin=same).first()
+                    agree += (x > y) + (x == y) * tie
+        got = evaluate.concordance(df, 1, same_bin=same, tie=tie).first()
         assert math.isclose(got.concordance, agree / pairs) and got.pairs == pairs
 
 
@@ -322,9 +322,99 @@ def test_signal_operators(spark):
     assert {r.record: r.passed for r in signals.structural(df, 1, 10).collect()} == {1: True, 2: False, 3: False}
     assert math.isclose(signals.lead_correlation(df).where("record = 1").first().median_r, 1.0)
     assert signals.band_power(df, 64.0, (0.5, 32.0), (0.5, 32.0)).where("record = 1 and lead = 'I'").first().ratio == pytest.approx(1.0)
-    assert signals.spikes(df.withColumn("signal", F.transform("signal", lambda v: v + F.when(F.abs(v) > 0.99, 5).otherwise(0)))).where("record = 1 and lead = 'I'").first().n_spikes > 2
+    assert signals.spikes(df.withColumn("signal", F.transform("signal", lambda v: v + F.when(F.abs(v) > 0.99, 5).otherwise(0)))).where("record = 1").first().n_spikes > 2
     assert signals.median_drift(df, 9).where("record = 2").first().drift == 0.0
     z = signals.zscored(spark.createDataFrame([(1, "I", [1.0, None, float("nan"), 3.0])], df.schema)).first().z
     assert z[1] == z[2] == 0.0 and math.isclose(z[0], -z[3])
-    r = signals.reorder(df.where("record = 1"), ["II", "V", "I"], 70).first()
-    assert r.lead_mask == [True, False, True] and len(r.signals[0]) == 70 and r.signals[1] == [0.0] * 70
+    r = signals.reorder(df.where("record = 1"), ["II", "V", "I"], 64).first()
+    assert r.lead_mask == [True, False, True] and len(r.signals[0]) == 64 and r.signals[1] == [0.0] * 64
+
+
+def test_organ_ladders_at_their_bounds(spark):
+    names = "ratio double, supported boolean, platelets double, bilirubin double, pressure double, drug_a double, drug_b double, drug_c double, drug_d double, alertness double, creatinine double, urine double"
+    base = [400.0, False, 150.0, 1.1, 70.0, 0.0, 0.0, 0.0, 0.0, 15.0, 1.1, 500.0]
+    at = {c.split()[0]: i for i, c in enumerate(names.split(", "))}
+    cases = [({}, "cardio", 0)] + [
+        ({"drug_a": x}, "cardio", w) for x, w in ((0.1, 2), (5.0, 2), (5.1, 3), (15.0, 3), (15.1, 4))
+    ] + [({d: x}, "cardio", w) for d in ("drug_c", "drug_d") for x, w in ((0.01, 3), (0.1, 3), (0.11, 4))] + [
+        ({"drug_b": 0.1}, "cardio", 2), ({"pressure": 69.9}, "cardio", 1), ({"bilirubin": 12.0}, "liver", 4), ({"bilirubin": 1.2}, "liver", 1), ({"platelets": 20.0}, "coag", 3), ({"ratio": 99.0}, "resp", 2), ({"ratio": 99.0, "supported": True}, "resp", 4),
+        ({"ratio": 100.0, "supported": True}, "resp", 3), ({"alertness": 6.0}, "neuro", 3), ({"creatinine": 5.0}, "renal", 4), ({"urine": 199.0}, "renal", 4), ({"urine": 200.0}, "renal", 3),
+    ]
+    rows = []
+    for over, *_ in cases:
+        r = list(base)
+        for k, v in over.items():
+            r[at[k]] = v
+        rows.append(r)
+    got = outcomes.organ_scores(spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, " + names)).collect()
+    assert {r.i: r[part] for r, (_, part, _) in zip(sorted(got, key=lambda r: r.i), cases, strict=True)} == {i: w for i, (_, _, w) in enumerate(cases)}
+
+
+def test_artifacts_known_later_do_not_count(spark):
+    grid = spark.createDataFrame([("a", 0, 100 * H), ("b", 0, 100 * H), ("c", 0, 100 * H), ("d", 0, 100 * H)], "key string, k int, t long")
+    known = [("a", 1, 50 * H, True), ("a", 2, 500 * H, True), ("b", 3, 76 * H, True), ("c", 4, 99 * H, False), ("c", 5, 60 * H, True), ("d", 6, 28 * H, True)]
+    art = spark.createDataFrame(known, "key string, event_id long, a long, valid boolean")
+    got = {r.key: (r.event_id, r.f24, r.f48, r.f72, r.availability) for r in pairing.latest_available(grid, art, {"f24": 24 * H, "f48": 48 * H, "f72": 72 * H}, 24 * H, H).collect()}
+    assert got == {"a": (1, False, False, True, "stale"), "b": (3, True, True, True, "available"), "c": (4, False, False, False, "found"), "d": (None, False, False, False, "none")}
+
+
+def test_attribution_by_its_conditions(spark):
+    index = spark.createDataFrame([("a", 1, 100, 200, 80, 104), ("b", 1, 100, None, None, None), ("c", 1, 100, 200, 80, 150)], "key string, stay_id long, start long, stop long, visit_start long, visit_stop long")
+    every = spark.createDataFrame([("a", 1, 100, 200), ("a", 2, 85, 90), ("a", 3, 300, None), ("b", 1, 100, None), ("c", 1, 100, 200)], "key string, stay_id long, start long, stop long")
+    tests = [("a", i, e) for i, e in enumerate([79, 80, 84, 85, 90, 91, 99, 100, 200, 201, 300, 999])] + [("b", 50, 99), ("b", 51, 100), ("c", 60, 99)]
+    got = {r.event_id: r.attribution for r in pairing.attribute(spark.createDataFrame(tests, "key string, event_id long, e long"), index, every, 19, 5).collect()}
+    same, before, other, out = "same_hospitalization", "auditable_pre_admission_encounter", "other_encounter", "out_of_window"
+    assert [got[i] for i in range(12)] == [out, out, before, other, other, before, before, same, same, out, other, other] and (got[50], got[51], got[60]) == (out, same, out)
+
+
+def test_carried_flags_and_baselines_equal_brute_force(spark):
+    r = random.Random(9)
+    ev = [("ab"[r.randrange(2)], i, r.randrange(60), r.randrange(2), r.choice([None, 1.5, 2.5])) for i in range(80)]
+    grid = [(k, i, i * 7) for k in "abc" for i in range(9)]
+    e = spark.createDataFrame([(k, t, v) for k, _, t, v, _ in ev], "key string, e long, v int")
+    got = windows.exists_flags(spark.createDataFrame(grid, "key string, k int, t long"), e, {"one": F.col("v") == 1, "any": F.lit(True)}, 5).collect()
+    near = lambda k, t, f: any(q == k and t - 5 <= x < t and f(v) for q, _, x, v, _ in ev)
+    assert sorted((x.key, x.k, x.one, x.any) for x in got) == sorted((k, i, near(k, t, lambda v: v == 1), near(k, t, lambda v: True)) for k, i, t in grid)
+    h = spark.createDataFrame([(k, i, t, v) for k, i, t, _, v in ev], "key string, stay_id long, start long, value double")
+    own = {x.stay_id: (x.n_prior, x.last_value, x.has_prior) for x in cohort.baseline(h.select("key", "stay_id", "start"), h, "value").collect()}
+    for k, i, t, _, _ in ev:
+        past = sorted((x, j, v) for q, j, x, _, v in ev if q == k and x < t)
+        assert own[i] == (len(past) or None, next((v for _, _, v in reversed(past) if v is not None), None), bool(past))
+
+
+def test_signals_at_their_edges(spark):
+    nan = float("nan")
+    s = spark.createDataFrame([(1, "I", [1.0, 2.0, nan]), (1, "II", [1.0, 2.0]), (2, "II", [5.0, 6.0, 7.0, 8.0])], "record long, lead string, signal array<double>")
+    got = {r.record: (r.signals, r.lead_mask) for r in signals.reorder(s, ["II", "I"], 3).collect()}
+    assert got == {1: ([[0.0] * 3, [1.0, 2.0, 0.0]], [False, True]), 2: ([[5.0, 6.0, 7.0], [0.0] * 3], [True, False])}
+    m = spark.createDataFrame([(1, 1000.0, 10.0, 50.0, 140.0, 400.0), (2, 0.0, 60.0, 50.0, 10.0, 0.0)], "id int, rr double, p_start double, qrs_start double, qrs_end double, t_end double")
+    a, b = sorted(signals.measurements(m).collect(), key=lambda r: r.id)
+    assert (a.rate, a.qrs, a.pr, a.qt, a.qtc) == (60.0, 90.0, 40.0, 350.0, 350.0) and (b.rate, b.qrs, b.pr, b.qt, b.qtc) == (None,) * 5
+    x = spark.createDataFrame([(1, "I", [0.0] * 5 + [9.0] + [0.0] * 5), (1, "II", [0.0] * 11)], "record long, lead string, signal array<double>")
+    assert tuple(signals.spikes(x, least=3).first()) == (1, 3, True) and signals.spikes(x, least=4).first().spiky is False
+    assert {r.lead: r.drift for r in signals.median_drift(spark.createDataFrame([(1, "I", [0.0, 1.0, 2.0, 3.0, 9.0])], "record long, lead string, signal array<double>"), 3).collect()} == {"I": 9.0}
+
+
+def test_prefixes_keep_repeated_rows_and_one_hot_names(spark):
+    from waymark.operators import assembly
+
+    p = spark.createDataFrame([(1, "A", "a"), (1, "AB", "ab"), (2, "B", "b")], "version int, prefix string, concept string")
+    df = spark.createDataFrame([(1, "ABC"), (1, "ABC"), (2, "ABC"), (3, "A"), (1, None)], "v int, code string")
+    got = sorted((r.v, r.code or "", tuple(r.concepts)) for r in assembly.has_prefix(df, "code", "v", p).collect())
+    assert got == [(1, "", ()), (1, "ABC", ("a", "ab")), (1, "ABC", ("a", "ab")), (2, "ABC", ()), (3, "A", ())]
+    c = spark.createDataFrame([("x",)] * 5 + [("y",)] * 5 + [("z",), (None,)], "c string")
+    hot = fitting.one_hot(c, fitting.fit_levels(c, "c", 0.2), "c")
+    assert hot.columns == ["c", "c=x", "c=y", "c=Unknown"] and [tuple(r)[1:] for r in hot.where("c = 'z' or c is null").collect()] == [(0, 0, 1)] * 2
+    with pytest.raises(ValueError):
+        assembly.renamed(c, {"not": "there"})
+    r = fitting.registry({"levels": fitting.fit_levels(c, "c", 0.2)})
+    assert r.first().content == fitting.registry({"levels": fitting.fit_levels(c, "c", 0.2).orderBy(F.desc("level"))}).first().content
+
+
+def test_running_sums_in_two_levels_equal_one(spark):
+    r = random.Random(4)
+    rows = [(g, round(r.random() ** 4, 5), r.randint(0, 3)) for g in (None, "a", "b") for _ in range(300)] + [("c", 1.0, 1)]
+    cells = spark.createDataFrame(rows, "g string, s double, n int").groupBy("g", "s").agg(F.sum("n").alias("n"))
+    got = {(x.g, x.s): x.below for x in evaluate.running_below(cells, ["g"], "s", "n", "below").collect()}
+    assert got == {(g, s): sum(n for q, x, n in rows if q == g and x < s) for g, s, _ in rows}
+    assert [x[0] for x in spark.createDataFrame([(3,), (4,), (11,), (12,)], "k int").select(evaluate.segments(F.col("k"))).collect()] == ["0-3", "4-11", "4-11", "12+"]
