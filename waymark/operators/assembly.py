@@ -71,6 +71,18 @@ def static_frame(master: DataFrame, context: DataFrame, baseline: DataFrame, key
     return master.join(context, list(keys), "left").join(baseline, list(subject), "left")
 
 
+def masked(df: DataFrame, columns: list[str], available: Column) -> DataFrame:
+    """df with the columns null where their source is not available, and an indicator `available` of 0 or 1."""
+    ok = F.coalesce(available, F.lit(False))
+    return df.withColumns({c: F.when(ok, F.col(c)) for c in columns} | {"available": ok.cast("int")})
+
+
+def packages(master: DataFrame, models: dict[str, DataFrame | None], labels: DataFrame, keys: tuple[str, ...] = ("key", "k")) -> DataFrame:
+    """The index of each model: the rows of master (keys, set_name) that have what the model needs (rows of keys; None: all), with their label columns. Partition it by (model, set_name) when it is written."""
+    own = [(master if needs is None else master.join(needs.select(*keys).distinct(), list(keys), "left_semi")).withColumn("model", F.lit(n)) for n, needs in models.items()]
+    return reduce(DataFrame.unionByName, own).join(labels, list(keys), "left")
+
+
 def renamed(df: DataFrame, names: dict[str, str]) -> DataFrame:
     """df with other column names; a name that is not there, or that would come twice, is an error."""
     lost, new = set(names) - set(df.columns), [names.get(c, c) for c in df.columns]

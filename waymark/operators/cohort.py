@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import contains_any, latest
 from .pairing import first_of
+from .windows import active_at, as_of, with_parts
 
 
 def map_codes(df: DataFrame, mapping: DataFrame, code: str = "code") -> DataFrame:
@@ -23,14 +24,22 @@ def episode_origin(events: DataFrame, qualifies: Column) -> DataFrame:
     return first.select("key", F.col("o.e").alias("t0"), F.col("o.event_id").alias("event_id"), "n_qualifying", F.when(F.col("o").isNull(), "none").when(F.col("n_qualifying") == 1, "single").otherwise("first_of_many").alias("status"))
 
 
-def index_cohort(candidates: DataFrame, minimum_age: int, exclusions: dict[str, Column]) -> DataFrame:
-    """The first candidate of each key by start, then id, among those old enough; with a flag for each exclusion and whether it is included."""
-    first = first_of(candidates.where(F.col("age") >= minimum_age), ["key"], [F.col("start").asc_nulls_last(), "stay_id"])
+def index_cohort(candidates: DataFrame, minimum_age: int, exclusions: dict[str, Column], order: tuple[str, ...] = ("start", "stay_id")) -> DataFrame:
+    """The first candidate of each key among those old enough, in the order of some columns, nulls last, of which the last is unique; with a flag for each exclusion and whether it is included. Exclusions may use columns that were joined, such as windows.exists_flags."""
+    first = first_of(candidates.where(F.col("age") >= minimum_age), ["key"], [F.col(c).asc_nulls_last() for c in order])
     flags = {n: F.coalesce(c, F.lit(False)) for n, c in exclusions.items()}
     out = first.select("key", "stay_id", "start", "age", *[c.alias(n) for n, c in flags.items()])
     return out.withColumn("included", reduce(lambda a, b: a & b, [~F.col(n) for n in flags], F.lit(True)))
 
 
+def landmark_context(grid: DataFrame, measures: dict[str, tuple[DataFrame, int | None]], intervals: DataFrame, active: dict[str, Column], step: int) -> DataFrame:
+    """At each landmark (key, k) the latest value of each measure (events, and how long it holds; None: for good), whether it is missing, and whether an interval of each kind is active."""
+    parts = [as_of(grid, df, ["value"], within).select("key", "k", F.col("value").alias(n)) for n, (df, within) in measures.items()]
+    on = active_at(intervals, grid, step).groupBy("key", "k").agg(*[F.max(c).alias(n) for n, c in active.items()])
+    out = with_parts(grid.select("key", "k"), [*parts, on])
+    return out.select("key", "k", *measures, *[F.col(n).isNull().alias(f"{n}_missing") for n in measures], *[F.coalesce(n, F.lit(False)).alias(n) for n in active])
+
+
 def temporal_split(df: DataFrame, group: Column, sets: dict[str, list]) -> DataFrame:
     """df with set_name by group; a group of no set is excluded."""
     out = F.lit("excluded")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import HOUR, contains_any
+from .episodes import chain_dedup
 
 SEVERE, MODERATE = (0, 1, 2, 3, 4), (0, 1)
 
@@ -146,6 +147,11 @@ def unify(sources: list[tuple[str, DataFrame, list[str]]], text: str) -> DataFra
     return both.groupBy("key", "event_id", "e").agg(F.min_by("source", "priority").alias("source"), F.min("priority").alias("priority"))
 
 
+def unify_chains(sources: list[tuple[str, DataFrame, list[str]]], text: str, within: int) -> DataFrame:
+    """The unified events, of which those of one key that follow one another within `within` are one: the best by source, then the earliest, with how many it stands for."""
+    return chain_dedup(unify(sources, text).withColumn("var", F.lit("unified")), within, F.col("priority")).drop("var")
+
+
 def coverage(df: DataFrame, group: str, covered: Column, least: float) -> DataFrame:
     """Per group and for all: rows, covered rows, their share, and whether it is enough, from one pass by grouping sets."""
     out = df.withColumn("__c", covered.cast("long")).rollup(group).agg(F.grouping(group).alias("__all"), F.count(F.lit(1)).alias("n"), F.sum("__c").alias("n_covered"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import DAY, as_fraction, fahrenheit_to_celsius, hash_fraction, parse_capped
+from ..functions import DAY, HOUR, as_fraction, fahrenheit_to_celsius, hash_fraction, micros, parse_capped
 from ..operators import assembly as A
 from ..operators import cohort as C
 from ..operators import windows as W
@@ -36,8 +36,11 @@ def _candidates(spark, d):
 
 
 def index_cohort(spark, d):
-    flags = {"no_end": F.col("stop").isNull(), "urgent": F.col("unit") == "1-URGENT", "in_debt": F.col("c_acctbal") < 0}
-    return C.index_cohort(_candidates(spark, d), 18, flags)
+    """The first order of each customer by day, priority, balance and number; out if it is open or urgent, the customer in debt, or a large line of theirs shipped in the 90 days before it."""
+    li = table(spark, d, "lineitem").where("l_quantity > 45").join(table(spark, d, "orders").select("o_orderkey", F.col("o_custkey").alias("key")), F.col("l_orderkey") == F.col("o_orderkey")).select("key", micros("l_shipdate").alias("e"))
+    c = W.exists_flags(_candidates(spark, d).withColumn("t", F.col("start")), li, {"large_before": F.lit(True)}, 90 * DAY)
+    flags = {"no_end": F.col("stop").isNull(), "urgent": F.col("unit") == "1-URGENT", "in_debt": F.col("c_acctbal") < 0, "large_before": F.col("large_before")}
+    return C.index_cohort(c, 18, flags, ("start", "unit", "stop", "stay_id"))
 
 
 def temporal_split(spark, d):
@@ -55,11 +58,9 @@ def baseline_static(spark, d):
 
 def landmark_context(spark, d):
     g, e, iv = grid_of(spark, d), point_events(spark, d), intervals(spark, d)
-    weight = W.as_of(g, e.where("var = 'view'"), ["value"]).select("key", "k", F.round("value", 6).alias("weight"))
-    height = W.as_of(g, e.where("var = 'login'"), ["value"], 96 * 3_600_000_000).select("key", "k", F.round("value", 6).alias("height"))
-    on = W.active_at(iv, g, STEP).groupBy("key", "k").agg(F.max(F.col("var") == "purchase").alias("drug_on"), F.max(F.col("var") == "click").alias("vent_on"))
-    out = W.with_parts(g, [weight, height, on])
-    return out.select("key", "k", "weight", "height", F.coalesce("drug_on", F.lit(False)).alias("drug_on"), F.coalesce("vent_on", F.lit(False)).alias("vent_on"), F.coalesce((F.col("weight") < 5) | (F.col("weight") > 95), F.lit(False)).alias("extreme"), F.col("height").isNull().alias("height_missing"))
+    x = C.landmark_context(g, {"weight": (e.where("var = 'view'"), None), "height": (e.where("var = 'login'"), 96 * HOUR)}, iv, {"drug_on": F.col("var") == "purchase", "vent_on": F.col("var") == "click"}, STEP)
+    extreme = F.coalesce((F.col("weight") < 5) | (F.col("weight") > 95), F.lit(False))
+    return x.select("key", "k", R6("weight"), R6("height"), "drug_on", "vent_on", extreme.alias("extreme"), "height_missing")
 
 
 def capped_parse(spark, d):
@@ -132,8 +133,9 @@ ORACLES = {
     "first_landmark": sql("ev", "grid", body="SELECT key, min(k) AS k, min(t) AS t, count(*) AS n FROM grid GROUP BY key"),
     "episode_origin": sql("ev", body="SELECT key, CAST(floor(min(e) FILTER (q) / 1000000.0) AS BIGINT) AS t0_s, arg_min(event_id, (e, event_id)) FILTER (q) AS event_id, count(*) FILTER (q) AS n_qualifying, CASE count(*) FILTER (q) WHEN 0 THEN 'none' WHEN 1 THEN 'single' ELSE 'first_of_many' END AS status FROM (SELECT *, var = 'purchase' AND value > 50 AS q FROM ev) GROUP BY key"),
     "index_cohort": sql(
-        "stays", more="c AS (SELECT s.*, c_acctbal, c_custkey % 90 + 10 AS age, row_number() OVER (PARTITION BY key ORDER BY start NULLS LAST, stay_id) AS rn FROM stays s JOIN customer ON key = c_custkey WHERE c_custkey % 90 + 10 >= 18)",
-        body="SELECT key, stay_id, start, age, stop IS NULL AS no_end, unit = '1-URGENT' AS urgent, c_acctbal < 0 AS in_debt, NOT (stop IS NULL OR unit = '1-URGENT' OR c_acctbal < 0) AS included FROM c WHERE rn = 1",
+        "stays", more="""c AS (SELECT s.*, c_acctbal, c_custkey % 90 + 10 AS age, row_number() OVER (PARTITION BY key ORDER BY start NULLS LAST, unit NULLS LAST, stop NULLS LAST, stay_id) AS rn FROM stays s JOIN customer ON key = c_custkey WHERE c_custkey % 90 + 10 >= 18),
+li AS (SELECT o_custkey AS key, epoch_us(l_shipdate) AS e FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_quantity > 45), f AS (SELECT *, EXISTS (SELECT 1 FROM li WHERE li.key = c.key AND e < start AND e >= start - 7776000000000) AS large_before FROM c WHERE rn = 1)""",
+        body="SELECT key, stay_id, start, age, stop IS NULL AS no_end, unit = '1-URGENT' AS urgent, c_acctbal < 0 AS in_debt, large_before, NOT (stop IS NULL OR unit = '1-URGENT' OR c_acctbal < 0 OR large_before) AS included FROM f",
     ),
     "temporal_split": "SELECT CASE WHEN year(o_orderdate) BETWEEN 1995 AND 1997 THEN 'train' WHEN year(o_orderdate) BETWEEN 1998 AND 1999 THEN 'valid' WHEN year(o_orderdate) = 2000 THEN 'test' ELSE 'excluded' END AS set_name, year(o_orderdate) AS year, count(*) AS n, count(DISTINCT o_custkey) AS n_subjects FROM orders GROUP BY 1, 2",
     "baseline_static": sql(

@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from .. import sources as S
 from ..functions import HOUR, hash_fraction, logit
+from ..operators import assembly as A
 from ..operators import fitting as M
+from ..operators import outcomes as O
 from ..operators import windows as W
 from .evaluation import LOGIT, newton
 from .fixtures import STEP, STRICT, WIDTH, grid, point_events, scored, sql, table
@@ -126,12 +129,22 @@ def seed_ensemble(spark, d):
     return M.ensemble(both, ["subject", "k"]).select("subject", "k", F.round("score", 9).alias("score"), "n_seeds")
 
 
+def _packages(spark, d):
+    """Per model and set the landmarks that have what the model needs, with the label of the next 24 hours and the bin of its time."""
+    g, e = grid(spark, d), point_events(spark, d)
+    master = g.withColumn("set_name", F.when(F.col("key") % 5 == 0, "test").when(F.col("key") % 5 == 1, "valid").otherwise("train"))
+    usable = W.point_window(e.where("var = 'error'"), g, WIDTH, STEP, clock="a")
+    after = O.next_after(g, e, {"next": F.col("var") == "purchase"})
+    hit = F.coalesce(F.col("next") <= F.col("t") + WIDTH, F.lit(False)).cast("int")
+    labels = after.select("key", "k", hit.alias("y"), O.event_bin(F.coalesce("next", "t"), F.col("t"), hit, 6 * HOUR, 4).alias("bin"))
+    return A.packages(master.select("key", "k", "set_name"), {"base": None, "with_errors": usable}, labels)
+
+
 def packages(spark, d):
-    """Rows per model and set: a model takes the landmarks that have what it needs."""
-    g = grid(spark, d).withColumn("set_name", F.when(F.col("key") % 5 == 0, "test").when(F.col("key") % 5 == 1, "valid").otherwise("train"))
-    usable = W.point_window(point_events(spark, d).where("var = 'error'"), g, WIDTH, STEP, clock="a").select("key", "k").distinct()
-    models = g.withColumn("model", F.lit("base")).unionByName(g.join(usable, ["key", "k"], "left_semi").withColumn("model", F.lit("with_errors")))
-    return models.groupBy("model", "set_name").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("key").alias("n_subjects"))
+    """Written by model and set, and counted by both and label bin."""
+    path = S.scratch(spark)
+    S.write_table(_packages(spark, d), path, ("model", "set_name"))
+    return spark.read.parquet(path).groupBy("model", "set_name", "y", "bin").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("key").alias("n_subjects"))
 
 
 def _model_rows(spark, d):
@@ -216,5 +229,9 @@ ORACLES = {
         body="SELECT c.key, c.k, round(any_value(sx), 4) AS sum_x, any_value(n) AS n_observed, CAST(sum(least(coalesce(i - last_i, 48), 48)) AS BIGINT) AS sum_d FROM c JOIN x ON c.key = x.key AND c.k = x.k GROUP BY c.key, c.k",
     ),
     "seed_ensemble": sql("scored", body="SELECT subject, k, round(avg(s), 9) AS score, count(*) AS n_seeds FROM (SELECT subject, k, score AS s FROM scored UNION ALL SELECT subject, k, score_b FROM scored) GROUP BY subject, k"),
-    "packages": sql("ev", "grid", more=STRICT + ", u AS (SELECT DISTINCT key, k FROM w WHERE var = 'error'), g AS (SELECT *, CASE key % 5 WHEN 0 THEN 'test' WHEN 1 THEN 'valid' ELSE 'train' END AS set_name FROM grid)", body="SELECT 'base' AS model, set_name, count(*) AS n, count(DISTINCT key) AS n_subjects FROM g GROUP BY set_name UNION ALL SELECT 'with_errors', set_name, count(*), count(DISTINCT g.key) FROM g JOIN u ON g.key = u.key AND g.k = u.k GROUP BY set_name"),
+    "packages": sql(
+        "ev", "grid", more=STRICT + """, u AS (SELECT DISTINCT key, k FROM w WHERE var = 'error'), g AS (SELECT key, k, t, CASE key % 5 WHEN 0 THEN 'test' WHEN 1 THEN 'valid' ELSE 'train' END AS set_name, (SELECT min(e) FROM ev WHERE ev.key = grid.key AND var = 'purchase' AND e > t) AS nxt FROM grid),
+l AS (SELECT *, coalesce(nxt <= t + 86400000000, false)::INT AS y FROM g), b AS (SELECT *, CASE WHEN y = 0 THEN 4 ELSE CAST(least(greatest(ceil((nxt - t) / 21600000000.0), 1), 4) AS INT) END AS bin FROM l)""",
+        body="SELECT 'base' AS model, set_name, y, bin, count(*) AS n, count(DISTINCT key) AS n_subjects FROM b GROUP BY set_name, y, bin UNION ALL SELECT 'with_errors', set_name, y, bin, count(*), count(DISTINCT b.key) FROM b JOIN u ON b.key = u.key AND b.k = u.k GROUP BY set_name, y, bin",
+    ),
 }

@@ -97,11 +97,16 @@ def unified_sources(spark, d):
     return O.unify([("first", li, ["1", "3"]), ("second", li, ["#2", "BRAND#4"])], "p_brand").select("key", "event_id", "source")
 
 
+def unified_chains(spark, d):
+    e = point_events(spark, d).withColumn("text", F.concat_ws(" ", "var", "kind"))
+    return O.unify_chains([("first", e, ["purchase", "error"]), ("second", e.where("var <> 'purchase'"), ["stored"])], "text", 20 * HOUR).select("key", "chain", "event_id", "n_merged", "first_e")
+
+
 def source_coverage_rollup(spark, d):
     return O.coverage(table(spark, d, "lineitem"), "l_returnflag", F.col("l_quantity") > 10, 0.8)
 
 
-QUERIES = {f.__name__: f for f in (observation_endpoint, label_24h, label_reason_dist, competing_7d, event_time_bins, adjudication_queue, organ_ladders, organ_total_mask, score_delta, canonical_id, dedup_conservation, unified_sources, source_coverage_rollup)}
+QUERIES = {f.__name__: f for f in (observation_endpoint, label_24h, label_reason_dist, competing_7d, event_time_bins, adjudication_queue, organ_ladders, organ_total_mask, score_delta, canonical_id, dedup_conservation, unified_sources, unified_chains, source_coverage_rollup)}
 
 _NEXT = """n0 AS (SELECT g.key, g.k, g.t, min(e) FILTER (var = 'purchase' AND e > t AND event_id % 5 = 0) AS death, min(e) FILTER (var = 'error' AND e > t AND event_id % 5 = 1) AS transfer, min(e) FILTER (var = 'login' AND e > t AND event_id % 5 = 2) AS alive_discharge, max(e) AS last_e, max(e) FILTER (var = 'click') AS last_click FROM grid g JOIN ev ON g.key = ev.key GROUP BY ALL),
 n AS (SELECT key, k, t, t + 86400000000 AS w_end, CASE WHEN key % 7 = 0 THEN 1 - (death IS NOT NULL)::INT ELSE (death IS NOT NULL)::INT END AS died, CASE WHEN key % 17 = 0 THEN t ELSE death END AS death, transfer, alive_discharge, CASE WHEN key % 5 = 3 THEN NULL WHEN key % 4 = 0 THEN last_click ELSE last_e END AS last_seen, key % 9 = 0 AS seen_after FROM n0)"""
@@ -145,5 +150,9 @@ q AS (SELECT p.key, min(points) FILTER (e >= t0 - 172800000000 AND e < t0) AS b,
     "canonical_id": f"WITH {_FP} SELECT canonical_id, n_rows, n_variants FROM c",
     "dedup_conservation": f"WITH {_FP} SELECT CAST(sum(n_rows) AS BIGINT) AS n_rows, count(*) AS n_canonical, CAST(sum(n_variants) AS BIGINT) AS n_variants, (SELECT count(*) FROM f) AS n_source, sum(n_rows) = (SELECT count(*) FROM f) AS conserved FROM c",
     "unified_sources": "SELECT p_partkey % 50 AS key, p_partkey AS event_id, CASE WHEN p_brand LIKE '%1%' OR p_brand LIKE '%3%' THEN 'first' ELSE 'second' END AS source FROM part WHERE p_brand LIKE '%1%' OR p_brand LIKE '%3%' OR p_brand LIKE '%#2%' OR p_brand ILIKE '%brand#4%'",
+    "unified_chains": sql(
+        "ev", more="u AS (SELECT key, event_id, e, CASE WHEN var IN ('purchase', 'error') THEN 0 ELSE 1 END AS p FROM ev WHERE var IN ('purchase', 'error') OR kind = 'stored'), c AS (SELECT *, CAST(sum(nw) OVER (PARTITION BY key ORDER BY e, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS chain FROM (SELECT *, CASE WHEN e - lag(e) OVER (PARTITION BY key ORDER BY e, event_id) <= 72000000000 THEN 0 ELSE 1 END AS nw FROM u))",
+        body="SELECT key, chain, arg_min(event_id, (p, e, event_id)) AS event_id, count(*) AS n_merged, min(e) AS first_e FROM c GROUP BY key, chain",
+    ),
     "source_coverage_rollup": "SELECT coalesce(l_returnflag, 'ALL') AS l_returnflag, count(*) AS n, count(*) FILTER (l_quantity > 10) AS n_covered, round(count(*) FILTER (l_quantity > 10) / count(*), 6) AS share, count(*) FILTER (l_quantity > 10) >= 0.8 * count(*) AS enough FROM lineitem GROUP BY ROLLUP (l_returnflag)",
 }

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import assembly as A
 from ..operators import signals as S
 from .fixtures import table
 
@@ -54,8 +55,8 @@ def measurement_derivations(spark, d):
 
 def masked_by_availability(spark, d):
     s = _signals(spark, d).withColumn("m", S.mean_of(F.col("signal")))
-    ok = F.col("label") < 5
-    return s.select("vec_id", F.when(ok, F.round("m", 6)).alias("feature"), ok.cast("int").alias("available"))
+    x = A.masked(s.withColumn("feature", F.round("m", 6)), ["feature"], F.when(F.col("vec_id") % 13 != 0, F.col("label") < 5))
+    return x.select("vec_id", "feature", "available")
 
 
 def band_power(spark, d):
@@ -86,7 +87,7 @@ ORACLES = {
     "flatline_qc": f"WITH {_V}, f AS (SELECT record, vec_id % 5 = 0 OR list_max(s) = list_min(s) AS flat, CASE WHEN vec_id % 5 = 0 THEN 64 WHEN vec_id % 7 = 0 THEN 40 ELSE len(s) END AS n FROM v) SELECT record, count(*) AS n_leads, min(n) AS length, count(*) FILTER (flat) AS n_flat, count(*) >= 8 AND min(n) >= 50 AND count(*) FILTER (flat) < count(*) AS passed FROM f GROUP BY record",
     "lead_order": f"WITH {_V}, {_U} SELECT record, 8 AS n_leads, 128 AS n_values, count(DISTINCT lead) FILTER (vec_id % 11 <> 0 AND vec_id % 5 <> 0) AS n_present, round(coalesce(sum(x) FILTER (i <= 16 AND vec_id % 11 <> 0 AND vec_id % 5 <> 0), 0), 5) AS total FROM u GROUP BY record",
     "measurement_derivations": f"WITH {_V}, p AS (SELECT vec_id, round(s[1] * 1000, 3) AS rr, round(s[2] * 1000, 3) AS b, round(s[3] * 1000, 3) AS c, round(s[4] * 1000, 3) AS e, round(s[5] * 1000, 3) AS a FROM v), q AS (SELECT vec_id, CASE WHEN rr > 0 THEN rr END AS rr, CASE WHEN c - b > 0 THEN c - b END AS qrs, CASE WHEN b - a > 0 THEN b - a END AS pr, CASE WHEN e - b > 0 THEN e - b END AS qt FROM p) SELECT vec_id, round(60000.0::DOUBLE / rr, 4) AS rate, round(qrs, 4) AS qrs, round(pr, 4) AS pr, round(qt, 4) AS qt, round(qt / sqrt(rr / 1000.0::DOUBLE), 3) AS qtc FROM q",
-    "masked_by_availability": f"WITH {_V} SELECT vec_id, CASE WHEN label < 5 THEN round(list_avg(s), 6) END AS feature, (label < 5)::INT AS available FROM v",
+    "masked_by_availability": f"WITH {_V} SELECT vec_id, CASE WHEN label < 5 AND vec_id % 13 <> 0 THEN round(list_avg(s), 6) END AS feature, (label < 5 AND vec_id % 13 <> 0)::INT AS available FROM v",
     "band_power": f"WITH {_V}, {_U}, z AS (SELECT vec_id, record, lead, i, x - avg(x) OVER (PARTITION BY vec_id) AS x, count(*) OVER (PARTITION BY vec_id) AS n FROM u), f AS (SELECT vec_id, record, lead, q, pow(sum(x * cos(2 * pi() * q * (i - 1) / n)), 2) + pow(sum(x * sin(2 * pi() * q * (i - 1) / n)), 2) AS p FROM z, (SELECT unnest(generate_series(0, 32)) AS q) GROUP BY ALL) SELECT record, lead, round(sum(p) FILTER (q BETWEEN 10 AND 12) / sum(p) FILTER (q BETWEEN 0.5 AND 32), 6) AS ratio FROM f GROUP BY record, lead, vec_id",
     "spikes": f"WITH {_V}, {_U}, d AS (SELECT record, vec_id, abs(x - 2 * lag(x) OVER w + lag(x, 2) OVER w) AS d FROM u WINDOW w AS (PARTITION BY vec_id ORDER BY i)), m AS (SELECT *, median(d) OVER (PARTITION BY vec_id) AS m FROM d WHERE d IS NOT NULL), k AS (SELECT *, median(abs(d - m)) OVER (PARTITION BY vec_id) AS mad FROM m) SELECT record, count(*) FILTER (d > greatest(m + 2 * mad, 0.2)) AS n_spikes, count(*) FILTER (d > greatest(m + 2 * mad, 0.2)) >= 3 AS spiky FROM k GROUP BY record",
     "median_drift": f"WITH {_V}, {_U}, o AS (SELECT vec_id, record, lead, i, unnest(generate_series(i - 4, i + 4)) AS j, count(*) OVER (PARTITION BY vec_id) AS n FROM u), c AS (SELECT vec_id, record, lead, i, least(greatest(j, 1), n) AS j FROM o), m AS (SELECT c.vec_id, c.record, c.lead, c.i, median(u.x) AS m FROM c JOIN u ON c.vec_id = u.vec_id AND c.j = u.i GROUP BY ALL) SELECT record, lead, round(max(m) - min(m), 6) AS drift FROM m GROUP BY record, lead, vec_id",
