@@ -50,3 +50,12 @@ def test_entry(spark):
 
     assert set(e.oracle_sql()) <= set(e.queries())
     assert e.entry(spark).schema == QUERIES["strict_bins"](spark, SF).schema
+
+
+def test_core_queries_remain_without_the_corpus_operators(monkeypatch):
+    import sys
+
+    import __spark_entry__ as e
+
+    monkeypatch.setitem(sys.modules, "corpus_pipeline", None)  # its import then fails, as it does without its libraries
+    assert set(e.queries()) == set(QUERIES) and set(e.oracle_sql()) == set(ORACLES)

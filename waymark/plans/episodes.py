@@ -89,8 +89,8 @@ _MOVES = """moves AS (SELECT o_custkey AS key, l_orderkey * 10 + l_linenumber AS
  UNION ALL SELECT o_custkey, o_orderkey * 10 + 8, epoch_us(o_orderdate) - 300000000, CASE WHEN o_orderkey % 7 <> 1 THEN epoch_us(o_orderdate) + CASE WHEN o_orderkey % 7 = 5 THEN 900000000 ELSE 3600000000 END END,
  CASE WHEN o_orderkey % 7 < 3 THEN 'Medical Intensive Care Unit' WHEN o_orderkey % 7 = 3 THEN 'Medicine' WHEN o_orderkey % 7 = 4 THEN 'Emergency Department' WHEN o_orderkey % 7 = 5 THEN 'Surgery' END FROM orders WHERE o_orderkey % 5 <> 0
  UNION ALL SELECT o_custkey, o_orderkey * 10 + 9, epoch_us(o_orderdate) - 240000000, epoch_us(o_orderdate) + 540000000, 'Medical Intensive Care Unit' FROM orders WHERE o_orderkey % 11 = 1)"""
-_PATHS = f"""hits AS (SELECT e.key, e.stay_id, m.move_id, m.at_, m.stop, m.unit, {_KIND.format('m.unit')} AS kind, row_number() OVER w AS i, last_value(m.stop IGNORE NULLS) OVER (PARTITION BY e.key, e.stay_id ORDER BY m.at_, m.move_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before
-  FROM edges e JOIN moves m ON e.key = m.key AND m.at_ < e.start AND coalesce(m.stop, e.start) > e.prev_stop WINDOW w AS (PARTITION BY e.key, e.stay_id ORDER BY m.at_, m.move_id)),
+_PATHS = f"""hits AS (SELECT e.key, e.stay_id, m.move_id, m.at_, m.stop, m.unit, {_KIND.format('m.unit')} AS kind, row_number() OVER w AS i, last_value(m.stop IGNORE NULLS) OVER (PARTITION BY e.key, e.stay_id ORDER BY m.at_, m.move_id, m.stop, m.unit ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before
+  FROM edges e JOIN moves m ON e.key = m.key AND m.at_ < e.start AND coalesce(m.stop, e.start) > e.prev_stop WINDOW w AS (PARTITION BY e.key, e.stay_id ORDER BY m.at_, m.move_id, m.stop, m.unit)),
 paths AS (SELECT key, stay_id, count(*) AS n, string_agg(concat_ws('@', unit, move_id), '|' ORDER BY i) AS moves, string_agg(coalesce(unit, 'unknown'), '|' ORDER BY i) FILTER (kind <> 'icu') AS between_, bool_or(kind = 'ed') AS ed, bool_or(kind = 'unknown') AS unk, bool_or(kind = 'ward') AS ward,
   coalesce(bool_and(coalesce(stop - at_ <= 1800000000, false)) FILTER (kind = 'ward'), false) AS brief, bool_or(coalesce(at_ < before, false)) AS bad FROM hits GROUP BY key, stay_id)"""
 _CLASS = f"""c0 AS (SELECT e.*, coalesce(n, 0) AS n, between_, coalesce(ed, false) AS ed, coalesce(unk, false) AS unk, coalesce(ward, false) OR {_KIND.format('prev_unit')} = 'ward' OR {_KIND.format('unit')} = 'ward' AS ward, coalesce(bad, false) AS bad,
