@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import contains_any, latest
+from ..functions import contains_any
 from .pairing import first_of
 from .windows import active_at, as_of, with_parts
 

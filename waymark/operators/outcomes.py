@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import HOUR, contains_any
+from ..functions import contains_any
 from .episodes import chain_dedup
 
 SEVERE, MODERATE = (0, 1, 2, 3, 4), (0, 1)
