@@ -60,4 +60,27 @@ c AS (SELECT a, min(b) AS component_id FROM r GROUP BY a), n AS (SELECT a, count
 SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept FROM embeddings JOIN c ON vec_id = c.a LEFT JOIN n ON vec_id = n.a
 """
 
-ORACLES = {"op1_substring_dedup": OP1, "op2_mixing": OP2, "op7_embedding_dedup": OP7, "op8_line_dedup": OP8}
+OP11 = r"""
+WITH r AS (SELECT page_id, CASE WHEN contains(url, '://') THEN url[instr(url, '://') + 3:] ELSE '' END AS rest FROM pages),
+h AS (SELECT page_id, regexp_extract(rest, '^[^/?#]*') AS raw, rest FROM r),
+c AS (SELECT page_id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest[length(raw) + 1:], '^[^?#]*') AS path FROM h),
+d AS (SELECT *, CASE WHEN ends_with('.' || host, '.example.org') AND starts_with(path, '/en/1') THEN 'example.org/en/1'
+    WHEN ends_with('.' || host, '.example.org') AND starts_with(path, '/es/') THEN 'example.org/es/'
+    WHEN ends_with('.' || host, '.com') AND starts_with(path, '/de/') THEN 'com/de/'
+    WHEN ends_with('.' || host, '.com') AND starts_with(path, '/fr/') THEN 'com/fr/'
+    WHEN ends_with('.' || host, '.org') AND starts_with(path, '/') THEN 'org/' END AS rule, host || path AS u FROM c),
+g AS (SELECT *, CASE WHEN rule IS NOT NULL THEN NULL
+    WHEN regexp_full_match(u, '.*cheap-pills.*/.*', 's') THEN '**cheap-pills*/**'
+    WHEN regexp_matches(u, '^[^/]*/robots\.txt$') THEN '*/robots.txt'
+    WHEN regexp_full_match(u, '.*free-bets[^/]*/.*', 's') THEN '**free-bets*/**'
+    WHEN regexp_full_match(u, '.*/wp-admin/.*', 's') THEN '**/wp-admin/**'
+    WHEN regexp_full_match(u, '.*casino-[^/]*/.*', 's') THEN '**casino-*/**'
+    WHEN regexp_full_match(u, '[^/]*\.ads-[^/]*/.*', 's') THEN '*.ads-*/**'
+    WHEN regexp_full_match(u, '.*/cart/.*', 's') THEN '**/cart/**'
+    WHEN regexp_full_match(u, 'ads-[^/]*/.*', 's') THEN 'ads-*/**'
+    WHEN ends_with(u, '.exe') THEN '**.exe' WHEN ends_with(u, '.zip') THEN '**.zip' END AS pattern FROM d)
+SELECT page_id, host, path, rule, pattern, CASE WHEN coalesce(rule, '') IN ('org/', 'com/fr/') OR coalesce(pattern, '') = '*/robots.txt' THEN 'allow'
+    WHEN rule IS NOT NULL OR pattern IS NOT NULL THEN 'block' ELSE 'allow' END AS verdict FROM g
+"""
+
+ORACLES = {"op11_url_filters": OP11, "op1_substring_dedup": OP1, "op2_mixing": OP2, "op7_embedding_dedup": OP7, "op8_line_dedup": OP8}

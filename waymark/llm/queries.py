@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, embedding_dedup, html_extraction, line_dedup, mixing, quality_classifier, quality_rules, simhash, substring_dedup, unigram_lm
+from . import bpe, embedding_dedup, html_extraction, line_dedup, mixing, quality_classifier, quality_rules, simhash, substring_dedup, unigram_lm, url_filters
 from ._common import table
 
 
@@ -57,10 +57,16 @@ def op10_unigram_lm(spark: SparkSession, sf_dir: str, path: str | None = None) -
     return unigram_lm.score(table(spark, sf_dir, "documents"), path or public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op11_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = url_filters.judged(table(spark, sf_dir, "pages").select("page_id", "url"))
+    return d.select("page_id", *[F.col(f"__{n}").alias(n) for n in ("host", "path", "rule", "verdict")], F.col("__glob").alias("pattern"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_substring_dedup, op2_mixing, op3_quality_classifier, op4_html_extraction, op5_quality_rules,
         op6_simhash, op7_embedding_dedup, op8_line_dedup, op9_bpe, op10_unigram_lm,
+        op11_url_filters,
     )
 }
