@@ -83,4 +83,19 @@ SELECT page_id, host, path, rule, pattern, CASE WHEN coalesce(rule, '') IN ('org
     WHEN rule IS NOT NULL OR pattern IS NOT NULL THEN 'block' ELSE 'allow' END AS verdict FROM g
 """
 
-ORACLES = {"op11_url_filters": OP11, "op1_substring_dedup": OP1, "op2_mixing": OP2, "op7_embedding_dedup": OP7, "op8_line_dedup": OP8}
+OP13 = r"""
+WITH t AS (SELECT coalesce(lang, 'und') AS lang, string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]') AS ps FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM (SELECT lang, unnest(ps) AS piece FROM t)),
+g AS (SELECT lang, m, array_to_string(ws[i:i + m - 1], ' ') AS phrase FROM (SELECT lang, ws, m, unnest(generate_series(1, len(ws) - m + 1)) AS i FROM w, (SELECT unnest([1, 2, 3, 4]) AS m) WHERE len(ws) >= m)),
+f AS (SELECT lang, m, phrase, count(*) AS n FROM g GROUP BY ALL),
+c AS (SELECT *, string_split(phrase, ' ') AS s FROM f WHERE m > 1 AND n >= 30),
+k AS (SELECT lang, m, phrase, n AS a, k, array_to_string(s[1:k], ' ') AS first, array_to_string(s[k + 1:], ' ') AS rest FROM (SELECT *, unnest(generate_series(1, m - 1)) AS k FROM c)),
+q AS (SELECT k.*, x.n AS l, y.n AS r, (2000000::HUGEINT * a) // (x.n + y.n) AS score FROM k JOIN f x ON k.lang = x.lang AND k.first = x.phrase AND x.m = k JOIN f y ON k.lang = y.lang AND k.rest = y.phrase AND y.m = k.m - k),
+b AS (SELECT * FROM q QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+d AS (SELECT * FROM b WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.lang = b.lang AND c.m > b.m AND 100 * c.n >= 80 * b.a AND contains(' ' || c.phrase || ' ', ' ' || b.phrase || ' ')))
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, CAST(score AS BIGINT) AS score
+FROM d JOIN (SELECT lang, CAST(sum(n) AS BIGINT) AS n FROM f WHERE m = 1 GROUP BY lang) USING (lang)
+QUALIFY row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) <= 2000
+"""
+
+ORACLES = {"op11_url_filters": OP11, "op13_collocations": OP13, "op1_substring_dedup": OP1, "op2_mixing": OP2, "op7_embedding_dedup": OP7, "op8_line_dedup": OP8}
