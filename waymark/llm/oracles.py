@@ -83,6 +83,23 @@ SELECT page_id, host, path, rule, pattern, CASE WHEN coalesce(rule, '') IN ('org
     WHEN rule IS NOT NULL OR pattern IS NOT NULL THEN 'block' ELSE 'allow' END AS verdict FROM g
 """
 
+OP12 = r"""
+WITH t AS (SELECT conv_id AS c, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+o AS (SELECT c, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, code) AS pos, code, tokens
+      FROM (SELECT c, turn, md5(length(role) || ':' || role || text) AS code, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS tokens FROM t)),
+h AS (SELECT c, c - c % 20 AS first, xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(CAST(c AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+        lambda crc, b: list_reduce(list_concat([xor(crc, b)], [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda x, z: xor(x >> 1, (x & 1) * 3988292384::BIGINT))), 4294967295::BIGINT) % 4 AS h FROM (SELECT DISTINCT c FROM t)),
+u AS (SELECT h.c, 0 AS part, o.pos, code, tokens FROM h JOIN o ON o.c = h.first AND o.pos <= h UNION ALL SELECT h.c, 1, o.pos, code, tokens FROM h JOIN o ON o.c = h.c AND o.pos > h),
+r AS (SELECT c, row_number() OVER (PARTITION BY c ORDER BY part, pos) AS pos, code, tokens FROM u),
+k AS (SELECT c, pos AS depth, md5(string_agg(code, '') OVER (PARTITION BY c ORDER BY pos)) AS key, tokens FROM r UNION ALL SELECT c, 0, 'root', 0 FROM h),
+p AS (SELECT c, depth, key, tokens, lag(key) OVER (PARTITION BY c ORDER BY depth) AS above, lead(key) OVER (PARTITION BY c ORDER BY depth) IS NULL AS last FROM k),
+n AS (SELECT key, any_value(depth) AS depth, any_value(above) AS above, any_value(tokens) AS tokens, min(c) AS conv_id, count(*) AS n_convs, sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (last), '')) AS ends_sha256 FROM p GROUP BY key),
+f AS (SELECT above AS key, count(*) AS n_children FROM n WHERE above IS NOT NULL GROUP BY above),
+s AS (SELECT k.key, sum((n.n_convs - 1) * n.tokens) AS saved_tokens, count(*) FILTER (f.key IS NULL) AS n_leaves FROM n LEFT JOIN f ON n.key = f.key JOIN k ON k.c = n.conv_id AND k.depth <= n.depth GROUP BY k.key)
+SELECT n.conv_id, n.depth, m.conv_id AS parent_conv_id, n.n_convs, coalesce(n_children, 0) AS n_children, n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens, n.ends_sha256
+FROM n LEFT JOIN n m ON m.key = n.above LEFT JOIN f ON f.key = n.key JOIN s ON s.key = n.key
+"""
+
 OP13 = r"""
 WITH t AS (SELECT coalesce(lang, 'und') AS lang, string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]') AS ps FROM documents),
 w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM (SELECT lang, unnest(ps) AS piece FROM t)),
@@ -98,4 +115,4 @@ FROM d JOIN (SELECT lang, CAST(sum(n) AS BIGINT) AS n FROM f WHERE m = 1 GROUP B
 QUALIFY row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) <= 2000
 """
 
-ORACLES = {"op11_url_filters": OP11, "op13_collocations": OP13, "op1_substring_dedup": OP1, "op2_mixing": OP2, "op7_embedding_dedup": OP7, "op8_line_dedup": OP8}
+ORACLES = {"op11_url_filters": OP11, "op12_prefix_trie": OP12, "op13_collocations": OP13, "op1_substring_dedup": OP1, "op2_mixing": OP2, "op7_embedding_dedup": OP7, "op8_line_dedup": OP8}

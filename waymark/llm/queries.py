@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, collocations, embedding_dedup, html_extraction, line_dedup, mixing, quality_classifier, quality_rules, simhash, substring_dedup, unigram_lm, url_filters
+from . import bpe, collocations, embedding_dedup, html_extraction, line_dedup, mixing, prefix_trie, quality_classifier, quality_rules, simhash, substring_dedup, unigram_lm, url_filters
 from ._common import table
 
 
@@ -62,6 +62,10 @@ def op11_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("page_id", *[F.col(f"__{n}").alias(n) for n in ("host", "path", "rule", "verdict")], F.col("__glob").alias("pattern"))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(*prefix_trie.rebuilt(table(spark, sf_dir, "conversations"))).drop("key")
+
+
 def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(table(spark, sf_dir, "documents"))
 
@@ -71,6 +75,6 @@ QUERIES = {
     for f in (
         op1_substring_dedup, op2_mixing, op3_quality_classifier, op4_html_extraction, op5_quality_rules,
         op6_simhash, op7_embedding_dedup, op8_line_dedup, op9_bpe, op10_unigram_lm,
-        op11_url_filters, op13_collocations,
+        op11_url_filters, op12_prefix_trie, op13_collocations,
     )
 }
