@@ -4,6 +4,7 @@ import datetime as dt
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -418,3 +419,21 @@ def test_running_sums_in_two_levels_equal_one(spark):
     got = {(x.g, x.s): x.below for x in evaluate.running_below(cells, ["g"], "s", "n", "below").collect()}
     assert got == {(g, s): sum(n for q, x, n in rows if q == g and x < s) for g, s, _ in rows}
     assert [x[0] for x in spark.createDataFrame([(3,), (4,), (11,), (12,)], "k int").select(evaluate.segments(F.col("k"))).collect()] == ["0-3", "4-11", "4-11", "12+"]
+
+
+def test_quantiles_are_exact_on_ties_skew_and_narrow_brackets(spark, monkeypatch):
+    from waymark.operators import quantiles as Q
+
+    r = np.random.default_rng(3)
+    values = {"a": np.r_[r.random(4000) ** 6, [0.25] * 3000, -1e300, 1e300], "b": np.r_[r.integers(0, 5, 500).astype(float), np.nan], None: np.array([7.0]), "c": 10.0 ** r.uniform(-300, 300, 20_000)}
+    rows = [(g, float(x)) for g, v in values.items() for x in v] + [("a", None), ("d", None)]
+    df = spark.createDataFrame(rows, "g string, x double").repartition(7)
+    p = [0.0, 1 / 3, 0.25, 0.5, 0.99, 1.0]
+    want = {x["g"]: (x["n"], x["q"]) for x in df.groupBy("g").agg(F.count("x").alias("n"), F.percentile("x", p).alias("q")).where("n > 0").collect()}
+    for listed, steps in ((Q.LISTED, 1000), (10, 1000), (10, 20)):  # the last two narrow their brackets once and twice
+        monkeypatch.setattr(Q, "STEPS", steps)
+        monkeypatch.setattr(Q, "_SHARE", 3 / steps + 2 / Q.ACCURACY)
+        got = {x["g"]: (x["n"], x["q"]) for x in Q.quantiles(df, ["g"], ["x"], p, listed).collect()}
+        assert got.keys() == want.keys()
+        assert all(n == want[g][0] and np.allclose(q, want[g][1], rtol=1e-12, equal_nan=True) for g, (n, q) in got.items())
+    assert Q.quantiles(df.limit(0), [], ["x"], p).count() == 0

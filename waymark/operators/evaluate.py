@@ -7,28 +7,22 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .quantiles import matched, quantile_row
 
 #: Ranges of a score whose sums are numbered first, so that a running sum over scores needs no group in one task.
 RANGES = 1024
 
 
-def _same(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
-    """a with b's other columns, by equality of the keys, nulls included; of one row if there are no keys."""
-    right = b.select(*[F.col(c).alias(f"__r_{c}") for c in keys], *[c for c in b.columns if c not in keys])
-    on = reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"__r_{c}")) for c in keys]) if keys else F.lit(True)
-    return a.join(right, on).drop(*[f"__r_{c}" for c in keys])
-
-
 def running_below(cells: DataFrame, by: list[str], score: str, value: str, name: str) -> DataFrame:
     """cells with `name`: the sum of value over the cells of lower score (one row a score), in two levels: over RANGES ranges of a group's scores, then within a range."""
     bounds = cells.groupBy(*by).agg(F.min(score).alias("__lo"), F.max(score).alias("__hi"))
     place = F.coalesce(F.floor(RANGES * F.try_divide(F.col(score) - F.col("__lo"), F.col("__hi") - F.col("__lo"))), F.lit(0)).cast("int")
-    ranged = _same(cells, bounds, by).withColumn("__range", place).drop("__lo", "__hi")
+    ranged = matched(cells, bounds, by).withColumn("__range", place).drop("__lo", "__hi")
     sums = ranged.groupBy(*by, "__range").agg(F.sum(value).alias("__part"))
     before = lambda w: F.coalesce(F.sum("__part").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = sums.select(*by, "__range", before(Window.partitionBy(*by).orderBy("__range")).alias("__start"))
     within = Window.partitionBy(*by, "__range").orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
-    return _same(ranged, starts, [*by, "__range"]).withColumn(name, F.col("__start") + F.coalesce(F.sum(value).over(within), F.lit(0))).drop("__start", "__range")
+    return matched(ranged, starts, [*by, "__range"]).withColumn(name, F.col("__start") + F.coalesce(F.sum(value).over(within), F.lit(0))).drop("__start", "__range")
 
 
 def auroc(rows: DataFrame, by: list[str], score: str = "score", y: str = "y", weight: str | None = None) -> DataFrame:
@@ -56,7 +50,7 @@ def brier(rows: DataFrame, by: list[str], score: str = "score", y: str = "y") ->
 
 def quantile_bins(rows: DataFrame, score: str, n: int) -> DataFrame:
     """rows with bin 1..n by quantile edges: closed on the left, the last bin closed on both sides; equal scores share a bin."""
-    edges = rows.agg(F.percentile(score, [i / n for i in range(1, n)]).alias("__edges"))
+    edges = quantile_row(rows, score, [i / n for i in range(1, n)], "__edges")
     return rows.crossJoin(F.broadcast(edges)).withColumn("bin", F.size(F.filter("__edges", lambda e: e <= F.col(score))) + 1).drop("__edges")
 
 
@@ -115,7 +109,7 @@ def spread(per_group: DataFrame, floor: float) -> DataFrame:
 
 
 def with_tertile(rows: DataFrame, column: str) -> DataFrame:
-    cut = rows.agg(F.percentile(column, [1 / 3, 2 / 3]).alias("__q"))
+    cut = quantile_row(rows, column, [1 / 3, 2 / 3], "__q")
     return rows.crossJoin(F.broadcast(cut)).withColumn("tertile", F.when(F.col(column) <= F.col("__q")[0], "low").when(F.col(column) <= F.col("__q")[1], "middle").otherwise("high")).drop("__q")
 
 
@@ -194,7 +188,7 @@ def concordance(rows: DataFrame, cause: int, time: str = "bin", score: str = "sc
     dead = F.when(F.col(time) == F.col("__t"), F.col("d")).otherwise(0)
     # Event times are bins of the study's length, so this table of them is as short as that.
     j = cells.join(times, F.col(time) >= F.col("__t")).groupBy("__t", score).agg(F.sum(alive).alias("a"), F.sum(dead).alias("e"))
-    s = _same(running_below(j, ["__t"], score, "a", "b"), j.groupBy("__t").agg(F.sum("a").alias("all")), ["__t"])
+    s = matched(running_below(j, ["__t"], score, "a", "b"), j.groupBy("__t").agg(F.sum("a").alias("all")), ["__t"])
     t = s.agg(F.sum(F.col("e") * (F.col("b") + F.col("a") * tie)).alias("agree"), F.sum(F.col("e") * F.col("all")).alias("pairs"))
     return t.select(F.try_divide("agree", "pairs").alias("concordance"), "pairs")
 
@@ -209,7 +203,7 @@ def calibration_line(rows: DataFrame, by: list[str], rounds: int = 8, score: str
         x = F.col("__x")
         p = 1 / (1 + F.exp(-(F.col("intercept") + F.col("slope") * x)))
         r, w = F.col("__y") - p, p * (1 - p)
-        j = _same(base, at, by)
+        j = matched(base, at, by)
         g = j.groupBy(*by).agg(F.first("intercept").alias("a"), F.first("slope").alias("b"), F.sum(r).alias("r0"), F.sum(r * x).alias("r1"), F.sum(w).alias("w0"), F.sum(w * x).alias("w1"), F.sum(w * x * x).alias("w2"))
         det = F.col("w0") * F.col("w2") - F.col("w1") * F.col("w1")
         at = g.select(*by, (F.col("a") + F.try_divide(F.col("w2") * F.col("r0") - F.col("w1") * F.col("r1"), det)).alias("intercept"), (F.col("b") + F.try_divide(F.col("w0") * F.col("r1") - F.col("w1") * F.col("r0"), det)).alias("slope"))

@@ -11,6 +11,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .quantiles import matched, quantiles
+
 EPS = 1e-8
 
 
@@ -26,9 +28,10 @@ def scale_channels(long: DataFrame, params: DataFrame, by: str = "var", value: s
 
 
 def fit_columns(df: DataFrame, columns: list[str], fitted_on: str = "train") -> DataFrame:
-    """(column, mean, sd, median, fitted_on) of each column, in one pass."""
-    stats = df.agg(*[F.struct(F.avg(c).alias("mean"), (F.stddev_pop(c) + EPS).alias("sd"), F.median(c).alias("median")).alias(c) for c in columns])
-    return stats.unpivot([], columns, "column", "s").select("column", "s.mean", "s.sd", "s.median", F.lit(fitted_on).alias("fitted_on"))
+    """(column, mean, sd, median, fitted_on) of each column; medians are exact."""
+    stats = df.agg(*[F.struct(F.avg(c).alias("mean"), (F.stddev_pop(c) + EPS).alias("sd")).alias(c) for c in columns])
+    middle = quantiles(df, [], columns, [0.5]).select("column", F.col("q")[0].alias("median"))
+    return stats.unpivot([], columns, "column", "s").join(middle, "column", "left").select("column", "s.mean", "s.sd", "median", F.lit(fitted_on).alias("fitted_on"))
 
 
 def _one_row(params: DataFrame, columns: list[str], fields: list[str]) -> DataFrame:
@@ -76,10 +79,11 @@ def static_matrix(df: DataFrame, params: DataFrame, levels: dict[str, DataFrame]
 
 def fit_thresholds(long: DataFrame, k: float = 3.0, zero_inflated: tuple[str, ...] = (), by: str = "var", value: str = "value") -> DataFrame:
     """Per variable the limits median -+ k MAD; for the variables named as zero-inflated the 99th percentile above, and no limit below."""
-    mid = long.groupBy(by).agg(F.median(value).alias("median"), F.percentile(value, 0.99).alias("p99"))
-    mad = long.join(mid.select(by, "median"), by).groupBy(by).agg(F.median(F.abs(F.col(value) - F.col("median"))).alias("mad"))
+    mid = quantiles(long, [by], [value], [0.5, 0.99]).select(by, F.col("q")[0].alias("median"), F.col("q")[1].alias("p99"))
+    off = matched(long.select(by, F.col(value).cast("double").alias("__v")), mid, [by]).select(by, F.abs(F.col("__v") - F.col("median")).alias("__off"))
+    mad = quantiles(off, [by], ["__off"], [0.5]).select(by, F.col("q")[0].alias("mad"))
     inflated = F.col(by).isin(*zero_inflated) if zero_inflated else F.lit(False)
-    return mid.join(mad, by).select(by, "median", "mad", F.when(~inflated, F.col("median") - k * F.col("mad")).alias("low"), F.when(inflated, F.col("p99")).otherwise(F.col("median") + k * F.col("mad")).alias("high"))
+    return matched(mid, mad, [by]).select(by, "median", "mad", F.when(~inflated, F.col("median") - k * F.col("mad")).alias("low"), F.when(inflated, F.col("p99")).otherwise(F.col("median") + k * F.col("mad")).alias("high"))
 
 
 def passes(long: DataFrame, limits: DataFrame, by: str = "var", value: str = "value") -> DataFrame:

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .quantiles import matched, quantiles
+
 
 def check(name: str, df: DataFrame, violation: Column) -> DataFrame:
     """One assertion: no row is a violation; detail counts them."""
@@ -99,10 +101,12 @@ def same_keys(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def profile(long: DataFrame, by: list[str], low: Column, high: Column, value: str = "value", exact: bool = True) -> DataFrame:
-    """Per group n, median, quartiles, 1st and 99th percentile, extremes and the share out of range; exact, or by sketches for large groups."""
+    """Per group n, median, quartiles, 1st and 99th percentile, extremes and the share out of range; exact, or by sketches alone."""
     q = [0.01, 0.25, 0.5, 0.75, 0.99]
-    quantiles = F.percentile(value, q) if exact else F.percentile_approx(value, q)
-    out = long.groupBy(*by).agg(F.count(value).alias("n"), quantiles.alias("q"), F.min(value).alias("v_min"), F.max(value).alias("v_max"), F.avg(((F.col(value) < low) | (F.col(value) > high)).cast("int")).alias("outside"))
+    sketched = [] if exact else [F.percentile_approx(value, q).alias("q")]
+    out = long.groupBy(*by).agg(F.count(value).alias("n"), *sketched, F.min(value).alias("v_min"), F.max(value).alias("v_max"), F.avg(((F.col(value) < low) | (F.col(value) > high)).cast("int")).alias("outside"))
+    if exact:
+        out = matched(out, quantiles(long, by, [value], q).drop("column", "n"), by)
     return out.select(*by, "n", *[F.col("q")[i].alias(n) for i, n in enumerate(("p1", "q1", "median", "q3", "p99"))], (F.col("q")[3] - F.col("q")[1]).alias("iqr"), "v_min", "v_max", "outside")
 
 
