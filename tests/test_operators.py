@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from waymark import functions as fn
-from waymark.operators import cohort, episodes, evaluate, fitting, outcomes, pairing, quality, signals, windows
+from waymark.operators import bootstrap, cohort, episodes, evaluate, fitting, outcomes, pairing, quality, signals, windows
 from waymark.operators.grid import landmark_grid
 
 H = fn.HOUR
@@ -279,11 +279,62 @@ def test_incidence_and_concordance(spark):
 
 
 def test_bootstrap_draws(spark):
-    s = spark.createDataFrame([(i,) for i in range(50)], "subject long")
-    d = evaluate.draws(s, 20)
-    assert {r[1] for r in d.groupBy("b").sum("weight").collect()} == {50}
-    assert sorted(map(tuple, d.collect())) == sorted(map(tuple, evaluate.draws(s.repartition(7), 20).collect()))
-    assert evaluate.draws(s, 20, mode="membership").where("weight <> 1").count() == 0
+    s = spark.createDataFrame([(i, "ab"[i % 2]) for i in range(50)] + [(3, "c")], "subject long, g string")
+    flat = lambda d: sorted((r.block * bootstrap.BLOCK + b, r.subject) for r in d.collect() for b in r.picks)
+    d = flat(bootstrap.draws(s, 300))
+    assert [sum(b == x for x, _ in d) for b in (0, 299)] == [50, 50] and max(b for b, _ in d) == 299
+    assert d == flat(bootstrap.draws(s.repartition(7), 300))
+    assert sorted(set(d)) == flat(bootstrap.draws(s, 300, mode="membership"))
+    own = bootstrap.draws(s, 20, by=("g",)).collect()
+    assert {g: sum(len(r.picks) for r in own if r.g == g) for g in "abc"} == {"a": 500, "b": 500, "c": 20}
+
+
+@pytest.mark.parametrize("few", [20_000, 5])
+def test_replicates_in_arrays_equal_those_one_by_one(spark, monkeypatch, few):
+    monkeypatch.setattr(evaluate, "FEW", few)
+    r = random.Random(8)
+    rows = [(f"p{r.randint(0, 12)}", r.choice(["x", "y", None]), r.randint(0, 1), round(r.random(), 2), r.randint(0, 1)) for _ in range(400)] + [("p1", "z", 0, 0.5, 1), ("q", "z", 0, None, 0)]
+    s = spark.createDataFrame(rows, "subject string, g string, k int, score double, y int")
+    drawn = bootstrap.draws(s, 255)
+    weight = {}
+    for d in drawn.collect():
+        for b in d.picks:
+            weight[d.block * bootstrap.BLOCK + b, d.subject] = weight.get((d.block * bootstrap.BLOCK + b, d.subject), 0) + 1
+
+    def area(b, g, k):
+        held = [(x[3] if x[3] is not None else -math.inf, x[4], weight.get((b, x[0]), 0)) for x in rows if x[1] == g and k in (None, x[2])]
+        up = sum(w for _, y, w in held if y)
+        down = sum(w for _, y, w in held if not y)
+        return sum(w * v * (0.5 if p == q else p > q) for p, y, w in held if y for q, z, v in held if not z) / (up * down) if up and down else None
+
+    got = {(x.g, x.b): x.auroc for x in bootstrap.aurocs(s, ["g"], drawn, 255).collect()}
+    assert len(got) == 4 * 255
+    got = {q: v for q, v in got.items() if q[1] in (0, 7, 249, 250, 254)}
+    assert all(v == pytest.approx(area(b, g, None)) if v is not None else area(b, g, None) is None for (g, b), v in got.items())
+    mean = {(x.g, x.b): x.iauroc for x in bootstrap.iaurocs(s, ["g"], drawn, 255, 2).where("b in (0, 251)").collect()}
+    want = {(g, b): [area(b, g, k) for k in (0, 1)] for g, b in mean}
+    assert all(v == (pytest.approx(sum(want[q]) / 2) if None not in want[q] else None) for q, v in mean.items()) and any(mean.values())
+
+
+def test_no_range_of_skewed_scores_is_large(spark):
+    cells = spark.range(60_000).select(F.lit("g").alias("g"), F.pow(F.col("id") / 60_000, 6).alias("s")).unionByName(spark.createDataFrame([("h", 0.5), ("h", 0.7)], "g string, s double"))
+    sizes = evaluate.ranged(cells, ["g"], "s").groupBy("g", "__range").count().collect()
+    assert max(x["count"] for x in sizes if x.g == "g") < 600 and [x.__getitem__("__range") for x in sizes if x.g == "h"] == [0]
+    placed = evaluate.ranged(cells, ["g"], "s").where("g = 'g'").groupBy("__range").agg(F.min("s").alias("a"), F.max("s").alias("b")).orderBy("__range").collect()
+    assert all(x.b < y.a for x, y in zip(placed, placed[1:], strict=False))
+
+
+@pytest.mark.parametrize("few", [20_000, 5])
+def test_concordance_equals_all_pairs(spark, monkeypatch, few):
+    monkeypatch.setattr(evaluate, "FEW", few)
+    r = random.Random(few)
+    rows = [(r.choice([round(r.random() * 50, 1), float(r.randint(1, 9))]), r.randint(0, 2), round(r.random(), 1)) for _ in range(250)]
+    df = spark.createDataFrame(rows, "bin double, cause int, score double")
+    for same, tie in ((False, 0.0), (True, 0.5)):
+        held = [(s, z) for t, c, s in rows if c == 1 for u, e, z in rows if u > t or same and u == t and e == 0]
+        x = evaluate.concordance(df, 1, same_bin=same, tie=tie).first()
+        assert x.pairs == len(held) and x.concordance == pytest.approx(sum(tie if s == z else s > z for s, z in held) / len(held))
+    assert evaluate.concordance(df.limit(0), 1).first().concordance is None
 
 
 def test_platt_recovers_a_shift(spark):
@@ -412,15 +463,24 @@ def test_prefixes_keep_repeated_rows_and_one_hot_names(spark):
     assert r.first().content == fitting.registry({"levels": fitting.fit_levels(c, "c", 0.2).orderBy(F.desc("level"))}).first().content
 
 
-def test_running_sums_in_two_levels_equal_one(spark):
+@pytest.mark.parametrize("few", [20_000, 5])
+def test_rank_sums_over_ranges_equal_one_sum(spark, monkeypatch, few):
+    monkeypatch.setattr(evaluate, "FEW", few)
     r = random.Random(4)
-    rows = [(g, round(r.random() ** 4, 5), r.randint(0, 3)) for g in (None, "a", "b") for _ in range(300)] + [("c", 1.0, 1)]
-    cells = spark.createDataFrame(rows, "g string, s double, n int").groupBy("g", "s").agg(F.sum("n").alias("n"))
-    got = {(x.g, x.s): x.below for x in evaluate.running_below(cells, ["g"], "s", "n", "below").collect()}
-    assert got == {(g, s): sum(n for q, x, n in rows if q == g and x < s) for g, s, _ in rows}
+    rows = [(g, round(r.random() ** 4, 5), r.randint(0, 3), r.randint(0, 2)) for g in (None, "a", "b") for _ in range(200)] + [("c", 1.0, 1, 0)]
+    cells = spark.createDataFrame(rows, "g string, s double, p int, n int").groupBy("g", "s").agg(F.sum("p").alias("p"), F.sum("n").alias("n"))
+    got = {x.g: x.u for x in evaluate.rank_sums(cells, ["g"], "s", "p", "n", 0.25).collect()}
+    assert got == {g: sum(p * m * (0.25 if s == z else s > z) for q, s, p, _ in rows if q == g for h, z, _, m in rows if h == g) for g in got}
     assert [x[0] for x in spark.createDataFrame([(3,), (4,), (11,), (12,)], "k int").select(evaluate.segments(F.col("k"))).collect()] == ["0-3", "4-11", "4-11", "12+"]
 
 
+def test_largest_share_counts_all_groups(spark):
+    rows = [(g, k, i % 2, float(i % 2) + i % 3) for g, n in (("a", 500), ("b", 40), ("c", 30)) for i in range(n) for k in (0,)] + [("d", 0, 0, 1.0)] * 900
+    s = spark.createDataFrame(rows, "g string, k int, y int, score double")
+    x = evaluate.spread(evaluate.gated_iauroc(s, "g", 30, 5, 1), s, "g", 0.55).first()
+    assert x.n_groups == 3 and x.largest_share == pytest.approx(900 / 1470)
+
+
 def test_quantiles_are_exact_on_ties_skew_and_narrow_brackets(spark, monkeypatch):
     from waymark.operators import quantiles as Q
 

@@ -9,33 +9,38 @@ from pyspark.sql import functions as F
 
 from .quantiles import matched, quantile_row
 
-#: Ranges of a score whose sums are numbered first, so that a running sum over scores needs no group in one task.
-RANGES = 1024
+#: Ranges of a group's scores, so that no sum over scores needs the group in one task; groups of up to FEW scores have one.
+RANGES, FEW = 1024, 20_000
 
 
-def running_below(cells: DataFrame, by: list[str], score: str, value: str, name: str) -> DataFrame:
-    """cells with `name`: the sum of value over the cells of lower score (one row a score), in two levels: over RANGES ranges of a group's scores, then within a range."""
-    bounds = cells.groupBy(*by).agg(F.min(score).alias("__lo"), F.max(score).alias("__hi"))
-    place = F.coalesce(F.floor(RANGES * F.try_divide(F.col(score) - F.col("__lo"), F.col("__hi") - F.col("__lo"))), F.lit(0)).cast("int")
-    ranged = matched(cells, bounds, by).withColumn("__range", place).drop("__lo", "__hi")
-    sums = ranged.groupBy(*by, "__range").agg(F.sum(value).alias("__part"))
-    before = lambda w: F.coalesce(F.sum("__part").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = sums.select(*by, "__range", before(Window.partitionBy(*by).orderBy("__range")).alias("__start"))
-    within = Window.partitionBy(*by, "__range").orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
-    return matched(ranged, starts, [*by, "__range"]).withColumn(name, F.col("__start") + F.coalesce(F.sum(value).over(within), F.lit(0))).drop("__start", "__range")
+def ranged(cells: DataFrame, by: list[str], score: str) -> DataFrame:
+    """cells with `__range`: ranges of a group's scores in their order, each of about as many cells as any other, however the scores lie; 0 in groups of few cells."""
+    sketch = F.percentile_approx(score, [i / RANGES for i in range(1, RANGES)], 10 * RANGES)
+    bounds = cells.groupBy(*by).agg(F.count(F.lit(1)).alias("__cells"), sketch.alias("__cuts"))
+    cuts = F.when(F.col("__cells") > FEW, F.array_distinct("__cuts")).otherwise(F.array().cast("array<double>"))
+    step = 32
+    bounds = bounds.select(*by, cuts.alias("__cuts")).withColumn("__coarse", F.filter("__cuts", lambda x, i: i % step == 0))
+    # The coarse cuts say which of the fine ones to look at.
+    first = F.size(F.filter("__coarse", lambda x: x <= F.col(score)))
+    within = F.size(F.filter(F.slice("__cuts", F.greatest((first - 1) * step + 1, F.lit(1)), step), lambda x: x <= F.col(score)))
+    return matched(cells, bounds, by).withColumn("__range", F.when(first == 0, 0).otherwise((first - 1) * step + within)).drop("__cuts", "__coarse")
 
 
-def auroc(rows: DataFrame, by: list[str], score: str = "score", y: str = "y", weight: str | None = None) -> DataFrame:
-    """(by, n, n_pos, auroc): the Mann-Whitney statistic with mid-ranks for ties; null with one class only.
+def rank_sums(cells: DataFrame, by: list[str], score: str, up: str, down: str, tie: float = 0.5) -> DataFrame:
+    """(by, u, up, down): over the cells of a group (one a score, with two weights) the sum of up times the down at lower scores, a down at the same score counting `tie`. Sums go over ranges of scores, then over the ranges."""
+    before = lambda c, w: F.coalesce(F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    own = ranged(cells, by, score).withColumn("__low", before(down, Window.partitionBy(*by, "__range").orderBy(score)))
+    parts = own.groupBy(*by, "__range").agg(F.sum(F.col(up) * (F.col("__low") + F.col(down) * tie)).alias("__u"), F.sum(up).alias("__up"), F.sum(down).alias("__down"))
+    all_of = parts.withColumn("__low", before("__down", Window.partitionBy(*by).orderBy("__range")))
+    return all_of.groupBy(*by).agg(F.sum(F.col("__u") + F.col("__up") * F.col("__low")).alias("u"), F.sum("__up").alias("up"), F.sum("__down").alias("down"))
 
-    Rows are first summed per (by, score); the running sum goes over distinct scores, in two levels.
-    """
+
+def auroc(rows: DataFrame, by: list[str], score: str = "score", y: str = "y", weight: str | None = None) -> DataFrame:
+    """(by, n, n_pos, auroc): the Mann-Whitney statistic with mid-ranks for ties; null with one class only. Rows are first summed per (by, score)."""
     w = F.col(weight) if weight else F.lit(1)
     cells = rows.groupBy(*by, score).agg(F.sum(w * F.col(y)).alias("__p"), F.sum(w * (1 - F.col(y))).alias("__n"))
-    ranked = running_below(cells, by, score, "__n", "__below")
-    u = F.col("__p") * (F.col("__below") + F.col("__n") / 2)
-    sums = ranked.withColumn("__u", u).groupBy(*by).agg(F.sum("__u").alias("u"), F.sum("__p").alias("n_pos"), F.sum("__n").alias("n_neg"))
-    return sums.select(*by, (F.col("n_pos") + F.col("n_neg")).alias("n"), "n_pos", F.try_divide("u", F.col("n_pos") * F.col("n_neg")).alias("auroc"))
+    sums = rank_sums(cells, by, score, "__p", "__n")
+    return sums.select(*by, (F.col("up") + F.col("down")).alias("n"), F.col("up").alias("n_pos"), F.try_divide("u", F.col("up") * F.col("down")).alias("auroc"))
 
 
 def integrated(per_k: DataFrame, by: list[str], n_landmarks: int) -> DataFrame:
@@ -102,46 +107,24 @@ def gated(rows: DataFrame, group: str, least_n: int, least_pos: int, score: str
     return auroc(rows, [group], score).where((F.col("n") >= least_n) & (F.col("n_pos") >= least_pos) & F.col("auroc").isNotNull())
 
 
-def spread(per_group: DataFrame, floor: float) -> DataFrame:
-    """Over groups: how many, the median and quartiles, the share below a floor, and the largest group's share of the rows."""
-    q = F.percentile("auroc", [0.25, 0.5, 0.75])
-    return per_group.agg(F.count(F.lit(1)).alias("n_groups"), q[0].alias("q1"), q[1].alias("median"), q[2].alias("q3"), F.avg((F.col("auroc") < floor).cast("int")).alias("share_below"), (F.max("n") / F.sum("n")).alias("largest_share"))
-
+def gated_iauroc(rows: DataFrame, group: str, least_n: int, least_pos: int, n_landmarks: int, score: str = "score", y: str = "y") -> DataFrame:
+    """(group, n, n_pos, iauroc) of the groups with enough rows and events whose landmarks can all be estimated."""
+    sizes = rows.groupBy(group).agg(F.count(F.lit(1)).alias("n"), F.sum(y).alias("n_pos")).where((F.col("n") >= least_n) & (F.col("n_pos") >= least_pos))
+    per = integrated(auroc(rows, [group, "k"], score, y), [group], n_landmarks).where("iauroc is not null").select(group, "iauroc")
+    return matched(sizes, per, [group])
 
-def with_tertile(rows: DataFrame, column: str) -> DataFrame:
-    cut = quantile_row(rows, column, [1 / 3, 2 / 3], "__q")
-    return rows.crossJoin(F.broadcast(cut)).withColumn("tertile", F.when(F.col(column) <= F.col("__q")[0], "low").when(F.col(column) <= F.col("__q")[1], "middle").otherwise("high")).drop("__q")
 
+def spread(per_group: DataFrame, rows: DataFrame, group: str, floor: float, value: str = "iauroc") -> DataFrame:
+    """Over the groups estimated: how many, the median and quartiles, and the share below a floor; and of all rows, estimated or not, the share of the largest group."""
+    q = F.percentile(value, [0.25, 0.5, 0.75])
+    found = per_group.agg(F.count(F.lit(1)).alias("n_groups"), q[0].alias("q1"), q[1].alias("median"), q[2].alias("q3"), F.avg((F.col(value) < floor).cast("int")).alias("share_below"))
+    largest = rows.groupBy(group).agg(F.count(F.lit(1)).alias("n")).agg((F.max("n") / F.sum("n")).alias("largest_share"))
+    return found.crossJoin(largest)
 
-def draws(subjects: DataFrame, replicates: int, subject: str = "subject", mode: str = "multinomial") -> DataFrame:
-    """(subject, b, weight): each of b replicates draws as many subjects as there are, with replacement.
 
-    Draw i of replicate b is the subject of rank floor(u * n), u from md5(i:b), so draws do not depend on partitions.
-    mode membership keeps only whether a subject was drawn.
-    """
-    n = subjects.select(subject).distinct().withColumn("__m", F.md5(F.col(subject).cast("string").cast("binary")))
-    # Ranks follow the order of md5(subject), numbered by its first digits and then within them.
-    n = n.withColumn("__c", F.substring("__m", 1, 3))
-    starts = n.groupBy("__c").agg(F.count(F.lit(1)).alias("__n")).select("__c", F.coalesce(F.sum("__n").over(Window.orderBy("__c").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__start"))
-    ranked = n.withColumn("__i", F.row_number().over(Window.partitionBy("__c").orderBy("__m", subject)) - 1).join(starts, "__c").select(subject, (F.col("__start") + F.col("__i")).alias("__r"))
-    size = n.agg(F.count(F.lit(1)).alias("__size"))
-    each = ranked.crossJoin(F.broadcast(size)).select("__r", "__size", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("b"))
-    u = F.conv(F.substring(F.md5(F.concat_ws(":", F.col("__r").cast("string"), F.col("b").cast("string")).cast("binary")), 1, 8), 16, 10).cast("long")
-    picked = each.select("b", F.shiftright(u * F.col("__size"), 32).alias("__r"))
-    weight = F.count(F.lit(1)) if mode == "multinomial" else F.lit(1)
-    counted = picked.groupBy("b", "__r").agg(weight.cast("long").alias("weight"))
-    return counted.join(ranked, "__r").select(subject, "b", "weight")
-
-
-def bootstrap_auroc(rows: DataFrame, scores: list[str], drawn: DataFrame, subject: str = "subject") -> DataFrame:
-    """(b, one column per score): AUROC of each replicate; rows are summed per (subject, score, y) before they meet the draws."""
-    parts = []
-    for s in scores:
-        cells = rows.groupBy(subject, s).agg(F.sum("y").alias("p"), F.count(F.lit(1)).alias("n"))
-        j = cells.join(drawn, subject)
-        long = j.select("b", F.col(s).alias("score"), F.lit(1).alias("y"), (F.col("p") * F.col("weight")).alias("w")).unionByName(j.select("b", F.col(s).alias("score"), F.lit(0).alias("y"), ((F.col("n") - F.col("p")) * F.col("weight")).alias("w")))
-        parts.append(auroc(long, ["b"], weight="w").select("b", F.col("auroc").alias(s)))
-    return reduce(lambda x, y: x.join(y, "b"), parts)
+def with_tertile(rows: DataFrame, column: str) -> DataFrame:
+    cut = quantile_row(rows, column, [1 / 3, 2 / 3], "__q")
+    return rows.crossJoin(F.broadcast(cut)).withColumn("tertile", F.when(F.col(column) < F.col("__q")[0], "low").when(F.col(column) < F.col("__q")[1], "middle").otherwise("high")).drop("__q")
 
 
 def interval(boot: DataFrame, stats: dict[str, Column], level: float = 0.95) -> DataFrame:
@@ -151,6 +134,19 @@ def interval(boot: DataFrame, stats: dict[str, Column], level: float = 0.95) ->
     return out.groupBy("stat").agg(F.count(F.lit(1)).alias("n_valid"), F.percentile("v", q).alias("q")).select("stat", "n_valid", F.col("q")[0].alias("low"), F.col("q")[1].alias("middle"), F.col("q")[2].alias("high"))
 
 
+def intervals(boot: DataFrame, by: list[str], value: str, level: float = 0.95) -> DataFrame:
+    """(by, n_valid, mean, low, middle, high) of a statistic over the replicates of each group in which it can be estimated."""
+    q = F.percentile(value, [(1 - level) / 2, 0.5, (1 + level) / 2])
+    g = boot.where(F.col(value).isNotNull()).groupBy(*by).agg(F.count(F.lit(1)).alias("n_valid"), F.avg(value).alias("mean"), q.alias("q"))
+    return g.select(*by, "n_valid", "mean", F.col("q")[0].alias("low"), F.col("q")[1].alias("middle"), F.col("q")[2].alias("high"))
+
+
+def by_dimension(rows: DataFrame, dimensions: dict[str, Column]) -> DataFrame:
+    """rows once for each dimension, with `dim` its name and `level` the row's level in it."""
+    levels = F.array(*[F.struct(F.lit(n).alias("dim"), c.alias("level")) for n, c in dimensions.items()])
+    return rows.select("*", F.explode(levels).alias("__d")).select(*rows.columns, "__d.dim", "__d.level")
+
+
 def incidence(rows: DataFrame, cause: int, by: list[str], time: str = "bin", event: str = "cause") -> DataFrame:
     """Kaplan-Meier cumulative incidence by binned time, other causes censored; a bin in which all at risk have the event ends at 1."""
     bins = rows.groupBy(*by, time).agg(F.count(F.lit(1)).alias("n"), F.sum((F.col(event) == cause).cast("long")).alias("d"))
@@ -175,21 +171,33 @@ def slope(curve: DataFrame) -> DataFrame:
     return curve.agg(F.regr_slope("observed", "predicted").alias("slope"), F.regr_intercept("observed", "predicted").alias("intercept"))
 
 
+def numbered(times: DataFrame, time: str) -> DataFrame:
+    """(time, __i): the distinct times numbered in order, in ranges and then within one."""
+    part = ranged(times.select(time).where(F.col(time).isNotNull()).distinct(), [], time)
+    sizes = part.groupBy("__range").agg(F.count(F.lit(1)).alias("__n"))
+    starts = sizes.select("__range", F.coalesce(F.sum("__n").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__start"))
+    return part.withColumn("__k", F.row_number().over(Window.partitionBy("__range").orderBy(time)) - 1).join(starts, "__range").select(time, (F.col("__start") + F.col("__k")).cast("long").alias("__i"))
+
+
 def concordance(rows: DataFrame, cause: int, time: str = "bin", score: str = "score", event: str = "cause", same_bin: bool = False, tie: float = 0.0) -> DataFrame:
-    """Time-dependent concordance: over events of the cause and rows that outlast them, how often the event has the higher score; an equal one counts `tie`.
+    """Time-dependent concordance: over events of the cause and rows that outlast them, how often the event has the higher score; an equal one counts `tie`. same_bin also compares with rows censored in the event's own bin.
 
-    Counts per (time, score) meet in a range join over distinct cells, not over rows. same_bin also compares with rows
-    censored in the event's own bin.
+    Times are numbered and halved again and again: of two times exactly one halving has the earlier on its left and the
+    later on its right, so each halving counts the lower scores on its right for the events on its left. A cell (time,
+    score) takes part in as many halvings as the number of times has digits, and never meets another cell.
     """
     cells = rows.groupBy(time, score).agg(F.count(F.lit(1)).alias("n"), F.sum((F.col(event) == cause).cast("long")).alias("d"), F.sum((F.col(event) == 0).cast("long")).alias("c"))
-    times = cells.where("d > 0").select(F.col(time).alias("__t")).distinct()
-    later = F.col(time) > F.col("__t")
-    alive = F.when(later, F.col("n")).when((F.col(time) == F.col("__t")) & F.lit(same_bin), F.col("c")).otherwise(0)
-    dead = F.when(F.col(time) == F.col("__t"), F.col("d")).otherwise(0)
-    # Event times are bins of the study's length, so this table of them is as short as that.
-    j = cells.join(times, F.col(time) >= F.col("__t")).groupBy("__t", score).agg(F.sum(alive).alias("a"), F.sum(dead).alias("e"))
-    s = matched(running_below(j, ["__t"], score, "a", "b"), j.groupBy("__t").agg(F.sum("a").alias("all")), ["__t"])
-    t = s.agg(F.sum(F.col("e") * (F.col("b") + F.col("a") * tie)).alias("agree"), F.sum(F.col("e") * F.col("all")).alias("pairs"))
+    at = numbered(cells, time)
+    digits = int(at.agg(F.coalesce(F.max("__i"), F.lit(0))).first()[0]).bit_length()
+    placed = cells.join(at, time)
+    left = lambda h: F.expr(f"__i >> {h} & 1") == 0
+    halves = [F.struct(F.lit(h).alias("h"), F.expr(f"__i >> {h + 1}").alias("part"), F.when(left(h), F.col("d")).otherwise(0).alias("e"), F.when(left(h), 0).otherwise(F.col("n")).alias("a")) for h in range(digits)]
+    own = F.struct(F.lit(-1).alias("h"), F.col("__i").alias("part"), F.col("d").alias("e"), F.col("c").alias("a"))
+    parts = [*halves, *([own] if same_bin else [])]
+    if not parts:
+        return cells.agg(F.lit(None).cast("double").alias("concordance"), F.lit(0).cast("long").alias("pairs"))
+    met = placed.select(score, F.explode(F.array(*parts)).alias("x")).select(score, "x.*").where("e > 0 or a > 0").groupBy("h", "part", score).agg(F.sum("e").alias("e"), F.sum("a").alias("a"))
+    t = rank_sums(met, ["h", "part"], score, "e", "a", tie).agg(F.sum("u").alias("agree"), F.coalesce(F.sum(F.col("up") * F.col("down")), F.lit(0)).alias("pairs"))
     return t.select(F.try_divide("agree", "pairs").alias("concordance"), "pairs")
 
 
@@ -210,24 +218,6 @@ def calibration_line(rows: DataFrame, by: list[str], rounds: int = 8, score: str
     return at.select(*by, "slope", "intercept")
 
 
-def bootstrap_iauroc(rows: DataFrame, scores: list[str], drawn: DataFrame, n_landmarks: int, subject: str = "subject") -> DataFrame:
-    """(b, one column per score): the mean over landmarks of each replicate's AUROC; null unless all landmarks can be estimated."""
-    parts = []
-    for s in scores:
-        cells = rows.groupBy(subject, "k", s, "y").agg(F.count(F.lit(1)).alias("n"))
-        j = cells.join(drawn, subject).select("b", "k", F.col(s).alias("score"), "y", (F.col("n") * F.col("weight")).alias("w"))
-        parts.append(integrated(auroc(j, ["b", "k"], weight="w"), ["b"], n_landmarks).select("b", F.col("iauroc").alias(s)))
-    return reduce(lambda x, y: x.join(y, "b"), parts)
-
-
-def bootstrap_net_benefit(rows: DataFrame, scores: list[str], thresholds: list[float], drawn: DataFrame, subject: str = "subject") -> DataFrame:
-    """(b, pt, one column per score): the net benefit of each replicate; rows are summed per subject and threshold before they meet the draws."""
-    t = rows.withColumn("pt", F.explode(F.array(*map(F.lit, thresholds))))
-    sums = [F.sum(F.when(F.col(s) >= F.col("pt"), F.when(F.col("y") == 1, 1.0).otherwise(-F.col("pt") / (1 - F.col("pt")))).otherwise(0.0)).alias(s) for s in scores]
-    per = t.groupBy(subject, "pt").agg(F.count(F.lit(1)).alias("n"), *sums)
-    return per.join(drawn, subject).groupBy("b", "pt").agg(*[(F.sum(F.col(s) * F.col("weight")) / F.sum(F.col("n") * F.col("weight"))).alias(s) for s in scores])
-
-
 def standardised_differences(rows: DataFrame, group: Column, columns: list[str]) -> DataFrame:
     """(column, mean_1, mean_0, smd): differences of means over the pooled deviation between the two groups."""
     g = rows.withColumn("__g", group)

@@ -168,10 +168,14 @@ def boosted(df: DataFrame, features: list[str], label: str, weight: str, validat
 
 
 def score_with(model, df: DataFrame, features: list[str]) -> DataFrame:
-    """df with p, the probability of label 1."""
+    """df with p, the probability of label 1: of a logistic model as an expression of its few coefficients, of others by their own function."""
+    from pyspark.ml.classification import LogisticRegressionModel
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.functions import vector_to_array
 
+    if isinstance(model, LogisticRegressionModel):
+        line = reduce(lambda x, y: x + y, [F.lit(float(b)) * F.col(c) for b, c in zip(model.coefficients, features, strict=True)], F.lit(float(model.intercept)))
+        return df.withColumn("p", 1 / (1 + F.exp(-line)))
     data = VectorAssembler(inputCols=features, outputCol="__x").transform(df)
     return model.transform(data).withColumn("p", vector_to_array("probability")[1]).select(*df.columns, "p")
 

@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import bootstrap as B
 from ..operators import evaluate as E
 from ..operators import fitting as M
-from .fixtures import scored, sql
+from .fitting import TENSOR_BINS, tensors
+from .fixtures import LOGIT, STRICT, newton, scored, sql
 
 R = lambda c, n=6: F.round(c, n).alias(c)
 R6 = R
-REPLICATES = 60
+REPLICATES = 2000
 GRID = [round(0.02 * i, 2) for i in range(1, 40)]
 
 
@@ -68,19 +70,30 @@ def routed_score(spark, d):
     return E.auroc(s, ["k"], "routed").select("k", R("auroc"))
 
 
+def _grouped(spark, d):
+    return scored(spark, d).withColumn("group", F.col("subject") % 7)
+
+
 def group_gate(spark, d):
-    return E.gated(scored(spark, d), "subject", 60, 20).select("subject", "n", "n_pos", R("auroc"))
+    return E.gated_iauroc(_grouped(spark, d), "group", 60, 20, 12).select("group", "n", "n_pos", R("iauroc"))
 
 
 def group_spread(spark, d):
-    x = E.spread(E.gated(scored(spark, d), "subject", 20, 5), 0.9)
+    s = _grouped(spark, d)
+    x = E.spread(E.gated_iauroc(s, "group", 100, 20, 12), s, "group", 0.9)
     return x.select("n_groups", *[R(c) for c in ("q1", "median", "q3", "share_below", "largest_share")])
 
 
 def density_tertiles(spark, d):
-    s = scored(spark, d)
-    dense = E.with_tertile(s.groupBy("subject").agg(F.count(F.lit(1)).alias("density")), "density")
-    return E.auroc(s.join(dense, "subject"), ["tertile"]).select("tertile", "n", "n_pos", R("auroc"))
+    """Metrics by thirds of the share of a landmark's cells (channel, bin) that are observed."""
+    m = F.flatten("m")
+    cells = tensors(spark, d).select(F.col("key").alias("subject"), "k", (F.size(F.filter(m, lambda x: x)) / F.size(m)).alias("density"))
+    s = E.with_tertile(scored(spark, d).join(cells, ["subject", "k"]), "density")
+    boot = B.iaurocs(s, ["tertile"], B.draws(s, REPLICATES, mode="membership", by=("tertile",)), REPLICATES, 12, own_draws=("tertile",))
+    sizes = s.groupBy("tertile").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("n_pos"), F.avg((F.col("score") - F.col("y")) ** 2).alias("brier"))
+    point = E.integrated(E.auroc(s, ["tertile", "k"]), ["tertile"], 12).select("tertile", "iauroc")
+    around = E.intervals(boot, ["tertile"], "iauroc")
+    return sizes.join(point, "tertile").join(around, "tertile", "left").select("tertile", "n", "n_pos", R("iauroc"), R("brier"), F.coalesce("n_valid", F.lit(0)).alias("n_valid"), R("mean"), R("low"), R("high"))
 
 
 def _times(spark, d):
@@ -106,38 +119,82 @@ def smd_table(spark, d):
     return E.standardised_differences(scored(spark, d), F.col("avail"), ["score", "score_b", "y", "k"]).select("column", R("mean_1"), R("mean_0"), R("smd"))
 
 
-def _boot(spark, d):
+def _boot(spark, d, mode="multinomial"):
     s = scored(spark, d)
-    return E.bootstrap_auroc(s, ["score", "score_b"], E.draws(s, REPLICATES))
+    x = B.aurocs(B.stacked(s, {"a": "score", "b": "score_b"}), ["stat"], B.draws(s, REPLICATES, mode=mode), REPLICATES).withColumnRenamed("b", "replicate")
+    return B.side_by_side(x, ["replicate"], "stat", ["a", "b"], "auroc")
 
 
 def boot_ci(spark, d):
-    i = E.interval(_boot(spark, d), {"a": F.col("score"), "b": F.col("score_b"), "difference": F.col("score_b") - F.col("score")})
+    i = E.interval(_boot(spark, d), {"a": F.col("a"), "b": F.col("b"), "difference": F.col("b") - F.col("a")})
     return i.select("stat", "n_valid", R("low"), R("middle"), R("high"))
 
 
 def boot_membership_ci(spark, d):
-    s = scored(spark, d)
-    i = E.interval(E.bootstrap_auroc(s, ["score"], E.draws(s, REPLICATES, mode="membership")), {"a": F.col("score")})
+    i = E.interval(_boot(spark, d, "membership"), {"a": F.col("a")})
     return i.select("stat", "n_valid", R("low"), R("middle"), R("high"))
 
 
+def _joint(rows, by, scores, drawn, own_draws=()):
+    """(by, replicate, one column a score): iAUROC of all scores and groups under the same draws."""
+    x = B.iaurocs(B.stacked(rows, scores), [*by, "stat"], drawn, REPLICATES, 12, own_draws=own_draws).withColumnRenamed("b", "replicate")
+    return B.side_by_side(x, [*by, "replicate"], "stat", list(scores), "iauroc")
+
+
 def interaction(spark, d):
+    """The gain in iAUROC in two groups of rows and its difference, under one bootstrap of all subjects."""
     s = scored(spark, d)
-    dr = E.draws(s, REPLICATES)
-    x = E.bootstrap_auroc(s.where("avail"), ["score", "score_b"], dr).select("b", (F.col("score_b") - F.col("score")).alias("on"))
-    y = E.bootstrap_auroc(s.where("not avail"), ["score", "score_b"], dr).select("b", (F.col("score_b") - F.col("score")).alias("off"))
-    i = E.interval(x.join(y, "b"), {"on": F.col("on"), "off": F.col("off"), "interaction": F.col("on") - F.col("off")})
+    x = _joint(s, ["avail"], {"a": "score", "b": "score_b"}, B.draws(s, REPLICATES, mode="membership"))
+    g = x.groupBy("replicate").agg(*[F.max(F.when(F.col("avail") == v, F.col("b") - F.col("a"))).alias(n) for n, v in (("on", True), ("off", False))])
+    i = E.interval(g, {"on": F.col("on"), "off": F.col("off"), "interaction": F.col("on") - F.col("off")})
     return i.select("stat", "n_valid", R("low"), R("middle"), R("high"))
 
 
 def control_contrast(spark, d):
-    s = scored(spark, d).withColumn("control", E.routed(F.col("avail"), F.col("score_b"), F.col("score")))
-    b = E.bootstrap_auroc(s, ["score", "score_b", "control"], E.draws(s, REPLICATES))
-    i = E.interval(b, {"b-a": F.col("score_b") - F.col("score"), "c-a": F.col("control") - F.col("score"), "c-b": F.col("control") - F.col("score_b")})
+    """Three scores against each other by iAUROC, and two of them where the second is available, under one bootstrap; a replicate counts only if all three can be estimated."""
+    s = scored(spark, d).withColumn("control", F.round((F.col("score") + F.col("score_b")) / 2, 6))
+    scores, drawn = {"a": "score", "b": "score_b", "control": "control"}, B.draws(s, REPLICATES, mode="membership")
+    grid = s.withColumn("grid", F.explode(F.when(F.col("avail"), F.array(F.lit("all"), F.lit("available"))).otherwise(F.array(F.lit("all")))))
+    x = _joint(grid, ["grid"], scores, drawn)
+    g = x.groupBy("replicate").agg(*[F.max(F.when(F.col("grid") == n, F.col(c))).alias(f"{c}_{n}") for n in ("all", "available") for c in scores])
+    a, b, c = (F.col(f"{x}_all") for x in scores)
+    whole = (a + b + c).isNotNull()
+    i = E.interval(g, {"b-a": F.when(whole, b - a), "c-a": F.when(whole, c - a), "b-c": F.when(whole, b - c), "b-c available": F.when(whole, F.col("b_available") - F.col("control_available"))})
     return i.select("stat", "n_valid", R("low"), R("middle"), R("high"))
 
 
+def subgroup_audit(spark, d):
+    """Of each level of each dimension rows, subjects, events, the iAUROC of two scores, and their difference with an interval from the level's own subjects; levels of under 100 rows are named with their number only."""
+    age = F.when(F.col("subject") % 10 < 3, "young").when(F.col("subject") % 10 < 9, "old").otherwise("unknown")
+    sex = F.when(F.col("subject") % 2 == 0, "F").otherwise("M")
+    s = E.by_dimension(scored(spark, d), {"age": age, "sex": sex})
+    by = ["dim", "level"]
+    sizes = s.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("subject").alias("n_subjects"), F.sum("y").alias("events"))
+    point = B.side_by_side(E.integrated(E.auroc(B.stacked(s, {"a": "score", "b": "score_b"}), [*by, "stat", "k"]), [*by, "stat"], 12), by, "stat", ["a", "b"], "iauroc")
+    boot = _joint(s, by, {"a": "score", "b": "score_b"}, B.draws(s, REPLICATES, mode="membership", by=tuple(by)), tuple(by)).withColumn("delta", F.col("b") - F.col("a"))
+    j = sizes.join(point, by, "left").join(E.intervals(boot, by, "delta"), by, "left")
+    shown, estimable = F.col("n") >= 100, F.col("a").isNotNull() & F.col("b").isNotNull()
+    r = lambda c, ok: F.when(ok, F.round(c, 6))
+    return j.select(
+        *by, "n", *[F.when(shown, F.col(c)).alias(c) for c in ("n_subjects", "events")], r(F.col("a"), shown).alias("iauroc_a"), r(F.col("b"), shown).alias("iauroc_b"),
+        r(F.col("b") - F.col("a"), shown).alias("delta"), *[r(F.col(c), shown & estimable).alias(c) for c in ("low", "high")],
+    )
+
+
+def patient_dca(spark, d):
+    """One row a patient (the first landmark, or that of the highest second score): AUROC of both scores, and their net benefits with the interval of the difference per 1000 patients."""
+    parts = []
+    for mode in ("first", "highest"):
+        s = E.one_per_subject(scored(spark, d), mode, "score_b")
+        pts = [0.2, 0.5, 0.8]
+        nb = lambda c, n: E.net_benefit(s, pts, [], c).select("pt", F.col("nb").alias(n))  # noqa: E731, B023
+        boot = B.net_benefits(s, ["score", "score_b"], pts, B.draws(s, REPLICATES), REPLICATES).withColumn("d", (F.col("score_b") - F.col("score")) * 1000)
+        auc = E.auroc(s, []).select(F.col("n").alias("n_patients"), F.col("n_pos").alias("events"), F.col("auroc").alias("auc_a")).crossJoin(E.auroc(s, [], "score_b").select(F.col("auroc").alias("auc_b")))
+        j = nb("score", "nb_a").join(nb("score_b", "nb_b"), "pt").join(E.intervals(boot, ["pt"], "d"), "pt").crossJoin(auc)
+        parts.append(j.select(F.lit(mode).alias("mode"), "pt", "n_patients", "events", *[R(c) for c in ("auc_a", "auc_b", "nb_a", "nb_b")], F.round((F.col("nb_b") - F.col("nb_a")) * 1000, 6).alias("delta"), *[R(c) for c in ("low", "middle", "high")]))
+    return parts[0].unionByName(parts[1])
+
+
 def calibrated_brier(spark, d):
     """Brier before and after a recalibration fitted on a third of the subjects."""
     s = scored(spark, d)
@@ -161,15 +218,14 @@ def km_slope(spark, d):
 
 def boot_iauroc(spark, d):
     s = scored(spark, d)
-    b = E.bootstrap_iauroc(s, ["score", "score_b"], E.draws(s, REPLICATES), 12)
-    i = E.interval(b, {"a": F.col("score"), "difference": F.col("score_b") - F.col("score")})
+    i = E.interval(_joint(s, [], {"a": "score", "b": "score_b"}, B.draws(s, REPLICATES)), {"a": F.col("a"), "difference": F.col("b") - F.col("a")})
     return i.select("stat", "n_valid", R("low"), R("middle"), R("high"))
 
 
 def boot_net_benefit(spark, d):
     """Intervals of the difference in net benefit, over each subject's row of highest score."""
     s = E.one_per_subject(scored(spark, d), "highest")
-    b = E.bootstrap_net_benefit(s, ["score", "score_b"], [0.2, 0.5], E.draws(s, REPLICATES))
+    b = B.net_benefits(s, ["score", "score_b"], [0.2, 0.5], B.draws(s, REPLICATES), REPLICATES)
     i = E.interval(b.groupBy("b").pivot("pt", [0.2, 0.5]).agg(F.first(F.col("score_b") - F.col("score"))), {"at_20": F.col("`0.2`"), "at_50": F.col("`0.5`")})
     return i.select("stat", "n_valid", R("low"), R("middle"), R("high"))
 
@@ -179,6 +235,7 @@ QUERIES = {
     for f in (
         auroc_by_k, iauroc, brier, cal_in_large, decile_curve, net_benefit_curve, segment_net_benefit, fixed_dca, patient_first_dca, patient_max_dca, subgroup_auroc, routed_score, group_gate, group_spread,
         density_tertiles, km_incidence, km_calibration, td_cindex, smd_table, boot_ci, boot_membership_ci, interaction, control_contrast, calibrated_brier, calibration_slope, km_slope, boot_iauroc, boot_net_benefit,
+        subgroup_audit, patient_dca,
     )
 }
 
@@ -197,9 +254,20 @@ def _nb(source: str, grid: str, by: str = "", score: str = "score") -> str:
  (SELECT {c}pt, count(*) AS n, CAST(sum(y) AS BIGINT) AS n_pos, count(*) FILTER ({score} >= pt AND y = 1) AS tp, count(*) FILTER ({score} >= pt AND y = 0) AS fp FROM {source}, (SELECT unnest({grid})::DOUBLE AS pt) GROUP BY {c}pt)"""
 
 
-_DRAW = f"""r AS (SELECT subject, row_number() OVER (ORDER BY md5(CAST(subject AS VARCHAR)), subject) - 1 AS rk, count(*) OVER () AS sz FROM (SELECT DISTINCT subject FROM scored)),
-dr AS (SELECT b, (('0x' || substr(md5(rk || ':' || b), 1, 8))::BIGINT * sz) >> 32 AS rk, count(*) AS wt FROM r, (SELECT unnest(generate_series(0, {REPLICATES - 1})) AS b) GROUP BY 1, 2), dw AS (SELECT subject, b, wt FROM dr JOIN r ON dr.rk = r.rk)"""
-_JOINED = "j AS (SELECT s.*, b, wt, CASE WHEN avail THEN score_b ELSE score END AS control FROM scored s JOIN dw ON s.subject = dw.subject)"
+def draw(by: str = "", source: str = "scored", weight: str = "count(*)") -> str:
+    """dw (by, subject, b, wt): the draws of bootstrap.draws; a weight of 1 is its membership."""
+    c, part, using = (f"{by}, ", f"PARTITION BY {by} ", f"{by}, rk") if by else ("", "", "rk")
+    return f"""r AS (SELECT {c}subject, row_number() OVER ({part}ORDER BY md5(CAST(subject AS VARCHAR)), subject) - 1 AS rk, count(*) OVER ({part}) AS sz FROM (SELECT DISTINCT {c}subject FROM {source})),
+dr AS (SELECT {c}b, (('0x' || substr(md5(rk || ':' || b), 1, 8))::BIGINT * sz) >> 32 AS rk, {weight} AS wt FROM r, (SELECT unnest(generate_series(0, {REPLICATES - 1})) AS b) GROUP BY ALL), dw AS (SELECT * FROM dr JOIN r USING ({using}))"""
+
+
+def _ia(by: str, source: str, score: str, w: str = "wt") -> str:
+    """iAUROC (v) over 12 landmarks of each group."""
+    return f"SELECT {by}, CASE WHEN count(auroc) = 12 THEN avg(auroc) END AS v FROM ({_auc(by + ', k', source, score, w)}) GROUP BY {by}"
+
+
+_DRAW, _MEMBER = draw(), draw(weight="1")
+_JOINED = "j AS (SELECT s.*, b, wt FROM scored s JOIN dw USING (subject))"
 _Q = "SELECT stat, count(*) AS n_valid, round(quantile_cont(v, 0.025), 6) AS low, round(quantile_cont(v, 0.5), 6) AS middle, round(quantile_cont(v, 0.975), 6) AS high FROM ({}) WHERE v IS NOT NULL GROUP BY stat"
 _EDGES = "ed AS (SELECT quantile_cont(score, {q}) AS q FROM scored)"
 _X = "x AS (SELECT *, id % 14 + 1 AS bin, id % 5 % 4 AS cause, subject % 3 AS third FROM scored)"
@@ -219,16 +287,6 @@ def _smd(c: str) -> str:
     return f"SELECT '{c}' AS \"column\", round(avg({c}) FILTER (avail), 6) AS mean_1, round(avg({c}) FILTER (NOT avail), 6) AS mean_0, round((avg({c}) FILTER (avail) - avg({c}) FILTER (NOT avail)) / sqrt((var_samp({c}) FILTER (avail) + var_samp({c}) FILTER (NOT avail)) / 2), 6) AS smd FROM scored"
 
 
-def newton(source: str, group: str, rounds: int = 8) -> str:
-    """Expressions n0, n1, ... of the Newton steps of a logistic line through (x, y) of source, per group: a the intercept, b the slope."""
-    steps = [f"n0 AS (SELECT {group}, 0.0::DOUBLE AS a, 1.0::DOUBLE AS b FROM {source} GROUP BY {group})"]
-    for i in range(rounds):
-        sums = f"SELECT {group}, any_value(a) AS a, any_value(b) AS b, sum(y - p) AS r0, sum((y - p) * x) AS r1, sum(p * (1 - p)) AS w0, sum(p * (1 - p) * x) AS w1, sum(p * (1 - p) * x * x) AS w2 FROM (SELECT s.{group}, x, y, a, b, 1 / (1 + exp(-(a + b * x))) AS p FROM {source} s JOIN n{i} ON s.{group} = n{i}.{group}) GROUP BY {group}"
-        steps.append(f"n{i + 1} AS (SELECT {group}, a + (w2 * r0 - w1 * r1) / (w0 * w2 - w1 * w1) AS a, b + (w0 * r1 - w1 * r0) / (w0 * w2 - w1 * w1) AS b FROM ({sums}))")
-    return ", ".join(steps)
-
-
-LOGIT = "ln(least(greatest({0}, 1e-6), 1 - 1e-6) / (1 - least(greatest({0}, 1e-6), 1 - 1e-6)))"
 _KMC = "k{h} AS (SELECT y.grp, avg(score) AS predicted, coalesce(any_value(c.observed), 0) AS observed FROM y JOIN (SELECT grp, max(incidence) FILTER (bin <= {h}) AS observed FROM ({km}) GROUP BY grp) c ON y.grp = c.grp GROUP BY y.grp)"
 ORACLES = {
     "calibration_slope": sql("scored", more=f"z AS (SELECT avail, {LOGIT.format('score')} AS x, y FROM scored), {newton('z', 'avail')}", body="SELECT avail, round(b, 6) AS slope, round(a, 6) AS intercept FROM n8"),
@@ -237,14 +295,6 @@ ORACLES = {
         "scored", more=f"{_X}, {_EDGES.format(q='[0.2, 0.4, 0.6, 0.8]')}, y AS (SELECT x.*, CAST(len(list_filter(q, lambda e: e <= score)) + 1 AS INT) AS grp FROM x, ed), {_KMC.format(h=4, km=_km('grp', 'y'))}, {_KMC.format(h=7, km=_km('grp', 'y'))}",
         body="SELECT 4 AS horizon, round(regr_slope(observed, predicted), 4) AS slope, round(regr_intercept(observed, predicted), 4) AS intercept FROM k4 UNION ALL SELECT 7, round(regr_slope(observed, predicted), 4), round(regr_intercept(observed, predicted), 4) FROM k7",
     ),
-    "boot_iauroc": sql(
-        "scored", more=f"{_DRAW}, {_JOINED}, j2 AS (SELECT *, b * 100 + k AS bk FROM j), a0 AS ({_auc('bk', 'j2', 'score', 'wt')}), z0 AS ({_auc('bk', 'j2', 'score_b', 'wt')}), a AS (SELECT bk // 100 AS b, CASE WHEN count(auroc) = 12 THEN avg(auroc) END AS v FROM a0 GROUP BY 1), z AS (SELECT bk // 100 AS b, CASE WHEN count(auroc) = 12 THEN avg(auroc) END AS v FROM z0 GROUP BY 1)",
-        body=_Q.format("SELECT 'a' AS stat, v FROM a UNION ALL SELECT 'difference', z.v - a.v FROM a JOIN z ON a.b = z.b"),
-    ),
-    "boot_net_benefit": sql(
-        "scored", more=f"""o AS ({_one('score DESC, id')}), {_DRAW}, g AS (SELECT b, pt, sum(wt * ((score_b >= pt)::INT - (score >= pt)::INT) * CASE WHEN y = 1 THEN 1 ELSE -pt / (1 - pt) END) / sum(wt) AS v FROM o JOIN dw ON o.subject = dw.subject, (SELECT unnest([0.2, 0.5])::DOUBLE AS pt) GROUP BY b, pt)""",
-        body=_Q.format("SELECT CASE WHEN pt < 0.3 THEN 'at_20' ELSE 'at_50' END AS stat, v FROM g"),
-    ),
     "auroc_by_k": sql("scored", body=f"SELECT k, n, n_pos, round(auroc, 6) AS auroc FROM ({_auc('k', 'scored')})"),
     "iauroc": sql("scored", body=f"SELECT round(CASE WHEN count(auroc) = 12 THEN avg(auroc) END, 6) AS iauroc, round(avg(auroc), 6) AS partial, count(auroc) AS n_estimable FROM ({_auc('k', 'scored')})"),
     "brier": sql("scored", body="SELECT k, round(avg((score - y) * (score - y)), 6) AS brier FROM scored GROUP BY k"),
@@ -257,9 +307,6 @@ ORACLES = {
     "patient_max_dca": sql("scored", more=f"o AS ({_one('score DESC, id')})", body=f"SELECT pt, n, tp, fp, round(nb, 6) AS nb FROM ({_nb('o', [0.5, 0.8, 0.9])})"),
     "subgroup_auroc": sql("scored", more="s AS (SELECT *, CASE WHEN subject % 10 < 3 THEN 'young' WHEN subject % 10 < 9 THEN 'old' ELSE 'unknown' END AS level FROM scored)", body=f"SELECT a.level, a.n, a.n_pos, CASE WHEN a.n >= 100 THEN round(a.auroc, 6) END AS auroc, CASE WHEN a.n >= 100 THEN round(b.auroc, 6) END AS auroc_b FROM ({_auc('level', 's')}) a JOIN ({_auc('level', 's', 'score_b')}) b ON a.level = b.level"),
     "routed_score": sql("scored", more="s AS (SELECT *, CASE WHEN avail THEN score_b ELSE score END AS routed FROM scored)", body=f"SELECT k, round(auroc, 6) AS auroc FROM ({_auc('k', 's', 'routed')})"),
-    "group_gate": sql("scored", body=f"SELECT subject, n, n_pos, round(auroc, 6) AS auroc FROM ({_auc('subject', 'scored')}) WHERE n >= 60 AND n_pos >= 20 AND auroc IS NOT NULL"),
-    "group_spread": sql("scored", body=f"SELECT count(*) AS n_groups, round(quantile_cont(auroc, 0.25), 6) AS q1, round(median(auroc), 6) AS median, round(quantile_cont(auroc, 0.75), 6) AS q3, round(avg((auroc < 0.9)::INT), 6) AS share_below, round(max(n) / sum(n), 6) AS largest_share FROM ({_auc('subject', 'scored')}) WHERE n >= 20 AND n_pos >= 5 AND auroc IS NOT NULL"),
-    "density_tertiles": sql("scored", more="c AS (SELECT subject, count(*) AS density FROM scored GROUP BY subject), q AS (SELECT quantile_cont(density, [1/3, 2/3]) AS q FROM c), s AS (SELECT scored.*, CASE WHEN density <= q[1] THEN 'low' WHEN density <= q[2] THEN 'middle' ELSE 'high' END AS tertile FROM scored JOIN c ON scored.subject = c.subject, q)", body=f"SELECT tertile, n, n_pos, round(auroc, 6) AS auroc FROM ({_auc('tertile', 's')})"),
     "km_incidence": sql("scored", more=_X, body=f"SELECT third, bin, at_risk, d, round(incidence, 6) AS incidence FROM ({_km('third', 'x')})"),
     "km_calibration": sql(
         "scored", more=f"{_X}, {_EDGES.format(q='[0.2, 0.4, 0.6, 0.8]')}, y AS (SELECT x.*, CAST(len(list_filter(q, lambda e: e <= score)) + 1 AS INT) AS grp FROM x, ed), c AS (SELECT grp, max(incidence) FILTER (bin <= 7) AS observed FROM ({_km('grp', 'y')}) GROUP BY grp)",
@@ -271,14 +318,46 @@ ORACLES = {
  round(sum(a.d * CASE WHEN b.bin > a.bin THEN b.n ELSE b.c0 END * CASE WHEN a.score > b.score THEN 1 WHEN a.score = b.score THEN 0.5 ELSE 0 END) / sum(a.d * CASE WHEN b.bin > a.bin THEN b.n ELSE b.c0 END), 6) AS with_ties_and_censored, CAST(sum(a.d * CASE WHEN b.bin > a.bin THEN b.n ELSE b.c0 END) AS BIGINT) AS pairs_2 FROM c a JOIN c b ON b.bin >= a.bin AND a.d > 0""",
     ),
     "smd_table": sql("scored", body=" UNION ALL ".join(map(_smd, ("score", "score_b", "y", "k")))),
+    "boot_iauroc": sql("scored", more=f"{_DRAW}, {_JOINED}, a AS ({_ia('b', 'j', 'score')}), z AS ({_ia('b', 'j', 'score_b')})", body=_Q.format("SELECT 'a' AS stat, v FROM a UNION ALL SELECT 'difference', z.v - a.v FROM a JOIN z USING (b)")),
+    "boot_net_benefit": sql(
+        "scored", more=f"""o AS ({_one('score DESC, id')}), {_DRAW}, g AS (SELECT b, pt, sum(wt * ((score_b >= pt)::INT - (score >= pt)::INT) * CASE WHEN y = 1 THEN 1 ELSE -pt / (1 - pt) END) / sum(wt) AS v FROM o JOIN dw USING (subject), (SELECT unnest([0.2, 0.5])::DOUBLE AS pt) GROUP BY b, pt)""",
+        body=_Q.format("SELECT CASE WHEN pt < 0.3 THEN 'at_20' ELSE 'at_50' END AS stat, v FROM g"),
+    ),
+    "group_gate": sql("scored", more=f"g AS (SELECT *, subject % 7 AS grp FROM scored), z AS (SELECT grp, count(*) AS n, CAST(sum(y) AS BIGINT) AS n_pos FROM g GROUP BY grp)", body=f"SELECT grp AS \"group\", n, n_pos, round(v, 6) AS iauroc FROM z JOIN ({_ia('grp', 'g', 'score', '1')}) USING (grp) WHERE n >= 60 AND n_pos >= 20 AND v IS NOT NULL"),
+    "group_spread": sql(
+        "scored", more=f"g AS (SELECT *, subject % 7 AS grp FROM scored), z AS (SELECT grp, count(*) AS n, sum(y) AS n_pos FROM g GROUP BY grp), e AS (SELECT v FROM z JOIN ({_ia('grp', 'g', 'score', '1')}) USING (grp) WHERE n >= 100 AND n_pos >= 20 AND v IS NOT NULL)",
+        body="SELECT count(*) AS n_groups, round(quantile_cont(v, 0.25), 6) AS q1, round(median(v), 6) AS median, round(quantile_cont(v, 0.75), 6) AS q3, round(avg((v < 0.9)::INT), 6) AS share_below, round((SELECT max(n) / sum(n) FROM z), 6) AS largest_share FROM e",
+    ),
+    "density_tertiles": sql(
+        "ev", "grid", "scored", more=f"""{STRICT}, {TENSOR_BINS}, c AS (SELECT key AS subject, k, count(v) / 72.0 AS density FROM b GROUP BY key, k), dj AS (SELECT * FROM scored JOIN c USING (subject, k)), q AS (SELECT quantile_cont(density, [1/3, 2/3]) AS q FROM dj),
+s AS (SELECT dj.*, CASE WHEN density < q[1] THEN 'low' WHEN density < q[2] THEN 'middle' ELSE 'high' END AS tertile FROM dj, q), {draw('tertile', 's', '1')}, j AS (SELECT s.*, b, wt FROM s JOIN dw USING (tertile, subject)), bt AS ({_ia('tertile, b', 'j', 'score')}),
+i AS (SELECT tertile, count(*) AS n_valid, avg(v) AS mean, quantile_cont(v, 0.025) AS low, quantile_cont(v, 0.975) AS high FROM bt WHERE v IS NOT NULL GROUP BY tertile), z AS (SELECT tertile, count(*) AS n, CAST(sum(y) AS BIGINT) AS n_pos, avg((score - y) * (score - y)) AS brier FROM s GROUP BY tertile)""",
+        body=f"SELECT tertile, n, n_pos, round(v, 6) AS iauroc, round(brier, 6) AS brier, coalesce(n_valid, 0) AS n_valid, round(mean, 6) AS mean, round(low, 6) AS low, round(high, 6) AS high FROM z JOIN ({_ia('tertile', 's', 'score', '1')}) USING (tertile) LEFT JOIN i USING (tertile)",
+    ),
     "boot_ci": sql("scored", more=f"{_DRAW}, {_JOINED}, a AS ({_auc('b', 'j', 'score', 'wt')}), z AS ({_auc('b', 'j', 'score_b', 'wt')})", body=_Q.format("SELECT 'a' AS stat, auroc AS v FROM a UNION ALL SELECT 'b', auroc FROM z UNION ALL SELECT 'difference', z.auroc - a.auroc FROM a JOIN z ON a.b = z.b")),
-    "boot_membership_ci": sql("scored", more=f"{_DRAW}, {_JOINED}", body=_Q.format(f"SELECT 'a' AS stat, auroc AS v FROM ({_auc('b', 'j', 'score', '1')})")),
+    "boot_membership_ci": sql("scored", more=f"{_MEMBER}, {_JOINED}", body=_Q.format(f"SELECT 'a' AS stat, auroc AS v FROM ({_auc('b', 'j', 'score', 'wt')})")),
     "interaction": sql(
-        "scored", more=f"{_DRAW}, {_JOINED}, j1 AS (SELECT * FROM j WHERE avail), j0 AS (SELECT * FROM j WHERE NOT avail), a AS ({_auc('b', 'j1', 'score', 'wt')}), z AS ({_auc('b', 'j1', 'score_b', 'wt')}), a0 AS ({_auc('b', 'j0', 'score', 'wt')}), z0 AS ({_auc('b', 'j0', 'score_b', 'wt')}), v AS (SELECT z.auroc - a.auroc AS on_, z0.auroc - a0.auroc AS off_ FROM a JOIN z ON a.b = z.b JOIN a0 ON a.b = a0.b JOIN z0 ON a.b = z0.b)",
+        "scored", more=f"{_MEMBER}, {_JOINED}, a AS ({_ia('avail, b', 'j', 'score')}), z AS ({_ia('avail, b', 'j', 'score_b')}), v AS (SELECT b, max(z.v - a.v) FILTER (avail) AS on_, max(z.v - a.v) FILTER (NOT avail) AS off_ FROM a JOIN z USING (avail, b) GROUP BY b)",
         body=_Q.format("SELECT 'on' AS stat, on_ AS v FROM v UNION ALL SELECT 'off', off_ FROM v UNION ALL SELECT 'interaction', on_ - off_ FROM v"),
     ),
     "control_contrast": sql(
-        "scored", more=f"{_DRAW}, {_JOINED}, a AS ({_auc('b', 'j', 'score', 'wt')}), z AS ({_auc('b', 'j', 'score_b', 'wt')}), c AS ({_auc('b', 'j', 'control', 'wt')}), v AS (SELECT a.auroc AS a, z.auroc AS z, c.auroc AS c FROM a JOIN z ON a.b = z.b JOIN c ON a.b = c.b)",
-        body=_Q.format("SELECT 'b-a' AS stat, z - a AS v FROM v UNION ALL SELECT 'c-a', c - a FROM v UNION ALL SELECT 'c-b', c - z FROM v"),
+        "scored", more=f"""{_MEMBER}, j AS (SELECT s.*, round((score + score_b) / 2, 6) AS control, b, wt FROM scored s JOIN dw USING (subject)), jv AS (SELECT * FROM j WHERE avail), a AS ({_ia('b', 'j', 'score')}), z AS ({_ia('b', 'j', 'score_b')}), c AS ({_ia('b', 'j', 'control')}), zv AS ({_ia('b', 'jv', 'score_b')}), cv AS ({_ia('b', 'jv', 'control')}),
+v AS (SELECT a.v AS a, z.v AS z, c.v AS c, zv.v - cv.v AS d FROM a JOIN z USING (b) JOIN c USING (b) LEFT JOIN zv USING (b) LEFT JOIN cv USING (b) WHERE a.v IS NOT NULL AND z.v IS NOT NULL AND c.v IS NOT NULL)""",
+        body=_Q.format("SELECT 'b-a' AS stat, z - a AS v FROM v UNION ALL SELECT 'c-a', c - a FROM v UNION ALL SELECT 'b-c', z - c FROM v UNION ALL SELECT 'b-c available', d FROM v"),
+    ),
+    "subgroup_audit": sql(
+        "scored", more=f"""s AS (SELECT *, 'age' AS dim, CASE WHEN subject % 10 < 3 THEN 'young' WHEN subject % 10 < 9 THEN 'old' ELSE 'unknown' END AS level FROM scored UNION ALL SELECT *, 'sex', CASE WHEN subject % 2 = 0 THEN 'F' ELSE 'M' END FROM scored),
+{draw('dim, level', 's', '1')}, j AS (SELECT s.*, b, wt FROM s JOIN dw USING (dim, level, subject)), a AS ({_ia('dim, level, b', 'j', 'score')}), z AS ({_ia('dim, level, b', 'j', 'score_b')}), i AS (SELECT dim, level, quantile_cont(z.v - a.v, 0.025) AS low, quantile_cont(z.v - a.v, 0.975) AS high FROM a JOIN z USING (dim, level, b) WHERE z.v - a.v IS NOT NULL GROUP BY dim, level),
+n AS (SELECT dim, level, count(*) AS n, count(DISTINCT subject) AS n_subjects, CAST(sum(y) AS BIGINT) AS events FROM s GROUP BY dim, level), p AS ({_ia('dim, level', 's', 'score', '1')}), o AS ({_ia('dim, level', 's', 'score_b', '1')})""",
+        body="""SELECT dim, level, n, CASE WHEN n >= 100 THEN n_subjects END AS n_subjects, CASE WHEN n >= 100 THEN events END AS events, CASE WHEN n >= 100 THEN round(p.v, 6) END AS iauroc_a, CASE WHEN n >= 100 THEN round(o.v, 6) END AS iauroc_b, CASE WHEN n >= 100 THEN round(o.v - p.v, 6) END AS delta,
+ CASE WHEN n >= 100 AND o.v - p.v IS NOT NULL THEN round(low, 6) END AS low, CASE WHEN n >= 100 AND o.v - p.v IS NOT NULL THEN round(high, 6) END AS high FROM n JOIN p USING (dim, level) JOIN o USING (dim, level) LEFT JOIN i USING (dim, level)""",
+    ),
+    "patient_dca": " UNION ALL ".join(
+        "SELECT * FROM (" + sql(
+            "scored", more=f"""o AS ({_one(order)}), {draw('', 'o')}, t AS (SELECT unnest([0.2, 0.5, 0.8])::DOUBLE AS pt), g AS (SELECT b, pt, 1000 * sum(wt * ((score_b >= pt)::INT - (score >= pt)::INT) * CASE WHEN y = 1 THEN 1 ELSE -pt / (1 - pt) END) / sum(wt) AS v FROM o JOIN dw USING (subject), t GROUP BY b, pt),
+i AS (SELECT pt, quantile_cont(v, 0.025) AS low, quantile_cont(v, 0.5) AS middle, quantile_cont(v, 0.975) AS high FROM g GROUP BY pt), a AS ({_nb('o', '[0.2, 0.5, 0.8]')}), z AS ({_nb('o', '[0.2, 0.5, 0.8]', '', 'score_b')}), u AS ({_auc('', 'o')}), w AS ({_auc('', 'o', 'score_b')})""",
+            body=f"SELECT '{mode}' AS mode, pt, u.n AS n_patients, u.n_pos AS events, round(u.auroc, 6) AS auc_a, round(w.auroc, 6) AS auc_b, round(a.nb, 6) AS nb_a, round(z.nb, 6) AS nb_b, round((z.nb - a.nb) * 1000, 6) AS delta, round(low, 6) AS low, round(middle, 6) AS middle, round(high, 6) AS high FROM a JOIN z USING (pt) JOIN i USING (pt), u, w",
+        ) + ")"
+        for mode, order in (("first", "k, id"), ("highest", "score_b DESC, id"))
     ),
 }

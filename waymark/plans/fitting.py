@@ -10,8 +10,7 @@ from ..operators import assembly as A
 from ..operators import fitting as M
 from ..operators import outcomes as O
 from ..operators import windows as W
-from .evaluation import LOGIT, newton
-from .fixtures import STEP, STRICT, WIDTH, grid, point_events, scored, sql, table
+from .fixtures import LOGIT, STEP, STRICT, WIDTH, grid, newton, point_events, scored, sql, table
 
 R6 = lambda c: F.round(c, 6).alias(c)
 CHANNELS = ["click", "view", "purchase"]
@@ -116,8 +115,12 @@ def delta_since_last(spark, d):
     return M.since_last(b, ["key", "k"], 24, 48).select("key", "k", "var", "bin", "delta").groupBy("key", "k", "var").agg(F.sum("delta").alias("total"), F.max("delta").alias("most"), F.min(F.when(F.col("delta") == 0, F.col("bin"))).alias("first_bin"))
 
 
+def tensors(spark, d):
+    return M.tensors(_bins(spark, d).where(F.col("var").isin(CHANNELS)), ["key", "k"], CHANNELS, 24)
+
+
 def tensor_rows(spark, d):
-    t = M.tensors(_bins(spark, d).where(F.col("var").isin(CHANNELS)), ["key", "k"], CHANNELS, 24)
+    t = tensors(spark, d)
     total = lambda a: F.aggregate(F.flatten(a), F.lit(0.0), lambda s, v: s + v)
     flat = F.flatten(F.transform("m", lambda r: F.transform(r, lambda v: v.cast("int").cast("double"))))
     return t.select("key", "k", F.round(total(F.col("x")), 4).alias("sum_x"), F.aggregate(flat, F.lit(0.0), lambda s, v: s + v).cast("long").alias("n_observed"), total(F.transform("d", lambda r: F.transform(r, lambda v: v.cast("double")))).cast("long").alias("sum_d"))
@@ -181,7 +184,7 @@ _E = "e AS (SELECT event_id, user_id AS key, event_type AS var, CASE WHEN event_
 _F = "f AS (SELECT var, avg(value) AS mean, stddev_pop(value) + 1e-8 AS sd, count(value) AS n FROM tr WHERE value IS NOT NULL GROUP BY var)"
 _P = "p AS (SELECT p_partkey, p_brand, CASE WHEN p_partkey % 8 <> 0 THEN p_size::DOUBLE END AS p_size, p_retailprice FROM part), tr AS (SELECT * FROM p WHERE p_partkey % 4 <> 0), s AS (SELECT avg(p_size) AS m1, stddev_pop(p_size) + 1e-8 AS s1, avg(p_retailprice) AS m2, stddev_pop(p_retailprice) + 1e-8 AS s2, median(p_size) AS md FROM tr)"
 _T = "m AS (SELECT var, median(value) AS md, quantile_cont(value, 0.99) AS p99 FROM tr WHERE value IS NOT NULL GROUP BY var), a AS (SELECT tr.var, median(abs(value - md)) AS mad FROM tr JOIN m ON tr.var = m.var WHERE value IS NOT NULL GROUP BY tr.var)"
-_B = "b AS (SELECT key, k, var, CAST(least(floor((t - e) / 3600000000.0), 23) AS INT) AS bin, median(value) AS v FROM w WHERE var IN ('click', 'view', 'purchase') GROUP BY ALL)"
+TENSOR_BINS = "b AS (SELECT key, k, var, CAST(least(floor((t - e) / 3600000000.0), 23) AS INT) AS bin, median(value) AS v FROM w WHERE var IN ('click', 'view', 'purchase') GROUP BY ALL)"
 _C = """c AS (SELECT c_custkey, CASE WHEN c_custkey % 150 = 1 THEN 'RARE' WHEN c_custkey % 20 <> 0 THEN c_mktsegment END AS segment, CASE WHEN c_custkey % 8 <> 0 THEN c_acctbal::DOUBLE END AS balance, (c_custkey % 90 + 10)::DOUBLE AS age FROM customer), tr AS (SELECT * FROM c WHERE c_custkey % 4 <> 0),
 s AS (SELECT avg(balance) AS m1, stddev_pop(balance) + 1e-8 AS s1, median(balance) AS md, avg(age) AS m2, stddev_pop(age) + 1e-8 AS s2, median(age) AS md2 FROM tr)"""
 _LEVELS = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")
@@ -221,11 +224,11 @@ ORACLES = {
     "patient_weights": "SELECT user_id AS subject, 1.0::DOUBLE AS total, round(1.0 / count(*), 6)::DOUBLE AS weight FROM events GROUP BY user_id",
     "sample_sets": sql("ev", "grid", more=STRICT + ", u AS (SELECT DISTINCT key, k FROM w WHERE var = 'login')", body="SELECT g.k, count(*) AS n, count(u.key) AS paired, count(*) FILTER (g.k <= 11) AS main, count(*) FILTER (g.k <= 3) AS early FROM grid g LEFT JOIN u ON g.key = u.key AND g.k = u.k GROUP BY g.k"),
     "delta_since_last": sql(
-        "ev", "grid", more=STRICT + ", " + _B + ", s AS (SELECT DISTINCT key, k, var FROM b), c AS (SELECT s.*, i, (SELECT max(bin) FROM b WHERE b.key = s.key AND b.k = s.k AND b.var = s.var AND bin <= i) AS last_bin FROM s, (SELECT unnest(generate_series(0, 23)) AS i))",
+        "ev", "grid", more=STRICT + ", " + TENSOR_BINS + ", s AS (SELECT DISTINCT key, k, var FROM b), c AS (SELECT s.*, i, (SELECT max(bin) FROM b WHERE b.key = s.key AND b.k = s.k AND b.var = s.var AND bin <= i) AS last_bin FROM s, (SELECT unnest(generate_series(0, 23)) AS i))",
         body="SELECT key, k, var, CAST(sum(least(coalesce(i - last_bin, 48), 48)) AS BIGINT) AS total, max(least(coalesce(i - last_bin, 48), 48)) AS most, min(i) FILTER (i = last_bin) AS first_bin FROM c GROUP BY key, k, var",
     ),
     "tensor_rows": sql(
-        "ev", "grid", more=STRICT + ", " + _B + ", r AS (SELECT DISTINCT key, k FROM b), c AS (SELECT r.*, ch, i, (SELECT max(23 - bin) FROM b WHERE b.key = r.key AND b.k = r.k AND b.var = ch AND 23 - bin <= i) AS last_i FROM r, (SELECT unnest(['click', 'view', 'purchase']) AS ch), (SELECT unnest(generate_series(0, 23)) AS i)), x AS (SELECT key, k, sum(v) AS sx, count(*) AS n FROM b GROUP BY key, k)",
+        "ev", "grid", more=STRICT + ", " + TENSOR_BINS + ", r AS (SELECT DISTINCT key, k FROM b), c AS (SELECT r.*, ch, i, (SELECT max(23 - bin) FROM b WHERE b.key = r.key AND b.k = r.k AND b.var = ch AND 23 - bin <= i) AS last_i FROM r, (SELECT unnest(['click', 'view', 'purchase']) AS ch), (SELECT unnest(generate_series(0, 23)) AS i)), x AS (SELECT key, k, sum(v) AS sx, count(*) AS n FROM b GROUP BY key, k)",
         body="SELECT c.key, c.k, round(any_value(sx), 4) AS sum_x, any_value(n) AS n_observed, CAST(sum(least(coalesce(i - last_i, 48), 48)) AS BIGINT) AS sum_d FROM c JOIN x ON c.key = x.key AND c.k = x.k GROUP BY c.key, c.k",
     ),
     "seed_ensemble": sql("scored", body="SELECT subject, k, round(avg(s), 9) AS score, count(*) AS n_seeds FROM (SELECT subject, k, score AS s FROM scored UNION ALL SELECT subject, k, score_b FROM scored) GROUP BY subject, k"),
