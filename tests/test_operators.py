@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from waymark import functions as fn
-from waymark.operators import bootstrap, cohort, episodes, evaluate, fitting, outcomes, pairing, quality, signals, windows
+from waymark.operators import bootstrap, carry, cohort, episodes, evaluate, fitting, intervals, outcomes, pairing, quality, signals, windows
 from waymark.operators.grid import landmark_grid
 
 H = fn.HOUR
@@ -166,6 +166,47 @@ def test_path_evidence_and_decisions_branch_by_branch(spark):
     assert episodes.merge_episodes(s.limit(0), x, m, [0, 60]).count() == 0
 
 
+@pytest.mark.parametrize("unit", [1, fn.MINUTE])
+def test_intervals_meet_on_any_clock(spark, unit):
+    r = random.Random(unit)
+    length = lambda: r.choice([0, 0, 1, r.randint(0, 50), r.randint(0, 40_000)])
+    a = [(r.choice("xy"), i, x := r.randint(-500, 60_000) * unit, r.choice([None, x + length() * unit, x + length() * unit])) for i in range(120)]
+    b = [(r.choice("xyz"), i, x := r.randint(-500, 60_000) * unit, x + length() * unit) for i in range(120)] + [("x", 500, 0, -1)]
+    x, y = spark.createDataFrame(a, "key string, i long, low long, high long"), spark.createDataFrame(b, "key string, j long, start long, stop long")
+    got = sorted((r.i, r.j) for r in intervals.overlapping(x, y, ("low", "high"), ("start", "stop")).collect())
+    meets = lambda p, q: p[0] == q[0] and q[2] <= q[3] and q[2] <= (p[3] if p[3] is not None else math.inf) and p[2] <= q[3]
+    assert got == sorted((p[1], q[1]) for p in a for q in b if meets(p, q))
+    points = [(k, n, t) for k, n, t, _ in b] + [("x", 999, None)]
+    stabbed = intervals.stabbing(spark.createDataFrame(points, "key string, n long, at long"), x, "at", "low", "high").collect()
+    assert sorted((r.i, r.n) for r in stabbed) == sorted((p[1], n) for p in a for k, n, t in points if t is not None and k == p[0] and p[2] <= t <= (p[3] if p[3] is not None else math.inf))
+    assert intervals.overlapping(x.limit(0), y, ("low", "high"), ("start", "stop")).count() == 0
+
+
+def test_a_move_that_stops_before_it_begins_is_evidence(spark):
+    s = spark.createDataFrame([(1, 10, 0, 100, ICU), (1, 11, 300, 400, ICU)], "key long, stay_id long, start long, stop long, unit string")
+    moves = [(1, 1, 250, 150, WARD), (1, 2, 250, 90, WARD), (1, 3, 350, 320, WARD), (1, 4, 50, None, ICU), (1, 5, None, 200, ICU), (2, 6, 250, 150, WARD), (1, 7, 305, 200, ED)]
+    e = episodes.gap_events(episodes.stay_edges(s, 1), spark.createDataFrame(moves, "key long, move_id long, at long, stop long, unit string"))
+    assert [[x["move_id"] for x in r.path] for r in e.collect()] == [[4, 1]]
+
+
+@pytest.mark.parametrize("backwards", [False, True])
+def test_a_hot_key_is_carried_in_stretches(spark, monkeypatch, backwards):
+    r = random.Random(2)
+    rows = [("hot" if i % 2 else r.choice(["a", "b", None]), r.randint(0, 900), i % 3, r.choice([None, i]), i) for i in range(1500)]
+    df = spark.createDataFrame(rows, "key string, at long, kind int, v long, id long")
+    values = {n: (n, F.col("v")) for n in ("last", "max", "min", "sum", "count")}
+    run = lambda: sorted(map(tuple, carry.carried(df, "key", "at", ["kind", "id"], values, backwards).collect()), key=str)
+    plain = run()
+    monkeypatch.setattr(carry, "STRETCH", 50)
+    monkeypatch.setattr(carry, "HEAVY", 30)
+    hot, least = carry.hot_keys(df, "key")
+    assert least == 50 and "hot" in {x.key for x in hot.collect()} and run() == plain
+    for key, at, kind, _, i, last, most, _, total, n in plain[::40]:
+        held = sorted((-x[1] if backwards else x[1], x[2], x[4], x[3]) for x in rows if x[0] == key and (-x[1] if backwards else x[1], x[2], x[4]) <= (-at if backwards else at, kind, i))
+        own = [x[3] for x in held if x[3] is not None]
+        assert (last, most, total, n) == ((own[-1], max(own), sum(own), len(own)) if own else (None, None, None, 0))
+
+
 def test_units_and_edges(spark):
     m = fn.MINUTE
     s = spark.createDataFrame([(1, 10, 0, 100 * m, ICU), (1, 11, 100 * m, 200 * m, ICU), (1, 12, 260 * m, None, WARD), (1, 13, 900 * m, 990 * m, None), (2, 20, 0, 5, ED)], "key long, stay_id long, start long, stop long, unit string")
@@ -431,7 +472,7 @@ def test_carried_flags_and_baselines_equal_brute_force(spark):
     own = {x.stay_id: (x.n_prior, x.last_value, x.has_prior) for x in cohort.baseline(h.select("key", "stay_id", "start"), h, "value").collect()}
     for k, i, t, _, _ in ev:
         past = sorted((x, j, v) for q, j, x, _, v in ev if q == k and x < t)
-        assert own[i] == (len(past) or None, next((v for _, _, v in reversed(past) if v is not None), None), bool(past))
+        assert own[i] == (len(past), next((v for _, _, v in reversed(past) if v is not None), None), bool(past))
 
 
 def test_signals_at_their_edges(spark):

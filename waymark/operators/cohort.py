@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import contains_any
+from .carry import carried
 from .pairing import first_of
 from .windows import active_at, as_of, with_parts
 
@@ -49,13 +50,11 @@ def temporal_split(df: DataFrame, group: Column, sets: dict[str, list]) -> DataF
 
 
 def baseline(index: DataFrame, history: DataFrame, value: str) -> DataFrame:
-    """Per index row (key, stay_id, start): how many earlier rows its key has and the latest known value among them; none is null, not zero. Both are carried forward in one sort, so no index row meets all history of its key."""
+    """Per index row (key, stay_id, start): how many earlier rows its key has, 0 if none, and the latest known value among them, null if none. Both are carried forward, so no index row meets all history of its key."""
     past = history.where(F.col("start").isNotNull()).select("key", F.col("start").alias("__at"), F.lit(1).alias("__kind"), F.col("stay_id").alias("__id"), F.col(value).alias("__v"), F.lit(1).alias("__one"))
     both = index.withColumns({"__at": F.col("start"), "__kind": F.lit(0)}).unionByName(past, allowMissingColumns=True)
-    w = Window.partitionBy("key").orderBy("__at", "__kind", "__id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    out = both.withColumns({"n_prior": F.count("__one").over(w), "last_value": F.last("__v", ignorenulls=True).over(w)}).where("__kind = 0")
-    some = F.col("n_prior") > 0
-    return out.select(*index.columns, F.when(some, F.col("n_prior")).alias("n_prior"), "last_value", some.alias("has_prior"))
+    out = carried(both, "key", "__at", ["__kind", "__id"], {"n_prior": ("count", F.col("__one")), "last_value": ("last", F.col("__v"))}).where("__kind = 0")
+    return out.select(*index.columns, "n_prior", "last_value", (F.col("n_prior") > 0).alias("has_prior"))
 
 
 def evidence(sources: list[tuple[str, DataFrame, str]], patterns: dict[str, list[str]]) -> DataFrame:

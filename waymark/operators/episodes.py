@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import DAY
+from .intervals import overlapping
 
 #: Kinds of care unit by substring, in order; any other name is a ward, and no name is unknown.
 UNIT_KINDS = {"icu": ("intensive care unit", "ccu"), "ed": ("emergency department",)}
@@ -31,21 +31,17 @@ def stay_edges(stays: DataFrame, minute: int) -> DataFrame:
     return e.where("prev_id is not null").withColumn("gap_min", (F.col("start") - F.col("prev_stop")) / F.lit(float(minute)))
 
 
-def gap_events(edges: DataFrame, moves: DataFrame, bucket: int = 30 * DAY) -> DataFrame:
+def gap_events(edges: DataFrame, moves: DataFrame) -> DataFrame:
     """edges with `path`: the moves (key, move_id, at, stop, unit) that overlap the gap (prev_stop, start), in order; a move without a stop goes on.
 
-    Gaps and moves meet by equality of key and time bucket, each pair in the one bucket in which its overlap begins, so
-    a subject's moves do not meet all of its gaps. Only moves without a stop, which have no last bucket, are joined by key.
+    A move overlaps if it begins before the gap's end and stops after its start, so one whose stop lies before its
+    beginning, an anomaly that is evidence too, overlaps where both lie in the gap.
     """
-    m = moves.select("key", "at", F.col("stop").alias("m_stop"), F.col("unit").alias("m_unit"), "move_id")
-    e = edges.where(F.col("prev_stop").isNotNull()).select("key", "stay_id", "prev_stop", "start")
-    low = F.least("prev_stop", "start")
-    within = lambda a, b: F.explode(F.sequence(F.floor(a / F.lit(float(bucket))), F.floor(b / F.lit(float(bucket))))).alias("__b")
-    begins = F.floor(F.greatest(F.col("at"), low) / F.lit(float(bucket))) == F.col("__b")
-    closed = e.select("*", within(low, F.col("start"))).join(m.where("m_stop >= at").select("*", within(F.col("at"), F.col("m_stop"))), ["key", "__b"])
-    closed = closed.where((F.col("at") < F.col("start")) & (F.col("m_stop") > F.col("prev_stop")) & begins).drop("__b")
-    open_ = e.join(m.where("m_stop is null"), "key").where((F.col("at") < F.col("start")) & (F.col("start") > F.col("prev_stop")))
-    path = closed.unionByName(open_).groupBy("key", "stay_id").agg(F.array_sort(F.collect_list(F.struct("at", "move_id", F.col("m_stop").alias("stop"), F.col("m_unit").alias("unit")))).alias("path"))
+    end = F.when(F.col("stop").isNotNull(), F.greatest("at", "stop"))
+    m = moves.where(F.col("at").isNotNull()).select("key", "at", F.col("stop").alias("m_stop"), F.col("unit").alias("m_unit"), "move_id", F.least("at", "stop").alias("__from"), end.alias("__to"))
+    e = edges.where(F.col("prev_stop").isNotNull()).select("key", "stay_id", "prev_stop", "start", F.least("prev_stop", "start").alias("__low"), F.greatest("prev_stop", "start").alias("__high"))
+    met = overlapping(e, m, ("__low", "__high"), ("__from", "__to")).where((F.col("at") < F.col("start")) & F.coalesce(F.col("m_stop") > F.col("prev_stop"), F.col("start") > F.col("prev_stop")))
+    path = met.groupBy("key", "stay_id").agg(F.array_sort(F.collect_list(F.struct("at", "move_id", F.col("m_stop").alias("stop"), F.col("m_unit").alias("unit")))).alias("path"))
     return edges.join(path, ["key", "stay_id"], "left").withColumn("path", F.coalesce("path", F.array().cast("array<struct<at:bigint,move_id:bigint,stop:bigint,unit:string>>")))
 
 

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import contains_any
+from .carry import carried
 from .episodes import chain_dedup
 
 SEVERE, MODERATE = (0, 1, 2, 3, 4), (0, 1)
@@ -24,13 +25,13 @@ def observation_end(sources: dict[str, DataFrame], limits: DataFrame, whitelist:
 
 
 def next_after(grid: DataFrame, events: DataFrame, kinds: dict[str, Column]) -> DataFrame:
-    """grid rows (key, k, t) with, for each kind, the time of the next event (key, e) after t for which its condition holds. Grid and events are united and the times carried backwards in one sort, so no event meets every landmark of its key."""
+    """grid rows (key, k, t) with, for each kind, the time of the next event (key, e) after t for which its condition holds. Grid and events are united and the times carried backwards, so no event meets every landmark of its key."""
     names = list(kinds)
     points = events.select("key", F.col("e").alias("__at"), F.lit(1).alias("__g"), *[F.when(c, F.col("e")).alias(n) for n, c in kinds.items()])
     marks = grid.select("key", "k", "t", F.col("t").alias("__at"), F.lit(0).alias("__g"))
-    w = Window.partitionBy("key").orderBy(F.desc("__at"), "__g").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     both = marks.unionByName(points.where(F.col("__at").isNotNull()), allowMissingColumns=True)
-    return both.select("key", "k", "t", "__g", *[F.last(n, ignorenulls=True).over(w).alias(n) for n in names]).where("__g = 0").drop("__g")
+    # At equal times landmarks come first, so that what follows them is later.
+    return carried(both, "key", "__at", ["__g"], {n: ("last", F.col(n)) for n in names}, backwards=True).select("key", "k", "t", "__g", *names).where("__g = 0").drop("__g")
 
 
 #: The reasons for which an outcome is known, and those that go to adjudication.

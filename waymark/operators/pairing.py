@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .carry import carried
 from .windows import as_of
 
 
@@ -43,14 +44,14 @@ def reconcile(mine: DataFrame, theirs: DataFrame, keys: list[str], value: str) -
     )
 
 
-def inside_any(points: DataFrame, spans: DataFrame) -> DataFrame:
-    """points (key, e, ...) with `inside`: whether any span (key, start, stop) of the key holds e, both ends included; a null stop is open. The furthest stop so far is carried forward in one sort."""
+def inside_any(points: DataFrame, spans: DataFrame, closed: bool = True) -> DataFrame:
+    """points (key, e, ...) with `inside`: whether any span (key, start, stop) of the key holds e, both ends included (closed=False: not its stop); a null stop is open. The furthest stop so far is carried forward."""
     far = F.coalesce("stop", F.lit((1 << 63) - 1))
     starts = spans.where(F.col("start").isNotNull()).select("key", F.col("start").alias("__at"), F.lit(0).alias("__kind"), far.alias("__far"))
     both = points.withColumns({"__at": F.col("e"), "__kind": F.lit(1)}).unionByName(starts, allowMissingColumns=True)
-    w = Window.partitionBy("key").orderBy("__at", "__kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    out = both.withColumn("__far", F.max("__far").over(w)).where("__kind = 1")
-    return out.select(*points.columns, F.coalesce(F.col("__far") >= F.col("e"), F.lit(False)).alias("inside"))
+    out = carried(both, "key", "__at", ["__kind"], {"__far": ("max", F.col("__far"))}).where("__kind = 1")
+    held = F.col("__far") >= F.col("e") if closed else F.col("__far") > F.col("e")
+    return out.select(*points.columns, F.coalesce(held, F.lit(False)).alias("inside"))
 
 
 def attribute(tests: DataFrame, index: DataFrame, encounters: DataFrame, lead: int, most_gap: int) -> DataFrame:

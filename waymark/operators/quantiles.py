@@ -23,11 +23,11 @@ STEPS, ACCURACY, LISTED = 1000, 10_000, 50_000
 _SHARE = 3 / STEPS + 2 / ACCURACY
 
 
-def matched(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> DataFrame:
+def matched(a: DataFrame, b: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
     """a with b's other columns, by equality of the keys, nulls included; of b's one row if there are no keys."""
     right = b.select(*[F.col(c).alias(f"__r_{c}") for c in keys], *[c for c in b.columns if c not in keys])
     on = reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"__r_{c}")) for c in keys]) if keys else F.lit(True)
-    return a.join(right, on).drop(*[f"__r_{c}" for c in keys])
+    return a.join(right, on, how).drop(*[f"__r_{c}" for c in keys])
 
 
 def _stored(df: DataFrame) -> DataFrame:

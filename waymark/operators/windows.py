@@ -9,10 +9,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import HOUR, ceil_div, hours, latest, overlap
+from .carry import carried
 
 
 def bounded(events: DataFrame, grid: DataFrame, margin: int, time: str = "e") -> DataFrame:
@@ -56,14 +57,13 @@ def active_at(intervals: DataFrame, grid: DataFrame, step: int) -> DataFrame:
 def as_of(grid: DataFrame, events: DataFrame, values: list[str], within: int | None = None, tie: str = "event_id") -> DataFrame:
     """The grid with the latest event at or before t, at most `within` before it; ties go to the greatest tie column.
 
-    The grid is united with the events and the last event is carried forward over each key, in one shuffle and sort.
+    The grid is united with the events and the last event is carried forward over each key, a hot key in stretches.
     """
     last = F.struct(*dict.fromkeys(("e", tie, *values)))
     both = events.where(F.col("e").isNotNull()).select("key", F.col("e").alias("__at"), F.lit(0).alias("__kind"), F.col(tie).cast("long").alias("__tie"), last.alias("__last")).unionByName(
         grid.select("key", F.col("t").alias("__at"), F.lit(1).alias("__kind"), "k", "t"), allowMissingColumns=True
     )
-    w = Window.partitionBy("key").orderBy("__at", "__kind", F.col("__tie").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
-    out = both.withColumn("__last", F.last("__last", ignorenulls=True).over(w)).where("__kind = 1")
+    out = carried(both, "key", "__at", ["__kind", "__tie"], {"__last": ("last", F.col("__last"))}).where("__kind = 1")
     ok = F.col("__last.e") > F.col("t") - within if within is not None else F.lit(True)
     return out.select("key", "k", "t", *[F.when(ok, F.col(f"__last.{c}")).alias(c) for c in ("e", *values)])
 
@@ -160,11 +160,10 @@ def earliest_pair(pairs: DataFrame) -> DataFrame:
 
 
 def exists_flags(grid: DataFrame, events: DataFrame, flags: dict[str, Column], within: int | None = None) -> DataFrame:
-    """grid rows (key, t, ...) with, for each kind, whether an event (key, e) of it lies before t, and at most `within` before it. The last event of each kind is carried forward in one sort, so no event meets every row of its key."""
+    """grid rows (key, t, ...) with, for each kind, whether an event (key, e) of it lies before t, and at most `within` before it. The last event of each kind is carried forward, so no event meets every row of its key."""
     names = [f"__f{i}" for i in range(len(flags))]
     points = events.where(F.col("e").isNotNull()).select("key", F.col("e").alias("__at"), F.lit(1).alias("__kind"), *[F.when(c, F.col("e")).alias(n) for n, c in zip(names, flags.values(), strict=True)])
     both = grid.withColumns({"__at": F.col("t"), "__kind": F.lit(0)}).unionByName(points, allowMissingColumns=True)
-    w = Window.partitionBy("key").orderBy("__at", "__kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    seen = both.select(*grid.columns, "__kind", *[F.last(n, ignorenulls=True).over(w).alias(n) for n in names]).where("__kind = 0")
+    seen = carried(both, "key", "__at", ["__kind"], {n: ("last", F.col(n)) for n in names}).where("__kind = 0")
     near = lambda n: F.col(n) >= F.col("t") - within if within is not None else F.col(n).isNotNull()
     return seen.select(*grid.columns, *[F.coalesce(near(n), F.lit(False)).alias(f) for n, f in zip(names, flags, strict=True)])

@@ -94,14 +94,13 @@ def contract_events(spark, d):
 
 def open_evidence_removed(spark, d):
     """Logins that no closed stay of the key contains."""
-    e = point_events(spark, d).where("var = 'login'")
-    inside = e.join(stays(spark, d), "key").where((F.col("start") <= F.col("e")) & (F.col("stop") > F.col("e")))
-    return e.join(inside.select("event_id"), "event_id", "left_anti").select("event_id", "key")
+    e = point_events(spark, d).where("var = 'login'").select("event_id", "key", "e")
+    return P.inside_any(e, stays(spark, d), closed=False).where("not inside").select("event_id", "key")
 
 
 def normalised_kinds(spark, d):
-    """The first words of each text, their accents taken apart and put together again."""
-    t = F.substring("text", 1, 80)
+    """Each text, its accents taken apart and put together again."""
+    t = F.col("text")
     for letter, apart in (("\u00e9", "e\u0301"), ("\u00fc", "u\u0308"), ("\u00f1", "n\u0303")):
         t = F.regexp_replace(t, letter, apart)
     return table(spark, d, "documents").select("doc_id", A.normalised(t).alias("kind"))
@@ -137,6 +136,6 @@ ORACLES = {
     "exclusive_columns": "SELECT (o_orderkey % 3 = 0)::INT + (o_orderkey % 5 = 0)::INT + (o_orderkey % 3 = 1)::INT <= 1 AS exclusive, count(*) AS n FROM orders GROUP BY 1",
     "contract_events": sql("ev", more="w AS (SELECT CASE WHEN var = 'login' THEN 'other' ELSE 'chart' END AS source, var, CASE WHEN var = 'click' THEN 'event' ELSE 'known' END AS clock, CASE WHEN var = 'click' THEN e ELSE a END AS moment FROM ev WHERE var IN ('view', 'click', 'login'))", body="SELECT source, var, clock, count(*) AS n, min(moment) AS first_at, max(moment) AS last_at FROM w GROUP BY ALL"),
     "open_evidence_removed": sql("ev", "stays", body="SELECT event_id, key FROM ev WHERE var = 'login' AND NOT EXISTS (SELECT 1 FROM stays s WHERE s.key = ev.key AND start <= e AND stop > e)"),
-    "normalised_kinds": "SELECT doc_id, nfc_normalize(substr(text, 1, 80)) AS kind FROM documents",
+    "normalised_kinds": "SELECT doc_id, nfc_normalize(text) AS kind FROM documents",
     "paired_subset": sql("ev", body="SELECT key, count(*) AS n FROM ev WHERE var = 'view' AND key IN (SELECT key FROM ev WHERE var = 'error' AND value > 95) GROUP BY key"),
 }

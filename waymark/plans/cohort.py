@@ -140,12 +140,12 @@ li AS (SELECT o_custkey AS key, epoch_us(l_shipdate) AS e FROM lineitem JOIN ord
     "temporal_split": "SELECT CASE WHEN year(o_orderdate) BETWEEN 1995 AND 1997 THEN 'train' WHEN year(o_orderdate) BETWEEN 1998 AND 1999 THEN 'valid' WHEN year(o_orderdate) = 2000 THEN 'test' ELSE 'excluded' END AS set_name, year(o_orderdate) AS year, count(*) AS n, count(DISTINCT o_custkey) AS n_subjects FROM orders GROUP BY 1, 2",
     "baseline_static": sql(
         "stays", more="h AS (SELECT s.key, s.stay_id, s.start, o_totalprice FROM stays s JOIN orders ON o_orderkey = stay_id), a AS (SELECT i.key, i.stay_id, count(h.stay_id) AS n, arg_max(o_totalprice, (h.start, h.stay_id)) AS v FROM stays i LEFT JOIN h ON i.key = h.key AND h.start < i.start GROUP BY 1, 2)",
-        body="SELECT key, stay_id, CASE WHEN n > 0 THEN n END AS n_prior, round(v, 6) AS last_value, n > 0 AS has_prior FROM a",
+        body="SELECT key, stay_id, n AS n_prior, round(v, 6) AS last_value, n > 0 AS has_prior FROM a",
     ),
     "static_frame": sql(
         "ev", "grid", "iv", "stays", more=_LAST.format(n="weight", v="view", w="") + """, o AS (SELECT g.key, g.k, bool_or(var = 'purchase') AS drug_on FROM grid g JOIN iv ON iv.key = g.key AND start <= t AND stop > t GROUP BY g.key, g.k),
 h AS (SELECT s.key, s.stay_id, s.start, o_totalprice, max(s.start) OVER (PARTITION BY s.key) AS last_start FROM stays s JOIN orders ON o_orderkey = stay_id),
-b AS (SELECT key, nullif(count(*) FILTER (start < last_start), 0) AS n_prior, round(arg_max(o_totalprice, (start, stay_id)) FILTER (start < last_start), 6) AS last_value FROM h GROUP BY key)""",
+b AS (SELECT key, count(*) FILTER (start < last_start) AS n_prior, round(arg_max(o_totalprice, (start, stay_id)) FILTER (start < last_start), 6) AS last_value FROM h GROUP BY key)""",
         body="SELECT g.key, g.k, weight, coalesce(drug_on, false) AS drug_on, n_prior, last_value FROM grid g LEFT JOIN weight w ON g.key = w.key AND g.k = w.k LEFT JOIN o ON g.key = o.key AND g.k = o.k LEFT JOIN b ON g.key = b.key",
     ),
     "renamed_keys": sql("ev", "grid", body="SELECT key AS episode_key, k FROM grid"),

@@ -28,7 +28,7 @@ def _edges(spark, d):
 
 
 def _moves(spark, d):
-    """Moves between stays: a line ships to a unit named by its return flag, for some tens of minutes; and at the start of each order a move or two of some minutes around it."""
+    """Moves between stays: a line ships to a unit named by its return flag, for some tens of minutes; and at the start of each order a move or two of some minutes around it, some of which stop before they begin."""
     o = table(spark, d, "orders")
     li = table(spark, d, "lineitem").join(o.select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
     unit = F.when(F.col("l_returnflag") == "A", "Medicine").when(F.col("l_returnflag") == "N", "Medical Intensive Care Unit").otherwise("Emergency Department")
@@ -39,7 +39,8 @@ def _moves(spark, d):
     kind = F.when(n < 3, "Medical Intensive Care Unit").when(n == 3, "Medicine").when(n == 4, "Emergency Department").when(n == 5, "Surgery")
     b = o.where("o_orderkey % 5 <> 0").select(F.col("o_custkey").alias("key"), (F.col("o_orderkey") * 10 + 8).alias("move_id"), (start - 5 * MINUTE).alias("at"), F.when(n != 1, start + F.when(n == 5, F.lit(15 * MINUTE)).otherwise(F.lit(60 * MINUTE))).alias("stop"), kind.alias("unit"))
     c = o.where("o_orderkey % 11 = 1").select(F.col("o_custkey").alias("key"), (F.col("o_orderkey") * 10 + 9).alias("move_id"), (start - 4 * MINUTE).alias("at"), (start + 9 * MINUTE).alias("stop"), F.lit("Medical Intensive Care Unit").alias("unit"))
-    return a.unionByName(b).unionByName(c)
+    inverted = o.where("o_orderkey % 13 = 2").select(F.col("o_custkey").alias("key"), (F.col("o_orderkey") * 10).alias("move_id"), (start - 2 * MINUTE).alias("at"), (start - 6 * MINUTE).alias("stop"), F.lit("Surgery").alias("unit"))
+    return a.unionByName(b).unionByName(c).unionByName(inverted)
 
 
 def _decided(spark, d):
@@ -88,7 +89,8 @@ _MOVES = """moves AS (SELECT o_custkey AS key, l_orderkey * 10 + l_linenumber AS
  CASE l_returnflag WHEN 'A' THEN 'Medicine' WHEN 'N' THEN 'Medical Intensive Care Unit' ELSE 'Emergency Department' END AS unit FROM lineitem JOIN orders ON l_orderkey = o_orderkey
  UNION ALL SELECT o_custkey, o_orderkey * 10 + 8, epoch_us(o_orderdate) - 300000000, CASE WHEN o_orderkey % 7 <> 1 THEN epoch_us(o_orderdate) + CASE WHEN o_orderkey % 7 = 5 THEN 900000000 ELSE 3600000000 END END,
  CASE WHEN o_orderkey % 7 < 3 THEN 'Medical Intensive Care Unit' WHEN o_orderkey % 7 = 3 THEN 'Medicine' WHEN o_orderkey % 7 = 4 THEN 'Emergency Department' WHEN o_orderkey % 7 = 5 THEN 'Surgery' END FROM orders WHERE o_orderkey % 5 <> 0
- UNION ALL SELECT o_custkey, o_orderkey * 10 + 9, epoch_us(o_orderdate) - 240000000, epoch_us(o_orderdate) + 540000000, 'Medical Intensive Care Unit' FROM orders WHERE o_orderkey % 11 = 1)"""
+ UNION ALL SELECT o_custkey, o_orderkey * 10 + 9, epoch_us(o_orderdate) - 240000000, epoch_us(o_orderdate) + 540000000, 'Medical Intensive Care Unit' FROM orders WHERE o_orderkey % 11 = 1
+ UNION ALL SELECT o_custkey, o_orderkey * 10, epoch_us(o_orderdate) - 120000000, epoch_us(o_orderdate) - 360000000, 'Surgery' FROM orders WHERE o_orderkey % 13 = 2)"""
 _PATHS = f"""hits AS (SELECT e.key, e.stay_id, m.move_id, m.at_, m.stop, m.unit, {_KIND.format('m.unit')} AS kind, row_number() OVER w AS i, last_value(m.stop IGNORE NULLS) OVER (PARTITION BY e.key, e.stay_id ORDER BY m.at_, m.move_id, m.stop, m.unit ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before
   FROM edges e JOIN moves m ON e.key = m.key AND m.at_ < e.start AND coalesce(m.stop, e.start) > e.prev_stop WINDOW w AS (PARTITION BY e.key, e.stay_id ORDER BY m.at_, m.move_id, m.stop, m.unit)),
 paths AS (SELECT key, stay_id, count(*) AS n, string_agg(concat_ws('@', unit, move_id), '|' ORDER BY i) AS moves, string_agg(coalesce(unit, 'unknown'), '|' ORDER BY i) FILTER (kind <> 'icu') AS between_, bool_or(kind = 'ed') AS ed, bool_or(kind = 'unknown') AS unk, bool_or(kind = 'ward') AS ward,

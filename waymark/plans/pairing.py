@@ -45,7 +45,7 @@ def flag_exists_before(spark, d):
 
 
 def flag_lookback_90d(spark, d):
-    return W.exists_flags(_starts(spark, d), point_events(spark, d), {"recent": F.col("var").isNotNull(), "recent_error": F.col("var") == "error"}, 9 * DAY)
+    return W.exists_flags(_starts(spark, d), point_events(spark, d), {"recent": F.col("var").isNotNull(), "recent_error": F.col("var") == "error"}, 90 * DAY)
 
 
 def attribute_encounter(spark, d):
@@ -84,7 +84,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY key, id_a ORDER BY CASE WHEN bef
         body="SELECT count(*) FILTER (x.id IS NOT NULL AND y.id IS NOT NULL) AS n_both, count(*) FILTER (y.id IS NULL) AS n_left, count(*) FILTER (x.id IS NULL) AS n_right, round(avg(CASE WHEN x.id IS NOT NULL AND y.id IS NOT NULL THEN (x.v IS NOT DISTINCT FROM y.v)::INT END), 6) AS agreement FROM x FULL JOIN y ON x.id = y.id",
     ),
     "flag_exists_before": sql("ev", "grid", body="SELECT key, k, t, " + ", ".join(f"EXISTS (SELECT 1 FROM ev WHERE ev.key = grid.key AND var = '{v}' AND e < t) AS any_{v}" for v in ("error", "purchase", "login")) + " FROM grid"),
-    "flag_lookback_90d": sql("ev", "grid", body="SELECT key, k, t, EXISTS (SELECT 1 FROM ev WHERE ev.key = grid.key AND e < t AND e >= t - 777600000000) AS recent, EXISTS (SELECT 1 FROM ev WHERE ev.key = grid.key AND var = 'error' AND e < t AND e >= t - 777600000000) AS recent_error FROM grid"),
+    "flag_lookback_90d": sql("ev", "grid", body="SELECT key, k, t, EXISTS (SELECT 1 FROM ev WHERE ev.key = grid.key AND e < t AND e >= t - 7776000000000) AS recent, EXISTS (SELECT 1 FROM ev WHERE ev.key = grid.key AND var = 'error' AND e < t AND e >= t - 7776000000000) AS recent_error FROM grid"),
     "attribute_encounter": sql(
         "ev", "iv", more="""s AS (SELECT key, event_id AS stay_id, start, CASE WHEN event_id % 7 <> 0 THEN stop END AS stop FROM iv WHERE event_id % 3 = 0),
 i AS (SELECT *, CASE WHEN key % 4 > 0 THEN start - (key % 4) * 108000000000 END AS v0, start + (key % 4 - 2) * 7200000000 AS v1 FROM s QUALIFY row_number() OVER (PARTITION BY key ORDER BY start % 1000, start, stay_id) = 1),
