@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -97,15 +98,40 @@ def ladder(x: Column, steps: list[tuple[float, int]], below: bool = True, strict
     return F.when(x.isNotNull(), out)
 
 
-def organ_scores(rows: DataFrame) -> DataFrame:
-    """Six component scores of 0 to 4, how many are known, a mask of the unknown, and a total only where all are known.
+#: Why a part of the score is unknown.
+REASONS = {
+    "resp": "pf_pair_missing", "coag": "platelets_missing", "liver": "bilirubin_missing",
+    "cardio": "map_and_vaso_missing", "neuro": "gcs_unable_or_missing", "renal": "creatinine_and_urine_missing",
+}
 
-    Columns: ratio with supported (worse steps need support), platelets, bilirubin, pressure and four drug rates (the
-    worst counts), alertness, creatinine and urine (the worse counts).
+
+def measured(joined: DataFrame, by: list[str], inputs: dict[str, tuple[Callable, Column]], variants: dict[str, dict[str, tuple[int, int]]], name: str = "variant") -> DataFrame:
+    """One row for each (by) and variant, with each input: an aggregate of a column over the events with t + low < e <= t + high.
+
+    joined: events with the anchors t of their key. A variant (a window, or a track with a window of its own for some
+    inputs) gives each input's (low, high). All aggregates come from one pass; what variants share is taken once.
+    """
+    e, t = F.col("e"), F.col("t")
+    need = {(n, span): f"__{n}_{i}" for i, (n, span) in enumerate(dict.fromkeys((n, v[n]) for v in variants.values() for n in inputs))}
+    wide = joined.groupBy(*by).agg(*[inputs[n][0](F.when((e > t + low) & (e <= t + high), inputs[n][1])).alias(c) for (n, (low, high)), c in need.items()])
+    rows = F.array(*[F.struct(F.lit(v).alias(name), *[F.col(need[n, spans[n]]).alias(n) for n in inputs]) for v, spans in variants.items()])
+    return wide.select(*by, F.explode(rows).alias("__v")).select(*by, "__v.*")
+
+
+def organ_scores(rows: DataFrame, any_drug: str | None = None) -> DataFrame:
+    """Six component scores of 0 to 4, how many are known, a mask and the reasons of the unknown, a status, a total only where all are known, and the sum of those that are.
+
+    Columns: ratio with supported (worse steps need support; null is none), platelets, bilirubin, pressure and four drug
+    rates (the worst counts), alertness, creatinine and urine (the worse counts). any_drug: a column that says whether
+    any such drug was given, for sources without rates; it counts two points.
     """
     c = F.col
-    resp = F.when(c("ratio").isNull(), None).when((c("ratio") < 100) & c("supported"), 4).when((c("ratio") < 200) & c("supported"), 3).when(c("ratio") < 300, 2).when(c("ratio") < 400, 1).otherwise(0)
-    drugs = [F.when(c(d) > 0, ladder(c(d), steps, below=False, strict=True)) for d, steps in (("drug_a", [(15.0, 4), (5.0, 3), (0.0, 2)]), ("drug_b", [(0.0, 2)]), ("drug_c", [(0.1, 4), (0.0, 3)]), ("drug_d", [(0.1, 4), (0.0, 3)]))]
+    supported = F.coalesce(c("supported"), F.lit(False))
+    resp = F.when(c("ratio").isNull(), None).when((c("ratio") < 100) & supported, 4).when((c("ratio") < 200) & supported, 3).when(c("ratio") < 300, 2).when(c("ratio") < 400, 1).otherwise(0)
+    if any_drug:
+        drugs = [F.when(c(any_drug), 2), F.lit(None).cast("int")]
+    else:
+        drugs = [F.when(c(d) > 0, ladder(c(d), steps, below=False, strict=True)) for d, steps in (("drug_a", [(15.0, 4), (5.0, 3), (0.0, 2)]), ("drug_b", [(0.0, 2)]), ("drug_c", [(0.1, 4), (0.0, 3)]), ("drug_d", [(0.1, 4), (0.0, 3)]))]
     parts = {
         "resp": resp, "coag": ladder(c("platelets"), [(20, 4), (50, 3), (100, 2), (150, 1)]), "liver": ladder(c("bilirubin"), [(12.0, 4), (6.0, 3), (2.0, 2), (1.2, 1)], below=False),
         "cardio": F.greatest(F.when(c("pressure").isNotNull(), F.when(c("pressure") < 70, 1).otherwise(0)), *drugs), "neuro": ladder(c("alertness"), [(6, 4), (10, 3), (13, 2), (15, 1)]),
@@ -114,16 +140,28 @@ def organ_scores(rows: DataFrame) -> DataFrame:
     out = rows.withColumns({k: v.cast("int") for k, v in parts.items()})
     known = reduce(lambda a, b: a + b, [c(k).isNotNull().cast("int") for k in parts])
     mask = F.concat(*[F.when(c(k).isNull(), "1").otherwise("0") for k in parts])
-    return out.withColumns({"n_known": known, "missing": mask}).withColumn("total", F.when(c("n_known") == len(parts), reduce(lambda a, b: a + b, [c(k) for k in parts])))
+    reasons = F.array_compact(F.array(*[F.when(c(k).isNull(), REASONS[k]) for k in parts]))
+    held = reduce(lambda a, b: a + b, [F.coalesce(k, F.lit(0)) for k in parts])
+    out = out.withColumns({"n_known": known, "missing": mask, "reasons": reasons, "known_sum": held})
+    status = F.when(c("n_known") == len(parts), "complete_6_of_6").otherwise(F.concat(F.lit("partial_"), c("n_known").cast("string"), F.lit("_of_6")))
+    return out.withColumns({"status": status, "total": F.when(c("n_known") == len(parts), c("known_sum"))})
 
 
-def score_delta(scores: DataFrame, origin: DataFrame, before: int, after: int, least: int = 2) -> DataFrame:
-    """Per key the rise from the best score in [t0 - before, t0) (0 if none is known) to the worst in [t0, t0 + after], and whether it is enough."""
-    j = scores.join(origin.select("key", "t0"), "key")
-    base = F.min(F.when((F.col("e") >= F.col("t0") - before) & (F.col("e") < F.col("t0")), F.col("points")))
-    worst = F.max(F.when((F.col("e") >= F.col("t0")) & (F.col("e") <= F.col("t0") + after), F.col("points")))
-    out = j.groupBy("key").agg(base.alias("baseline"), worst.alias("worst"))
-    return out.select("key", F.coalesce("baseline", F.lit(0)).alias("baseline"), F.col("baseline").isNull().alias("assumed"), "worst", (F.col("worst") - F.coalesce("baseline", F.lit(0))).alias("delta"), F.coalesce(F.col("worst") - F.coalesce("baseline", F.lit(0)) >= least, F.lit(False)).alias("qualifies"))
+def score_rise(scores: DataFrame, by: list[str], least: int = 2, name: str = "variant", before: str = "baseline", after: str = "qualifying", parts: int = 6) -> DataFrame:
+    """Per row of `by` the scores of two windows (by, variant, known_sum, n_known) and the rise between them.
+
+    A baseline of which a part is unknown is assumed to be zero; the rise over what was observed is known only where
+    both windows are complete; the later window counts with what is known of it, and a missing window with zero.
+    """
+    one = lambda w, c: F.coalesce(F.max(F.when(F.col(name) == w, F.col(c))), F.lit(0))
+    g = scores.groupBy(*by).agg(*[one(w, c).alias(f"{p}_{c}") for w, p in ((before, "b"), (after, "q")) for c in ("known_sum", "n_known")])
+    complete, both = F.col("b_n_known") == parts, (F.col("b_n_known") == parts) & (F.col("q_n_known") == parts)
+    base = F.when(complete, F.col("b_known_sum")).otherwise(0)
+    delta = F.col("q_known_sum") - base
+    return g.select(
+        *by, base.alias("baseline"), F.when(complete, "observed_complete").otherwise("assumed_zero_by_phenotype_rule").alias("baseline_source"), (~complete).alias("assumed"), F.col("b_n_known").alias("baseline_known"),
+        F.col("q_known_sum").alias("qualifying"), F.col("q_n_known").alias("qualifying_known"), F.when(both, F.col("q_known_sum") - F.col("b_known_sum")).alias("delta_observed"), delta.alias("delta"), (delta >= least).alias("qualifies"),
+    )
 
 
 def canonical_ids(df: DataFrame, fields: list[str], strings: list[str]) -> DataFrame:
