@@ -237,6 +237,47 @@ def test_chain_dedup(spark):
     assert got == [(1, 2, 3), (2, 4, 1)]
 
 
+def test_identity_of_nested_rows(spark):
+    import decimal
+    import json
+
+    rows = [
+        (1, "é", decimal.Decimal("1.50"), 0.1, True, [("x", 1), ("y", None)], {"b": 1.5, "a": float("nan")}, dt.datetime(2024, 1, 2, 3, 4, 5), b"raw"),
+        (2, "e\u0301", decimal.Decimal("1.5"), 0.1, True, [("x", 1), ("y", None)], {"a": float("nan"), "b": 1.5}, dt.datetime(2024, 1, 2, 3, 4, 5), b"raw"),
+        (3, None, None, None, None, None, None, None, None),
+        (4, "", decimal.Decimal("1E+3"), 1e22, False, [], {}, dt.datetime(2024, 1, 2, 3, 4, 5, 6), b""),
+        (5, 'say "x"\n/', decimal.Decimal("-0.000"), -0.0, False, [(None, None)], {"k": 1e-7}, None, b"\xff"),
+    ]
+    df = spark.createDataFrame(rows, "i int, s string, d decimal(20,4), f double, b boolean, a array<struct<n:string,m:int>>, m map<string,double>, t timestamp_ntz, raw binary")
+    got = {r.i: r for r in outcomes.with_ids(df, {c: c for c in df.columns if c != "i"}, "src", text="json").collect()}
+    assert got[1].event_id == got[2].event_id and len({r.event_id for r in got.values()}) == 4
+    assert got[1].json == '{"source_table":"src","s":"é","d":1.5,"f":0.1,"b":true,"a":[{"m":1,"n":"x"},{"m":null,"n":"y"}],"m":{"a":null,"b":1.5},"t":"2024-01-02T03:04:05","raw":"raw"}'
+    assert got[3].json == '{"source_table":"src","s":null,"d":null,"f":null,"b":null,"a":null,"m":null,"t":null,"raw":null}'
+    assert json.loads(got[4].json)["d"] == 1000 and json.loads(got[4].json)["f"] == 1e22 and json.loads(got[5].json)["s"] == 'say "x"\n/' and json.loads(got[5].json)["d"] == 0
+    ids = outcomes.canonical_ids(df, ["s", "a"], ["s"])
+    assert ids.columns == [*df.columns, "raw_id", "canonical_id"] and ids.limit(0).count() == 0
+
+
+def test_incidence_of_replicates_equals_one_by_one(spark):
+    r = random.Random(3)
+    rows = [(f"p{r.randint(0, 9)}", r.choice("ab"), r.randint(1, 6), r.randint(0, 2), round(r.random(), 3)) for _ in range(150)]
+    s = spark.createDataFrame(rows, "subject string, g string, bin int, cause int, p double")
+    drawn = bootstrap.draws(s, 252)
+    weight = {}
+    for x in drawn.collect():
+        for b in x.picks:
+            weight[x.block * bootstrap.BLOCK + b, x.subject] = weight.get((x.block * bootstrap.BLOCK + b, x.subject), 0) + 1
+    got = {(x.g, x.b): (x.predicted, x.observed) for x in bootstrap.incidences(s, ["g"], drawn, 252, 1, 4, "p").where("b in (0, 5, 251)").collect()}
+    assert len(got) == 6
+    for (g, b), (predicted, observed) in got.items():
+        held = [(t, c, p, weight.get((b, q), 0)) for q, h, t, c, p in rows if h == g]
+        left = 1.0
+        for t in range(1, 5):
+            risk = sum(w for u, _, _, w in held if u >= t)
+            left *= 1 - sum(w for u, c, _, w in held if u == t and c == 1) / risk if risk else 1
+        assert observed == pytest.approx(1 - left) and predicted == pytest.approx(sum(p * w for _, _, p, w in held) / sum(w for *_, w in held))
+
+
 def test_since_last_and_tensors(spark):
     rows = [("r", "c", 3), ("r", "c", 7), ("r", "c", 20), ("s", "c", 0)]
     b = spark.createDataFrame(rows, "id string, var string, bin int")

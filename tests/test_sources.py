@@ -28,6 +28,27 @@ def test_headers_are_read_once(spark, tmp_path):
     assert [r.header for r in sources.ingest_headers(spark, f"{tmp_path}/*.hea", done).collect()] == ["b 12 500"]
 
 
+def test_only_the_heads_of_files_are_read(spark, tmp_path):
+    import io
+
+    class Counting(io.BytesIO):
+        n = 0
+
+        def read(self, size=-1):
+            self.n += (got := len(x := super().read(size)))
+            assert size > 0 and got <= size
+            return x
+
+    long = Counting(b"first\r\nsecond\nthird\n" + b"x" * 10_000_000)
+    assert sources.first_lines(long, 2) == "first\nsecond" and long.n <= 1 << 14
+    assert sources.first_lines(Counting(b"a" * 100_000 + b"\nb"), 2) == "a" * 100_000 + "\nb"
+    assert [sources.first_lines(Counting(x), 2) for x in (b"", b"\n", b"one", "é\n\xff".encode("latin-1"))] == [None, "", "one", "\ufffd\n\ufffd"]
+    (tmp_path / "a b%.hea").write_text("named oddly\n")
+    (tmp_path / "empty.hea").write_text("")
+    done = spark.createDataFrame([], "path string, header string")
+    assert [r.header for r in sources.ingest_headers(spark, f"{tmp_path}/*.hea", done).collect()] == ["named oddly"]
+
+
 def test_stream_of_late_events(spark, tmp_path):
     from waymark.streaming import late_bins
 

@@ -157,3 +157,26 @@ def net_benefits(rows: DataFrame, scores: list[str], thresholds: list[float], dr
     summed = _summed(matched(per, drawn, [subject]).select("pt", "block", *scores, "__n", "picks"), ["pt", "block"], [*scores, "__n"])
     each = _each(summed, ["pt"], [*scores, "__n"], 1 << 30)
     return each.where(F.col("b") < replicates).groupBy("pt", "b").agg(*[F.try_divide(F.sum(s), F.sum("__n")).alias(s) for s in scores])
+
+
+def incidences(rows: DataFrame, by: list[str], drawn: DataFrame, replicates: int, cause: int, horizon: int, predicted: str, time: str = "bin", event: str = "cause", subject: str = "subject") -> DataFrame:
+    """(by, b, predicted, observed): in each replicate the mean of a predicted incidence and the Kaplan-Meier incidence of the cause by the horizon, other causes censored; null in a replicate without rows."""
+    cells = rows.groupBy(subject, *by, F.col(time).cast("long").alias("__t")).agg(F.count(F.lit(1)).alias("__n"), F.sum((F.col(event) == cause).cast("long")).alias("__d"), F.sum(predicted).alias("__p"))
+    keys = [*by, "block"]
+    summed = _summed(matched(cells, drawn, [subject]).select(*keys, "__t", "__n", "__d", "__p", "picks"), [*keys, "__t"], ["__n", "__d", "__p"])
+    kinds = {f.name: f for f in summed.schema}
+
+    def curves(t: pa.Table) -> pa.Table:
+        times, at = np.unique(t["__t"].combine_chunks().to_numpy(), return_inverse=True)
+        n, d, p = np.zeros((3, times.size, BLOCK))
+        for held, name in ((n, "__n"), (d, "__d"), (p, "__p")):
+            np.add.at(held, at, _arrays(t, name))
+        # At risk at a time are those of that time and of later ones.
+        risk = np.cumsum(n[::-1], 0)[::-1]
+        left = np.where((times <= horizon)[:, None] & (risk > 0), 1 - np.divide(d, risk, out=np.zeros_like(d), where=risk > 0), 1.0).prod(0)
+        some = risk[0] > 0
+        mean = np.divide(p.sum(0), risk[0], out=np.full(BLOCK, np.nan), where=some)
+        return pa.table([*[t[k].combine_chunks()[:1] for k in keys], _rows(mean[None]), _rows(np.where(some, 1 - left, np.nan)[None])], names=[*keys, "predicted", "observed"])
+
+    arrays = [T.StructField(n, T.ArrayType(T.DoubleType())) for n in ("predicted", "observed")]
+    return _each(summed.groupBy(*keys).applyInArrow(curves, T.StructType([*[kinds[k] for k in keys], *arrays])), by, ["predicted", "observed"], replicates)

@@ -6,10 +6,14 @@ small), so the same code applies frozen parameters to any other source.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .quantiles import matched, quantiles
 
@@ -123,23 +127,35 @@ def since_last(long: DataFrame, keys: list[str], n_bins: int, cap: int) -> DataF
 
 
 def tensors(long: DataFrame, keys: list[str], channels: list[str], n_bins: int, value: str = "value_median", cap: int = 48, recent_first: bool = False) -> DataFrame:
-    """One row per key: x, m and d, each an array per channel of an array per bin, in chronological order or the most recent bin first."""
-    cells = long.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws(":", "var", F.col("bin").cast("string")), value))).alias("cells"))
-    index = F.sequence(F.lit(0), F.lit(n_bins - 1)) if recent_first else F.sequence(F.lit(n_bins - 1), F.lit(0), F.lit(-1))
-    row = lambda c: F.transform(index, lambda b: F.try_element_at("cells", F.concat_ws(":", F.lit(c), b.cast("string"))))
-    raw = F.array(*[row(c) for c in channels])
-    out = cells.withColumn("__raw", raw)
-    # One pass a row: the gap since the last observed bin is carried along.
-    start = F.struct(F.array().cast("array<int>").alias("d"), F.lit(cap).alias("gap"))
-
-    def step(s: Column, v: Column) -> Column:
-        gap = F.when(v.isNotNull(), 0).otherwise(F.least(s["gap"] + 1, F.lit(cap)))
-        return F.struct(F.concat(s["d"], F.array(gap)).alias("d"), gap.alias("gap"))
-
-    gaps = lambda r: F.aggregate(r, start, step, lambda s: s["d"])
-    return out.select(
-        *keys, F.transform("__raw", lambda r: F.transform(r, lambda v: F.coalesce(v, F.lit(0.0)))).alias("x"), F.transform("__raw", lambda r: F.transform(r, lambda v: v.isNotNull())).alias("m"), F.transform("__raw", gaps).alias("d")
-    )
+    """One row per key: x, m and d, each an array per channel of an array per bin, in chronological order or the most recent bin first. x is 0 where a cell is unknown, m says which are known, d counts the bins since the last known one, cap before the first.
+
+    A key's cells are gathered by their number and laid out as a matrix (key, channel, bin) for a whole Arrow batch.
+    """
+    place = F.col("bin") if recent_first else n_bins - 1 - F.col("bin")
+    channel = F.array_position(F.array(*map(F.lit, channels)), F.col("var")) - 1
+    known = (channel >= 0) & F.col("bin").between(0, n_bins - 1) & F.col(value).isNotNull()
+    cell = F.when(known, F.struct((channel * n_bins + place).cast("int").alias("i"), F.col(value).cast("double").alias("v")))
+    cells = long.groupBy(*keys).agg(F.collect_list(cell).alias("cells"))
+    size = len(channels) * n_bins
+
+    def nested(flat: np.ndarray, n: int) -> pa.Array:
+        rows = pa.ListArray.from_arrays(pa.array(np.arange(0, flat.size + 1, n_bins, dtype=np.int32)), pa.array(flat))
+        return pa.ListArray.from_arrays(pa.array(np.arange(0, n * len(channels) + 1, len(channels), dtype=np.int32)), rows)
+
+    def laid_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n, held = b.num_rows, b["cells"]
+            flat = held.flatten()
+            at = np.repeat(np.arange(n) * size, np.diff(held.offsets.to_numpy())) + flat.field("i").to_numpy()
+            x, m = np.zeros(n * size), np.zeros(n * size, bool)
+            x[at], m[at] = flat.field("v").to_numpy(), True
+            now = np.broadcast_to(np.arange(n_bins, dtype=np.int32), (n * len(channels), n_bins))
+            last = np.maximum.accumulate(np.where(m.reshape(now.shape), now, -cap - n_bins), axis=1)
+            parts = [nested(c, n) for c in (x, m, np.minimum(now - last, cap).astype(np.int32).ravel())]
+            yield pa.RecordBatch.from_arrays([*[b[k] for k in keys], *parts], names=[*keys, "x", "m", "d"])
+
+    schema = T.StructType([*[cells.schema[k] for k in keys], *[T.StructField(n, T.ArrayType(T.ArrayType(t))) for n, t in (("x", T.DoubleType()), ("m", T.BooleanType()), ("d", T.IntegerType()))]])
+    return cells.mapInArrow(laid_out, schema)
 
 
 def balanced(df: DataFrame, label: str, weight: str) -> DataFrame:

@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import datetime as dt
+import hashlib
+import math
+import unicodedata
+from collections.abc import Callable, Iterator
+from decimal import Decimal
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import contains_any
 from .carry import carried
@@ -164,13 +171,58 @@ def score_rise(scores: DataFrame, by: list[str], least: int = 2, name: str = "va
     )
 
 
-def canonical_ids(df: DataFrame, fields: list[str], strings: list[str]) -> DataFrame:
-    """df with raw_id, a fingerprint of the fields as they are, and canonical_id, of the fields with strings trimmed and lower-cased. Fields are strings and integers; null is not empty."""
+def canonical_value(x: object) -> object:
+    """A value as JSON has it: numbers as they are (decimals exact, without trailing zeros), NaN and infinities as null, times in ISO form, bytes as text, keys of nested rows and maps in order (an empty map is an empty list)."""
+    if isinstance(x, float):
+        return x if math.isfinite(x) else None
+    if isinstance(x, dt.datetime | dt.date):
+        return x.isoformat()
+    if isinstance(x, bytes):
+        return x.decode("utf-8", "replace")
+    if isinstance(x, dict):
+        return {str(k): canonical_value(x[k]) for k in sorted(x, key=str)}
+    if isinstance(x, list):
+        # Of a map Arrow makes a list of pairs.
+        pairs = bool(x) and all(isinstance(p, tuple) for p in x)
+        return canonical_value(dict(x)) if pairs else [canonical_value(v) for v in x]
+    return x
+
+
+def canonical_text(row: dict) -> str:
+    """The row as JSON without spaces, fields in their order, in Unicode's composed form."""
+    import json
+
+    def text(x: object) -> str:
+        if isinstance(x, Decimal):
+            return format(x.normalize(), "f") if x else "0"
+        if isinstance(x, dict):
+            return "{" + ",".join(f"{text(k)}:{text(v)}" for k, v in x.items()) + "}"
+        if isinstance(x, list):
+            return "[" + ",".join(map(text, x)) + "]"
+        return json.dumps(x, ensure_ascii=False, allow_nan=False)
+
+    return unicodedata.normalize("NFC", text({k: canonical_value(v) for k, v in row.items()}))
 
-    def print_(of) -> Column:
-        return F.sha2(F.concat_ws("\x1f", *[F.coalesce(of(f), F.lit("\x00")) for f in fields]), 256)
 
-    return df.withColumns({"raw_id": print_(lambda f: F.col(f).cast("string")), "canonical_id": print_(lambda f: F.lower(F.trim(F.col(f))) if f in strings else F.col(f).cast("string"))})
+def with_ids(df: DataFrame, fields: dict[str, str], source: str | None = None, name: str = "event_id", text: str | None = None) -> DataFrame:
+    """df with the SHA-256 of the canonical JSON of these fields (name to column, of any type, nested ones too), after the source's name if there is one, and with that text itself if it is named. Null and absent are one; null is not empty."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            head = {} if source is None else {"source_table": source}
+            texts = [canonical_text(head | dict(zip(fields, row, strict=True))) for row in zip(*[b[c].to_pylist() for c in fields.values()], strict=True)]
+            added = [pa.array([hashlib.sha256(t.encode()).hexdigest() for t in texts], pa.string())] + ([pa.array(texts, pa.string())] if text else [])
+            yield pa.RecordBatch.from_arrays([*b.columns, *added], names=[*b.schema.names, name, *([text] if text else [])])
+
+    added = [T.StructField(n, T.StringType()) for n in (name, *([text] if text else []))]
+    return df.mapInArrow(run, T.StructType([*df.schema, *added]))
+
+
+def canonical_ids(df: DataFrame, fields: list[str], strings: list[str]) -> DataFrame:
+    """df with raw_id, the identity of the fields as they are, and canonical_id, of the fields with these strings trimmed and lower-cased. Fields may be structs, arrays, maps and decimals; null is not empty."""
+    plain = df.withColumns({f"__{f}": F.lower(F.trim(F.col(f))) for f in strings})
+    both = with_ids(with_ids(plain, {f: f for f in fields}, name="raw_id"), {f: f"__{f}" if f in strings else f for f in fields}, name="canonical_id")
+    return both.drop(*[f"__{f}" for f in strings])
 
 
 def dedup_counts(df: DataFrame) -> DataFrame:

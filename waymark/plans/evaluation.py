@@ -216,6 +216,20 @@ def km_slope(spark, d):
     return at(4).unionByName(at(7))
 
 
+def km_in_the_large(spark, d):
+    """By segments of landmarks and for all, at two horizons: the mean prediction, the incidence of the cause by the horizon, and their difference with an interval."""
+    k = F.col("k") * 2
+    s = E.by_dimension(_times(spark, d), {"all": F.lit("all"), "segment": E.segments(k)})
+    parts, by, drawn = [], ["level"], B.draws(s, REPLICATES, mode="membership")
+    for h in (4, 7):
+        seen = E.incidence(s, 1, by).where(F.col("bin") <= h).groupBy(*by).agg(F.max("incidence").alias("observed"))
+        mean = s.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg("score").alias("predicted"))
+        boot = E.intervals(B.incidences(s, by, drawn, REPLICATES, 1, h, "score").withColumn("gap", F.col("predicted") - F.col("observed")), by, "gap")
+        j = mean.join(seen, by, "left").withColumn("observed", F.coalesce("observed", F.lit(0.0))).join(boot, by)
+        parts.append(j.select("level", F.lit(h).alias("horizon"), "n", R("predicted"), R("observed"), F.round(F.col("predicted") - F.col("observed"), 6).alias("in_the_large"), "n_valid", R("mean"), R("low"), R("high")))
+    return parts[0].unionByName(parts[1])
+
+
 def boot_iauroc(spark, d):
     s = scored(spark, d)
     i = E.interval(_joint(s, [], {"a": "score", "b": "score_b"}, B.draws(s, REPLICATES)), {"a": F.col("a"), "difference": F.col("b") - F.col("a")})
@@ -235,7 +249,7 @@ QUERIES = {
     for f in (
         auroc_by_k, iauroc, brier, cal_in_large, decile_curve, net_benefit_curve, segment_net_benefit, fixed_dca, patient_first_dca, patient_max_dca, subgroup_auroc, routed_score, group_gate, group_spread,
         density_tertiles, km_incidence, km_calibration, td_cindex, smd_table, boot_ci, boot_membership_ci, interaction, control_contrast, calibrated_brier, calibration_slope, km_slope, boot_iauroc, boot_net_benefit,
-        subgroup_audit, patient_dca,
+        subgroup_audit, patient_dca, km_in_the_large,
     )
 }
 
@@ -360,4 +374,13 @@ i AS (SELECT pt, quantile_cont(v, 0.025) AS low, quantile_cont(v, 0.5) AS middle
         ) + ")"
         for mode, order in (("first", "k, id"), ("highest", "score_b DESC, id"))
     ),
+    "km_in_the_large": sql(
+        "scored", more=f"""{_X}, s AS (SELECT *, 'all' AS level FROM x UNION ALL SELECT *, CASE WHEN k * 2 <= 3 THEN '0-3' WHEN k * 2 <= 11 THEN '4-11' ELSE '12+' END FROM x), {_MEMBER},
+hz AS (SELECT unnest([4, 7]) AS horizon), c AS (SELECT level, b, bin, CAST(sum(wt) AS BIGINT) AS n, CAST(sum(wt) FILTER (cause = 1) AS BIGINT) AS d, sum(wt * score) AS p FROM s JOIN dw USING (subject) GROUP BY level, b, bin UNION ALL SELECT level, -1, bin, count(*), count(*) FILTER (cause = 1), sum(score) FROM s GROUP BY level, bin),
+rk AS (SELECT *, sum(n) OVER (PARTITION BY level, b ORDER BY bin DESC) AS risk FROM c),
+q AS (SELECT level, b, horizon, sum(n) AS n, sum(p) / sum(n) AS predicted, 1 - CASE WHEN bool_or(bin <= horizon AND coalesce(d, 0) = risk) THEN 0 ELSE exp(coalesce(sum(ln(1 - coalesce(d2, 0) / risk)) FILTER (bin <= horizon), 0)) END AS observed
+ FROM (SELECT *, CASE WHEN coalesce(d, 0) = risk THEN NULL ELSE d END AS d2 FROM rk), hz GROUP BY level, b, horizon),
+i AS (SELECT level, horizon, count(*) AS n_valid, avg(predicted - observed) AS mean, quantile_cont(predicted - observed, 0.025) AS low, quantile_cont(predicted - observed, 0.975) AS high FROM q WHERE b >= 0 GROUP BY level, horizon)""",
+        body="SELECT level, horizon, CAST(n AS BIGINT) AS n, round(predicted, 6) AS predicted, round(observed, 6) AS observed, round(predicted - observed, 6) AS in_the_large, n_valid, round(mean, 6) AS mean, round(low, 6) AS low, round(high, 6) AS high FROM q JOIN i USING (level, horizon) WHERE b = -1",
+    ),
 }

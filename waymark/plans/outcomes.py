@@ -99,8 +99,10 @@ def score_delta(spark, d):
 
 
 def _fingerprinted(spark, d):
-    e = table(spark, d, "events").select(F.when(F.col("event_id") % 2 == 0, F.upper("event_type")).otherwise(F.concat(F.lit(" "), F.col("event_type"))).alias("kind"), F.col("user_id").alias("user"), F.when(F.col("event_id") % 11 != 0, F.col("props")).alias("props"))
-    return O.canonical_ids(e, ["user", "kind", "props"], ["kind"])
+    i = F.col("event_id")
+    place = F.struct((i % 2).alias("b"), F.array("event_type", F.lit(None).cast("string")).alias("a"))
+    e = table(spark, d, "events").select(F.when(i % 2 == 0, F.upper("event_type")).otherwise(F.concat(F.lit(" "), F.col("event_type"))).alias("kind"), F.col("user_id").alias("user"), F.when(i % 11 != 0, F.col("props")).alias("props"), (i % 4 / 4).cast("decimal(5,2)").alias("amount"), place.alias("place"))
+    return O.canonical_ids(e, ["user", "kind", "props", "amount", "place"], ["kind"])
 
 
 def canonical_id(spark, d):
@@ -159,8 +161,9 @@ def _track(labs: int) -> str:
 
 _IN = f"i AS ({_track(24).format(width=24 * HOUR)}), o AS (SELECT key, k, {_FULL} FROM i)"
 _MASK = " || ".join(f"({c} IS NULL)::INT" for c in ("resp", "coag", "liver", "cardio", "neuro", "renal"))
-_FP = """f AS (SELECT sha256(concat_ws(chr(31), user_id, kind, coalesce(props, chr(0)))) AS raw_id, sha256(concat_ws(chr(31), user_id, lower(trim(kind)), coalesce(props, chr(0)))) AS canonical_id
- FROM (SELECT user_id, CASE WHEN event_id % 2 = 0 THEN upper(event_type) ELSE ' ' || event_type END AS kind, CASE WHEN event_id % 11 <> 0 THEN props END AS props FROM events)),
+_JSON = """sha256('{"user":' || user_id || ',"kind":' || to_json(%s) || ',"props":' || coalesce(to_json(props)::VARCHAR, 'null') || ',"amount":' || ['0', '0.25', '0.5', '0.75'][event_id %% 4 + 1] || ',"place":{"a":[' || to_json(event_type) || ',null],"b":' || event_id %% 2 || '}}')"""
+_FP = f"""f AS (SELECT {_JSON % 'kind'} AS raw_id, {_JSON % 'lower(trim(kind))'} AS canonical_id
+ FROM (SELECT event_id, user_id, event_type, CASE WHEN event_id % 2 = 0 THEN upper(event_type) ELSE ' ' || event_type END AS kind, CASE WHEN event_id % 11 <> 0 THEN props END AS props FROM events)),
 c AS (SELECT canonical_id, count(*) AS n_rows, count(DISTINCT raw_id) AS n_variants FROM f GROUP BY canonical_id)"""
 ORACLES = {
     "observation_endpoint": sql(

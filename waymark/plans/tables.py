@@ -54,7 +54,7 @@ def header_ingest(spark, d):
     o = S.scan(spark, f"{d}/orders.parquet", ["o_orderkey"]).select(F.floor(F.col("o_orderkey") / size).alias("part"), F.col("o_orderkey").cast("string").alias("value"))
     o.repartition("part").sortWithinPartitions("part", F.col("value").cast("long")).write.partitionBy("part").text(path)
     part = F.regexp_extract("path", r"part=(\d+)", 1).cast("long")
-    every = spark.read.text(f"{path}/*").select(F.col("_metadata.file_path").alias("path")).distinct()
+    every = spark.read.format("binaryFile").load(f"{path}/*").select(F.col("_metadata.file_path").alias("path"))
     return S.ingest_headers(spark, f"{path}/*", every.where(part % 3 == 2), 2).select(part.alias("part"), "header")
 
 

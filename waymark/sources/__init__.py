@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
+from typing import BinaryIO
+from urllib.parse import unquote, urlsplit
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,14 +47,36 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).csv(path)
 
 
+def first_lines(stream: BinaryIO, n: int, block: int = 1 << 14) -> str | None:
+    """The first n lines of an open file, of which no more is read than the blocks that hold them; None for an empty file."""
+    read = b""
+    while len(lines := read.splitlines(keepends=True)) <= n and (more := stream.read(block)):
+        read += more
+    kept = [x.rstrip(b"\r\n").decode("utf-8", "replace") for x in lines[:n]]
+    return "\n".join(kept) if kept else None
+
+
+def _opened(path: str) -> BinaryIO:
+    from pyarrow import fs
+
+    files, name = fs.FileSystem.from_uri(path) if not path.startswith("file:") else (fs.LocalFileSystem(), unquote(urlsplit(path).path))
+    return files.open_input_stream(name)
+
+
 def ingest_headers(spark: SparkSession, pattern: str, done: DataFrame, header_lines: int = 1) -> DataFrame:
-    """(path, header) of text files whose path is not in `done` yet: an incremental ingest that is appended to `done`. Files are read as lines, so none is held whole."""
-    at = F.monotonically_increasing_id()
-    lines = spark.read.text(pattern).select(F.col("_metadata.file_path").alias("path"), at.alias("at"), "value").join(done.select("path"), "path", "left_anti")
-    # A file's first lines are in one split, numbered in a row.
-    first = lines.groupBy("path").agg(F.min("at").alias("first"))
-    head = lines.join(first, "path").where(F.col("at") < F.col("first") + header_lines)
-    return head.groupBy("path").agg(F.array_join(F.array_sort(F.collect_list(F.struct("at", "value")))["value"], "\n").alias("header"))
+    """(path, header) of text files whose path is not in `done` yet: an incremental ingest that is appended to `done`. Spark lists the files; a task opens each of its files and stops after its header, so what is read does not grow with the files. Empty files have no row."""
+    files = spark.read.format("binaryFile").load(pattern).select(F.col("_metadata.file_path").alias("path")).join(done.select("path"), "path", "left_anti")
+
+    def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = []
+            for p in b["path"].to_pylist():
+                with _opened(p) as stream:
+                    found.append((p, first_lines(stream, header_lines)))
+            found = [x for x in found if x[1] is not None]
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.string()) for i in (0, 1)], names=["path", "header"])
+
+    return files.repartition("path").mapInArrow(heads, "path string, header string")
 
 
 def scratch(spark: SparkSession) -> str:
