@@ -226,13 +226,15 @@ def prefixes(docs: DataFrame, seed: int, length: int, frequent: np.ndarray, pair
     """(code, n) of the prefixes of this many words, of those whose shorter prefixes are all too long for a group (all, of two words)."""
 
     def emit(b: pa.RecordBatch, chunks: Iterator) -> pa.RecordBatch:
-        codes = []
+        codes, counts = [], []
         for _, _, _, w in chunks:
             _, s = _runs(w, frequent, length, pairs)
             for k in range(2, length):
                 s = s[has(long[k], joint([s[:, j] for j in range(k)]))]
-            codes.append(joint([s[:, j] for j in range(length)]))
-        code, _, n = _merged(np.concatenate(codes), np.ones(sum(c.size for c in codes), np.int64))
+            code, _, n = _merged(joint([s[:, j] for j in range(length)]), np.ones(len(s), np.int64))
+            codes.append(code)
+            counts.append(n)
+        code, _, n = _merged(np.concatenate(codes), np.concatenate(counts))
         return pa.RecordBatch.from_arrays([pa.array(code.view(np.int64)), pa.array(n)], names=["code", "n"])
 
     return _scan(docs, seed, emit, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
@@ -323,9 +325,10 @@ def _cuts(phrases: DataFrame, counts: DataFrame) -> DataFrame:
     """(key, a, l, r, score) of each phrase by its lowest-scoring cut."""
     k = F.explode(F.sequence(F.lit(1), (F.length("key") / 8).cast("int") - 1))
     cuts = phrases.select("key", F.col("n").alias("a"), k.alias("k")).select("key", "a", "k", F.substring("key", F.lit(1), F.col("k") * 8).alias("first"), F.substring("key", F.col("k") * 8 + 1, F.length("key")).alias("rest"))
+    cuts = stored(cuts, "phrases-cuts")
     for side, name in (("first", "l"), ("rest", "r")):
         hot = heavy(cuts.groupBy(side).agg(F.count(F.lit(1)).alias("n")), side)
-        cuts = joined(cuts, counts.select(F.col("key").alias(side), F.col("n").alias(name)), [side], hot)
+        cuts = stored(joined(cuts, counts.select(F.col("key").alias(side), F.col("n").alias(name)), [side], hot), "phrases-cuts")
     score = F.expr("(cast(2000000 as decimal(7,0)) * cast(a as decimal(19,0))) div (cast(l as decimal(19,0)) + cast(r as decimal(19,0)))")
     best = cuts.withColumn("score", score.cast("long")).groupBy("key", "a").agg(F.min(F.struct("score", "k", "l", "r")).alias("c"))
     return best.select("key", "a", "c.l", "c.r", "c.score")
@@ -343,8 +346,9 @@ def _not_held(phrases: DataFrame) -> DataFrame:
 def collocations(docs: DataFrame, least: int = LEAST, top: int = TOP, budget: int = BUDGET) -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score) of the first `top` phrases of each language."""
     words, phrases, totals = counted(docs, least, budget)
-    scored = stored(_cuts(_not_held(phrases), words.select("key", "n").unionByName(phrases)), "phrases-scored")
+    scored = stored(_cuts(stored(_not_held(phrases), "phrases-free"), words.select("key", "n").unionByName(phrases)), "phrases-scored")
     spelt = scored.select("key", F.explode(F.expr("transform(sequence(1, cast(length(key) / 8 as int)), i -> struct(i as i, substring(key, cast(8 * i - 7 as int), 8) as word_key))")).alias("x")).select("key", "x.i", "x.word_key")
+    spelt = stored(spelt, "phrases-spelt")
     hot = heavy(spelt.groupBy("word_key").agg(F.count(F.lit(1)).alias("n")), "word_key")
     named = joined(spelt, words.select(F.col("key").alias("word_key"), "lang", "word"), ["word_key"], hot)
     text = named.groupBy("key").agg(F.first("lang").alias("lang"), F.array_join(F.array_sort(F.collect_list(F.struct("i", "word")))["word"], " ").alias("phrase"))
