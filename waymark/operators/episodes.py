@@ -31,43 +31,46 @@ def stay_edges(stays: DataFrame, minute: int) -> DataFrame:
     return e.where("prev_id is not null").withColumn("gap_min", (F.col("start") - F.col("prev_stop")) / F.lit(float(minute)))
 
 
-def gap_events(edges: DataFrame, moves: DataFrame) -> DataFrame:
-    """edges with `path`: the moves (key, move_id, at, stop, unit) that overlap the gap (prev_stop, start), in order; a move without a stop goes on.
+def gap_events(edges: DataFrame, moves: DataFrame, kinds: dict[str, tuple[str, ...]] = UNIT_KINDS) -> DataFrame:
+    """edges with `path`: the moves (key, move_id, at, stop, unit) that overlap the gap (prev_stop, start), in order, with the kind of their unit; a move without a stop goes on.
 
     A move overlaps if it begins before the gap's end and stops after its start, so one whose stop lies before its
     beginning, an anomaly that is evidence too, overlaps where both lie in the gap.
     """
     end = F.when(F.col("stop").isNotNull(), F.greatest("at", "stop"))
-    m = moves.where(F.col("at").isNotNull()).select("key", "at", F.col("stop").alias("m_stop"), F.col("unit").alias("m_unit"), "move_id", F.least("at", "stop").alias("__from"), end.alias("__to"))
+    m = moves.where(F.col("at").isNotNull()).select("key", "at", F.col("stop").alias("m_stop"), F.col("unit").alias("m_unit"), unit_kind(F.col("unit"), kinds).alias("m_kind"), "move_id", F.least("at", "stop").alias("__from"), end.alias("__to"))
     e = edges.where(F.col("prev_stop").isNotNull()).select("key", "stay_id", "prev_stop", "start", F.least("prev_stop", "start").alias("__low"), F.greatest("prev_stop", "start").alias("__high"))
     met = overlapping(e, m, ("__low", "__high"), ("__from", "__to")).where((F.col("at") < F.col("start")) & F.coalesce(F.col("m_stop") > F.col("prev_stop"), F.col("start") > F.col("prev_stop")))
-    path = met.groupBy("key", "stay_id").agg(F.array_sort(F.collect_list(F.struct("at", "move_id", F.col("m_stop").alias("stop"), F.col("m_unit").alias("unit")))).alias("path"))
-    return edges.join(path, ["key", "stay_id"], "left").withColumn("path", F.coalesce("path", F.array().cast("array<struct<at:bigint,move_id:bigint,stop:bigint,unit:string>>")))
+    path = met.groupBy("key", "stay_id").agg(F.array_sort(F.collect_list(F.struct("at", "move_id", F.col("m_stop").alias("stop"), F.col("m_unit").alias("unit"), F.col("m_kind").alias("kind")))).alias("path"))
+    return edges.join(path, ["key", "stay_id"], "left").withColumn("path", F.coalesce("path", F.array().cast("array<struct<at:bigint,move_id:bigint,stop:bigint,unit:string,kind:string>>")))
 
 
-def path_evidence(gap_min: Column, path: Column, prev_unit: Column, unit: Column, minute: int, kinds: dict[str, tuple[str, ...]] = UNIT_KINDS) -> Column:
-    """What the moves between two stays say: a struct of status, evidence, between (the units that are no ICU), path_class, exclusion and conflict.
+def path_facts(path: Column, left: Column, right: Column, minute: int) -> dict[str, Column]:
+    """What the moves between two stays of these kinds show: how many there are, whether one is an emergency visit, unknown or a ward, whether only brief wards lie between two ICUs, whether moves overlap, and the units that are no ICU."""
+    has = lambda k: F.exists(path, lambda m: m["kind"] == k)
+    inner = F.filter(path, lambda m: m["kind"] == "ward")
+    brief = F.forall(inner, lambda m: F.coalesce(m["stop"] - m["at"] <= PLACEHOLDER_MINUTES * minute, F.lit(False)))
+    walk = F.struct(F.lit(None).cast("long").alias("stop"), F.lit(False).alias("bad"))
+    overlap = F.aggregate(path, walk, lambda s, m: F.struct(F.coalesce(m["stop"], s["stop"]).alias("stop"), (s["bad"] | F.coalesce(m["at"] < s["stop"], F.lit(False))).alias("bad")), lambda s: s["bad"])
+    out = F.transform(F.filter(path, lambda m: m["kind"] != "icu"), lambda m: F.coalesce(m["unit"], F.lit("unknown")))
+    return {
+        "__size": F.size(path), "__ed": has("ed"), "__unknown": has("unknown"), "__ward": has("ward") | (left == "ward") | (right == "ward"), "__between": F.array_join(out, "|"),
+        "__brief": (left == "icu") & (right == "icu") & (F.size(inner) > 0) & brief, "__overlap": overlap, "__some": F.size(out) > 0,
+    }
+
+
+def path_evidence(gap_min: Column) -> Column:
+    """What the facts of path_facts say of a gap: a struct of status, evidence, between (the units that are no ICU), path_class, exclusion and conflict.
 
     A stay without a known end before it has no path. A negative gap is an overlap. At a gap of zero the path must be
     clean to merge: ICU to ICU directly, or through wards of PLACEHOLDER_MINUTES at most; no moves at all, moves that
     overlap, unknown units, an emergency visit or a ward are each a finding of their own. At a positive gap only the
-    kind of path counts.
+    kind of path counts. The names are fixed values.
     """
-    kind = lambda u: unit_kind(u, kinds)
-    named = F.transform(path, lambda m: F.struct(m["unit"].alias("unit"), kind(m["unit"]).alias("kind"), m["at"].alias("at"), m["stop"].alias("stop")))
-    left, right = kind(prev_unit), kind(unit)
-    has = lambda k: F.exists(named, lambda m: m["kind"] == k)
-    ed, unknown = has("ed"), has("unknown")
-    ward = has("ward") | (left == "ward") | (right == "ward")
-    inner = F.filter(named, lambda m: m["kind"] == "ward")
-    brief = F.forall(inner, lambda m: F.coalesce(m["stop"] - m["at"] <= PLACEHOLDER_MINUTES * minute, F.lit(False)))
-    placeholder = (left == "icu") & (right == "icu") & (F.size(inner) > 0) & brief & ~ed & ~unknown
-    walk = F.struct(F.lit(None).cast("long").alias("stop"), F.lit(False).alias("bad"))
-    conflict = F.aggregate(named, walk, lambda s, m: F.struct(F.coalesce(m["stop"], s["stop"]).alias("stop"), (s["bad"] | F.coalesce(m["at"] < s["stop"], F.lit(False))).alias("bad")), lambda s: s["bad"])
-    out = F.filter(named, lambda m: m["kind"] != "icu")
-    some = F.size(out) > 0
-    between = F.when(some, F.array_join(F.transform(out, lambda m: F.coalesce(m["unit"], F.lit("unknown"))), "|"))
-    none, size = F.lit(None).cast("string"), F.size(path)
+    size, ed, unknown, ward, conflict, some = (F.col(c) for c in ("__size", "__ed", "__unknown", "__ward", "__overlap", "__some"))
+    placeholder = F.col("__brief") & ~ed & ~unknown
+    between = F.when(some, F.col("__between"))
+    none = F.lit(None).cast("string")
 
     def found(status, evidence, units, path_class, exclusion, bad=False) -> Column:
         cols = [x if isinstance(x, Column) else F.lit(x).cast("string") for x in (status, evidence, units, path_class, exclusion)]
@@ -106,8 +109,12 @@ def by_tau(edges: DataFrame, taus: list[int]) -> DataFrame:
 
 def decided_edges(stays: DataFrame, moves: DataFrame, minute: int, taus: list[int], kinds: dict[str, tuple[str, ...]] = UNIT_KINDS) -> DataFrame:
     """The edges between stays, once for each threshold, with their path's evidence and the preliminary decision."""
-    e = gap_events(stay_edges(stays, minute), moves).withColumn("__p", path_evidence(F.col("gap_min"), F.col("path"), F.col("prev_unit"), F.col("unit"), minute, kinds))
-    e = by_tau(e.select("*", "__p.*").drop("__p"), taus)
+    edges = stay_edges(stays, minute)
+    kept = edges.columns
+    known = edges.withColumns({"__left": unit_kind(F.col("prev_unit"), kinds), "__right": unit_kind(F.col("unit"), kinds)})
+    e = gap_events(known, moves, kinds)
+    e = e.withColumns(path_facts(F.col("path"), F.col("__left"), F.col("__right"), minute)).withColumn("__p", path_evidence(F.col("gap_min")))
+    e = by_tau(e.select(*kept, "path", "__p.*"), taus)
     return e.withColumn("decision", decide(F.col("gap_min"), F.col("tau"), F.col("status"), F.col("evidence")))
 
 
