@@ -46,6 +46,11 @@ def contains_any(text: Column, needles: list[str]) -> Column:
     return reduce(lambda a, b: a | b, [F.lower(text).contains(n.lower()) for n in needles])
 
 
+def matches(text: Column, pattern: str) -> Column:
+    """Whether a pattern, in lower case, occurs in the text of any case; a null text has no match."""
+    return F.lower(F.coalesce(text, F.lit(""))).rlike(pattern)
+
+
 def starts_with_any(code: Column, prefixes: list[str]) -> Column:
     return reduce(lambda a, b: a | b, [code.startswith(p) for p in prefixes])
 

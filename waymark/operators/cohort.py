@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import contains_any
+from ..functions import contains_any, matches
 from .carry import carried
 from .pairing import first_of
 from .windows import active_at, as_of, with_parts
@@ -67,6 +67,12 @@ def evidence(sources: list[tuple[str, DataFrame, str]], patterns: dict[str, list
     return both.groupBy("key", "concept").agg(F.min_by("source", F.struct("e", "source")).alias("source"), F.min("e").alias("first_e"), F.count(F.lit(1)).alias("n_evidence"))
 
 
+def noted_before(index: DataFrame, notes: DataFrame, text: str, pattern: str, name: str = "noted") -> DataFrame:
+    """index rows (key, until, ...) with whether a note (key, e) of the key, at `until` or before, matches the pattern. Only the first matching note of a key meets its index rows."""
+    first = notes.where(matches(F.col(text), pattern)).groupBy("key").agg(F.min("e").alias("__e"))
+    return index.join(first, "key", "left").withColumn(name, F.coalesce(F.col("__e") <= F.col("until"), F.lit(False))).drop("__e")
+
+
 def track_membership(tracks: dict[str, DataFrame]) -> DataFrame:
     """(key, tracks, n_tracks, rule) of every key that a track has."""
     all_ = reduce(DataFrame.unionByName, [df.select("key").distinct().withColumn("track", F.lit(n)) for n, df in tracks.items()])

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import logit
+from ..sources import stored
 from .quantiles import matched, quantile_row
 
 #: Ranges of a group's scores, so that no sum over scores needs the group in one task; groups of up to FEW scores have one.
@@ -202,17 +204,15 @@ def concordance(rows: DataFrame, cause: int, time: str = "bin", score: str = "sc
 
 
 def calibration_line(rows: DataFrame, by: list[str], rounds: int = 8, score: str = "score", y: str = "y") -> DataFrame:
-    """(by, slope, intercept) of the logistic recalibration of a score, for each group, by Newton steps over grouped sums; null where a group has one class."""
-    from ..functions import logit
-
-    base = rows.select(*by, F.col(y).alias("__y"), logit(F.col(score)).alias("__x"))
-    at = base.groupBy(*by).agg(F.avg("__y").alias("__rate")).select(*by, F.when((F.col("__rate") > 0) & (F.col("__rate") < 1), 0.0).alias("intercept"), F.lit(1.0).alias("slope"))
+    """(by, slope, intercept) of the logistic recalibration of a score, for each group, by Newton steps over grouped sums; null where a group has one class. Rows are counted by score and outcome once, and the steps go over the counts."""
+    base = stored(rows.groupBy(*by, F.col(y).alias("__y"), logit(F.col(score)).alias("__x")).agg(F.count(F.lit(1)).alias("__n")))
+    rate = F.sum(F.col("__y") * F.col("__n")) / F.sum("__n")
+    at = base.groupBy(*by).agg(rate.alias("__rate")).select(*by, F.when((F.col("__rate") > 0) & (F.col("__rate") < 1), 0.0).alias("intercept"), F.lit(1.0).alias("slope"))
     for _ in range(rounds):
-        x = F.col("__x")
+        x, n = F.col("__x"), F.col("__n")
         p = 1 / (1 + F.exp(-(F.col("intercept") + F.col("slope") * x)))
-        r, w = F.col("__y") - p, p * (1 - p)
-        j = matched(base, at, by)
-        g = j.groupBy(*by).agg(F.first("intercept").alias("a"), F.first("slope").alias("b"), F.sum(r).alias("r0"), F.sum(r * x).alias("r1"), F.sum(w).alias("w0"), F.sum(w * x).alias("w1"), F.sum(w * x * x).alias("w2"))
+        r, w = n * (F.col("__y") - p), n * p * (1 - p)
+        g = matched(base, at, by).groupBy(*by).agg(F.first("intercept").alias("a"), F.first("slope").alias("b"), F.sum(r).alias("r0"), F.sum(r * x).alias("r1"), F.sum(w).alias("w0"), F.sum(w * x).alias("w1"), F.sum(w * x * x).alias("w2"))
         det = F.col("w0") * F.col("w2") - F.col("w1") * F.col("w1")
         at = g.select(*by, (F.col("a") + F.try_divide(F.col("w2") * F.col("r0") - F.col("w1") * F.col("r1"), det)).alias("intercept"), (F.col("b") + F.try_divide(F.col("w0") * F.col("r1") - F.col("w1") * F.col("r0"), det)).alias("slope"))
     return at.select(*by, "slope", "intercept")

@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions import logit
+from ..sources import stored
 from .quantiles import matched, quantiles
 
 EPS = 1e-8
@@ -197,15 +199,14 @@ def score_with(model, df: DataFrame, features: list[str]) -> DataFrame:
 
 
 def platt(df: DataFrame, score: str, label: str, rounds: int = 8) -> tuple[float, float]:
-    """(intercept, slope) of a recalibration of logit(score), by Newton steps; each step is one pass of five sums."""
-    from ..functions import logit
-
-    x = logit(F.col(score))
+    """(intercept, slope) of a recalibration of logit(score), by Newton steps; rows are counted by score and label once, and each step is one pass of five sums over the counts."""
+    cells = stored(df.groupBy(logit(F.col(score)).alias("x"), F.col(label).alias("y")).agg(F.count(F.lit(1)).alias("n")))
+    x, n = F.col("x"), F.col("n")
     a, b = 0.0, 1.0
     for _ in range(rounds):
         p = 1 / (1 + F.exp(-(F.lit(a) + F.lit(b) * x)))
-        r, w = F.col(label) - p, p * (1 - p)
-        s = df.agg(F.sum(r), F.sum(r * x), F.sum(w), F.sum(w * x), F.sum(w * x * x)).first()
+        r, w = n * (F.col("y") - p), n * p * (1 - p)
+        s = cells.agg(F.sum(r), F.sum(r * x), F.sum(w), F.sum(w * x), F.sum(w * x * x)).first()
         if s[0] is None:
             return 0.0, 1.0
         det = s[2] * s[4] - s[3] * s[3]

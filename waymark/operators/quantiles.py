@@ -15,7 +15,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..sources import scratch
+from ..sources import stored
 
 #: Points of a sketch, its accuracy (ranks are right to a share of 1 / ACCURACY), and the values that a bracket may list.
 STEPS, ACCURACY, LISTED = 1000, 10_000, 50_000
@@ -30,13 +30,6 @@ def matched(a: DataFrame, b: DataFrame, keys: Sequence[str], how: str = "inner")
     return a.join(right, on, how).drop(*[f"__r_{c}" for c in keys])
 
 
-def _stored(df: DataFrame) -> DataFrame:
-    """A small table, written and read again, so that later passes don't repeat earlier ones."""
-    path = scratch(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def _sketch(v: Column) -> Column:
     return F.percentile_approx(v, [i / STEPS for i in range(STEPS + 1)], ACCURACY)
 
@@ -54,7 +47,7 @@ def quantiles(df: DataFrame, by: Sequence[str], columns: Sequence[str], probabil
     # Groups of a few values a step are listed whole.
     few = max(listed, 4 * STEPS)
     ends = lambda name, i, whole: F.when(F.col("n") <= few, F.col("s")[whole]).otherwise(F.col("s")[i]).alias(name)
-    state = _stored(whole.select(*group, "n", "m", *[ends(f"lo{k}", max(i - 1, 0), 0) for k, i in enumerate(around)], *[ends(f"hi{k}", min(i + 2, STEPS), STEPS) for k, i in enumerate(around)]))
+    state = stored(whole.select(*group, "n", "m", *[ends(f"lo{k}", max(i - 1, 0), 0) for k, i in enumerate(around)], *[ends(f"hi{k}", min(i + 2, STEPS), STEPS) for k, i in enumerate(around)]))
     most = (state.where(F.col("n") > few).agg(F.max("n")).first()[0] or 0) * _SHARE
     index, v = range(len(around)), F.col("v")
     inside = [(v > F.col(f"lo{k}")) & (v < F.col(f"hi{k}")) for k in index]
@@ -69,7 +62,7 @@ def quantiles(df: DataFrame, by: Sequence[str], columns: Sequence[str], probabil
             at = F.floor(STEPS * F.try_divide(_rank(p) - F.col(f"below{k}") - F.col(f"low{k}"), F.col(f"held{k}"))).cast("int")
             s, wide = F.col(f"s{k}"), F.col(f"held{k}") > few
             narrow += [F.when(wide & (at >= 1), F.try_element_at(s, F.least(at, F.lit(STEPS + 1)))).otherwise(F.col(f"lo{k}")).alias(f"lo{k}"), F.when(wide & (at + 2 <= STEPS), F.try_element_at(s, F.greatest(at + 3, F.lit(1)))).otherwise(F.col(f"hi{k}")).alias(f"hi{k}")]
-        state = _stored(g.select(*group, "n", "m", *narrow))
+        state = stored(g.select(*group, "n", "m", *narrow))
         most *= _SHARE
     g = matched(long, state, group).groupBy(*group).agg(F.first("n").alias("n"), F.first("m").alias("m"), *edges, *below, *low, *high, *[F.array_sort(F.collect_list(F.when(c, v))).alias(f"held{k}") for k, c in enumerate(inside)])
 

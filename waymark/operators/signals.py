@@ -49,11 +49,12 @@ def zscored(df: DataFrame, signal: str = "signal") -> DataFrame:
 
 
 def global_norm(train: DataFrame, by: str = "lead", signal: str = "signal") -> DataFrame:
-    """Mean and deviation per lead over all values of the training records, from sums per row."""
-    sums = train.select(by, F.aggregate(signal, F.lit(0.0), lambda s, v: s + v).alias("s"), F.aggregate(signal, F.lit(0.0), lambda s, v: s + v * v).alias("q"), F.size(signal).alias("n"))
+    """Mean and deviation per lead over all values of the training records, from sums per row; NaN and null count as absent."""
+    good = train.select(by, F.filter(signal, lambda v: v.isNotNull() & ~F.isnan(v)).alias("good"))
+    sums = good.select(by, F.aggregate("good", F.lit(0.0), lambda s, v: s + v).alias("s"), F.aggregate("good", F.lit(0.0), lambda s, v: s + v * v).alias("q"), F.size("good").alias("n"))
     g = sums.groupBy(by).agg(F.sum("s").alias("s"), F.sum("q").alias("q"), F.sum("n").alias("n"))
-    mean = F.col("s") / F.col("n")
-    return g.select(by, mean.alias("mean"), F.sqrt(F.greatest(F.col("q") / F.col("n") - mean * mean, F.lit(0.0))).alias("sd"), "n")
+    mean = F.try_divide("s", "n")
+    return g.select(by, mean.alias("mean"), F.sqrt(F.greatest(F.try_divide("q", "n") - mean * mean, F.lit(0.0))).alias("sd"), "n")
 
 
 def variance_of(a: Column) -> Column:

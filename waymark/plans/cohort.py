@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import DAY, HOUR, as_fraction, fahrenheit_to_celsius, hash_fraction, micros, parse_capped
+from ..functions import DAY, HOUR, as_fraction, ceil_div, fahrenheit_to_celsius, hash_fraction, micros, parse_capped
 from ..operators import assembly as A
 from ..operators import cohort as C
 from ..operators import windows as W
@@ -89,6 +89,17 @@ def ilike_evidence(spark, d):
     return C.evidence([("documents", docs, "text"), ("parts", parts, "text")], {"ing": ["thing", "ering"], "que": ["que", "QUI"], "num": ["1", "7"]})
 
 
+NOTED = "thing|ering (the|of)|[0-9]{3,}|que [a-z]+ le"
+
+
+def regex_flag(spark, d):
+    """Whether a text of each key, up to the key's first landmark, matches a pattern."""
+    docs, parts = _texts(spark, d)
+    first = (F.col("key") * 3 + F.greatest(F.lit(0), ceil_div(F.col("key") * 5 - F.col("key") * 3, 6)) * 6).alias("until")
+    keys = table(spark, d, "customer").select(F.col("c_custkey").alias("key")).select("key", first)
+    return C.noted_before(keys, docs.unionByName(parts), "text", NOTED)
+
+
 def track_membership(spark, d):
     e = point_events(spark, d)
     return C.track_membership({v: e.where((F.col("var") == v) & (F.col("value") > 85)) for v in ("click", "error", "view")})
@@ -121,11 +132,14 @@ def renamed_keys(spark, d):
     return A.renamed(grid_of(spark, d).select("key", "k"), {"key": "episode_key"})
 
 
-QUERIES = {f.__name__: f for f in (grid, first_landmark, episode_origin, index_cohort, temporal_split, baseline_static, landmark_context, static_frame, renamed_keys, capped_parse, code_map, unit_convert, ilike_evidence, track_membership, random_group, hash_sample, surrogate_ids)}
+QUERIES = {f.__name__: f for f in (grid, first_landmark, episode_origin, index_cohort, temporal_split, baseline_static, landmark_context, static_frame, renamed_keys, capped_parse, code_map, unit_convert, ilike_evidence, regex_flag, track_membership, random_group, hash_sample, surrogate_ids)}
 
 _DOCS = "d AS (SELECT doc_id % 100 AS key, doc_id AS e, text, 'documents' AS source FROM documents UNION ALL SELECT p_partkey % 100, p_partkey, p_name, 'parts' FROM part)"
 _LAST = "{n} AS (SELECT g.key, g.k, round(arg_max(value, (e, event_id)), 6) AS {n} FROM grid g JOIN ev ON ev.key = g.key AND var = '{v}' AND e <= t {w} GROUP BY g.key, g.k)"
 ORACLES = {
+    "regex_flag": f"""WITH n AS (SELECT doc_id % 100 AS key, doc_id AS e, text FROM documents UNION ALL SELECT p_partkey % 100, p_partkey, p_name FROM part),
+k AS (SELECT key, key * 3 + greatest(0, CAST(ceil((key * 5 - key * 3) / 6.0) AS BIGINT)) * 6 AS until FROM (SELECT c_custkey AS key FROM customer))
+SELECT key, until, EXISTS (SELECT 1 FROM n WHERE n.key = k.key AND e <= until AND regexp_matches(lower(coalesce(text, '')), '{NOTED}')) AS noted FROM k""",
     "grid": sql(
         "ev", more="o AS (SELECT key, min(e) AS t0, max(e) AS last_e, min(e) + 18000000000 * (key % 4) AS start FROM ev GROUP BY key), g AS (SELECT *, t0 + k * 21600000000 AS t, CAST(greatest(0, ceil((start - t0) / 21600000000.0)) AS BIGINT) AS k0 FROM o, (SELECT unnest(generate_series(0, 27)) AS k))",
         body="SELECT key, k, t, k0, k <= 11 AS main FROM g WHERE k >= k0 AND t < last_e",

@@ -87,6 +87,13 @@ def scratch(spark: SparkSession) -> str:
     return f"{named.rstrip('/') if named else 'file://' + tempfile.mkdtemp(prefix='waymark-')}/waymark-tables/{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """df, written to a scratch folder and read again: what is read many times is computed once, and a lost executor costs nothing."""
+    path = scratch(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def write_checks(checks: DataFrame, path: str) -> int:
     """Results (assertion, pass, detail) of quality operators, as JSON lines."""
     seen = Observation()
