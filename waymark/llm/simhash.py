@@ -193,10 +193,15 @@ def links(codes: DataFrame, bits: int = BITS, limit: int = LIMIT) -> DataFrame:
     indexed = codes.select("code", F.explode(F.concat(*index)).alias("x")).select("code", "x.i", "x.v")
     probing = codes.select(F.col("code").alias("from"), F.explode(F.concat(*probes)).alias("x")).select("from", "x.i", "x.v") if any(t for _, t in chosen) else indexed.withColumnRenamed("code", "from")
     shared = stored(indexed.groupBy("i", "v").agg(F.count(F.lit(1)).alias("n")).where("n > 1" if not any(t for _, t in chosen) else "n > 0"), "simhash-values")
-    few, many = shared.where(F.col("n") <= limit).select("i", "v"), shared.where(F.col("n") > limit).select("i", "v")
+    flipped = any(t for _, t in chosen)
+    asked = stored(probing.groupBy("i", "v").agg(F.count(F.lit(1)).alias("n")), "simhash-probes") if flipped else shared
+    # Values that very many codes have, or ask for, are split wherever rows meet by value.
+    held = joined(indexed, shared, ["i", "v"], heavy(shared, "i", "v"))
+    asking = joined(probing, shared, ["i", "v"], heavy(asked, "i", "v"))
     near = F.bit_count(F.col("code").bitwiseXOR(F.col("from"))) <= bits
-    found = indexed.join(few, ["i", "v"], "left_semi").alias("x").join(probing.join(few, ["i", "v"], "left_semi").alias("y"), ["i", "v"]).where((F.col("code") != F.col("from") if any(t for _, t in chosen) else F.col("code") < F.col("from")) & near).select(F.col("code").alias("a"), F.col("from").alias("b"))
-    crowd = stored(probing.join(many, ["i", "v"], "left_semi").select(F.col("from").alias("code")).distinct(), "simhash-crowd")
+    few = F.col("n") <= limit
+    found = held.where(few).drop("n").join(asking.where(few).drop("n"), ["i", "v"]).where((F.col("code") != F.col("from") if flipped else F.col("code") < F.col("from")) & near).select(F.col("code").alias("a"), F.col("from").alias("b"))
+    crowd = stored(asking.where(~few).select(F.col("from").alias("code")).distinct(), "simhash-crowd")
     half = bits - bits // 2
     meet = crowd.select("code", F.explode(_within(F.col("code"), _flips([*range(64)], half))).alias("z"))
     least = meet.groupBy("z").agg(F.min("code").alias("low"), F.max("code").alias("high")).where("low < high").select("z", "low")
