@@ -31,7 +31,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import held_out, row_key, stored, words
+from ._common import FEW
+from ._common import HEAVY as SHARE
+from ._common import held_out, joined, row_key, stored, words
 
 MODULUS, REMAINDER = 7, 2
 HEAVY, HEAVY_BYTES, FLUSH = 100_000, 64, 300_000
@@ -261,13 +263,17 @@ def score(docs: DataFrame, path: str, heavy: int = HEAVY) -> DataFrame:
 
     keyed = docs.select(row_key("doc_id", "text").alias("rid"), F.col("doc_id").cast("long"), held_out(MODULUS, REMAINDER).alias("held"), "text")
     parts = keyed.mapInArrow(run, "rid binary, doc_id long, held boolean, word string, times long, head array<double>")
-    joined = parts.join(vocab.select("word", "c", "lattice"), "word", "left")
+    # Words too long to be sent, but in very many documents, are split from the join.
+    often = max(vocab.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] / SHARE, FEW)
+    hot = vocab.where((F.octet_length("word") > HEAVY_BYTES) & (F.col("n") > often)).select("word", F.lit(True).alias("__hot"))
+    some = bool(hot.head(1))
+    met = joined(stored(parts, "words-of-documents") if some else parts, vocab.select("word", "c", "lattice"), ["word"], hot if some else None, "left")
 
     def total(own: int, rest: Column) -> Column:
         return F.sum(F.coalesce(F.element_at("head", own), rest, F.lit(0.0)))
 
     times = F.col("times").cast("double")
-    sums = joined.groupBy("rid").agg(
+    sums = met.groupBy("rid").agg(
         F.max("doc_id").alias("doc_id"), F.max("held").alias("held_out"), F.count("head").alias("copies"), total(1, F.lit(0.0)).alias("n"), total(2, F.when(F.col("c") > 0, times)).alias("k"),
         total(3, times * (F.log10(F.coalesce("c", F.lit(0)) + 1) - F.lit(base))).alias("b"), total(4, times * F.col("lattice")).alias("s"),
     )
