@@ -11,7 +11,8 @@ compared with a bounded window of its neighbours in that order, and pairs verifi
   of the largest label; there is no cap.
 * Passes do not move the vectors. A pass sorts a code of one byte a component, with the length of what the code
   leaves out. That bounds the cosine from both sides: pairs that are surely linked are joined, sure non-links go, and
-  what lies between is verified in double precision on the vectors themselves, fetched once for a pair.
+  what lies between is verified in double precision on the vectors themselves, fetched once for a pair. Passes go in
+  rounds of ROUND, each a shuffle of its own of about twice the vectors' bytes, whose pairs are stored.
 * A crowd of near vectors can be wider than a window, so an exact check follows: within each component all cosines are
   computed in blocks of bounded size (only counts leave a block), which gives every link between its members. Its time
   grows with the square of a crowd: that many links have to be counted.
@@ -39,8 +40,8 @@ from ._components import components
 THRESHOLD = 0.93
 #: Neighbours that a class is compared with on either side, and the chance to miss a pair at the threshold.
 WINDOW, MISS = 256, 0.01
-#: Vectors of one block of the exact check, and rows of one task of a pass.
-BLOCK, TASK_ROWS = 1024, 40_000
+#: Vectors of one block of the exact check, rows of one task of a pass, passes of one shuffle, and its tasks at most: a task streams its rows, so more of them take time, not memory.
+BLOCK, TASK_ROWS, ROUND, MOST_TASKS = 1024, 40_000, 8, 20_000
 SEED = 7
 
 
@@ -118,14 +119,16 @@ def candidates(found: DataFrame, threshold: float = THRESHOLD, window: int = WIN
         own = found.where(F.size("v") == dim)
         of_dim = known.where(F.col("dim") == dim)
         centred = joined(own.select("label", "cid", "v"), of_dim.select("label", "mean"), ["label"], heavy(of_dim, "label"))
-        part = _compared(centred, dim, passes, threshold, window, seed, max(1, total * passes // task_rows))
-        out = part if out is None else out.unionByName(part)
+        for first in range(0, passes, ROUND):
+            n = min(ROUND, passes - first)
+            part = stored(_compared(centred, dim, first, n, threshold, window, seed, min(MOST_TASKS, max(1, total * n // task_rows))), "vector-pairs")
+            out = part if out is None else out.unionByName(part)
     return out if out is not None else found.select(F.col("cid").alias("a"), F.col("cid").alias("b"), F.lit(True).alias("sure")).limit(0)
 
 
-def _compared(centred: DataFrame, dim: int, passes: int, threshold: float, window: int, seed: int, n_parts: int) -> DataFrame:
-    """All passes over the vectors of one length. Each pass is sorted by label and hash in range partitions; a pair across two partitions is left to the other passes."""
-    planes = np.random.default_rng(seed).standard_normal((dim, passes * 32)).astype(np.float32)
+def _compared(centred: DataFrame, dim: int, first: int, passes: int, threshold: float, window: int, seed: int, n_parts: int) -> DataFrame:
+    """A round of passes over the vectors of one length, from the number `first` on. Each pass is sorted by label and hash in range partitions; a pair across two partitions is left to the other passes."""
+    planes = np.random.default_rng([seed, first]).standard_normal((dim, passes * 32)).astype(np.float32)
     kind = dict(centred.dtypes)["label"]
 
     def hashes(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
