@@ -5,7 +5,7 @@ symbols, of repeated lines, of words in repeated 3-word windows and of capitals,
 language and source a minimum-covariance-determinant estimate is fitted to all its documents that pass the base rule.
 It has several starts: medians and interquartile ranges, and the documents of STARTS - 1 random subsets, drawn by hash.
 A concentration step keeps the SHARE of the group's documents of least Mahalanobis distance and takes their mean and
-covariance; steps go on until no start's determinant falls any more (MOST_STEPS at most), and the start of least
+covariance; a start's steps go on until its determinant falls no more, and the start of least
 determinant is the estimate (its covariance scaled to be consistent, plus FLOORS, the spread below which a difference
 means nothing). A document is kept if its squared distance is at most CUT. Steps are joins and grouped sums over a
 small table of statistics: no group is ever in one task, and quantiles come from sketches.
@@ -23,6 +23,7 @@ table gives an empty result.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -31,7 +32,9 @@ from pyspark.sql import functions as F
 
 from ._common import heavy, joined, released, stored, words
 
-SHARE, STARTS, MOST_STEPS, CUT, LEAST = 0.75, 4, 20, 30.0, 60
+SHARE, STARTS, CUT, LEAST = 0.75, 4, 30.0, 60
+#: A start ends when its log determinant falls by no more than this.
+LEAST_FALL = 1e-3
 #: Documents (expected) of a random subset, and the accuracy of quantile sketches.
 SUBSET, ACCURACY = 30, 10_000
 FLOORS = (0.05, 0.04, 0.15, 0.15, 0.05, 0.2)
@@ -152,7 +155,7 @@ def _fitted(scale: float):
     return run
 
 
-def estimate(members: DataFrame, counts: DataFrame, starts: int = STARTS, most_steps: int = MOST_STEPS, share: float = SHARE) -> DataFrame:
+def estimate(members: DataFrame, counts: DataFrame, starts: int = STARTS, share: float = SHARE) -> DataFrame:
     """Per group g of members (g, h, x0, x1, ...): the robust mean and inverse covariance. counts has g and n, its members."""
 
     def first(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -166,18 +169,20 @@ def estimate(members: DataFrame, counts: DataFrame, starts: int = STARTS, most_s
     drawn = [F.when(F.pmod(F.xxhash64("h", F.lit(k)), F.lit(1 << 20)) * F.col("n") < F.lit((1 << 20) * SUBSET), F.lit(k)) for k in range(1, starts)]
     subset = sized.withColumn("start", F.explode(F.array_compact(F.array(F.lit(None).cast("int"), *drawn)))).drop("n")
     random = subset.groupBy("g", "start").agg(*_moments(), F.lit(None).cast("double").alias("old")).where(F.col("n") > 1).mapInPandas(_fitted(1.0), _MEMBER)
-    params = stored(middle.unionByName(random), "mcd")
-    for _ in range(most_steps):
-        far = joined(members, params.drop("fall"), ["g"], hot).select("g", "start", "logdet", *[f"x{i}" for i in _P], _distance().alias("d"))
+    going, ended = stored(middle.unionByName(random), "mcd").drop("fall"), []
+    while not ended or going.head(1):
+        far = joined(members, going, ["g"], hot).select("g", "start", *[f"x{i}" for i in _P], _distance().alias("d"))
         edges = stored(far.groupBy("g", "start").agg(F.percentile_approx("d", share, ACCURACY).alias("edge")), "mcd-edges")
-        near = joined(members, params.drop("fall").join(edges, ["g", "start"]), ["g"], hot).withColumn("d", _distance()).where("d <= edge")
+        near = joined(members, going.join(edges, ["g", "start"]), ["g"], hot).withColumn("d", _distance()).where("d <= edge")
         sums = near.groupBy("g", "start").agg(*_moments(), F.first("logdet").alias("old"))
-        old, params = params, stored(sums.mapInPandas(_fitted(CONSISTENT), _MEMBER), "mcd")
-        released(old, edges)
-        if not (params.agg(F.max("fall")).first()[0] or 0.0) > 1e-3:
-            break
-    best = params.groupBy("g").agg(F.min_by(F.struct(*[c for c in _NAMES if c != "g"]), F.struct("logdet", "start")).alias("p"))
-    return best.select("g", "p.*").drop("start", "fall", "logdet")
+        params = stored(sums.mapInPandas(_fitted(CONSISTENT), _MEMBER), "mcd")
+        released(edges)
+        # A start whose determinant no longer falls has ended; its group's members meet the others alone.
+        ended.append(params.where(F.col("fall") <= LEAST_FALL).drop("fall"))
+        going = params.where(F.col("fall") > LEAST_FALL).drop("fall")
+    params = reduce(DataFrame.unionByName, ended)
+    best = params.groupBy("g").agg(F.min_by(F.struct(*[c for c in _NAMES if c not in ("g", "fall")]), F.struct("logdet", "start")).alias("p"))
+    return best.select("g", "p.*").drop("start", "logdet")
 
 
 def judge(docs: DataFrame, starts: int = STARTS, share: float = SHARE, cut: float = CUT, least: int = LEAST) -> DataFrame:
