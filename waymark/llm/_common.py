@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +13,7 @@ from pyspark.sql import functions as F
 #: Keys that hold more than a HEAVY-th of all rows: fewer than HEAVY, whatever the data, so a broadcast of them is bounded. FEW rows are no burden.
 HEAVY, FEW = 20_000, 200
 _own_folder: list[str] = []
+_scopes: list[list[DataFrame]] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -25,12 +28,24 @@ def shared_folder(spark: SparkSession) -> str:
     return f"file://{_own_folder[0]}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+@contextmanager
+def temporary() -> Iterator[None]:
+    """Tables stored within are deleted at the end, but for those that are kept."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        released(*_scopes.pop())
+
+
+def stored(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """Write df as a table in the shared folder and read it back: the lineage ends there, and a lost executor costs nothing."""
     path = f"{shared_folder(df.sparkSession)}/waymark/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._stored_at = path
+    if _scopes and not keep:
+        _scopes[-1].append(out)
     return out
 
 

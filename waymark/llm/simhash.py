@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import heavy, joined, row_key, stored, words
+from ._common import heavy, joined, row_key, stored, temporary, words
 from ._components import components
 
 SHINGLE, BITS, SEED = 3, 2, 42
@@ -226,11 +226,12 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, bits: int = BITS, seed
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
     """docs without near-duplicates: of each component the row of the smallest doc_id stays (of rows without ids, one)."""
-    return first_rows(docs, near_duplicates(docs, **options))
+    with temporary():
+        return first_rows(docs, near_duplicates(docs, **options))
 
 
 def first_rows(docs: DataFrame, found: DataFrame) -> DataFrame:
     """Of each root in found (root, rid, doc_id) the row of the smallest doc_id. Rows are chosen as they come, so of rows that repeat one stays."""
-    first = stored(found, "first-rows").groupBy("root").agg(F.min_by("rid", F.struct(F.col("doc_id").isNull(), "doc_id", "rid")).alias("__rid"))
+    first = stored(found, "first-rows", keep=True).groupBy("root").agg(F.min_by("rid", F.struct(F.col("doc_id").isNull(), "doc_id", "rid")).alias("__rid"))
     keyed = docs.withColumn("__rid", row_key("doc_id", "text"))
     return keyed.join(first.select("__rid").distinct(), "__rid", "left_semi").dropDuplicates(["__rid"]).drop("__rid")
