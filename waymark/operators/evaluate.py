@@ -189,9 +189,14 @@ def concordance(rows: DataFrame, cause: int, time: str = "bin", score: str = "sc
     score) takes part in as many halvings as the number of times has digits, and never meets another cell.
     """
     cells = rows.groupBy(time, score).agg(F.count(F.lit(1)).alias("n"), F.sum((F.col(event) == cause).cast("long")).alias("d"), F.sum((F.col(event) == 0).cast("long")).alias("c"))
-    at = numbered(cells, time)
-    digits = int(at.agg(F.coalesce(F.max("__i"), F.lit(0))).first()[0]).bit_length()
-    placed = cells.join(at, time)
+    cells = stored(cells.where(F.col(time).isNotNull()))
+    low, high = cells.agg(F.min(time), F.max(time)).first()
+    if isinstance(low, int) and high - low < RANGES:  # bins, which are numbers already
+        digits, placed = (high - low).bit_length(), cells.withColumn("__i", (F.col(time) - low).cast("long"))
+    else:
+        at = numbered(cells, time)
+        digits = int(at.agg(F.coalesce(F.max("__i"), F.lit(0))).first()[0]).bit_length()
+        placed = cells.join(at, time)
     left = lambda h: F.expr(f"__i >> {h} & 1") == 0
     halves = [F.struct(F.lit(h).alias("h"), F.expr(f"__i >> {h + 1}").alias("part"), F.when(left(h), F.col("d")).otherwise(0).alias("e"), F.when(left(h), 0).otherwise(F.col("n")).alias("a")) for h in range(digits)]
     own = F.struct(F.lit(-1).alias("h"), F.col("__i").alias("part"), F.col("d").alias("e"), F.col("c").alias("a"))
