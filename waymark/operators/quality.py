@@ -67,9 +67,9 @@ def no_leakage(windowed: DataFrame, known: str = "a", t: str = "t") -> DataFrame
     return check("known_at_landmark", windowed, F.col(known) > F.col(t))
 
 
-def contained(bins: DataFrame, unit: int) -> DataFrame:
+def contained(bins: DataFrame, unit: int, n_bins: int = 24) -> DataFrame:
     """Events lie in their bins: first and last within (bin_start, bin_end], the most recent bin closed at both ends."""
-    return check("events_in_bins", bins, (F.col("first_event") <= F.col("bin_start")) & (F.col("bin") < 23) | (F.col("last_event") > F.col("bin_end")) | (F.col("bin_end") - F.col("bin_start") != unit))
+    return check("events_in_bins", bins, (F.col("first_event") <= F.col("bin_start")) & (F.col("bin") < n_bins - 1) | (F.col("last_event") > F.col("bin_end")) | (F.col("bin_end") - F.col("bin_start") != unit))
 
 
 def pure_split(df: DataFrame, subject: str, name: str) -> DataFrame:
