@@ -87,3 +87,32 @@ def test_query_equals_sql(spark, docs_of, tmp_path):
     q = QUERIES["op13_collocations"](spark, str(tmp_path))
     rows = sorted(map(tuple, q.collect()))
     assert rows and rows == sorted(c.sql(f"SELECT {', '.join(q.columns)} FROM ({ORACLES['op13_collocations']})").fetchall())
+
+
+def test_what_leaves_a_task_at_once_is_bounded():
+    """200,000 distinct words in one batch leave in parts, and their counts are whole."""
+
+    class Docs:
+        def mapInArrow(self, run, schema):
+            batch = pa.RecordBatch.from_arrays([pa.array(["en", "de"] * 20), pa.array([" ".join(f"w{d}x{i} same" for i in range(5000)) for d in range(40)])], names=["lang", "text"])
+            self.out = [*run(iter([batch]))]
+            return self
+
+        def groupBy(self, *_):
+            return self
+
+        agg = groupBy
+
+    every = np.full(1 << 10, 255, np.uint8)
+    counted, found, cut = Docs(), Docs(), Docs()
+    C._scan(counted, 1, C._count_words, "")
+    C.prefixes(found, 1, 2, every, None, {})
+    C.suffixes(cut, 1, every, every, {}, 7)
+    for d in (counted, found, cut):
+        assert len(d.out) > 1 and max(b.num_rows for b in d.out) <= 1 << 16
+    words = Counter()
+    for b in counted.out:
+        for lang, word, n in zip(*(b[c].to_pylist() for c in ("lang", "word", "n")), strict=True):
+            words[lang, word] += n
+    assert words["en", None] == words["de", None] == 200_000 and words["de", "same"] == 100_000 and words["de", "w39x4999"] == 1 and len(words) == 200_004
+    assert sum(sum(b["n"].to_pylist()) for b in found.out) == sum(sum(b["n"].to_pylist()) for b in cut.out) == 40 * 9999

@@ -10,7 +10,7 @@ builds its subtrees alone.
    matters; those with more than BUDGET suffixes are lengthened by a word, counted again, and so on, to full depth,
    where a group is a count.
 3. Suffixes of frequent prefixes go to the group that their prefix's hash names, cut where a word or a pair of words is
-   infrequent (no frequent phrase holds it), and equal ones of a task merged. Sorted, their common prefixes are the
+   infrequent (no frequent phrase holds it), and equal ones of a chunk merged. Sorted, their common prefixes are the
    nodes of the subtrees, and a node's count is the total of its leaves. Nodes above a lengthened prefix get theirs from
    several groups.
 
@@ -22,8 +22,8 @@ Phrases are then cut in two at each place. All counts are exact; products are de
 
 Defined results: null, empty and blank texts have no phrases; a null lang is `und`; repeated rows count each; a very
 long text is read in one piece, its words held as numbers; other columns are not looked at; an empty table, or one
-without frequent words, gives an empty result. Two words of one batch whose codes coincide would be counted as one: at
-a million distinct words a batch the chance is 3e-8 for each batch.
+without frequent words, gives an empty result. Two words of one chunk whose codes coincide would be counted as one: at
+a million distinct words a chunk the chance is 3e-8 for each chunk.
 """
 
 from __future__ import annotations
@@ -44,8 +44,8 @@ LONGEST, LEAST, BUDGET, TOP = 4, 30, 1 << 18, 2000
 #: A phrase goes where a longer candidate holds it and has this share of its count or more.
 OF, PARTS = 80, 100
 MOST_BITS, PAGE = 1 << 27, 1 << 19
-#: Bytes of text that are handled at once in a task.
-CHUNK = 1 << 22
+#: Bytes of text that are handled at once in a task, and rows that leave it at once: the JVM holds a batch outside its heap.
+CHUNK, ROWS = 1 << 20, 1 << 16
 _SPACE, _BREAK = 1, 2
 _KIND = np.zeros(256, np.uint8)
 _KIND[list(b" \t")] = _SPACE
@@ -116,19 +116,19 @@ class Reader:
 
 
 def _read(reader: Reader, batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, int, np.ndarray, Words]]:
-    """(lower-case bytes of the batch, where the chunk begins in them, row of each document, words) for each chunk of a batch (lang, text)."""
+    """(lower-case bytes, where the words' places begin in them, row of each document, words) for each chunk of a batch (lang, text)."""
     text = pc.fill_null(batch["text"], "").cast(pa.large_string())
     text = pa.concat_arrays([text])
     bounds = np.frombuffer(text.buffers()[1], np.int64)[text.offset : text.offset + len(text) + 1]
     raw = np.frombuffer(text.buffers()[2] or b"", np.uint8)
-    low, names = _LOWER[raw[bounds[0] : bounds[-1]]], batch["lang"].to_pylist()
+    names = batch["lang"].to_pylist()
     known = {x: xxhash.xxh64_intdigest(x.encode(), reader.seed) for x in set(names)}
     lang = np.array([known[x] for x in names], np.uint64)
-    bounds = bounds - bounds[0]
     a = 0
     while a < len(names):
         b = max(a + 1, int(np.searchsorted(bounds, bounds[a] + CHUNK, "right")) - 1)
-        yield low, int(bounds[a]), np.arange(a, b), reader.words(low[bounds[a] : bounds[b]], bounds[a : b + 1] - bounds[a], lang[a:b])
+        low = _LOWER[raw[bounds[a] : bounds[b]]]
+        yield low, 0, np.arange(a, b), reader.words(low, bounds[a : b + 1] - bounds[a], lang[a:b])
         a = b
 
 
@@ -141,35 +141,32 @@ def _merged(codes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def _scan(docs: DataFrame, seed: int, emit: Callable, schema: str) -> DataFrame:
-    """What emit makes of each batch's chunks; docs has lang and text."""
+    """What emit makes of each chunk; docs has lang and text. A chunk's rows leave before the next one is read, so a task's memory does not follow the size of a batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader(seed)
         for b in batches:
-            if b.num_rows:
-                yield emit(b, _read(reader, b))
+            for chunk in _read(reader, b) if b.num_rows else ():
+                out = emit(b, *chunk)
+                for i in range(0, out.num_rows, ROWS):
+                    yield out.slice(i, ROWS)
 
     return docs.mapInArrow(run, schema)
 
 
-def _count_words(b: pa.RecordBatch, chunks: Iterator) -> pa.RecordBatch:
-    codes, counts, starts, ends, rows, low, totals = [], [], [], [], [], None, {}
-    names = b["lang"].to_pylist()
-    for low, first, row, w in chunks:
-        code, at, n = _merged(w.code, np.ones(w.code.size, np.int64))
-        for x, k in zip(names[row[0] : row[-1] + 1], np.bincount(w.doc, minlength=row.size).tolist(), strict=True):
-            totals[x] = totals.get(x, 0) + k
-        for held, x in ((codes, code), (counts, n), (starts, w.start[at] + first), (ends, w.end[at] + first), (rows, row[w.doc[at]])):
-            held.append(x)
-    code, at, n = _merged(np.concatenate(codes), np.concatenate(counts))
-    start, end, row = (np.concatenate(x)[at] for x in (starts, ends, rows))
-    data = low.tobytes()
+def _count_words(b: pa.RecordBatch, low: np.ndarray, first: int, row: np.ndarray, w: Words) -> pa.RecordBatch:
+    code, at, n = _merged(w.code, np.ones(w.code.size, np.int64))
+    totals: dict[str, int] = {}
+    own = b["lang"].slice(int(row[0]), row.size)
+    for x, k in zip(own.to_pylist(), np.bincount(w.doc, minlength=row.size).tolist(), strict=True):
+        totals[x] = totals.get(x, 0) + k
+    start, end = w.start[at], w.end[at]
+    data = low[first : first + int(w.end[-1]) if w.end.size else first].tobytes()
     word = pa.array([data[s:e] for s, e in zip(start.tolist(), end.tolist(), strict=True)], pa.binary()).cast(pa.string())
     # A row without a word holds the language's total.
     sums = pa.array([xxhash.xxh64_intdigest(b"total\0" + x.encode()) for x in totals], pa.uint64())
-    lang = b["lang"].take(pa.array(row))
-    parts = [([*code.tolist(), *sums.to_pylist()], pa.uint64()), ([*lang.to_pylist(), *totals], pa.string()), ([*word.to_pylist(), *[None] * len(totals)], pa.string()), ([*n.tolist(), *totals.values()], pa.int64())]
-    code, lang, word, n = (pa.array(x, t) for x, t in parts)
+    parts = [(pa.array(code), sums), (own.take(pa.array(w.doc[at])), pa.array(list(totals), pa.string())), (word, pa.nulls(len(totals), pa.string())), (pa.array(n), pa.array(list(totals.values()), pa.int64()))]
+    code, lang, word, n = (pa.concat_arrays(x) for x in parts)
     return pa.RecordBatch.from_arrays([code.view(pa.int64()), lang, word, n], names=["code", "lang", "word", "n"])
 
 
@@ -225,27 +222,21 @@ def joint(columns: list[np.ndarray]) -> np.ndarray:
 def prefixes(docs: DataFrame, seed: int, length: int, frequent: np.ndarray, pairs: np.ndarray | None, long: dict[int, np.ndarray]) -> DataFrame:
     """(code, n) of the prefixes of this many words, of those whose shorter prefixes are all too long for a group (all, of two words)."""
 
-    def emit(b: pa.RecordBatch, chunks: Iterator) -> pa.RecordBatch:
-        codes, counts = [], []
-        for _, _, _, w in chunks:
-            _, s = _runs(w, frequent, length, pairs)
-            for k in range(2, length):
-                s = s[has(long[k], joint([s[:, j] for j in range(k)]))]
-            code, _, n = _merged(joint([s[:, j] for j in range(length)]), np.ones(len(s), np.int64))
-            codes.append(code)
-            counts.append(n)
-        code, _, n = _merged(np.concatenate(codes), np.concatenate(counts))
+    def emit(b: pa.RecordBatch, low: np.ndarray, first: int, row: np.ndarray, w: Words) -> pa.RecordBatch:
+        _, s = _runs(w, frequent, length, pairs)
+        for k in range(2, length):
+            s = s[has(long[k], joint([s[:, j] for j in range(k)]))]
+        code, _, n = _merged(joint([s[:, j] for j in range(length)]), np.ones(len(s), np.int64))
         return pa.RecordBatch.from_arrays([pa.array(code.view(np.int64)), pa.array(n)], names=["code", "n"])
 
     return _scan(docs, seed, emit, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
 
 
 def suffixes(docs: DataFrame, seed: int, frequent: np.ndarray, pairs: np.ndarray, long: dict[int, np.ndarray], groups: int) -> DataFrame:
-    """(group, depth, w1..w4, n): the cut suffixes of each group, those of a batch merged; depth is the length of the prefix that put them there."""
+    """(group, depth, w1..w4, n): the cut suffixes of each group, those of a chunk merged; depth is the length of the prefix that put them there."""
 
-    def emit(b: pa.RecordBatch, chunks: Iterator) -> pa.RecordBatch:
-        held = [_runs(w, frequent, LONGEST, pairs)[1] for _, _, _, w in chunks]
-        s = np.concatenate(held)
+    def emit(b: pa.RecordBatch, low: np.ndarray, first: int, row: np.ndarray, w: Words) -> pa.RecordBatch:
+        s = _runs(w, frequent, LONGEST, pairs)[1]
         order = np.argsort(joint([s[:, j] for j in range(LONGEST)]))
         s = s[order]
         head = np.flatnonzero(np.r_[True, (s[1:] != s[:-1]).any(1)]) if len(s) else np.zeros(0, np.int64)
@@ -275,9 +266,9 @@ def subtrees(t: pa.Table, least: int) -> pa.Table:
         total = np.add.reduceat(n, head)
         kept = (s[head, d - 1] > 0) & ((total >= least) | (depth[head] > d))
         data = s[head[kept], :d].astype(">u8").tobytes()
-        keys += [data[i : i + 8 * d] for i in range(0, len(data), 8 * d)]
+        keys.append(pa.Array.from_buffers(pa.binary(), int(kept.sum()), [None, pa.py_buffer(np.arange(0, len(data) + 1, 8 * d, dtype=np.int32)), pa.py_buffer(data)]))
         counts.append(total[kept])
-    return pa.table({"key": pa.array(keys, pa.binary()), "n": pa.array(np.concatenate(counts), pa.int64())})
+    return pa.table({"key": pa.concat_arrays(keys), "n": pa.array(np.concatenate(counts), pa.int64())})
 
 
 def _key(code: Column) -> Column:
