@@ -278,6 +278,56 @@ def test_incidence_of_replicates_equals_one_by_one(spark):
         assert observed == pytest.approx(1 - left) and predicted == pytest.approx(sum(p * w for _, _, p, w in held) / sum(w for *_, w in held))
 
 
+def test_draws_are_hashed_in_arrays():
+    import hashlib
+
+    import numpy as np
+
+    for first, n, b, count in ((0, 120, 0, 25), (95, 15, 95, 10), (99_990, 30, 1990, 10), (7, 1, 3, 1)):
+        want = [[int(hashlib.md5(f"{i}:{r}".encode()).hexdigest()[:8], 16) for i in range(first, first + n)] for r in range(b, b + count)]
+        assert bootstrap.hashes(first, n, b, count).tolist() == want
+    rank = np.random.default_rng(0).integers(0, 10**6, (2, 1000))
+    for size, drawn in ((10**6, rank), (5000, rank % 5000)):
+        held = dict(bootstrap._by_shard(drawn.copy(), size))
+        assert sum(int(c.sum()) for c in held.values()) == 2000
+        assert all(c[i, r % bootstrap.SHARD] == list(drawn[i]).count(r) for i in (0, 1) for r in drawn[i, :50].tolist() for c in [held[r // bootstrap.SHARD]])
+
+
+def test_weights_of_a_bucket_are_a_product():
+    import numpy as np
+
+    r = np.random.default_rng(1)
+    counts = r.integers(0, 4, (60, 500)).astype(np.uint8)
+    for n in (20, 3000):  # many rows a cell, and few
+        subject, cell, weight = r.integers(0, 60, 900), r.integers(0, n, 900), r.integers(1, 3, 900)
+        want = np.zeros((n, 500))
+        np.add.at(want, cell, counts[subject] * weight[:, None].astype(float))
+        assert (bootstrap._product(counts, subject, cell, weight, n, np.float32) == want).all()
+
+
+def test_cells_move_instead_of_rows(spark):
+    r = random.Random(5)
+    rows = [(r.randint(0, 40), i % 3, round(r.random(), 1), r.random(), i % 2) for i in range(2000)]
+    s = spark.createDataFrame(rows, "subject long, k int, score double, other double, y int")
+    drawn = bootstrap.draws(s, 300)
+    summed = bootstrap._summed(s, drawn, ["subject"], ["k"], {"n": F.lit(1)}, {"": ["score", "y"]})
+    assert summed.count() <= 3 * 2 * bootstrap.LEAST  # keys, blocks and buckets
+    both = {(x.stat, x.k, x.b): x.auroc for x in bootstrap.aurocs(s, ["k"], drawn, 300, score={"a": "score", "c": "other"}).collect()}
+    assert len(both) == 2 * 3 * 300
+    for name, c in (("a", "score"), ("c", "other")):
+        assert all(both[name, x.k, x.b] == pytest.approx(x.auroc) for x in bootstrap.aurocs(s, ["k"], drawn, 300, score=c).collect())
+
+
+def test_several_horizons_of_replicates_in_one_pass(spark):
+    r = random.Random(6)
+    s = spark.createDataFrame([(r.randint(0, 9), r.choice([1, 2, 3, None]), r.randint(0, 2), r.random()) for _ in range(90)], "subject long, bin int, cause int, p double")
+    drawn = bootstrap.draws(s, 20)
+    both = {(x.horizon, x.b): (x.predicted, x.observed) for x in bootstrap.incidences(s, [], drawn, 20, 1, [1, 3], "p").collect()}
+    for h in (1, 3):
+        assert {(h, x.b): (x.predicted, x.observed) for x in bootstrap.incidences(s, [], drawn, 20, 1, h, "p").collect()} == {q: v for q, v in both.items() if q[0] == h}
+    assert len(both) == 40
+
+
 def test_since_last_and_tensors(spark):
     rows = [("r", "c", 3), ("r", "c", 7), ("r", "c", 20), ("s", "c", 0)]
     b = spark.createDataFrame(rows, "id string, var string, bin int")

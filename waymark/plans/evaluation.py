@@ -119,25 +119,25 @@ def smd_table(spark, d):
     return E.standardised_differences(scored(spark, d), F.col("avail"), ["score", "score_b", "y", "k"]).select("column", R("mean_1"), R("mean_0"), R("smd"))
 
 
-def _boot(spark, d, mode="multinomial"):
+def _boot(spark, d, scores, mode="multinomial"):
     s = scored(spark, d)
-    x = B.aurocs(B.stacked(s, {"a": "score", "b": "score_b"}), ["stat"], B.draws(s, REPLICATES, mode=mode), REPLICATES).withColumnRenamed("b", "replicate")
-    return B.side_by_side(x, ["replicate"], "stat", ["a", "b"], "auroc")
+    x = B.aurocs(s, [], B.draws(s, REPLICATES, mode=mode), REPLICATES, score=scores).withColumnRenamed("b", "replicate")
+    return B.side_by_side(x, ["replicate"], "stat", list(scores), "auroc")
 
 
 def boot_ci(spark, d):
-    i = E.interval(_boot(spark, d), {"a": F.col("a"), "b": F.col("b"), "difference": F.col("b") - F.col("a")})
+    i = E.interval(_boot(spark, d, {"a": "score", "b": "score_b"}), {"a": F.col("a"), "b": F.col("b"), "difference": F.col("b") - F.col("a")})
     return i.select("stat", "n_valid", R("low"), R("middle"), R("high"))
 
 
 def boot_membership_ci(spark, d):
-    i = E.interval(_boot(spark, d, "membership"), {"a": F.col("a")})
+    i = E.interval(_boot(spark, d, {"a": "score"}, "membership"), {"a": F.col("a")})
     return i.select("stat", "n_valid", R("low"), R("middle"), R("high"))
 
 
 def _joint(rows, by, scores, drawn, own_draws=()):
     """(by, replicate, one column a score): iAUROC of all scores and groups under the same draws."""
-    x = B.iaurocs(B.stacked(rows, scores), [*by, "stat"], drawn, REPLICATES, 12, own_draws=own_draws).withColumnRenamed("b", "replicate")
+    x = B.iaurocs(rows, by, drawn, REPLICATES, 12, score=scores, own_draws=own_draws).withColumnRenamed("b", "replicate")
     return B.side_by_side(x, [*by, "replicate"], "stat", list(scores), "iauroc")
 
 
