@@ -220,14 +220,13 @@ def km_in_the_large(spark, d):
     """By segments of landmarks and for all, at two horizons: the mean prediction, the incidence of the cause by the horizon, and their difference with an interval."""
     k = F.col("k") * 2
     s = E.by_dimension(_times(spark, d), {"all": F.lit("all"), "segment": E.segments(k)})
-    parts, by, drawn = [], ["level"], B.draws(s, REPLICATES, mode="membership")
-    for h in (4, 7):
-        seen = E.incidence(s, 1, by).where(F.col("bin") <= h).groupBy(*by).agg(F.max("incidence").alias("observed"))
-        mean = s.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg("score").alias("predicted"))
-        boot = E.intervals(B.incidences(s, by, drawn, REPLICATES, 1, h, "score").withColumn("gap", F.col("predicted") - F.col("observed")), by, "gap")
-        j = mean.join(seen, by, "left").withColumn("observed", F.coalesce("observed", F.lit(0.0))).join(boot, by)
-        parts.append(j.select("level", F.lit(h).alias("horizon"), "n", R("predicted"), R("observed"), F.round(F.col("predicted") - F.col("observed"), 6).alias("in_the_large"), "n_valid", R("mean"), R("low"), R("high")))
-    return parts[0].unionByName(parts[1])
+    by, at, horizons = ["level"], ["level", "horizon"], [4, 7]
+    seen = E.incidence(s, 1, by).select("level", "bin", "incidence", F.explode(F.array(*map(F.lit, horizons))).alias("horizon")).where("bin <= horizon").groupBy(*at).agg(F.max("incidence").alias("observed"))
+    mean = s.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg("score").alias("predicted"))
+    boot = B.incidences(s, by, B.draws(s, REPLICATES, mode="membership"), REPLICATES, 1, horizons, "score")
+    around = E.intervals(boot.withColumn("gap", F.col("predicted") - F.col("observed")), at, "gap")
+    j = mean.join(around, by).join(seen, at, "left").withColumn("observed", F.coalesce("observed", F.lit(0.0)))
+    return j.select("level", "horizon", "n", R("predicted"), R("observed"), F.round(F.col("predicted") - F.col("observed"), 6).alias("in_the_large"), "n_valid", R("mean"), R("low"), R("high"))
 
 
 def boot_iauroc(spark, d):
