@@ -629,3 +629,14 @@ def test_quantiles_are_exact_on_ties_skew_and_narrow_brackets(spark, monkeypatch
         assert got.keys() == want.keys()
         assert all(n == want[g][0] and np.allclose(q, want[g][1], rtol=1e-12, equal_nan=True) for g, (n, q) in got.items())
     assert Q.quantiles(df.limit(0), [], ["x"], p).count() == 0
+
+
+def test_density_is_that_of_the_tensors_and_reads_no_arrays(spark):
+    from waymark.plans import fitting as plans
+
+    d = "/root/testdata/sf0.001"
+    m = F.flatten("m")
+    want = {(x.key, x.k): x.density for x in plans.tensors(spark, d).select("key", "k", (F.size(F.filter(m, lambda v: v)) / F.size(m)).alias("density")).collect()}
+    got = plans.densities(spark, d)
+    assert want and {(x.key, x.k): x.density for x in got.collect()} == want
+    assert "Arrow" not in got._jdf.queryExecution().executedPlan().toString()

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from ..operators import bootstrap as B
 from ..operators import evaluate as E
 from ..operators import fitting as M
-from .fitting import TENSOR_BINS, tensors
+from ..sources import stored
+from .fitting import TENSOR_BINS, densities
 from .fixtures import LOGIT, STRICT, newton, scored, sql
 
 R = lambda c, n=6: F.round(c, n).alias(c)
@@ -86,9 +87,9 @@ def group_spread(spark, d):
 
 def density_tertiles(spark, d):
     """Metrics by thirds of the share of a landmark's cells (channel, bin) that are observed."""
-    m = F.flatten("m")
-    cells = tensors(spark, d).select(F.col("key").alias("subject"), "k", (F.size(F.filter(m, lambda x: x)) / F.size(m)).alias("density"))
-    s = E.with_tertile(scored(spark, d).join(cells, ["subject", "k"]), "density")
+    cells = densities(spark, d).withColumnRenamed("key", "subject")
+    # Limits, draws, sums and points read these rows again and again.
+    s = E.with_tertile(stored(scored(spark, d).join(cells, ["subject", "k"]).select("subject", "k", "y", "score", "density")), "density")
     boot = B.iaurocs(s, ["tertile"], B.draws(s, REPLICATES, mode="membership", by=("tertile",)), REPLICATES, 12, own_draws=("tertile",))
     sizes = s.groupBy("tertile").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("n_pos"), F.avg((F.col("score") - F.col("y")) ** 2).alias("brier"))
     point = E.integrated(E.auroc(s, ["tertile", "k"]), ["tertile"], 12).select("tertile", "iauroc")

@@ -13,7 +13,7 @@ from ..operators import windows as W
 from .fixtures import LOGIT, STEP, STRICT, WIDTH, grid, newton, point_events, scored, sql, table
 
 R6 = lambda c: F.round(c, 6).alias(c)
-CHANNELS = ["click", "view", "purchase"]
+CHANNELS, TENSOR_WIDTH = ["click", "view", "purchase"], 24
 
 
 def _events(spark, d):
@@ -116,7 +116,14 @@ def delta_since_last(spark, d):
 
 
 def tensors(spark, d):
-    return M.tensors(_bins(spark, d).where(F.col("var").isin(CHANNELS)), ["key", "k"], CHANNELS, 24)
+    return M.tensors(_bins(spark, d).where(F.col("var").isin(CHANNELS)), ["key", "k"], CHANNELS, TENSOR_WIDTH)
+
+
+def densities(spark, d):
+    """(key, k, density): the share of a landmark's cells (channel, bin) that are observed, counted without laying them out as tensors() does."""
+    known = F.col("value_median").isNotNull() & F.col("bin").between(0, TENSOR_WIDTH - 1)
+    b = _bins(spark, d).where(F.col("var").isin(CHANNELS))
+    return b.groupBy("key", "k").agg((F.count(F.when(known, 1)) / (len(CHANNELS) * TENSOR_WIDTH)).alias("density"))
 
 
 def tensor_rows(spark, d):
