@@ -640,3 +640,38 @@ def test_density_is_that_of_the_tensors_and_reads_no_arrays(spark):
     got = plans.densities(spark, d)
     assert want and {(x.key, x.k): x.density for x in got.collect()} == want
     assert "Arrow" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_gaps_meet_moves_by_key_and_those_of_crowded_keys_by_cells(spark, monkeypatch):
+    r = random.Random(11)
+    unit = lambda: r.choice([ICU, WARD, ED, None])
+    stays = [(k, 100 * (k or 9) + i, at := r.randint(0, 500), r.choice([None, at + r.randint(0, 60)]), unit()) for k, n in ((1, 12), (2, 3), (None, 3)) for i in range(n)]
+    moves = [(r.choice([1, 2, 3, None]), i, at := r.choice([None, r.randint(0, 500), r.randint(0, 500)]), r.choice([None, (at or 0) + r.randint(-20, 80)]), unit()) for i in range(120)]
+    s = spark.createDataFrame(stays, "key long, stay_id long, start long, stop long, unit string")
+    m = spark.createDataFrame(moves, "key long, move_id long, at long, stop long, unit string")
+    e = episodes.stay_edges(s, 1)
+    path = lambda df: sorted(((x.key, x.stay_id, [tuple(y) for y in x.path]) for x in df.collect()), key=str)
+    plain = episodes.gap_events(e, m)
+    assert "Generate" not in plain._jdf.queryExecution().executedPlan().toString()
+    want = []
+    for x in e.collect():
+        held = [y for y in moves if y[0] == x.key is not None and None not in (y[2], x.prev_stop) and y[2] < x.start and (x.start if y[3] is None else y[3]) > x.prev_stop]
+        want.append((x.key, x.stay_id, [y[1] for y in sorted(held, key=lambda y: y[2:3] + y[1:2])]))
+    got = path(plain)
+    assert sorted(((k, i, [y[1] for y in p]) for k, i, p in got), key=str) == sorted(want, key=str) and sum(len(w[2]) for w in want) > 10
+    monkeypatch.setattr(episodes, "FEW", 3)
+    assert path(episodes.gap_events(e, m)) == got
+    whole = episodes.merge_episodes(s, m, 1, [0, 60])
+    assert whole.count() == 2 * len(stays)
+
+
+def test_episode_map_moves_edges_and_moves_once(spark):
+    s = spark.createDataFrame([(1, i, 100 * i, 100 * i + 50, ICU) for i in range(5)], "key long, stay_id long, start long, stop long, unit string")
+    m = spark.createDataFrame([(1, 1, 60, 90, ICU)], "key long, move_id long, at long, stop long, unit string")
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = episodes.merge_episodes(s, m, 1, [0, 60])._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert plan.count("Exchange hashpartitioning") == 2
